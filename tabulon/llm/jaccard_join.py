@@ -48,7 +48,7 @@ def _shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             if hi - lo >= k:
                 yield np.unique(grams[lo : hi - k + 1])
             elif hi > lo:
-                whole = int((words.hash[lo:hi] * PLACE[: hi - lo]).sum(dtype=np.uint64)) ^ (hi - lo)
+                whole = int((words.hash[lo:hi] * PLACE[: hi - lo]).sum(dtype=np.uint64)) ^ int(hi - lo)
                 yield mix(np.array([whole], dtype=np.uint64) * PLACE[63:])
             else:
                 yield np.zeros(0, dtype=np.uint64)
