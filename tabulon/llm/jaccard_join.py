@@ -60,22 +60,53 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def shingle_sets(docs: DataFrame, k: int = 5, whole: bool = False) -> DataFrame:
-    """(doc_id, node, n, toks): set fingerprint, set size, counted shingles (or all if whole)."""
+def shingle_sets(docs: DataFrame, k: int = 5, only: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, node, key, n, toks): set fingerprint, its first half, set size, counted shingles.
+
+    With a bitmap (see _bitmap) only documents that it holds have rows, with all their shingles.
+    """
 
     def each(batches):
         salts = mix(np.array([11, 12], dtype=np.uint64))
         for batch in batches:
-            nodes, sizes, toks = [], [], []
+            if only is not None:
+                at = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((only[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            nodes, keys, sizes, toks, first = [], [], [], [], 0
             for s in _shingles(batch.column(1), k):
                 both = [int(mix(s ^ salt).sum(dtype=np.uint64)) for salt in salts]
                 nodes.append(both[0].to_bytes(8, "big") + both[1].to_bytes(8, "big") if len(s) else None)
+                keys.append(both[0])
                 sizes.append(len(s))
-                toks.append(s if whole else s[(s & np.uint64(15)) < COUNTED])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), _lists(toks)], ["doc_id", "node", "n", "toks"])
+                toks.append(s if only is not None else s[(s & np.uint64(15)) < COUNTED])
+                if len(sizes) == 500:
+                    yield made(batch, first, nodes, keys, sizes, toks)
+                    nodes, keys, sizes, toks, first = [], [], [], [], first + 500
+            yield made(batch, first, nodes, keys, sizes, toks)
+
+    def made(batch, first, nodes, keys, sizes, toks):
+        keys = np.array(keys, dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), pa.array(nodes, pa.binary()), pa.array(keys), pa.array(sizes, pa.int32()), _lists(toks)], ["doc_id", "node", "key", "n", "toks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(each, f"doc_id {kind}, node binary, n int, toks array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("string"), _place()).mapInArrow(each, f"doc_id {kind}, node binary, key bigint, n int, toks array<bigint>")
+
+
+#: Bits of the map of open documents: its size is fixed, whatever the corpus; it only saves work.
+BITS = 1 << 23
+
+
+def _place() -> F.Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("bigint")
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """BITS bits in which those of the given doc_ids are set: at most BITS / 64 rows come to the driver."""
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    rows = ids.select(_place().alias("place")).groupBy((F.col("place") / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, dtype=np.int64)
+    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
 
 
 def missing(n, threshold: Fraction):
@@ -120,6 +151,8 @@ def index_entries(nodes: DataFrame, threshold: Fraction) -> DataFrame:
                 shared = cols[3][i].as_py() or []
                 h = np.sort(np.asarray(cols[4][i].values, dtype=np.int64).view(np.uint64))
                 known = {x["h"]: x["c"] for x in shared}
+                own = h[(h & np.uint64(15)) < COUNTED].view(np.int64)
+                known = {x: known[x] for x in own.tolist() if x in known}
                 unique -= len(known)
                 least = -(-threshold.numerator * n // threshold.denominator)
                 found = set()
@@ -163,16 +196,17 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float | str = "0.8") -
     rows = stored(shingle_sets(docs, k), "sets")
     # A set of m shingles links with another one only if m/(m+1) >= t.
     linkable = rows.where((F.col("n") > 0) & (den * F.col("n") >= num * (F.col("n") + 1)))
-    counted = linkable.select("node", F.explode("toks").alias("h"))
-    shared = counted.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", "c")
-    hits = counted.join(shared, "h").groupBy("node").agg(F.collect_set(F.struct("c", "h")).alias("shared"))
-    sizes = linkable.groupBy("node").agg(F.first("n").alias("n"), F.first(F.size("toks")).alias("counted"), F.min("doc_id").alias("doc_id"))
+    counted = linkable.select("key", F.explode("toks").alias("h"))
+    often = counted.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    hits = counted.join(often, "h").groupBy("key").agg(F.collect_set(F.struct("c", "h")).alias("hits"))
+    sizes = linkable.groupBy("node").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first(F.size("toks")).alias("counted"), F.min("doc_id").alias("doc_id"), F.count("*").alias("m"))
     lacking = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den))
-    left = sizes.join(hits, "node", "left").where(F.col("counted") - F.coalesce(F.size("shared"), F.lit(0)) <= lacking + 1)
+    # The m documents of a node count each of its shingles m times; one that counts more is shared with another node.
+    left = sizes.join(hits, "key", "left").withColumn("shared", F.filter("hits", lambda x: x["c"] > F.col("m")))
+    left = left.where(F.col("counted") - F.coalesce(F.size("shared"), F.lit(0)) <= lacking + 1).select("node", "n", "counted", "shared", "doc_id")
     left = stored(left, "open")
     # Whole sets of the open nodes, from one document of each.
-    again = docs.join(left.select(F.col("doc_id").alias("_open")).distinct(), F.col("doc_id").eqNullSafe(F.col("_open")), "left_semi")
-    sets = shingle_sets(again, k, whole=True).select("node", "n", "toks").join(left.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = shingle_sets(docs, k, _bitmap(left)).select("node", "n", "toks").join(left.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = stored(sets, "whole")
     entries = stored(index_entries(left.join(sets.select("node", "toks"), "node"), t), "entries")
 
