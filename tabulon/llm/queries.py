@@ -5,26 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, jaccard_join
+from . import common, jaccard_join, mixing, pii, secrets, substring_dedup
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(common.documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(common.documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _joined(spans: str, kinds: tuple[str, ...]) -> F.Column:
+    names = F.array(*[F.lit(k) for k in kinds])
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
+
+
+def _count(spans: str, field: str, kind: int) -> F.Column:
+    return F.size(F.filter(spans, lambda x: x[field] == kind)).cast("bigint")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(common.documents(spark, sf_dir))
+    counts = [_count("base", "no", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.sha2("base_digest", 256).alias("base_sha256"), F.col("spans_digest").alias("spans"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(common.documents(spark, sf_dir))
+    counts = [_count("base", "kind", i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(_joined("base", secrets.KINDS), 256).alias("base_sha256"), _joined("spans", secrets.KINDS).alias("spans"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(common.documents(spark, sf_dir))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 #: Words of a text as a list, in DuckDB.
-_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
     "op2_ngram_jaccard": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
-        s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')))
+        s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
                                   WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS grams FROM w),
         flat AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
         pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
@@ -33,4 +65,15 @@ SQL = {
         reach AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.other = links.x)
         SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, c.component_id
         FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = s.doc_id""",
+    "op3_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+        win AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+        keyed AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS k FROM win),
+        twice AS (SELECT k FROM keyed GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM keyed SEMI JOIN twice USING (k)),
+        word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x FROM w),
+        marked AS (SELECT word.doc_id, word.i, x, gone.doc_id IS NOT NULL AS g FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i),
+        done AS (SELECT doc_id, count(*) AS n, count_if(g) AS r, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT g), '') AS kept FROM marked GROUP BY doc_id)
+        SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN done ON done.doc_id = w.doc_id""",
 }
