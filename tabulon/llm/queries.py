@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard_join, mixing, pii, secrets, substring_dedup
+from . import common, jaccard_join, mixing, pii, quality, secrets, substring_dedup, winnowing
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +34,24 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2("base_digest", 256).alias("base_sha256"), F.col("spans_digest").alias("spans"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(common.documents(spark, sf_dir))
     counts = [_count("base", "kind", i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)]
     return out.select("doc_id", *counts, F.sha2(_joined("base", secrets.KINDS), 256).alias("base_sha256"), _joined("spans", secrets.KINDS).alias("spans"))
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.fingerprints(common.documents(spark, sf_dir))
+    return out.select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), winnowing.printed(F.col("selected")).alias("fingerprint"),
+        winnowing.printed(F.col("edited_selected")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(common.documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
