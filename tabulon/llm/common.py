@@ -38,11 +38,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: the lineage ends there."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared scratch folder and read it back: the lineage ends there, and its shuffle files go."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +69,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some documents: bytes data[start:end] each, hashes, and of[i]:of[i+1] for document i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, space: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
-        solid = ~SPACE[data]
+        solid = ~space[data]
         if lower:
             data = LOWER[data]
         n = len(data)
@@ -98,7 +106,7 @@ class Words:
         return mix(total)
 
 
-def slices(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES):
+def slices(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES, space: np.ndarray = SPACE):
     """(first row, row after the last, Words) for slices of a string column; null counts as empty."""
     column = column.cast(pa.large_string())
     if column.null_count:
@@ -110,7 +118,7 @@ def slices(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES):
     while a < rows:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
         b = min(b, rows)
-        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower, space)
         a = b
 
 
