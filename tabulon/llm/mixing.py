@@ -8,8 +8,10 @@ sources not yet clamped can hold what is left.
 
 A target of q times a source's size takes every document floor(q) times, and a seeded
 draw of documents once more until the fraction is met.  The draw orders documents by a
-hash; sums over 4096 hash bins of each source tell which bins are taken whole, and only
-the one bin at the edge is ordered by document.
+hash.  Documents with over 1/200 of their source's words are drawn first, to the fraction
+of their own sum; small ones then meet what is left of the target.  Sums over 4096 hash
+bins of each source tell which bins are taken whole, and only the one bin at the edge is
+ordered by document.
 
 Defined results: a null or blank text has size 0 and is never taken more than 0 words;
 an empty table gives an empty result; equal rows are drawn as separate documents with
@@ -21,8 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash bins of each source.
-BINS = 4096
+from .common import stored
+
+#: A document with more than 1/LARGE of its source's words is large.
+LARGE = 200
 
 
 def words(text: str | Column) -> Column:
@@ -38,13 +42,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     s = sizes.withColumn("weight", kinds[F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))])
     s = s.withColumn("cap", F.col("source_size") * F.lit(float(epochs))).withColumn("at", F.col("cap") / F.col("weight"))
     every = Window.partitionBy()
-    before = Window.orderBy("at", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    by_cap = Window.orderBy("at", F.col("source").isNull(), "source")
+    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     budget = F.sum("source_size").over(every) * F.lit(float(share))
     left = budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    s = s.withColumn("level", left / weight)
+    s = s.withColumn("level", left / weight).withColumn("pos", F.row_number().over(by_cap))
     # Sources clamp in order of cap / weight; the first that need not clamp fixes the level for all after it.
-    s = s.withColumn("final", F.min(F.when(F.col("level") <= F.col("at"), F.col("level"))).over(every))
+    s = s.withColumn("final", F.min(F.when(F.col("level") <= F.col("at"), F.struct("pos", "level"))).over(every).getField("level"))
     target = F.least("cap", F.coalesce(F.col("final") * F.col("weight"), F.col("cap")))
     return s.select("source", "source_size", target.alias("target"))
 
@@ -55,23 +60,47 @@ def planned(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: f
         F.struct(*keep).alias("row"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"),
         words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
     ).withColumn("bin", F.shiftrightunsigned("draw", 52))
-    bins = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    t = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, epochs)
-    b = bins.join(t, bins["source"].eqNullSafe(t["source"])).drop(t["source"])
+    if keep == ["doc_id"]:
+        d = slim = stored(d, "sizes")
+    else:
+        slim = stored(d.drop("row"), "sizes")
+    t = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    b = b.withColumn("whole", F.least(F.floor(ratio + F.lit(1e-12)), F.lit(int(epochs)))).withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    b = b.withColumn("before", F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin")) - F.col("bin_size"))
-    b = b.withColumnsRenamed({"source": "bin_source", "bin": "bin_bin"})
-    d = d.join(b, d["source"].eqNullSafe(b["bin_source"]) & (d["bin"] == b["bin_bin"]))
-    inside = F.col("before") + F.col("bin_size") <= F.col("extra")
-    edge = ~inside & (F.col("before") < F.col("extra"))
+    t = t.withColumn("whole", F.least(F.floor(ratio + F.lit(1e-12)), F.lit(int(epochs))))
+    t = stored(t.withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).withColumnRenamed("source", "of"), "targets")
+    of = F.col("source").eqNullSafe(F.col("of"))
+    large = F.col("size") * LARGE > F.col("source_size")
+    taken_if = lambda run, goal: F.sum("size").over(run) - F.col("size") / 2 <= F.col(goal)
+
+    # Large documents come first, so that what they miss or exceed is made up by small ones.  A source has fewer than LARGE of them.
+    big = slim.join(t, of).where(large)
+    by_draw = Window.partitionBy("source").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    big = big.withColumn("goal", F.col("extra") / F.col("source_size") * F.sum("size").over(Window.partitionBy("source")))
+    big = big.withColumn("cut", F.when(taken_if(by_draw, "goal"), F.col("draw")))
+    # Which of them are taken is a prefix in order of (draw, id): its last one is kept for each source.
+    last = big.where("cut is not null").groupBy("source").agg(F.max(F.struct("draw", "id", "size")).alias("last_big"), F.sum("size").alias("big_taken"))
+    t = t.join(last.withColumnRenamed("source", "b_of"), F.col("of").eqNullSafe(F.col("b_of")), "left").drop("b_of")
+    t = stored(t.withColumn("rest", F.greatest(F.lit(0.0), F.col("extra") - F.coalesce("big_taken", F.lit(0)))), "targets")
+
+    small = slim.join(t, of).where(~large)
+    bins = small.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest"))
+    bins = bins.withColumn("before", F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin")) - F.col("bin_size"))
+    inside = F.col("before") + F.col("bin_size") <= F.col("rest")
+    edges = bins.groupBy(F.col("source").alias("e_of")).agg(
+        F.max(F.when(inside, F.col("bin"))).alias("in_bin"), F.min(F.when(~inside & (F.col("before") < F.col("rest")), F.struct("bin", "before"))).alias("edge")
+    )
+    t = stored(t.join(edges, F.col("of").eqNullSafe(F.col("e_of")), "left").drop("e_of"), "targets")
     # Only documents of an edge bin are ordered one by one; one is taken if that brings its source nearer to the target.
-    run = Window.partitionBy("source", "bin").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    near = F.col("before") + F.sum("size").over(run) - F.col("size") / 2 <= F.col("extra")
-    columns = ["row", "source", "size", "source_size", "target"]
-    sure = d.where(~edge).select(*columns, (F.col("whole") + inside.cast("int")).cast("int").alias("copies"))
-    drawn = d.where(edge).withColumn("near", near).select(*columns, (F.col("whole") + F.col("near").cast("int")).cast("int").alias("copies"))
-    return sure.unionByName(drawn)
+    run = Window.partitionBy("source").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    at_edge = slim.join(t, of).where(~large & (F.col("bin") == F.col("edge.bin"))).withColumn("goal", F.col("rest") - F.col("edge.before"))
+    at_edge = at_edge.withColumn("cut", taken_if(run, "goal")).where("cut").groupBy(F.col("source").alias("s_of")).agg(F.max(F.struct("draw", "id", "size")).alias("last_small"))
+    t = stored(t.join(at_edge, F.col("of").eqNullSafe(F.col("s_of")), "left").drop("s_of"), "targets")
+
+    # One row a source now tells every document's copies; the documents are not shuffled.
+    place = F.struct("draw", "id", "size")
+    extra = F.when(large, place <= F.col("last_big")).otherwise((F.col("bin") <= F.col("in_bin")) | ((F.col("bin") == F.col("edge.bin")) & (place <= F.col("last_small"))))
+    copies = (F.col("whole") + F.coalesce(extra, F.lit(False)).cast("int")).cast("int")
+    return d.join(t, of).select("row", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 7) -> DataFrame:
