@@ -1,0 +1,6 @@
+"""Registered queries, one module a family; importing the package registers them all."""
+
+from . import analytics, retrieval
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "analytics", "retrieval"]
