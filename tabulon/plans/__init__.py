@@ -1,6 +1,6 @@
 """Registered queries, one module a family; importing the package registers them all."""
 
-from . import analytics, matching, retrieval
+from . import analytics, graphs, matching, retrieval
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics", "matching", "retrieval"]
+__all__ = ["QUERIES", "SQL", "analytics", "graphs", "matching", "retrieval"]
