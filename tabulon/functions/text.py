@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Full-width forms stand 0xFEE0 above their ASCII forms; the ideographic space becomes a blank.
 _WIDE = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {"　": " "}
@@ -66,7 +67,7 @@ def _word_similarity(a: str | None, b: str | None) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def word_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_word_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

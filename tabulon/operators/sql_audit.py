@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from concurrent.futures import ThreadPoolExecutor
 
@@ -116,11 +117,13 @@ def table_columns(spark: SparkSession, name: str) -> DataFrame:
 def explain_error(spark: SparkSession, sql: str) -> str | None:
     """What the analyser says against a statement, without running it."""
     try:
-        spark.sql("EXPLAIN " + sql).first()
+        text = spark.sql("EXPLAIN " + sql).first()[0]
     except PySparkException as e:
         return str(e).splitlines()[0]
-    text = spark.sql("EXPLAIN " + sql).first()[0]
-    return text.splitlines()[1] if "AnalysisException" in text and len(text.splitlines()) > 1 else None
+    # EXPLAIN prints an analysis error in place of a plan.
+    lines = [line for line in text.splitlines() if line.strip() and not line.startswith("==")]
+    failed = text.startswith("Error occurred") or (lines and re.match(r"[\w.]*Exception|\[[A-Z_]+", lines[0]))
+    return " ".join(lines)[:500] if failed else None
 
 
 def execute(spark: SparkSession, sql: str, timeout: float = 30.0) -> dict:
