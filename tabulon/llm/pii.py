@@ -95,16 +95,20 @@ def _context(text: Column, span: Column) -> tuple[Column, Column]:
     return F.regexp_replace(left, r"\s+", " "), F.regexp_replace(right, r"\s+", " ")
 
 
+def _numbered(spans: str | Column, no: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(F.lit(no).alias("no"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """(row, doc_id, base, seen): base spans (no, start, end) in order; seen: (no, start, end, value, left, right), no = -1 for candidates."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select("doc_id", text.alias("text"))
     d = d.select("doc_id", "text", *[_spans(F.col("text"), k).alias(k) for k in KINDS])
-    d = d.withColumn("all", F.concat(*[F.transform(k, lambda x, i=i: F.struct(F.lit(i).alias("no"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))) for i, k in enumerate(KINDS)]))
+    d = d.withColumn("all", F.concat(*[_numbered(k, i) for i, k in enumerate(KINDS)]))
     may = F.col("text").rlike(r"[0-9]{6}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\[at\]|\(at\)")
     d = d.withColumn("more", F.when(may, matches(F.col("text"), CANDIDATE)).otherwise(F.expr(f"cast(array() as {_SPAN})")))
     free = F.filter("more", lambda m: ~F.exists("all", lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
-    d = d.withColumn("more", F.transform(free, lambda x: F.struct(F.lit(-1).alias("no"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))))
+    d = d.withColumn("more", _numbered(free, -1))
 
     def seen(x: Column) -> Column:
         left, right = _context(F.col("text"), x)
