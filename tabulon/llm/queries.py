@@ -52,7 +52,7 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnowing.fingerprints(common.documents(spark, sf_dir))
     return out.select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), winnowing.printed(F.col("selected")).alias("fingerprint"),
-        winnowing.printed(F.col("edited_selected")).alias("edited_fingerprint"), "near_edited", "near_next",
+        winnowing.printed(F.col("edited_selected")).alias("edited_fingerprint"), "near_edited", "near_next", "next_id",
     )
 
 

@@ -90,7 +90,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """doc_id, text, edited, selected and edited_selected (packed longs), near_edited, near_next of every document.
+    """doc_id, next_id, text, edited, selected and edited_selected (packed longs), near_edited, near_next of every document.
 
     edited: the last third (rounded down) of the text gives way to the first as many
     code points of the next document.
@@ -98,15 +98,16 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text"))))
     ring = neighbours(docs)
+    # Both sides of the last join read docs with the same columns, so that Spark shuffles the texts once for both.
     heads = docs.join(ring, "key").select(
-        F.col("before").alias("key"), F.expr("left(text, cast(before_n div 3 as int))").alias("head"), hashes(fingerprint(F.col("text"), k, w)).alias("next")
+        F.col("before").alias("key"), F.col("doc_id").alias("next_id"), F.expr("left(text, cast(before_n div 3 as int))").alias("head"), hashes(fingerprint(F.col("text"), k, w)).alias("next")
     )
     if not ring.where("copies > 1").isEmpty():
         heads = heads.dropDuplicates(["key"])  # repeated rows have equal heads
     out = docs.join(heads, "key")
     third = "cast(length(text) div 3 as int)"
     edited = F.concat(F.expr(f"left(text, length(text) - {third})"), F.expr(f"left(head, {third})"))
-    out = out.select("doc_id", "text", "next", edited.alias("edited"))
+    out = out.select("doc_id", "next_id", "text", "next", edited.alias("edited"))
     out = out.withColumn("selected", fingerprint(F.col("text"), k, w)).withColumn("edited_selected", fingerprint(F.col("edited"), k, w))
     own = hashes(F.col("selected"))
     return out.withColumn("near_edited", likeness(own, hashes(F.col("edited_selected")))).withColumn("near_next", likeness(own, F.col("next"))).drop("next")
