@@ -130,7 +130,7 @@ def _paths(node, path: Rule = ()) -> set[Rule]:
     return out
 
 
-def fit(statistics: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 8, depth: int = 3, lasso: float = 0.002, seed: int = 7) -> RuleModel:
+def fit(statistics: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 16, depth: int = 3, lasso: float = 0.001, seed: int = 7) -> RuleModel:
     """A rule ensemble for labels.quality; at most `sample` labelled rows, drawn by a seeded hash, are used."""
     y = labels.where("quality in (0, 1)").select(F.col("doc_id"), F.col("quality").cast("double").alias("label"))
     rows = statistics.where(~held_out()).join(y, "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(sample)
@@ -139,7 +139,7 @@ def fit(statistics: DataFrame, labels: DataFrame, sample: int = 20_000, trees: i
     if not n or ones in (0, n):
         share = float(ones or 0) / n if n else 0.5
         return RuleModel(float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))), ())
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=256, seed=seed, featureSubsetStrategy="onethird").fit(rows)
     rules = sorted(set().union(*[_paths(t._call_java("rootNode")) for t in forest.trees]))
     if not rules:
         return RuleModel(float(np.log(ones / (n - ones))), ())
