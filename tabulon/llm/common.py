@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: scratch tables, hashing of words, components.
+"""Shared pieces of the training-data operators: hashing of words, components of a graph.
 
 Words are maximal runs of bytes other than space and \\x09-\\x0D.  They are hashed
 a slice of a batch at a time with numpy, so no Python loop runs per word.
@@ -6,19 +6,20 @@ a slice of a batch at a time with numpy, so no Python loop runs per word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iteration import scratch, stored
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+__all__ = ["SPACE", "PLACE", "Words", "components", "documents", "mix", "scratch", "slices", "stored"]
+
 #: Bytes of text that are hashed together; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -28,31 +29,6 @@ _rng = np.random.default_rng(20240501)
 PLACE = _rng.integers(1 << 62, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path under spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(scratch, "local", None)
-        if root is None:
-            root = scratch.local = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: the lineage ends there, and its shuffle files go."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
