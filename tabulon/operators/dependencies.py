@@ -22,21 +22,18 @@ def levels(sub: DataFrame) -> DataFrame:
     Every round peels the nodes whose dependencies are all peeled; what is left holds or
     awaits a cycle, or waits for an id that does not exist.
     """
-    nodes = sub.select("query_id", "sub_query_id").distinct()
     edges = stored(graph(sub).distinct(), "edges")
-    done = None
-    rest, n = stored(nodes, "nodes"), 0
-    while True:
-        open_ = edges if done is None else edges.join(done.select("query_id", F.col("sub_query_id").alias("source")), ["query_id", "source"], "left_anti")
-        waiting = open_.select("query_id", F.col("target").alias("sub_query_id")).distinct()
-        free = stored(rest.join(waiting, ["query_id", "sub_query_id"], "left_anti").withColumn("level", F.lit(n)), "free")
-        if free.isEmpty():
+    state = stored(sub.select("query_id", "sub_query_id").distinct().withColumn("level", F.lit(None).cast("int")), "levels")
+    n, left = 0, state.count()
+    while left:
+        done = state.where("level is not null").select("query_id", F.col("sub_query_id").alias("source"))
+        waiting = edges.join(done, ["query_id", "source"], "left_anti").select("query_id", F.col("target").alias("sub_query_id"), F.lit(True).alias("waits")).distinct()
+        level = F.coalesce("level", F.when(F.col("waits").isNull(), F.lit(n)))
+        state = stored(state.join(waiting, ["query_id", "sub_query_id"], "left").select("query_id", "sub_query_id", level.alias("level")), "levels")
+        before, left, n = left, state.where("level is null").count(), n + 1
+        if left == before:
             break
-        done = free if done is None else stored(done.unionByName(free), "done")
-        rest = stored(rest.join(free, ["query_id", "sub_query_id"], "left_anti"), "nodes")
-        n += 1
-    stuck = rest.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+    return state
 
 
 def cyclic(sub: DataFrame) -> DataFrame:

@@ -36,22 +36,20 @@ def paths(edges: DataFrame, pairs: DataFrame, by: str = "cost", max_hops: int |
     steps = steps.groupBy("a", "b").agg(F.min(F.struct(F.col("edge.cost").alias("c"), F.col("edge.on").alias("o"), F.col("edge").alias("edge"))).getField("edge").alias("edge"))
     steps = stored(steps, "steps")
     kind = steps.schema["edge"].dataType.simpleString()
-    start = F.struct(F.lit(0.0).alias("key"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("base").alias("nodes"), F.expr(f"cast(array() as array<{kind}>)").alias("edges"))
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    start = F.struct(F.lit(0.0).alias("key"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("base").alias("nodes"), F.lit(True).alias("fresh"), none.alias("edges"))
     best = stored(pairs.select("base").distinct().select("base", F.col("base").alias("node"), start.alias("p")), "paths")
-    fresh = best
-    while not fresh.isEmpty():
-        walked = fresh.join(steps, fresh["node"] == steps["a"]).where(~F.array_contains("p.nodes", F.col("b")))
+    while not best.where("p.fresh").isEmpty():
+        walked = best.where("p.fresh").join(steps, F.col("node") == F.col("a")).where(~F.array_contains("p.nodes", F.col("b")))
         if max_hops is not None:
             walked = walked.where(F.col("p.hops") < max_hops)
         cost, hops = F.col("p.cost") + F.col("edge.cost"), F.col("p.hops") + 1
         key = cost if by == "cost" else hops.cast("double")
-        more = F.struct(key.alias("key"), cost.alias("cost"), hops.alias("hops"), F.array_append("p.nodes", F.col("b")).alias("nodes"), F.array_append("p.edges", F.col("edge")).alias("edges"))
-        found = walked.select("base", F.col("b").alias("node"), more.alias("p")).groupBy("base", "node").agg(F.min("p").alias("p"))
-        old = best.select("base", "node", F.col("p").alias("old"))
-        # Key, cost, hops, then nodes: the struct's order; edges follow from the nodes.
-        rank = lambda p: F.struct(*[F.col(p)[f] for f in ("key", "cost", "hops", "nodes")])
-        fresh = stored(found.join(old, ["base", "node"], "left").where(F.col("old").isNull() | (rank("p") < rank("old"))).drop("old"), "paths")
-        best = stored(best.join(fresh.select("base", "node"), ["base", "node"], "left_anti").unionByName(fresh), "paths")
+        more = F.struct(key.alias("key"), cost.alias("cost"), hops.alias("hops"), F.array_append("p.nodes", F.col("b")).alias("nodes"), F.lit(True).alias("fresh"), F.array_append("p.edges", F.col("edge")).alias("edges"))
+        found = walked.select("base", F.col("b").alias("node"), more.alias("p"))
+        # Key, cost, hops, then nodes: the struct's order; of the same path the row that is not fresh is the least.
+        old = best.withColumn("p", F.col("p").withField("fresh", F.lit(False)))
+        best = stored(old.unionByName(found).groupBy("base", "node").agg(F.min("p").alias("p")), "paths")
     out = pairs.join(best, (pairs["base"] == best["base"]) & (pairs["target"] == best["node"])).drop(best["base"])
     return out.select("base", "target", F.col("p.cost").alias("cost"), F.col("p.hops").alias("hops"), F.col("p.nodes").alias("nodes"), F.col("p.edges").alias("edges"))
 

@@ -40,17 +40,18 @@ def _pairs(spark, d) -> DataFrame:
     return n.select(F.col("n_name").alias("base")).join(n.select(F.col("n_name").alias("target")), F.col("base") < F.col("target"))
 
 
-_NODES = F.array_join("nodes", ">").alias("nodes")
+def _nodes():
+    return F.array_join("nodes", ">").alias("nodes")
 
 
 @query(f"WITH RECURSIVE {_TRADE}, {_WALK.format(hops=7, order='cost, hops')} SELECT base, target, CAST(cost AS DOUBLE) AS cost, hops, array_to_string(nodes, '>') AS nodes FROM best")
 def j_cheapest(spark, d):
-    return J.paths(_edges(spark, d), _pairs(spark, d)).select("base", "target", "cost", "hops", _NODES)
+    return J.paths(_edges(spark, d), _pairs(spark, d)).select("base", "target", "cost", "hops", _nodes())
 
 
 @query(f"WITH RECURSIVE {_TRADE}, {_WALK.format(hops=3, order='hops, cost')} SELECT base, target, CAST(cost AS DOUBLE) AS cost, hops, array_to_string(nodes, '>') AS nodes FROM best")
 def j_fewest_hops(spark, d):
-    return J.paths(_edges(spark, d), _pairs(spark, d), "hops", 3).select("base", "target", "cost", "hops", _NODES)
+    return J.paths(_edges(spark, d), _pairs(spark, d), "hops", 3).select("base", "target", "cost", "hops", _nodes())
 
 
 _FROM_ZERO = """chosen AS (SELECT base, target, hops, nodes FROM best WHERE base IN ('NATION_0', 'NATION_1', 'NATION_10')),

@@ -1,6 +1,7 @@
 """Every registered query of the library against its SQL, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tabulon.plans import QUERIES, SQL
@@ -19,7 +20,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    text = lambda v: "null" if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(text(v) for v in r) for r in frame.itertuples(index=False))
 
 
