@@ -172,6 +172,6 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, least: float = 0
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
-    """The documents without those that hold a test item."""
+    """The documents without those that hold a test item; rows without a doc_id stay."""
     bad = stored(contaminated(docs, items, **parameters).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
     return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")

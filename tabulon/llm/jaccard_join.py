@@ -247,8 +247,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float | str = "0.
 def keep_one(docs: DataFrame, k: int = 5, threshold: float | str = "0.8") -> DataFrame:
     """The documents, one of each group of near copies: the one with the least doc_id.
 
-    Repeated rows of that one count as one more copy and go too; texts without words stay.
+    Rows that repeat the kept one, doc_id and all, are the same document and stay with it;
+    so do texts without words and rows without a doc_id.
     """
     comps = jaccard_components(docs, k, threshold).where("component_id <> doc_id and n_shingles > 0").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(comps, docs["doc_id"] == comps["_gone"], "left_anti")
-    return kept
+    return docs.join(comps, docs["doc_id"] == comps["_gone"], "left_anti")

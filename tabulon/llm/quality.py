@@ -158,6 +158,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents that the classifier does not reject; their score follows from the text, so copies share a fate."""
+    """The documents that the classifier does not reject; rows without a doc_id stay."""
     bad = score_quality(docs, labels, **parameters).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import slices, stored
 
 #: Super-k-mers that one bucket should hold.
-BUCKET = 20_000
+BUCKET = 6_000
 #: Super-k-mers of one minimiser over which it is dealt to several buckets.
 HOT = 2_000
 
