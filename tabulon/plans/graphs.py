@@ -71,6 +71,12 @@ def j_plans(spark, d):
     return _plans(spark, d).select("base", F.size("edges").alias("edges"), "total_cost", "max_hops", F.size("targets").alias("targets"))
 
 
+@query(f"""WITH RECURSIVE {_TRADE}, {_WALK.format(hops=7, order='cost, hops')}, {_FROM_ZERO} SELECT base, target, CAST(pos AS INT) AS pos, src_table, dst_table, cost FROM directed""")
+def j_path_steps(spark, d):
+    found = J.find_paths(_edges(spark, d), _pairs(spark, d).where("base in ('NATION_0', 'NATION_1', 'NATION_10')"))
+    return J.path_steps(found).select("base", "target", "pos", "src_table", "dst_table", "cost")
+
+
 @query(f"""WITH RECURSIVE {_TRADE}, {_WALK.format(hops=7, order='cost, hops')}, {_FROM_ZERO} SELECT DISTINCT src_table, dst_table FROM once""")
 def j_merged_edges(spark, d):
     return J.merged_edges(_plans(spark, d)).select("src_table", "dst_table")
@@ -223,3 +229,12 @@ def d_combined(spark, d):
     final = (F.col("turn") == F.col("last")) & (F.col("conv_id") % 2 == 0)
     sub = t.select(F.col("conv_id").alias("query_id"), F.col("turn").cast("string").alias("sub_query_id"), F.length("text").alias("result"), F.when(final, others).otherwise(F.array().cast("array<string>")).alias("dependencies"))
     return D.combined(sub).select("query_id", "kind", F.col("n").cast("bigint").alias("n"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n, max(turn) AS last FROM conversations GROUP BY 1) SELECT conv_id AS query_id, CAST(last AS VARCHAR) AS sub_query_id FROM c WHERE n > 1""")
+def d_final(spark, d):
+    t = table(spark, d, "conversations").withColumn("every", F.collect_list(F.col("turn").cast("string")).over(Window.partitionBy("conv_id"))).withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
+    others = F.array_except("every", F.array(F.col("turn").cast("string")))
+    deps = F.when(F.col("turn") == F.col("last"), others).otherwise(F.slice(others, 1, F.size(others) - 1))
+    sub = t.select(F.col("conv_id").alias("query_id"), F.col("turn").cast("string").alias("sub_query_id"), deps.alias("dependencies"))
+    return D.final_queries(sub)

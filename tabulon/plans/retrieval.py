@@ -120,3 +120,8 @@ def _letters(texts):
 def v_encode(spark, d):
     out = R.encode_texts(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), _letters)
     return out.select("id", F.array_join(F.col("embedding").cast("array<int>"), ",").alias("vowels"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+def v_tenant(spark, d):
+    return R.tenant(table(spark, d, "events").withColumn("db_name", F.col("event_type")), "click").groupBy("user_id").agg(F.count("*").alias("n"))
