@@ -239,7 +239,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float | str = "0.
     rows, links = jaccard_links(docs, k, threshold)
     comps = components(links)
     labelled = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below has a shuffle on either side and a hot component's partition can be split.
+    least = stored(labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     out = labelled.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
