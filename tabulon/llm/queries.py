@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, jaccard_join, mixing, pii, quality, secrets, substring_dedup, token_shards, winnowing
+from . import common, decontamination, jaccard_join, line_dedup, mixing, pii, quality, secrets, substring_dedup, token_shards, winnowing
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_later(common.documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _joined(spans: str, kinds: tuple[str, ...]) -> F.Column:
     names = F.array(*[F.lit(k) for k in kinds])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
@@ -96,4 +101,15 @@ SQL = {
         done AS (SELECT doc_id, count(*) AS n, count_if(g) AS r, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT g), '') AS kept FROM marked GROUP BY doc_id)
         SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN done ON done.doc_id = w.doc_id""",
+    "op4_line_dedup": """
+        WITH l AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+        w AS (SELECT doc_id, unnest(range(1, len(ls) - 1)) AS i, ls FROM l WHERE len(ls) >= 3),
+        k AS (SELECT doc_id, i, sha256(array_to_string(ls[i:i + 2], chr(10))) AS h FROM w),
+        later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM k) WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM later),
+        line AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM l),
+        m AS (SELECT line.doc_id, line.i, x, gone.doc_id IS NOT NULL AS g FROM line LEFT JOIN gone ON gone.doc_id = line.doc_id AND gone.i = line.i),
+        done AS (SELECT doc_id, count(*) AS n, count_if(g) AS r, string_agg(x, chr(10) ORDER BY i) FILTER (NOT g) AS kept FROM m GROUP BY doc_id)
+        SELECT l.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM l LEFT JOIN done ON done.doc_id = l.doc_id""",
 }
