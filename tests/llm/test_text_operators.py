@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontamination, jaccard_join, mixing, pii, quality, secrets, substring_dedup, token_shards, winnowing
+from tabulon.llm import decontamination, jaccard_join, line_dedup, mixing, pii, quality, secrets, substring_dedup, token_shards, winnowing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns that operators use inside, under which callers' columns must not suffer.
@@ -122,6 +122,30 @@ def test_substring_dedup_edges(spark):
     assert sorted((str(r.doc_id), r.n_removed, r.kept) for r in got) == [("1", 40, ""), ("1", 40, ""), ("2", 40, "x"), ("None", 0, "")]
 
 
+def brute_lines(rows):
+    lines = {i: t.split("\n") if t else [] for i, t in rows}
+    seen, gone = set(), defaultdict(set)
+    for i in sorted(lines):
+        for j in range(len(lines[i]) - 2):
+            window = tuple(lines[i][j : j + 3])
+            if window in seen:
+                gone[i].update((j, j + 1, j + 2))
+            seen.add(window)
+    return {i: (len(x), len(gone[i]), "\n".join(y for j, y in enumerate(x) if j not in gone[i])) for i, x in lines.items()}
+
+
+def test_line_dedup(spark):
+    rnd = random.Random(2)
+    texts = ["\n".join(rnd.choice("abcdé") for _ in range(rnd.choice([1, 2, 3, 6, 12]))) for _ in range(40)]
+    texts += [None, "", "\n", "\n\n\n\n", "same\n" * 30, "x\ny\nz", "x\ny\nz", "lead\nx\ny\nz\ntail"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.remove_later(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+    assert line_dedup.remove_later(empty(spark)).count() == 0
+    odd = line_dedup.remove_later(frame(spark, [(None, "a\nb\nc"), (2, "a\nb\nc"), (2, "a\nb\nc")])).collect()
+    assert sorted((str(r.doc_id), r.kept) for r in odd) == [("2", "a\nb\nc"), ("2", "a\nb\nc"), ("None", "")]
+
+
 LUHN = "4539578763621486"
 
 
