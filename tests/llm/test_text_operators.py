@@ -289,6 +289,25 @@ def test_decontamination(spark):
     assert decontamination.contaminated(frame(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_passage_that_leaked_often(spark):
+    rnd = random.Random(6)
+    item = [f"i{i}" for i in range(40)]
+    phrase = ["which", "of", "the", "following"]
+    noise = lambda k: [f"n{rnd.randrange(3000)}" for _ in range(k)]
+    rows = [(0, " ".join(item))] + [(1 + i, " ".join(noise(9) + item[:26] + noise(i))) for i in range(120)]
+    rows += [(500 + i, " ".join(noise(5) + phrase + noise(30))) for i in range(80)]
+    # The second item's gaps are as long as a score of 0.5 allows, before and after its only seed.
+    spread = [x for w in item[4:] for x in (w + "x", "gap")]
+    rows.append((900, " ".join(spread[:36] + phrase + spread[36:])))
+    other = [w + "x" for w in item[4:22]] + phrase + [w + "x" for w in item[22:]]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(phrase + [f"q{i}" for i in range(20)])), (3, " ".join(other))], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(frame(spark, rows), items).collect()}
+    assert set(found) == {(i, 1) for i in range(121)} | {(900, 3)}
+    assert found[0, 1] == 1.0 and all(found[i, 1] >= 0.65 for i in range(1, 121))
+    kept = {r.doc_id for r in decontamination.drop_contaminated(frame(spark, rows), items).collect()}
+    assert kept == {500 + i for i in range(80)}
+
+
 def water_fill(sizes, weights, total, epochs):
     target, left = {}, dict(sizes)
     while left:
