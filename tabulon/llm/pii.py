@@ -1,8 +1,9 @@
 """Personal data: base patterns, and contextual patterns bootstrapped from what they find.
 
 Base spans (e-mail, IP, card, phone) are the seeds.  The words around a seed are lexical
-patterns: (side, up to two neighbouring words).  Identifier-shaped runs that no base
-pattern covers are candidates.  Patterns and instances form a graph that is scored for a
+patterns: (side, the next word or the next two; one at the text's edge).  Identifier-shaped
+runs that no base pattern covers are candidates: digit groups, anything with a digit, mails
+with at and dot spelt out.  Patterns and instances form a graph that is scored for a
 few rounds: a pattern's confidence is the mean score of its instances and needs several
 distinct seeds; an unseen instance's score is the best of its patterns.  Candidates at or
 over the threshold become spans of the pattern's kind.
@@ -32,9 +33,27 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Runs with six digits or more, or with an at sign spelt out.
-CANDIDATE = r"(?<![A-Za-z0-9_@.+-])[A-Za-z0-9_@.+-]*+(?:(?:\[at\]|\(at\))[A-Za-z0-9_.-]++|(?<=[0-9]{6}\.?|[0-9]{3}-[0-9]{2}-[0-9]{4}))"
-CONTEXT = 60
+_TOKEN = "[A-Za-z0-9_]"
+_DOT = r"(?:\s*+[\[(]\s*+(?i:dot)\s*+[\])]\s*+|\s++(?i:dot)\s++|\.)"
+_LABEL = "[A-Za-z0-9_-]++"
+#: Mails with the at sign spelt out; a bare "at" needs a dot in what follows.
+_SPELT = rf"(?<!{_LOCAL}){_LOCAL}++(?:\s*+[\[(]\s*+(?i:at)\s*+[\])]\s*+{_LABEL}(?:{_DOT}{_LABEL})*+|\s++(?i:at)\s++{_LABEL}(?:{_DOT}{_LABEL})++)"
+#: Groups of digits with up to three blanks, dots, dashes or parentheses between them.
+_GROUP = r"[0-9]++(?![A-Za-z_@+]|[.-]{1,3}+[A-Za-z_])"
+_GROUPS = rf"\+?+(?:\((?=[0-9]++\)[\x20.-]?+[0-9]))?+{_GROUP}(?:[\x20().-]{{1,3}}+{_GROUP})*+(?![@.+-]{{1,3}}+{_TOKEN}|{_TOKEN})"
+#: Letters and digits with a digit anywhere, parts joined by up to three signs.
+_JOIN = rf"[@.+-]{{1,3}}+(?={_TOKEN})"
+_MIXED = rf"(?:[A-Za-z_]++(?:{_JOIN})?+)*+[0-9](?:{_TOKEN}++|{_JOIN})*+"
+#: All identifier-shaped runs; the pattern graph alone decides which are personal data.
+CANDIDATE = rf"{_SPELT}|(?<!{_TOKEN}[@.+-]{{0,3}})(?:{_GROUPS}|{_MIXED})"
+#: A longer word is known by the characters of this number that are nearest to the span.
+WORD = 64
+#: Two nearest words, from the span outwards.
+_NEAREST = rf"^\s*+(\S{{1,{WORD}}}+(?:\s++\S{{1,{WORD}}}+)?+)"
+#: A piece of text that is sure to hold the two nearest words in full.
+_ENOUGH = rf"^\s*+(?:\S{{{WORD + 1}}}|\S{{1,{WORD}}}+\s++(?:\S{{{WORD}}}|\S++\s))"
+#: Characters looked at first; where they are not enough, the whole side is.
+CONTEXT = 256
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -88,11 +107,13 @@ def _spans(text: Column, kind: str) -> Column:
 
 
 def _context(text: Column, span: Column) -> tuple[Column, Column]:
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
+    """Up to two words on either side, fewer at the text's edges."""
+    before = F.reverse(F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT))))
+    before = F.when(before.rlike(_ENOUGH) | (span["start"] <= CONTEXT), before).otherwise(F.reverse(F.substring(text, F.lit(1), span["start"])))
     after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    left = F.lower(F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1))
-    right = F.lower(F.regexp_extract(after, r"^\s*(\S+\s+\S+)\s", 1))
-    return F.regexp_replace(left, r"\s+", " "), F.regexp_replace(right, r"\s+", " ")
+    after = F.when(after.rlike(_ENOUGH), after).otherwise(F.substring(text, span["end"] + 1, F.length(text)))
+    left, right = (F.regexp_replace(F.lower(F.regexp_extract(x, _NEAREST, 1)), r"\s+", " ") for x in (before, after))
+    return F.reverse(left), right
 
 
 def _numbered(spans: str | Column, no: int) -> Column:
@@ -105,7 +126,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", text.alias("text"))
     d = d.select("doc_id", "text", *[_spans(F.col("text"), k).alias(k) for k in KINDS])
     d = d.withColumn("all", F.concat(*[_numbered(k, i) for i, k in enumerate(KINDS)]))
-    may = F.col("text").rlike(r"[0-9]{6}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\[at\]|\(at\)")
+    may = F.col("text").rlike(r"[0-9]|(?i:[\[(\s]at[\])\s])")
     d = d.withColumn("more", F.when(may, matches(F.col("text"), CANDIDATE)).otherwise(F.expr(f"cast(array() as {_SPAN})")))
     free = F.filter("more", lambda m: ~F.exists("all", lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
     d = d.withColumn("more", _numbered(free, -1))
@@ -121,7 +142,8 @@ def scanned(docs: DataFrame) -> DataFrame:
 def discovered(rows: DataFrame, rounds: int = 3, seeds: int = 3, confidence: float = 0.75) -> DataFrame:
     """(row, more): spans (no, start, end) of the candidates that confident patterns reach, from scanned rows."""
     seen = rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    sides = F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("words")), F.struct(F.lit("r").alias("side"), F.col("right").alias("words")))
+    words = {"l": (F.col("left"), r"(\S+)$"), "r": (F.col("right"), r"^(\S+)")}
+    sides = F.array_distinct(F.array(*[F.struct(F.lit(k).alias("side"), x.alias("words")) for k, (both, one) in words.items() for x in (both, F.regexp_extract(both, one, 1))]))
     edges = seen.select("no", "value", F.explode(sides).alias("p")).where("p.words <> ''").groupBy("p", "value").agg(F.max("no").alias("no"))
     # Only patterns with enough distinct seeds can ever be confident; the others leave the graph here.
     kinds = edges.where("no >= 0").groupBy("p", "no").agg(F.count("*").alias("n"))

@@ -190,6 +190,22 @@ def test_pii_discovers_by_context(spark):
     assert got[50].count("email:") == 1 and got[50].count("phone:") == 1 and got[51] == ""
 
 
+def test_pii_discovers_every_form(spark):
+    seeds = [(i, f"please write to person{i}@mail.example.com and call desk number +1 555 000 10{i}2 at noon today") for i in range(8)]
+    phones = ["555-123-4567", "(555) 123-4567", "555 123 4567", "4111 1111 1111 1112", "AB123456C", "555.123.4567"]
+    mails = ["john [at] example.com", "john(at)example.com", "john at example dot com", "john [at] example [dot] com"]
+    long = "x" * 90
+    texts = [(f"call desk number {x} at noon today", x, "phone") for x in phones[:3]]
+    texts += [(f"{long} desk number {x} at noon", x, "phone") for x in phones[3:4]] + [(f"desk number {x}", x, "phone") for x in phones[4:5]] + [(f"number  \n{' ' * 300}{x}", x, "phone") for x in phones[5:]]
+    texts += [(f"please write to {x}", x, "email") for x in mails]
+    rows = seeds + [(100 + i, t) for i, (t, _, _) in enumerate(texts)] + [(200, "1,2;3|" * 2000), (201, "a." * 5000), (202, "1 " * 3000), (203, "a-" * 3000 + "---1")]
+    got = {r.doc_id: r.spans_digest for r in pii.find_pii(frame(spark, rows), confidence=0.5).collect()}
+    for i, (text, value, kind) in enumerate(texts):
+        at = text.index(value)
+        assert got[100 + i] == f"{kind}:{at}:{at + len(value)}", text
+    assert not any(got[i] for i in (200, 201, 202, 203))
+
+
 def brute_secrets(text):
     text = text or ""
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
