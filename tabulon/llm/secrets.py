@@ -1,8 +1,9 @@
 """Secret scans: base patterns, and assignment-aware lexing of source and configuration text.
 
 The lexer looks at each assignment sign (=, :, :=, =>), reads the name before it and the
-literal or name after it, and keeps a table of constants, so that `a = "..."` followed by
-`password = a` leads to the literal of a.  A literal's score is the sensitivity of the
+literal or name after it, past a type between the two, and resolves constants over all of
+a document's assignments, so that `password = a` leads to the literal of a, wherever
+`a = "..."` stands.  A literal's score is the sensitivity of the
 target's name times the quality of the literal (length, entropy, no placeholder).
 Literals scored 0.5 or more that no base span overlaps become spans of kind assign.
 
@@ -28,16 +29,18 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _SIGN = re.compile(r"[ \t]*(?::=|=>|[=:])[ \t]*")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)["'`]?\]?$""")
-_VALUE = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s,;"'`()\[\]{}<>]+)""")
-#: Longest name that is read before a sign.
+_NAME = re.compile(r"(?<![A-Za-z0-9_.-])[0-9.-]*+([A-Za-z_][A-Za-z0-9_.-]*+)[\"'`]?\]?$")
+#: A type between a name's colon and its equals sign, as in `name: Optional[str] = "..."`.
+_TYPE = re.compile(r"(?:&[ \t]*+)?(?:'[a-z_]++[ \t]++)?(?:mut[ \t]++|const[ \t]++)?[A-Za-z_]\w*+(?:(?:\.|::)\w++)*+(?:[ \t]*+[\[<](?:[\w.,|&?'\[\]<> \t]|::)*[\]>])?(?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.]*+)*+\??[ \t]*+=(?![=>])[ \t]*+")
+_VALUE = re.compile(r"""\"{3}((?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s,;"'`()\[\]{}<>]+)""", re.S)
+#: Characters before a sign that are looked at first; a name that may be longer is read whole.
 NAME_CHARS = 80
 
 #: Parts of names and how sensitive a target of that name is.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "signingkey": 1.0,
-    "encryptionkey": 1.0, "sessionkey": 0.9, "authkey": 1.0, "auth": 0.7, "bearer": 0.8, "pin": 0.4, "key": 0.4,
+    "encryptionkey": 1.0, "sessionkey": 0.9, "authkey": 1.0, "auth": 0.7, "bearer": 0.8, "pin": 0.4, "key": 0.4, "pass": 1.0,
 }
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|placeholder|none|null|true|false|undefined|todo|your[_-].*|\$\{.*|\{\{.*|<.*|%.*%)$")
 
@@ -76,28 +79,66 @@ def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
     if "=" not in text and ":" not in text:
         return []
     out = []
+    typed = before = 0  # where the sign after a type ends, which has no name of its own; where the last sign ends
     for sign in _SIGN.finditer(text):
-        name = _NAME.search(text[max(0, sign.start() - NAME_CHARS) : sign.start()])
-        value = name and _VALUE.match(text, sign.end())
+        if sign.end() <= typed:
+            continue
+        first, before = before, sign.end()
+        near = max(first, sign.start() - NAME_CHARS)
+        name = _NAME.search(text[near : sign.start()])
+        if near > first and not (name and name.start()):
+            name = _NAME.search(text[first : sign.start()])
+        if not name:
+            continue
+        at = sign.end()
+        kind = sign[0].strip() == ":" and _TYPE.match(text, at)
+        if kind:
+            at = typed = before = kind.end()
+        value = _VALUE.match(text, at)
         if value:
             g = value.lastindex
-            out.append((name[1], value[g], value.start(g), value.end(g), g == 3))
+            out.append((name[1], value[g], value.start(g), value.end(g), g == 5))
     return out
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, 0) of the literals whose targets are sensitive, after constants are propagated."""
+    """(start, end, 0) of the literals whose targets are sensitive, after constants are propagated.
+
+    A bare value stands for all literals that any assignment of the document gives to that
+    name, directly or over other names; one without a literal is judged itself.
+    """
     found = assignments(text)
     if not found:
         return []
-    literal = {}  # name -> value, start, end of what it holds
-    out = set()
+    named = {name for name, *_ in found}
+    users = {}  # name -> names that take their values from it
+    for name, value, _, _, bare in found:
+        if bare and value in named:
+            users.setdefault(value, []).append(name)
+    held = set()  # names that a literal reaches
+    todo = [name for name, value, _, _, bare in found if not (bare and value in named)]
+    while todo:
+        n = todo.pop()
+        if n not in held:
+            held.add(n)
+            todo += users.get(n, ())
+    linked = {}  # name -> names it takes its values from
+    literal = {}  # name -> (value, start, end) of its own literals
     for name, value, start, end, bare in found:
-        held = literal.get(value) if bare else None
-        value, start, end = held or (value, start, end)
-        literal[name] = (value, start, end)
-        if sensitivity(name) * quality(value) >= 0.5:
-            out.add((start, end, 0))
+        if bare and value in held:
+            linked.setdefault(name, set()).add(value)
+        else:
+            literal.setdefault(name, set()).add((value, start, end))
+    # The best weight of a name reaches the names that it takes its values from, highest first.
+    best = {}
+    for weight, name in sorted(((sensitivity(n), n) for n in named), reverse=True):
+        todo = [name] if weight > 0 else []
+        while todo:
+            n = todo.pop()
+            if n not in best:
+                best[n] = weight
+                todo += linked.get(n, ())
+    out = {(start, end, 0) for n, weight in best.items() for value, start, end in literal.get(n, ()) if weight * quality(value) >= 0.5}
     return sorted(out)
 
 

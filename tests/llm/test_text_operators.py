@@ -230,6 +230,23 @@ def test_secrets(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
 
 
+def test_secrets_of_every_form():
+    literal = "Zq81!kfLm29x"
+    forms = [
+        'password: str = "%s"', 'const dbPassword: string = "%s";', 'let secret: &str = "%s";', 'api_secret: Optional[str] = "%s"', "token: str | None = '%s'", 'password = """%s"""', "password = '''%s'''",
+        "my_password_" + "x" * 100 + ' = "%s"', 'password = DEFAULT\nDEFAULT = "%s"', 'password = A\nB = "%s"\nA = B\nB = A', 'db_pass = "%s"', 'cfg["passphrase"] = "%s"',
+    ]
+    for form in forms:
+        text = form % literal
+        at = text.index(literal)
+        assert secrets.lexed_spans(text) == [(at, at + len(literal), 0)], text
+    assert secrets.lexed_spans('name: str = "%s"\npassword = OTHER\nDEFAULT = "%s"' % (literal, literal)) == []
+    assert secrets.lexed_spans("password = longname-99x") == [(11, 23, 0)] and secrets.lexed_spans("password = bar_9876543") == [(11, 22, 0)]
+    for odd in ("a: " * 20000, "a:b[ " * 20000, "1." * 20000 + "="):
+        assert secrets.lexed_spans(odd) == []
+    assert secrets.lexed_spans("a_" * 20000 + "=" + ": str = " * 20000) == []
+
+
 def brute_winnow(text, k, w):
     words = WORD.findall(text or "")
     grams = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] or ([tuple(words)] if words else [])
