@@ -3,17 +3,23 @@
 Sets of distinct word shingles link when |A & B| / |A | B| >= threshold.  The steps:
 
 1. Every text becomes a 128-bit fingerprint of its shingle set; equal sets are one node.
-2. The shingles whose hash falls in a fixed 5/16 of the hash space ("counted" ones)
-   are counted over all documents.  One that occurs in a single set is never shared.
-3. A node that has more never-shared shingles than a partner could lack is done.
-   For the others a global order (never shared, rare, frequent, uncounted) gives a
-   prefix: rare and uncounted shingles are indexed one by one, frequent ones as pairs
-   within small hashed classes, for which the prefix is extended.  A class with c
-   shingles in the prefix counts as c - 1, so two linked nodes always share an entry.
-4. Each entry's nodes are first held against the one with the fewest private shingles;
-   the entries that still hold several components are joined with themselves under a
-   512-bit sketch whose Hamming distance bounds the symmetric difference from below.
-5. Every pair is verified on whole shingle sets; components follow from the links.
+2. The shingles whose hash falls in a fixed 5/16 of the hash space are counted over all
+   documents.  A node that has more shingles of its own than a partner could lack is done.
+   For the others every shingle is counted, over their whole sets; that closes more.
+3. The open nodes' shingles in order of frequency give a prefix.  Rare shingles are indexed
+   one by one.  A frequent one is of a class whose k grows with the frequency: the
+   k-combinations of the prefix within small hashed parts of a class are the entries, and
+   a part with c shingles counts as c - k + 1, so the prefix is extended accordingly.  Two
+   linked nodes always share an entry; a node whose shingles do not suffice for
+   its k takes part with k - 1 as well.
+4. Entries with the same nodes are one.  An entry's nodes are held against one of them
+   (the one with the fewest private shingles, its hub), once more for the large
+   entries that stay in several components, and the links' components are formed.
+5. Entries of up to FREQUENT nodes that still hold several components are joined with themselves.
+   In larger ones every node is written as its difference from the hub.  Two nodes of
+   which one is not linked with the hub can only link if they share many of their
+   differences: the same index, now of differences, finds those that may.
+6. Every pair is verified on whole shingle sets; components follow from the links.
 
 Defined results: null, empty and blank texts have n_shingles 0 and only themselves as
 component; fewer words than k give one shingle; documents with equal sets link; rows
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -114,67 +121,95 @@ def missing(n, threshold: Fraction):
     return n - -(-threshold.numerator * n // threshold.denominator)
 
 
-def _entries(h: np.ndarray, known: dict[int, int], unique: int, n: int, level: int, most: int) -> list[int]:
-    """Index entries of one node: see step 3 of the module's text."""
-    counted = (h & np.uint64(15)) < COUNTED
-    shared = sorted((c > FREQUENT, c, x) for x, c in known.items())
-    classes = max(1, round(0.2 * 2**level / 3))
-    cover, out, held = unique, [], {}
-    for frequent, _, x in shared:
-        if cover > most:
-            return out
-        if not frequent:
-            out.append(x)
-            cover += 1
-            continue
-        mates = held.setdefault((x >> 8) % classes, [])
-        for y in mates:
-            a, b = min(x, y) & (2**64 - 1), max(x, y) & (2**64 - 1)
-            out.append((a * int(PLACE[1]) + b * int(PLACE[2]) + level) % 2**64)
-        cover += bool(mates)
-        mates.append(x)
-    rest = h[~counted]
-    if cover <= most:
-        out.extend(int(x) for x in rest[: most - cover + 1])
+def _order(count: int) -> int:
+    """k of a frequency class: 1 for rare shingles, and one more for every eightfold count."""
+    k, most = 1, FREQUENT
+    while count > most:
+        k, most = k + 1, 8 * most
+    return k
+
+
+def _combined(h: list[int], c: list[int], need: int, level: int) -> list[int]:
+    """Entries of frequent shingles in order of frequency that count as `need`: see step 3 of the module's text."""
+    out = []
+    orders = [_order(x) for x in c]
+    for less in range(max(orders, default=0)):
+        cover, held = 0, {}
+        for x, order in zip(h, orders, strict=True):
+            k = max(1, order - less)
+            parts = max(1, round(0.75 * 2**level / (k + 2)))
+            mates = held.setdefault((order, (x >> 8) % parts), [])
+            if k == 1:
+                out.append(x)
+            for group in combinations(mates, k - 1) if k > 1 else ():
+                entry = level + 64 * less
+                for y in sorted((*group, x)):
+                    entry = (entry * int(PLACE[1]) + (y & (2**64 - 1))) * int(PLACE[2]) % 2**64
+                    entry ^= entry >> 29
+                out.append(entry)
+            cover += len(mates) >= k - 1
+            mates.append(x)
+            if cover >= need:
+                return out
     return out
 
 
-def index_entries(nodes: DataFrame, threshold: Fraction) -> DataFrame:
-    """(entry, node, n, q) of nodes (node, n, counted, shared: [(c, h)], toks); q: share of private shingles."""
+def _entries(h: np.ndarray, c: np.ndarray, need: int, levels: set[int]) -> np.ndarray:
+    """Distinct index entries of shared shingles h with counts c, of which a linked partner has all but need - 1."""
+    if need <= 0:
+        return np.zeros(0, dtype=np.int64)
+    order = np.lexsort((h, c))
+    h, c = h[order], c[order]
+    rare = int(np.searchsorted(c, FREQUENT, side="right"))
+    if rare >= need:
+        return h[:need]
+    found = {x % 2**64 for level in levels for x in _combined(h[rare:].tolist(), c[rare:].tolist(), need - rare, level)}
+    return np.concatenate((h[:rare], np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64)))
+
+
+def _indexed(batch_of, kind: str):
+    """A mapInArrow function that adds an entry to the columns before `shared`: a row for each entry of a node."""
+    names = [x.split()[0] for x in kind.split(", ")]
 
     def each(batches):
         for batch in batches:
-            entry, at, private = [], [], []
-            cols = [batch.column(i) for i in range(5)]
+            keep = [batch.column(i) for i in range(len(names) - 1)]
+            shared = batch.column(len(names) - 1)
+            rest = [batch.column(i) for i in range(len(names), batch.num_columns)]
+            found = []
             for i in range(batch.num_rows):
-                n, unique = cols[1][i].as_py(), cols[2][i].as_py()
-                shared = cols[3][i].as_py() or []
-                h = np.sort(np.asarray(cols[4][i].values, dtype=np.int64).view(np.uint64))
-                known = {x["h"]: x["c"] for x in shared}
-                own = h[(h & np.uint64(15)) < COUNTED].view(np.int64)
-                known = {x: known[x] for x in own.tolist() if x in known}
-                unique -= len(known)
-                least = -(-threshold.numerator * n // threshold.denominator)
-                found = set()
-                for level in {n.bit_length(), least.bit_length()}:
-                    found |= {x % 2**64 for x in _entries(h, known, unique, n, level, missing(n, threshold))}
-                entry.append(np.fromiter(found, dtype=np.uint64, count=len(found)))
-                at.extend([i] * len(found))
-                private.append(int(1000 * unique / n))
-            if at:
-                at = np.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(entry).view(np.int64)), cols[0].take(pa.array(at)), cols[1].take(pa.array(at)), pa.array(np.array(private, dtype=np.int32)[at])],
-                    ["entry", "node", "n", "q"],
-                )
-
-    return nodes.select("node", "n", "counted", "shared", "toks").mapInArrow(each, "entry bigint, node binary, n int, q int")
-
-
-def _sketch() -> F.Column:
-    """512 bits of array column toks: bit b is the parity of the shingles that fall on it."""
-    word = lambda i: F.expr(f"aggregate(filter(toks, x -> ((x >> 6) & 7) = {i}), 0L, (s, x) -> s ^ shiftleft(1L, cast((x & 63) as int)))")
-    return F.array(*[word(i) for i in range(8)])
+                pairs = shared[i].values
+                if pairs is None:
+                    found.append(np.zeros(0, dtype=np.int64))
+                else:
+                    found.append(_entries(pairs.field("h").to_numpy(zero_copy_only=False), pairs.field("c").to_numpy(zero_copy_only=False), *batch_of([x[i].as_py() for x in rest])))
+                if sum(map(len, found[-200:])) > 1 << 20 or i == batch.num_rows - 1:
+                    at = pa.array(np.repeat(np.arange(i + 1 - len(found), i + 1), [len(x) for x in found]))
+                    yield pa.RecordBatch.from_arrays([*[x.take(at) for x in keep], pa.array(np.concatenate(found))], names)
+                    found = []
+
+    return each
+
+
+def index_entries(nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """(node, n, p, entry) of nodes (node, n, p, shared: [(c, h)]); p: shingles that no other node has."""
+
+    def need(row):
+        n, p = row
+        least = -(-threshold.numerator * n // threshold.denominator)
+        return missing(n, threshold) - p + 1, {n.bit_length(), least.bit_length()}
+
+    kind = "node binary, n int, p int, entry bigint"
+    return nodes.select("node", "n", "p", "shared", F.col("n").alias("n_"), F.col("p").alias("p_")).mapInArrow(_indexed(need, kind), kind)
+
+
+def counted(rows: DataFrame, keys: list[str], toks: str, within: list[str], name: str) -> DataFrame:
+    """rows with shared: the (c, h) of their tokens that occur in c > 1 rows with the same `within`, null without any."""
+    flat = rows.select(*keys, F.explode(toks).alias("h"))
+    # Written, so that either side of the join has a shuffle of its own and a hot token's partition can be split.
+    often = stored(flat.groupBy(*within, "h").agg(F.count("*").cast("int").alias("c")).where("c > 1"), f"{name}-often")
+    shared = flat.join(often, [*within, "h"]).groupBy(*keys).agg(F.collect_list(F.struct("c", "h")).alias("shared"))
+    return rows.join(shared, keys, "left")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -189,56 +224,122 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     )
 
 
-def jaccard_links(docs: DataFrame, k: int = 5, threshold: float | str = "0.8") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n) of every document, and links (a, b) whose components are those of all links."""
-    t = Fraction(str(threshold))
+def _may_link(x: str, y: str, t: Fraction) -> F.Column:
+    """Bounds by size and by private shingles: (1 + t) |A - B| + (1 + t) |B - A| <= (1 - t) (na + nb) for linked sets."""
+    num, den = t.numerator, t.denominator
+    col = lambda name: F.col(f"{x}{name}") + F.col(f"{y}{name}")
+    return (num * F.greatest(f"{x}n", f"{y}n") <= den * F.least(f"{x}n", f"{y}n")) & ((den + num) * col("p") <= (den - num) * col("n"))
+
+
+def open_nodes(rows: DataFrame, docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(node, n, p, shared) of the nodes that may have links, and (node, n, toks) with their whole sets."""
     num, den = t.numerator, t.denominator
-    rows = stored(shingle_sets(docs, k), "sets")
     # A set of m shingles links with another one only if m/(m+1) >= t.
     linkable = rows.where((F.col("n") > 0) & (den * F.col("n") >= num * (F.col("n") + 1)))
-    counted = linkable.select("key", F.explode("toks").alias("h"))
-    often = counted.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    hits = counted.join(often, "h").groupBy("key").agg(F.collect_set(F.struct("c", "h")).alias("hits"))
+    flat = linkable.select("key", F.explode("toks").alias("h"))
+    often = stored(flat.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    hits = flat.join(often, "h").groupBy("key").agg(F.collect_set(F.struct("c", "h")).alias("hits"))
     sizes = linkable.groupBy("node").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first(F.size("toks")).alias("counted"), F.min("doc_id").alias("doc_id"), F.count("*").alias("m"))
     lacking = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den))
     # The m documents of a node count each of its shingles m times; one that counts more is shared with another node.
-    left = sizes.join(hits, "key", "left").withColumn("shared", F.filter("hits", lambda x: x["c"] > F.col("m")))
-    left = left.where(F.col("counted") - F.coalesce(F.size("shared"), F.lit(0)) <= lacking + 1).select("node", "n", "counted", "shared", "doc_id")
-    left = stored(left, "open")
+    left = sizes.join(hits, "key", "left").withColumn("shared", F.coalesce(F.size(F.filter("hits", lambda x: x["c"] > F.col("m"))), F.lit(0)))
+    left = stored(left.where(F.col("counted") - F.col("shared") <= lacking + 1).select("node", "doc_id"), "open")
     # Whole sets of the open nodes, from one document of each.
     sets = shingle_sets(docs, k, _bitmap(left)).select("node", "n", "toks").join(left.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = stored(sets, "whole")
-    entries = stored(index_entries(left.join(sets.select("node", "toks"), "node"), t), "entries")
-
-    hub = entries.groupBy("entry").agg(F.min(F.struct("q", "node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("entry", "hub")
-    near = num * F.greatest("n", "hub.n") <= den * F.least("n", "hub.n")
-    spokes = entries.join(hub, "entry").where((F.col("node") != F.col("hub.node")) & near)
-    spokes = spokes.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    links = stored(verified(spokes, sets, t), "links")
-
-    found = components(links)
-    labelled = entries.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = labelled.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("entry")
-    open_ = stored(labelled.join(mixed, "entry", "left_semi").join(sets.select("node", _sketch().alias("bits")), "node").select("entry", "node", "n", "comp", "bits"), "mixed")
-    if open_.isEmpty():
-        return rows.select("doc_id", "node", "n"), links
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = sum((F.bit_count(F.expr(f"x.bits[{i}] ^ y.bits[{i}]")) for i in range(8)), F.lit(0))
-    # With |A & B| >= t / (1 + t) * (na + nb), the symmetric difference is at most (1 - t) / (1 + t) * (na + nb).
-    pairs = (
-        x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-               & (num * F.greatest("x.n", "y.n") <= den * F.least("x.n", "y.n"))
-               & ((den + num) * apart <= (den - num) * (F.col("x.n") + F.col("y.n"))))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    )
-    return rows.select("doc_id", "node", "n"), links.union(stored(verified(pairs, sets, t), "links"))
+    nodes = counted(sets, ["node"], "toks", [], "whole").select("node", "n", (F.col("n") - F.coalesce(F.size("shared"), F.lit(0))).alias("p"), "shared")
+    return nodes.where(F.col("p") <= lacking), sets
+
+
+def differences(large: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b): pairs that may link among the nodes held against one hub; large: (hub, nh, node, comp).
+
+    With d(x) the shingles in which x and its hub differ, x and y link only if
+    2 (1 + t) |d(x) & d(y)| >= e(x) + e(y), e(x) = (1 + t) |d(x)| - (1 - t) |x|.  x is linked with
+    the hub where e(x) <= (1 - t) |hub|; two such nodes are in one component, so one of a
+    pair has a greater e, the bound is positive, and that of x follows from the least e
+    that a partner may have.
+    """
+    num, den = t.numerator, t.denominator
+    both, apart = den + num, den - num
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("toks").alias(f"{name}_toks"))
+    rows = large.join(of("hub"), "hub").join(of("node"), "node")
+    d = F.concat(F.array_except("node_toks", "hub_toks"), F.array_except("hub_toks", "node_toks"))
+    rows = stored(rows.select("hub", "nh", "node", "comp", F.size("node_toks").alias("n"), d.alias("d")), "differences")
+    rows = counted(rows, ["hub", "node"], "d", ["hub"], "differences")
+    rows = rows.withColumn("w", F.coalesce(F.size("shared"), F.lit(0))).withColumn("e", both * F.size("d").cast("bigint") - apart * F.col("n"))
+    rows = stored(rows.select("hub", "node", "comp", "w", "e", (apart * F.col("nh")).cast("bigint").alias("edge"), "shared"), "differences")
+    near = (F.col("e") <= F.col("edge")) & (2 * both * F.col("w") - F.col("e") > F.col("edge"))
+    hubs = stored(rows.groupBy("hub").agg(F.min(F.when(near, F.col("e"))).alias("nearest"), F.max("w").alias("widest")), "hubs")
+    partner = F.when(F.col("e") > F.col("edge"), F.coalesce("nearest", F.col("edge") + 1)).otherwise(F.col("edge") + 1)
+    least = F.greatest(F.lit(1), F.ceil((F.col("e") + partner) / (2 * both)))
+    rows = rows.join(hubs, "hub").withColumn("need", (F.col("w") - least + 1).cast("int")).where("need > 0")
+    kind = "hub binary, node binary, comp binary, w int, e bigint, edge bigint, entry bigint"
+    found = rows.select("hub", "node", "comp", "w", "e", "edge", "shared", "need", "widest").mapInArrow(_indexed(lambda r: (r[0], {r[1].bit_length()}), kind), kind)
+    found = stored(found, "differences")
+    x, y = found.alias("x"), found.alias("y")
+    # The bound once more for this pair, with what either shares with any other node.
+    close = 2 * both * F.least("x.w", "y.w") >= F.col("x.e") + F.col("y.e")
+    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.entry") == F.col("y.entry")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (F.greatest("x.e", "y.e") > F.col("x.edge")) & close)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, threshold: float | str = "0.8") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n) of every document, and (node, comp) of the nodes that have a link."""
+    t = Fraction(str(threshold))
+    rows = stored(shingle_sets(docs, k), "sets")
+    nodes, sets = open_nodes(rows, docs, k, t)
+    entries = stored(index_entries(nodes, t), "entries")
+    rows = rows.select("doc_id", "node", "n")
+
+    # Entries with the same nodes become one.
+    mark = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"mark{i}") for i in range(2)]
+    heads = entries.groupBy("entry").agg(F.min(F.struct("p", "node", "n")).alias("hub"), F.count("*").alias("m"), *mark).where("m > 1")
+    heads = stored(heads.groupBy("m", "mark0", "mark1").agg(F.min(F.struct("entry", "hub")).alias("one")).select("one.*", "m"), "heads")
+    groups = stored(entries.join(heads, "entry"), "groups")
+    found = None
+
+    def linked(pairs: DataFrame) -> None:
+        """Adds the pairs that link to the components found so far."""
+        nonlocal found
+        links = stored(verified(pairs, sets, t), "links")
+        if found is None or not links.isEmpty():
+            stars = found.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")) if found else links.limit(0)
+            found = stored(components(links.union(stars)), "components")
+
+    def mixed(groups: DataFrame) -> DataFrame:
+        """The groups that still hold several components, with the component of each node."""
+        labelled = groups.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = stored(labelled.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("entry"), "mixed")
+        return stored(labelled.join(several, "entry", "left_semi"), "mixed")
+
+    def spokes(groups: DataFrame, hub: str) -> DataFrame:
+        to = [F.col(f"{hub}.{c}").alias(f"hub_{c}") for c in ("node", "n", "p")]
+        met = groups.select("node", "n", "p", *to).distinct().where((F.col("node") != F.col("hub_node")) & _may_link("", "hub_", t))
+        return met.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+
+    linked(spokes(groups, "hub"))
+    left = mixed(groups)
+    large = left.where(F.col("m") > FREQUENT)
+    if not large.isEmpty():
+        # Large entries get a second hub, of those that are not in the first one's component.
+        own = large.where("node = hub.node").select("entry", F.col("comp").alias("first"))
+        other = large.join(own, "entry").where("comp <> first").groupBy("entry").agg(F.min(F.struct("p", "node", "n", "comp")).alias("next"))
+        linked(spokes(large.join(stored(other, "hubs"), "entry").where("comp <> next.comp"), "next"))
+        left = mixed(left.drop("comp"))
+        large = left.where(F.col("m") > FREQUENT).select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("nh"), "node", "comp").where("node <> hub").distinct()
+        linked(differences(large, sets, t))
+    small = left.where(F.col("m") <= FREQUENT)
+    x, y = small.alias("x"), small.alias("y")
+    pairs = x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x.", "y.", t))
+    linked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    return rows, found
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: float | str = "0.8") -> DataFrame:
     """doc_id, n_shingles, component_id of every document; see the module's text for the defined results."""
-    rows, links = jaccard_links(docs, k, threshold)
-    comps = components(links)
-    labelled = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows, found = jaccard_groups(docs, k, threshold)
+    labelled = rows.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # Written, so that the join below has a shuffle on either side and a hot component's partition can be split.
     least = stored(labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     out = labelled.join(least, "comp", "left")
