@@ -3,23 +3,28 @@
 Base spans (e-mail, IP, card, phone) are the seeds.  The words around a seed are lexical
 patterns: (side, the next word or the next two; one at the text's edge).  Identifier-shaped
 runs that no base pattern covers are candidates: digit groups, anything with a digit, mails
-with at and dot spelt out.  Patterns and instances form a graph that is scored for a
-few rounds: a pattern's confidence is the mean score of its instances and needs several
-distinct seeds; an unseen instance's score is the best of its patterns.  Candidates at or
-over the threshold become spans of the pattern's kind.
-
-All expressions are DataFrame functions.  The text is scanned once; only spans, candidates
-and their contexts are kept of it.  Quantifiers are possessive wherever the greedy match
-cannot need a shorter one, so very long runs neither backtrack nor recurse.
+with at and dot spelt out.  Patterns and instances (distinct values) form a graph that is scored in
+rounds.  A pattern is of the kind of most of its accepted instances; its trust is the mean
+score of its instances, 0 unless `seeds` accepted ones are of its kind.  Base instances are
+accepted; an accepted one scores 1 for patterns of its kind and 0 for others, an unseen one
+`damping` times the trust of its best pattern, and it is accepted, as of that pattern's kind, once that trust
+reaches `confidence`.  So accepted instances give new patterns in the next round.
+Candidates that are accepted become spans.
+
+All expressions are DataFrame functions, and their work is in proportion to a text's length.  The text is
+scanned once; only spans, candidates and their contexts are kept of it.  Quantifiers are
+possessive wherever the greedy match cannot need a shorter one, so very long runs neither
+backtrack nor recurse.
 
 Defined results: null or empty text has no spans; equal rows each get their own spans;
-positions are code points with exclusive ends; a candidate never overlaps a base span.
-Only doc_id and text are read.
+positions are code points with exclusive ends; candidates are looked for in what base spans leave, so
+none overlaps one; the context reaches to the neighbouring match of the same kind, which counts as a
+word.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -54,22 +59,80 @@ _NEAREST = rf"^\s*+(\S{{1,{WORD}}}+(?:\s++\S{{1,{WORD}}}+)?+)"
 _ENOUGH = rf"^\s*+(?:\S{{{WORD + 1}}}|\S{{1,{WORD}}}+\s++(?:\S{{{WORD}}}|\S++\s))"
 #: Characters looked at first; where they are not enough, the whole side is.
 CONTEXT = 256
+#: Stands for the characters of base spans while candidates are looked for.
+FILLER = "\ufffc"
+#: Elements of one part of a running sum.
+CHUNK = 256
+
+_MATCH = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+_SPANS = "array<struct<no:int,start:int,end:int>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums(values: Column) -> Column:
+    """Running sums of an array of int: a part at a time, so that no long array is copied for each element."""
+
+    def running(part: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            at = (s["at"] + x).cast("int")
+            return F.struct(at.alias("at"), F.concat(s["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(part, first, step, lambda s: s["out"])
+
+    def shifted(both: Column) -> Column:
+        return F.flatten(F.transform(both["parts"], lambda p, i: F.transform(p, lambda x: x + F.when(i > 0, F.get(both["totals"], i - 1)).otherwise(0))))
+
+    def joined(parts: Column) -> Column:
+        return _let(F.struct(parts.alias("parts"), running(F.transform(parts, lambda p: F.element_at(p, -1))).alias("totals")), shifted)
+
+    parts = lambda v: F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / CHUNK).cast("int")), lambda j: running(F.slice(v, j * CHUNK + 1, CHUNK)))
+    return _let(values, lambda v: _let(parts(v), joined))
 
-_SPAN = "array<struct<start:int,end:int,value:string>>"
 
+def _pieces(text: Column, pattern: str) -> Column:
+    """(hits, gaps): leftmost non-overlapping matches, and the text before each and after the last."""
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, value): piece and match lengths are summed up."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda p, h: F.struct(F.length(p).alias("skip"), h.alias("hit")))
-    first = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = (s["at"] + x["skip"]).cast("int")
-        end = (start + F.length(x["hit"])).cast("int")
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).cast(_SPAN).alias("out"))
+def matches(text: Column, pattern: str, valid=None) -> Column:
+    """Leftmost non-overlapping matches that are valid: (start, end, value, left, right), the last two of up to two words."""
+    none = F.expr(f"cast(array() as {_MATCH})")
 
-    return F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), first, step, lambda s: s["out"])
+    def found(p: Column) -> Column:
+        hits, gaps = p["hits"], p["gaps"]
+        every = F.sequence(F.lit(0), F.size(hits) - 1)
+        ends = _sums(F.transform(every, lambda i: F.length(F.get(gaps, i)) + F.length(F.get(hits, i))))
+        kept = F.filter(every, lambda i: valid(F.get(hits, i))) if valid else every
+
+        def placed(ends: Column) -> Column:
+            def one(i: Column) -> Column:
+                hit, end = F.get(hits, i), F.get(ends, i)
+                before = F.concat(F.when(i > 0, F.get(hits, i - 1)).otherwise(""), F.get(gaps, i))
+                after = F.concat(F.get(gaps, i + 1), F.coalesce(F.get(hits, i + 1), F.lit("")))
+                left, right = _context(before, after)
+                return F.struct((end - F.length(hit)).cast("int").alias("start"), end.cast("int").alias("end"), F.lower(hit).alias("value"), left.alias("left"), right.alias("right"))
+
+            return F.transform(kept, one)
+
+        return F.when(F.size(hits) > 0, _let(ends, placed)).otherwise(none)
+
+    return _let(_pieces(text, pattern), found)
+
+
+def masked(text: Column, kind: str) -> Column:
+    """The text with FILLER in place of the characters of valid matches."""
+
+    def covered(p: Column) -> Column:
+        hits = F.transform(p["hits"], lambda h: F.when(_valid(kind, h), F.repeat(F.lit(FILLER), F.length(h))).otherwise(h))
+        return F.array_join(F.flatten(F.zip_with(p["gaps"], hits, lambda g, h: F.array(g, F.coalesce(h, F.lit(""))))), "")
+
+    return F.when(_MAY[kind](text), _let(_pieces(text, PATTERNS[kind]), covered)).otherwise(text)
 
 
 def _luhn(digits: Column) -> Column:
@@ -101,61 +164,74 @@ _MAY = {
 }
 
 
-def _spans(text: Column, kind: str) -> Column:
-    found = F.filter(matches(text, PATTERNS[kind]), lambda x: _valid(kind, x["value"]))
-    return F.when(_MAY[kind](text), found).otherwise(F.expr(f"cast(array() as {_SPAN})"))
-
-
-def _context(text: Column, span: Column) -> tuple[Column, Column]:
+def _context(before: Column, after: Column) -> tuple[Column, Column]:
     """Up to two words on either side, fewer at the text's edges."""
-    before = F.reverse(F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT))))
-    before = F.when(before.rlike(_ENOUGH) | (span["start"] <= CONTEXT), before).otherwise(F.reverse(F.substring(text, F.lit(1), span["start"])))
-    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    after = F.when(after.rlike(_ENOUGH), after).otherwise(F.substring(text, span["end"] + 1, F.length(text)))
-    left, right = (F.regexp_replace(F.lower(F.regexp_extract(x, _NEAREST, 1)), r"\s+", " ") for x in (before, after))
+    near = F.reverse(F.right(before, F.lit(CONTEXT)))
+    near = F.when(near.rlike(_ENOUGH) | (F.length(before) <= CONTEXT), near).otherwise(F.reverse(before))
+    far = F.left(after, F.lit(CONTEXT))
+    far = F.when(far.rlike(_ENOUGH) | (F.length(after) <= CONTEXT), far).otherwise(after)
+    tidy = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), FILLER + "+", FILLER), r"\s+", " ")
+    left, right = (F.regexp_extract(tidy(x), _NEAREST, 1) for x in (near, far))
     return F.reverse(left), right
 
 
-def _numbered(spans: str | Column, no: int) -> Column:
-    return F.transform(spans, lambda x: F.struct(F.lit(no).alias("no"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-
-
 def scanned(docs: DataFrame) -> DataFrame:
     """(row, doc_id, base, seen): base spans (no, start, end) in order; seen: (no, start, end, value, left, right), no = -1 for candidates."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select("doc_id", text.alias("text"))
-    d = d.select("doc_id", "text", *[_spans(F.col("text"), k).alias(k) for k in KINDS])
-    d = d.withColumn("all", F.concat(*[_numbered(k, i) for i, k in enumerate(KINDS)]))
-    may = F.col("text").rlike(r"[0-9]|(?i:[\[(\s]at[\])\s])")
-    d = d.withColumn("more", F.when(may, matches(F.col("text"), CANDIDATE)).otherwise(F.expr(f"cast(array() as {_SPAN})")))
-    free = F.filter("more", lambda m: ~F.exists("all", lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
-    d = d.withColumn("more", _numbered(free, -1))
-
-    def seen(x: Column) -> Column:
-        left, right = _context(F.col("text"), x)
-        return F.struct(x["no"].alias("no"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), left.alias("left"), right.alias("right"))
-
-    d = d.withColumn("seen", F.transform(F.concat("all", "more"), seen))
-    return d.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform("all", lambda x: F.struct(x["no"].alias("no"), x["start"].alias("start"), x["end"].alias("end"))).alias("base"), "seen")
-
-
-def discovered(rows: DataFrame, rounds: int = 3, seeds: int = 3, confidence: float = 0.75) -> DataFrame:
-    """(row, more): spans (no, start, end) of the candidates that confident patterns reach, from scanned rows."""
-    seen = rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")
+    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    none = F.expr(f"cast(array() as {_MATCH})")
+    found = [F.when(_MAY[k](F.col("text")), matches(F.col("text"), PATTERNS[k], lambda v, k=k: _valid(k, v))).otherwise(none).alias(k) for k in KINDS]
+    d = d.select("doc_id", "text", *found)
+    left = F.col("text")
+    for k in KINDS:
+        d = d.withColumn("left", masked(left, k))
+        left = F.col("left")
+    may = F.col("left").rlike(r"[0-9]|(?i:[\[(\s]at[\])\s])")
+    d = d.withColumn("more", F.when(may, matches(F.col("left"), CANDIDATE)).otherwise(none))
+    numbered = lambda spans, no: F.transform(spans, lambda x: F.struct(F.lit(no).alias("no"), *[x[c].alias(c) for c in ("start", "end", "value", "left", "right")]))
+    every = [numbered(k, i) for i, k in enumerate(KINDS)]
+    base = F.transform(F.concat(*every), lambda x: F.struct(*[x[c].alias(c) for c in ("no", "start", "end")]))
+    return d.select(F.monotonically_increasing_id().alias("row"), "doc_id", base.alias("base"), F.concat(*every, numbered("more", -1)).alias("seen"))
+
+
+def _free(seen: DataFrame) -> DataFrame:
+    """seen without the candidates that overlap a base span of their row."""
+    base = lambda c: F.when(F.col("no") >= 0, F.col(c))
+    earlier = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    out = seen.withColumn("reach", F.max(base("end")).over(earlier)).withColumn("next", F.min(base("start")).over(later))
+    clear = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    return out.where((F.col("no") >= 0) | clear).drop("reach", "next")
+
+
+def discovered(rows: DataFrame, rounds: int = 10, seeds: int = 3, confidence: float = 0.75, damping: float = 0.7) -> DataFrame:
+    """(row, more): spans (no, start, end) of the accepted candidates, from scanned rows."""
+    seen = stored(_free(rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")), "seen")
     words = {"l": (F.col("left"), r"(\S+)$"), "r": (F.col("right"), r"^(\S+)")}
     sides = F.array_distinct(F.array(*[F.struct(F.lit(k).alias("side"), x.alias("words")) for k, (both, one) in words.items() for x in (both, F.regexp_extract(both, one, 1))]))
     edges = seen.select("no", "value", F.explode(sides).alias("p")).where("p.words <> ''").groupBy("p", "value").agg(F.max("no").alias("no"))
-    # Only patterns with enough distinct seeds can ever be confident; the others leave the graph here.
-    kinds = edges.where("no >= 0").groupBy("p", "no").agg(F.count("*").alias("n"))
-    support = kinds.groupBy("p").agg(F.sum("n").alias("seeds"), F.max(F.struct("n", "no")).getField("no").alias("kind")).where(F.col("seeds") >= seeds)
-    graph = stored(edges.join(support, "p").select("p", "value", "no", "kind"), "graph")
-    scores = graph.select("value", F.when(F.col("no") >= 0, 1.0).otherwise(0.0).alias("score")).groupBy("value").agg(F.max("score").alias("score"))
+    edges = stored(edges, "edges")
+    # A pattern of fewer instances than `seeds` can never be confident.
+    wide = stored(edges.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= seeds).select("p"), "patterns")
+    graph = stored(edges.join(wide, "p"), "graph")
+    # kind: of base instances at first, of accepted ones later; null where an instance is not accepted.
+    scores = stored(graph.groupBy("value").agg(F.max("no").alias("no")).select("value", F.when(F.col("no") >= 0, F.col("no")).alias("kind"), F.when(F.col("no") >= 0, 1.0).otherwise(0.0).alias("score")), "scores")
+    before = None
     for _ in range(rounds):
-        trust = graph.join(scores, "value").groupBy("p").agg(F.avg("score").alias("trust"))
-        reached = graph.join(trust, "p").groupBy("value").agg(F.max("trust").alias("trust"), F.max("no").alias("no"))
-        scores = stored(reached.select("value", F.when(F.col("no") >= 0, 1.0).otherwise(F.col("trust")).alias("score")), "scores")
-    trust = graph.join(scores, "value").groupBy("p").agg(F.avg("score").alias("trust")).where(F.col("trust") >= confidence)
-    fresh = graph.where("no < 0").join(trust, "p").groupBy("value").agg(F.max(F.struct("trust", "kind")).getField("kind").alias("kind"))
+        votes = graph.select("p", "value").join(scores, "value").groupBy("p", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+        known = F.col("kind").isNotNull()
+        most = F.max(F.when(known, F.struct("n", "kind")))
+        trust = votes.groupBy("p").agg(F.sum("n").alias("n"), F.sum(F.when(~known, F.col("score"))).alias("hoped"), most.alias("most")).where(F.col("most.n") >= seeds)
+        share = (F.col("most.n") + F.coalesce("hoped", F.lit(0.0))) / F.col("n")
+        trust = stored(trust.select("p", F.struct(share.alias("trust"), F.col("most.kind").alias("of")).alias("t")), "trust")
+        best = graph.select("p", "value").join(trust, "p").groupBy("value").agg(F.max("t").alias("t"))
+        new = F.when(F.col("kind").isNotNull(), F.struct("kind", "score")).when(F.col("t.trust") >= confidence, F.struct(F.col("t.of").alias("kind"), F.lit(1.0).alias("score")))
+        new = new.otherwise(F.struct(F.lit(None).cast("int").alias("kind"), F.coalesce(damping * F.col("t.trust"), F.lit(0.0)).alias("score")))
+        scores = stored(scores.join(best, "value", "left").select("value", new.alias("s")).select("value", "s.kind", "s.score"), "scores")
+        now = scores.agg(F.count("kind"), F.round(F.sum("score"), 2)).first()
+        if now == before:
+            break
+        before = now
+    fresh = scores.where("kind is not null").select("value", "kind")
     return seen.where("no < 0").join(fresh, "value").groupBy("row").agg(F.collect_list(F.struct(F.col("kind").alias("no"), "start", "end")).alias("more"))
 
 
@@ -164,9 +240,9 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["no"]), x["start"], x["end"])), ",")
 
 
-def find_pii(docs: DataFrame, rounds: int = 3, seeds: int = 3, confidence: float = 0.75) -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int = 10, seeds: int = 3, confidence: float = 0.75, damping: float = 0.7) -> DataFrame:
     """doc_id, base and spans (arrays of (no, start, end), no: place in KINDS), and their digests as strings."""
     rows = stored(scanned(docs), "pii")
-    out = rows.join(discovered(rows, rounds, seeds, confidence), "row", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<no:int,start:int,end:int>>)"))))
+    out = rows.join(discovered(rows, rounds, seeds, confidence, damping), "row", "left")
+    every = F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {_SPANS})"))))
     return out.select("doc_id", "base", every.alias("spans")).withColumn("base_digest", _digest(F.col("base"))).withColumn("spans_digest", _digest(F.col("spans")))
