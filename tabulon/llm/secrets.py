@@ -1,21 +1,28 @@
 """Secret scans: base patterns, and assignment-aware lexing of source and configuration text.
 
-The lexer looks at each assignment sign (=, :, :=, =>), reads the name before it and the
-literal or name after it, past a type between the two, and resolves constants over all of
-a document's assignments, so that `password = a` leads to the literal of a, wherever
-`a = "..."` stands.  A literal's score is the sensitivity of the
-target's name times the quality of the literal (length, entropy, no placeholder).
-Literals scored 0.5 or more that no base span overlaps become spans of kind assign.
+The lexer reads a text once from left to right.  It passes over comments, keeps strings
+whole (single, double, back-quoted and triple ones) and takes pairs of a name and a value from:
+names, quoted keys and subscripts before an assignment sign (=, :, :=, =>), also with a type
+in between; elements `<name>value</name>`; calls whose first two arguments are
+strings; `name: N` beside `value: V`; and YAML block scalars.  A value is a literal, several that are joined (+,
+. or next to each other), or a bare run, which may be the name of a constant.  Constants
+are resolved over all of a document's pairs, so that `password = a` leads to
+the literal of a, wherever `a = "..."` stands.  A literal's score is the
+sensitivity of the target's name times the quality of the literal (length, entropy, no
+placeholder).  Literals scored 0.5 or more that no base span overlaps become spans of kind
+assign; joined ones are one span from the first to the last.
 
 Defined results: null and empty texts have no spans; positions are code points with
 exclusive ends; equal rows each get their own spans.  A document is lexed on its own, so
-no row depends on another.  Only doc_id and text are read.
+no row depends on another.  A quote or comment that is never closed is passed over.  Work is in
+proportion to a text's length.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -28,20 +35,33 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_SIGN = re.compile(r"[ \t]*(?::=|=>|[=:])[ \t]*")
-_NAME = re.compile(r"(?<![A-Za-z0-9_.-])[0-9.-]*+([A-Za-z_][A-Za-z0-9_.-]*+)[\"'`]?\]?$")
+#: What the lexer stops at: comments, strings, elements, signs and marks.
+_STOP = re.compile(
+    r"""(?P<block>/\*|<!--)|(?P<line>(?:(?<!\S)\#|(?<![:/\w])//|(?<!\S)--(?=\s))[^\n]*)|(?P<string>\"\"\"|\'\'\'|["'`])"""
+    r"""|(?P<element><([A-Za-z_][\w:.-]*)(?:\s[^<>]*)?>([^<>]*)</\5\s*>)|(?P<sign>:=|=>|(?<![=!<>~+*/%&|^])=(?![=>~])|:(?![:=]))[ \t]*|(?P<mark>[,;(){}\[\]\n])"""
+)
+_NAME = re.compile(r"(?<![A-Za-z0-9_.$-])[0-9.$-]*+([A-Za-z_][A-Za-z0-9_.-]*+)\??[ \t]*$")
 #: A type between a name's colon and its equals sign, as in `name: Optional[str] = "..."`.
 _TYPE = re.compile(r"(?:&[ \t]*+)?(?:'[a-z_]++[ \t]++)?(?:mut[ \t]++|const[ \t]++)?[A-Za-z_]\w*+(?:(?:\.|::)\w++)*+(?:[ \t]*+[\[<](?:[\w.,|&?'\[\]<> \t]|::)*[\]>])?(?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.]*+)*+\??[ \t]*+=(?![=>])[ \t]*+")
-_VALUE = re.compile(r"""\"{3}((?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s,;"'`()\[\]{}<>]+)""", re.S)
-#: Characters before a sign that are looked at first; a name that may be longer is read whole.
-NAME_CHARS = 80
+_STRINGS = {
+    '"""': re.compile(r'"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}', re.S), "\'\'\'": re.compile(r"'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}", re.S),
+    '"': re.compile(r'"((?:[^"\\\n]|\\.)*+)"'), "'": re.compile(r"'((?:[^'\\\n]|\\.)*+)'"), "`": re.compile(r"`([^`\n]*+)`"),
+}
+_PREFIX = re.compile(r"(?i)(?:[rbfu]{1,2})?(?=[\"'`])")
+_BARE = re.compile(r"""(?:(?i:bearer|basic)[ \t]+)?([^\s,;"'`()\[\]{}<>=]+(?:={1,2}(?![^\s,;"'`()\[\]{}<>]))?)""")
+_PLUS = re.compile(r"\s*\+\s*|[ \t]*\.\.?[ \t]*(?=[\"'])")
+_BESIDE = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?=[\"'])")
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*(?:#[^\n]*)?\n")
+_ARMOUR = re.compile(r"-----[^\n]*-----$")
 
 #: Parts of names and how sensitive a target of that name is.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "signingkey": 1.0,
-    "encryptionkey": 1.0, "sessionkey": 0.9, "authkey": 1.0, "auth": 0.7, "bearer": 0.8, "pin": 0.4, "key": 0.4, "pass": 1.0,
+    "encryptionkey": 1.0, "sessionkey": 0.9, "authkey": 1.0, "auth": 0.7, "authorization": 0.7, "bearer": 0.8, "pass": 1.0,
 }
+#: Pieces of which every sensitive name holds one.
+_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|placeholder|none|null|true|false|undefined|todo|your[_-].*|\$\{.*|\{\{.*|<.*|%.*%)$")
 
 
@@ -74,30 +94,177 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
+Value = tuple[str, int, int, bool]
+
+
+class _Lexer:
+    """The name-value pairs of one text."""
+
+    def __init__(self, text: str):
+        self.text, self.pairs, self.named = text, [], ""
+        self.dead = {}  # quote -> up to where no string of it closes
+
+    def string(self, at: int, quote: str) -> re.Match | None:
+        """The string that a quote at `at` opens, if it is one and closes."""
+        if at < self.dead.get(quote, 0):
+            return None
+        if quote == "'" and at and self.text[at - 1].isalnum():
+            first = at - 1
+            while first and at - first < 3 and self.text[first - 1].isalnum():
+                first -= 1
+            if at - first > 2 or self.text[first:at].strip("rbfuRBFU"):
+                return None  # an apostrophe
+        found = _STRINGS[quote].match(self.text, at)
+        if not found:
+            end = self.text.find("\n", at) if len(quote) == 1 else -1
+            self.dead[quote] = end if end >= 0 else len(self.text)
+        return found
+
+    def literal(self, at: int) -> tuple[Value, int] | None:
+        """The string at `at`, past a prefix, and where it ends."""
+        at = m.end() if (m := _PREFIX.match(self.text, at)) else at
+        if at >= len(self.text) or self.text[at] not in "\"'`":
+            return None
+        quote = self.text[at] * 3 if self.text.startswith(self.text[at] * 3, at) and self.text[at] != "`" else self.text[at]
+        m = self.string(at, quote)
+        return ((m[1], m.start(1), m.end(1), False), m.end()) if m else None
+
+    def value(self, at: int) -> tuple[list[Value], int]:
+        """The pieces of the value at `at`, and where it ends."""
+        pieces = []
+        while self.text.startswith("(", at):
+            at += 1
+            while at < len(self.text) and self.text[at].isspace():
+                at += 1
+        while True:
+            if found := self.literal(at):
+                pieces.append(found[0])
+                at = found[1]
+            elif m := _BARE.match(self.text, at):
+                whole = m[1].rstrip(".:") or m[1]
+                if pieces and not whole[0].isalpha() and whole[0] != "_":
+                    return pieces, at
+                pieces.append((whole, m.start(1), m.start(1) + len(whole), True))
+                at = m.start(1) + len(whole)
+            else:
+                return pieces, at
+            joiner = _PLUS.match(self.text, at) or (not pieces[-1][3] and _BESIDE.match(self.text, at)) or None
+            if not joiner:
+                return pieces, at
+            at = joiner.end()
+
+    def scalar(self, name_at: int, at: int) -> tuple[list[Value], int]:
+        """A YAML block scalar whose lines start at `at`: those indented deeper than the line of the name."""
+        line = self.text.rfind("\n", 0, name_at) + 1
+        indent = len(self.text[line:name_at]) - len(self.text[line:name_at].lstrip(" -"))
+        lines, first, last = [], None, at
+        while at < len(self.text):
+            end = self.text.find("\n", at)
+            end = len(self.text) if end < 0 else end
+            row = self.text[at:end]
+            if row.strip():
+                deep = len(row) - len(row.lstrip(" "))
+                if deep <= indent:
+                    break
+                if not _ARMOUR.match(row.strip()):
+                    lines.append(row.strip())
+                    first, last = (at + deep if first is None else first), at + len(row.rstrip())
+            at = end + 1
+        return ([("".join(lines), first, last, False)] if lines else []), min(at, len(self.text))
+
+    def add(self, name: str, pieces: list[Value]) -> None:
+        if not pieces:
+            return
+        self.pairs.append((name, pieces))
+        low = name.lower()
+        if low in ("name", "key"):
+            self.named = pieces[0][0]
+        elif low == "value" and self.named:
+            self.pairs.append((self.named, pieces))
+            self.named = ""
+
+    def run(self) -> list[tuple[str, list[Value]]]:
+        text, at, before = self.text, 0, 0  # before: where the text since the last stop begins
+        key = None  # (content, end) of a string that a sign may follow
+        call, argument = 0, ""  # of a call: 1 after "(", 2 after a first string, 3 after its comma
+        while m := _STOP.search(text, at):
+            kind, start, at = m.lastgroup, m.start(), m.end()
+            gap = text[before:start]
+            if kind == "block":
+                end = text.find("*/" if m[0] == "/*" else "-->", at) if at >= self.dead.get(m[0], 0) else -1
+                if end < 0:
+                    self.dead[m[0]] = len(text)
+                else:
+                    at = end + (2 if m[0] == "/*" else 3)
+            elif kind == "string":
+                found = self.string(start, m[0])
+                if not found:
+                    at = start + len(m[0])
+                    key, call = None, 0
+                else:
+                    at, content = found.end(), found[1]
+                    if call == 1 and not gap.strip():
+                        call, argument = 2, content
+                    elif call == 3 and not gap.strip():
+                        pieces, at = self.value(start)
+                        self.add(argument, pieces)
+                        call = 0
+                    else:
+                        call = 0
+                    key = (content, at)
+            elif kind == "element":
+                body = m[6]
+                inner = body.strip()
+                if inner:
+                    first = m.start(6) + len(body) - len(body.lstrip())
+                    self.add(m[5], [(inner, first, first + len(inner), False)])
+                key, call = None, 0
+            elif kind == "sign":
+                call = 0
+                quoted = key and not text[key[1] : start].strip(" \t]")
+                name = key[0] if quoted else (n[1] if (n := _NAME.search(gap)) else None)
+                key = None
+                if name:
+                    if m["sign"] == ":" and (typed := _TYPE.match(text, at)):
+                        at = typed.end()
+                    if m["sign"] == ":" and (block := _BLOCK.match(text, at)):
+                        pieces, at = self.scalar(start, block.end())
+                    else:
+                        pieces, end = self.value(at)
+                        # The value of one sign is the name of the next in a = b = "...".
+                        if len(pieces) == 1 and pieces[0][3]:
+                            before = pieces[0][1]
+                            self.add(name, pieces)
+                            at = max(at, end)
+                            continue
+                        at = max(at, end)
+                    self.add(name, pieces)
+            elif kind == "mark":
+                if m[0] == "(":
+                    call = 1
+                elif m[0] == "," and call == 2 and not gap.strip():
+                    call = 3
+                elif m[0] != "\n":
+                    call = 0
+                key = key if m[0] in "]\n" and key and not gap.strip() else None
+            before = at
+        return self.pairs
+
+
 def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, bare) of each assignment; a bare value may be the name of a constant."""
-    if "=" not in text and ":" not in text:
-        return []
+    """(name, value, start, end, bare) of each pair; literals that are joined are one value, a bare value may be the name of a constant."""
     out = []
-    typed = before = 0  # where the sign after a type ends, which has no name of its own; where the last sign ends
-    for sign in _SIGN.finditer(text):
-        if sign.end() <= typed:
-            continue
-        first, before = before, sign.end()
-        near = max(first, sign.start() - NAME_CHARS)
-        name = _NAME.search(text[near : sign.start()])
-        if near > first and not (name and name.start()):
-            name = _NAME.search(text[first : sign.start()])
-        if not name:
-            continue
-        at = sign.end()
-        kind = sign[0].strip() == ":" and _TYPE.match(text, at)
-        if kind:
-            at = typed = before = kind.end()
-        value = _VALUE.match(text, at)
-        if value:
-            g = value.lastindex
-            out.append((name[1], value[g], value.start(g), value.end(g), g == 5))
+    for name, pieces in _Lexer(text).run():
+        run = []
+        for piece in [*pieces, None]:
+            if piece is not None and not piece[3]:
+                run.append(piece)
+                continue
+            if run:
+                out.append((name, "".join(x[0] for x in run), run[0][1], run[-1][2], False))
+                run = []
+            if piece is not None:
+                out.append((name, *piece))
     return out
 
 
@@ -107,6 +274,9 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     A bare value stands for all literals that any assignment of the document gives to that
     name, directly or over other names; one without a literal is judged itself.
     """
+    low = text.lower()
+    if not any(x in low for x in _HINTS):
+        return []
     found = assignments(text)
     if not found:
         return []
@@ -142,6 +312,16 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that no base span (in order of start) overlaps."""
+    starts, ends, most = [x[0] for x in base], [], 0
+    for x in base:
+        most = max(most, x[1])
+        ends.append(most)
+    # Of the base spans that start before a span's end, the one that reaches furthest tells.
+    return [x for x in spans if not (i := bisect_left(starts, x[1])) or ends[i - 1] <= x[0]]
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans as arrays of (start, end, kind), kind: place in KINDS, ordered by start, then kind."""
     from pyspark.sql import functions as F
@@ -154,7 +334,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             for text in batch.column(1):
                 text = text.as_py() or ""
                 b = base_spans(text)
-                more = [x for x in lexed_spans(text) if not any(x[0] < y[1] and y[0] < x[1] for y in b)]
+                more = apart(lexed_spans(text), b)
                 base.append([dict(zip(("start", "end", "kind"), x, strict=True)) for x in b])
                 spans.append([dict(zip(("start", "end", "kind"), x, strict=True)) for x in sorted(b + more, key=lambda x: (x[0], x[2]))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, item), pa.array(spans, item)], ["doc_id", "base", "spans"])
