@@ -8,12 +8,12 @@ sources not yet clamped can hold what is left.
 
 A target of q times a source's size takes every document floor(q) times, and a seeded
 draw of documents once more until the fraction is met.  The draw orders documents by a
-hash.  Documents with over 1/200 of their source's words are drawn first, to the fraction
+hash.  Documents with over 1/`large` of their source's words are drawn first, to the fraction
 of their own sum; small ones then meet what is left of the target.  Sums over 4096 hash
-bins of each source tell which bins are taken whole, and only the one bin at the edge is
-ordered by document.
+bins of each source tell which bins are taken whole; the one bin at the edge is cut into 4096
+finer ones, and so on for LEVELS levels, so that only a 2^-36th of a source's hashes is ordered one by one.
 
-Defined results: a null or blank text has size 0 and is never taken more than 0 words;
+Defined results: a null or blank text has size 0, takes no part in the draw and is taken floor(q) times;
 an empty table gives an empty result; equal rows are drawn as separate documents with
 the same hash; when all sizes are 0 all targets are 0.  DataFrame functions only.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: A document with more than 1/LARGE of its source's words is large.
-LARGE = 200
+#: Times that the bin at the edge is cut into 4096.
+LEVELS = 3
 
 
 def words(text: str | Column) -> Column:
@@ -54,12 +54,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return s.select("source", "source_size", target.alias("target"))
 
 
-def planned(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: float, seed: int, keep: list[str]) -> DataFrame:
+def planned(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: float, seed: int, large: int, keep: list[str]) -> DataFrame:
     """One row a document: row (struct of the columns to keep), source, size, source_size, target, copies."""
-    d = docs.select(
-        F.struct(*keep).alias("row"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"),
-        words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
-    ).withColumn("bin", F.shiftrightunsigned("draw", 52))
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text")
+    d = docs.select(F.struct(*keep).alias("row"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), draw.alias("draw"))
     if keep == ["doc_id"]:
         d = slim = stored(d, "sizes")
     else:
@@ -69,47 +67,51 @@ def planned(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: f
     t = t.withColumn("whole", F.least(F.floor(ratio + F.lit(1e-12)), F.lit(int(epochs))))
     t = stored(t.withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).withColumnRenamed("source", "of"), "targets")
     of = F.col("source").eqNullSafe(F.col("of"))
-    large = F.col("size") * LARGE > F.col("source_size")
-    taken_if = lambda run, goal: F.sum("size").over(run) - F.col("size") / 2 <= F.col(goal)
-
-    # Large documents come first, so that what they miss or exceed is made up by small ones.  A source has fewer than LARGE of them.
-    big = slim.join(t, of).where(large)
-    by_draw = Window.partitionBy("source").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    is_large = F.col("size") * large > F.col("source_size")
+    #: The draw in signed order, so that bins and documents are in one order.
+    place = F.col("draw").bitwiseXOR(F.lit(-(2**63)))
+    bin_of = lambda level: F.shiftrightunsigned("draw", 64 - 12 * level)
+
+    def with_last(goal: F.Column, rows: DataFrame, name: str) -> DataFrame:
+        """t with the last place of each source that brings its sum nearer to the goal: equal places are taken together."""
+        sums = rows.groupBy("source", place.alias("place")).agg(F.sum("size").alias("size"), F.first(goal).alias("goal"))
+        run = F.sum("size").over(Window.partitionBy("source").orderBy("place"))
+        last = sums.withColumn("run", run).where(F.col("run") - F.col("size") / 2 <= F.col("goal")).groupBy(F.col("source").alias("l_of")).agg(F.max("place").alias(name), F.max("run").alias(f"{name}_sum"))
+        return stored(t.join(last, F.col("of").eqNullSafe(F.col("l_of")), "left").drop("l_of"), "targets")
+
+    # Large documents come first, so that what they miss or exceed is made up by small ones.  A source has fewer than `large` of them.
+    big = slim.where("size > 0").join(t, of).where(is_large)
     big = big.withColumn("goal", F.col("extra") / F.col("source_size") * F.sum("size").over(Window.partitionBy("source")))
-    big = big.withColumn("cut", F.when(taken_if(by_draw, "goal"), F.col("draw")))
-    # Which of them are taken is a prefix in order of (draw, id): its last one is kept for each source.
-    last = big.where("cut is not null").groupBy("source").agg(F.max(F.struct("draw", "id", "size")).alias("last_big"), F.sum("size").alias("big_taken"))
-    t = t.join(last.withColumnRenamed("source", "b_of"), F.col("of").eqNullSafe(F.col("b_of")), "left").drop("b_of")
-    t = stored(t.withColumn("rest", F.greatest(F.lit(0.0), F.col("extra") - F.coalesce("big_taken", F.lit(0)))), "targets")
-
-    small = slim.join(t, of).where(~large)
-    bins = small.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest"))
-    bins = bins.withColumn("before", F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin")) - F.col("bin_size"))
-    inside = F.col("before") + F.col("bin_size") <= F.col("rest")
-    edges = bins.groupBy(F.col("source").alias("e_of")).agg(
-        F.max(F.when(inside, F.col("bin"))).alias("in_bin"), F.min(F.when(~inside & (F.col("before") < F.col("rest")), F.struct("bin", "before"))).alias("edge")
-    )
-    t = stored(t.join(edges, F.col("of").eqNullSafe(F.col("e_of")), "left").drop("e_of"), "targets")
-    # Only documents of an edge bin are ordered one by one; one is taken if that brings its source nearer to the target.
-    run = Window.partitionBy("source").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = slim.join(t, of).where(~large & (F.col("bin") == F.col("edge.bin"))).withColumn("goal", F.col("rest") - F.col("edge.before"))
-    at_edge = at_edge.withColumn("cut", taken_if(run, "goal")).where("cut").groupBy(F.col("source").alias("s_of")).agg(F.max(F.struct("draw", "id", "size")).alias("last_small"))
-    t = stored(t.join(at_edge, F.col("of").eqNullSafe(F.col("s_of")), "left").drop("s_of"), "targets")
+    t = with_last(F.col("goal"), big, "last_big")
+    t = t.withColumn("rest", F.greatest(F.lit(0.0), F.col("extra") - F.coalesce("last_big_sum", F.lit(0)))).withColumn("edge", F.struct(F.lit(0).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("before")))
+
+    # Bins before the edge bin are taken whole; a source that takes nothing or everything has no edge.
+    small = lambda: slim.where("size > 0").join(t, of).where(~is_large)
+    for level in range(1, LEVELS + 1):
+        inner = small().where("edge is not null") if level == 1 else small().where(bin_of(level - 1) == F.col("edge.bin"))
+        bins = inner.groupBy("source", bin_of(level).alias("bin")).agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest"), F.first("edge.before").alias("start"))
+        bins = bins.withColumn("before", F.col("start") + F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin")) - F.col("bin_size"))
+        at_edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest"))
+        edges = bins.groupBy(F.col("source").alias("e_of")).agg(F.min(F.when(at_edge, F.struct("bin", "before"))).alias("edge"))
+        t = stored(t.drop("edge").join(edges, F.col("of").eqNullSafe(F.col("e_of")), "left").drop("e_of"), "targets")
+        if level == 1:
+            t = t.withColumn("all_small", F.col("edge").isNull() & (F.col("rest") > 0))
+    t = with_last(F.col("rest") - F.col("edge.before"), small().where(bin_of(LEVELS) == F.col("edge.bin")), "last_small")
 
     # One row a source now tells every document's copies; the documents are not shuffled.
-    place = F.struct("draw", "id", "size")
-    extra = F.when(large, place <= F.col("last_big")).otherwise((F.col("bin") <= F.col("in_bin")) | ((F.col("bin") == F.col("edge.bin")) & (place <= F.col("last_small"))))
+    drawn = F.col("all_small") | (bin_of(LEVELS) < F.col("edge.bin")) | ((bin_of(LEVELS) == F.col("edge.bin")) & (place <= F.col("last_small")))
+    extra = (F.col("size") > 0) & (F.col("whole") < F.ceil(F.lit(float(epochs)))) & F.when(is_large, place <= F.col("last_big")).otherwise(drawn)
     copies = (F.col("whole") + F.coalesce(extra, F.lit(False)).cast("int")).cast("int")
     return d.join(t, of).select("row", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 7) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 7, large: int = 200) -> DataFrame:
     """docs (doc_id, source, text) -> doc_id, source, size, source_size, target, copies (how often the mix takes it)."""
-    plan = planned(docs, weights, share, epochs, seed, ["doc_id"])
+    plan = planned(docs, weights, share, epochs, seed, large, ["doc_id"])
     return plan.select("row.doc_id", "source", "size", "source_size", "target", "copies")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 7, large: int = 200) -> DataFrame:
     """The mixed corpus: the rows of docs with all their columns, each as often as the mix takes it."""
-    plan = planned(docs, weights, share, epochs, seed, docs.columns)
+    plan = planned(docs, weights, share, epochs, seed, large, docs.columns)
     return plan.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
