@@ -8,14 +8,16 @@
    N; walking its cycles until a value falls below N makes it a permutation of 0..N-1.
    The result is the sequence's slot in training order.
 4. Range partitions of slots, whole shards each, are sorted and written: shard s holds the
-   slots from s * rows on, every sequence takes length * item size bytes, so slot i is read
-   at byte (i % rows) * stride of shard i // rows.  A shard is written under another name
+   slots from s * rows on, every sequence takes length * item size bytes (2, or 4 for
+   vocabularies over 65,536), so slot i is read at byte (i % rows) * stride of shard i // rows.  A shard is written under another name
    and moved, and one that is there in full is left alone: a lost executor's task or a
    second run writes only what is missing.  The slots are dealt in rounds of whole shards,
    so that one round's shuffle at a time lies on disk.
 
 The order depends on the stored documents, how they are split into tasks, and the seed.
 
+meta.json holds a digest of all sequences: a folder with shards of other documents is refused.
+
 Defined results: null and empty texts are an end token alone; equal rows are separate
 documents; no documents give no sequences and no shards.  Only doc_id and text are read.
 """
@@ -63,7 +65,14 @@ def _encoder(tokenizer: dict):
     return _loaded[key].encode_ordinary
 
 
-def sequences(docs: DataFrame, length: int, tokenizer: dict) -> DataFrame:
+def item_type(tokenizer: dict) -> str:
+    """The numpy type of an id: two bytes if every id of the vocabulary fits."""
+    with open(tokenizer["path"], "rb") as file:
+        most = max((int(line.split()[1]) for line in file if line.strip()), default=0)
+    return "<u2" if max(most, tokenizer["end"]) < 1 << 16 else "<u4"
+
+
+def sequences(docs: DataFrame, length: int, tokenizer: dict, dtype: str = "<u2") -> DataFrame:
     """(part, first, n, used, blob, docs): blocks of up to BLOCK sequences; docs: (doc_id, at, n) by token place in the block."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spans_type = pa.list_(pa.struct([("doc_id", pa.int64() if id_type == "bigint" else pa.string()), ("at", pa.int64()), ("n", pa.int64())]))
@@ -76,7 +85,7 @@ def sequences(docs: DataFrame, length: int, tokenizer: dict) -> DataFrame:
 
         def block(tokens, spans, first):
             n = -(-len(tokens) // length)
-            padded = np.full(n * length, end, dtype=np.uint16)
+            padded = np.full(n * length, end, dtype=dtype)
             padded[: len(tokens)] = tokens
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([squeeze.compress(padded.tobytes())], pa.binary()), pa.array([spans], spans_type)],
@@ -85,7 +94,7 @@ def sequences(docs: DataFrame, length: int, tokenizer: dict) -> DataFrame:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end], dtype=np.uint16)
+                ids = np.array([*encode(text.as_py() or ""), end], dtype=dtype)
                 doc_id = doc_id.as_py() if id_type == "bigint" or not doc_id.is_valid else str(doc_id.as_py())
                 at = 0
                 while at < len(ids):
@@ -123,9 +132,8 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def _write(rows: DataFrame, folder: str, length: int, per_shard: int, total: int) -> DataFrame:
+def _write(rows: DataFrame, folder: str, stride: int, per_shard: int, total: int) -> DataFrame:
     """Write sorted whole shards; returns a row for each sequence."""
-    stride = 2 * length
 
     def each(batches):
         store, root = _open(folder)
@@ -167,13 +175,15 @@ def write_shards(docs: DataFrame, folder: str, length: int = 2048, per_shard: in
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
-    blocks = stored(sequences(docs, length, tokenizer), "tokens")
-    parts = blocks.groupBy("part").agg(F.sum("n").alias("c"))
+    dtype = item_type(tokenizer)
+    stride = length * np.dtype(dtype).itemsize
+    blocks = stored(sequences(docs, length, tokenizer, dtype), "tokens")
+    parts = blocks.groupBy("part").agg(F.sum("n").alias("c"), F.bit_xor(F.xxhash64("part", "first", "n", "used", "blob")).alias("mark"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(parts.select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"), "c").coalesce(1), "offsets")
-    total = int(offsets.agg(F.sum("c")).first()[0] or 0)
+    offsets = stored(parts.select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"), "c", "mark").coalesce(1), "offsets")
+    total, digest = (int(x or 0) for x in offsets.agg(F.sum("c"), F.bit_xor("mark")).first())
     shards = -(-total // per_shard)
-    meta = {"sequences": total, "length": length, "per_shard": per_shard, "dtype": "<u2", "seed": seed, "end": tokenizer["end"]}
+    meta = {"sequences": total, "length": length, "per_shard": per_shard, "dtype": dtype, "seed": seed, "end": tokenizer["end"], "digest": f"{digest & (2**64 - 1):016x}"}
     store, root = _open(folder)
     store.create_dir(root)
     if store.get_file_info(f"{root}/meta.json").type == fs.FileType.File:
@@ -205,7 +215,6 @@ def write_shards(docs: DataFrame, folder: str, length: int = 2048, per_shard: in
                             i, k = at // length, min(left, length - at % length)
                             per[i].append({"doc_id": s["doc_id"], "at": at % length, "n": k})
                             at, left = at + k, left - k
-                    stride = 2 * length
                     out = [squeeze.compress(data[i * stride : (i + 1) * stride]) for i in mine]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(slots[mine]), pa.array(out, pa.binary()), pa.array(np.clip(used - mine * length, 0, length).astype(np.int32)), pa.array([per[i] for i in mine], spans_type)],
@@ -223,10 +232,10 @@ def write_shards(docs: DataFrame, folder: str, length: int = 2048, per_shard: in
         rows = blocks.join(offsets.select("part", "offset"), "part").select("offset", "first", "n", "used", "blob", "docs")
         rows = rows.mapInArrow(each_of(low * per_shard, high * per_shard), f"slot bigint, blob binary, n_tokens int, docs {spans}")
         # Slots are uniform, so equal ranges of shards are equal work; no sampling is needed.
-        tasks = min(high - low, max(spark.sparkContext.defaultParallelism, (high - low) * per_shard * 2 * length >> 26))
+        tasks = min(high - low, max(spark.sparkContext.defaultParallelism, (high - low) * per_shard * stride >> 26))
         place = F.floor((F.floor(F.col("slot") / per_shard) - low) * tasks / (high - low)).cast("int")
         rows = rows.repartitionById(tasks, place).sortWithinPartitions("slot")
-        written.append(stored(_write(rows, folder, length, per_shard, total), "manifest"))
+        written.append(stored(_write(rows, folder, stride, per_shard, total), "manifest"))
     out = written[0] if written else spark.createDataFrame([], f"slot bigint, shard bigint, row bigint, n_tokens int, crc32 bigint, docs {spans}")
     for more in written[1:]:
         out = out.unionByName(more)
@@ -239,7 +248,7 @@ def read_sequences(folder: str, first: int = 0, count: int | None = None):
     with store.open_input_stream(f"{root}/meta.json") as f:
         meta = json.loads(f.read())
     last = meta["sequences"] if count is None else min(meta["sequences"], first + count)
-    stride = 2 * meta["length"]
+    stride = meta["length"] * np.dtype(meta["dtype"]).itemsize
     while first < last:
         shard, row = divmod(first, meta["per_shard"])
         with store.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
