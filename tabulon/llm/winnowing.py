@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, and their likeness to an edited text and a neighbour.
 
-Words are hashed, every run of `k` words gives a gram hash, and of each window of `w`
+Units are words; a longer word than `width` code points is cut into pieces of that width from its
+start, so that texts without blanks have units too (width 1 gives grams of characters).
+Units are hashed, every run of `k` units gives a gram hash, and of each window of `w`
 consecutive grams the least hash is selected, the rightmost of equal ones.  Hash and place
-are packed in one long (36 bits of hash, then 2^27 - 1 - place), so that a plain minimum
+are packed in one long (32 bits of hash, then 2^31 - 1 - place), so that a plain minimum
 breaks ties to the right; places are kept.  Two texts that share k + w - 1 consecutive
-words share a selected gram.  The gram hash is the value of its words alone, computed from
+units share a selected gram.  The gram hash is the value of its words alone, computed from
 their k hashes, so moving on by a word costs the same wherever the window stands.
 
 Everything is DataFrame functions; arrays that are used more than once are bound by a
@@ -14,7 +16,7 @@ Defined results: null texts count as empty; no words give an empty fingerprint,
 k words one gram of them all, fewer than w grams one window; two empty fingerprints are
 alike 1.0, an empty and another one 0.0.  Rows with equal doc_id and text count as one
 document in the order and all get its result; a null doc_id comes last; a lone document
-follows itself.  Texts may have up to 2^27 words.  Only doc_id and text are read.
+follows itself.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-K, W = 3, 6
-_PLACE_BITS = 27
+K, W, WIDTH = 3, 6, 16
+_HASH_BITS, _PLACE_BITS = 32, 31
 _PLACES = (1 << _PLACE_BITS) - 1
 
 
@@ -34,12 +36,12 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
-    """The selected grams of a text, ascending by place: longs of 36 hash bits and the packed place."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+def fingerprint(text: Column, k: int = K, w: int = W, width: int = WIDTH) -> Column:
+    """The selected grams of a text, ascending by place: longs of the hash bits and the packed place."""
+    words = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{width}}}"), F.lit(0))
 
     def pack(h: Column, i: Column) -> Column:
-        return F.shiftleft(F.shiftrightunsigned(h, 64 - 36), _PLACE_BITS).bitwiseOR(F.lit(_PLACES) - i)
+        return F.shiftleft(F.shiftrightunsigned(h, 64 - _HASH_BITS), _PLACE_BITS).bitwiseOR(F.lit(_PLACES) - i)
 
     def grams(h: Column) -> Column:
         n = F.size(h)
@@ -89,7 +91,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return stored(placed.join(before, "i").select("key", "copies", "before", "before_n"), "neighbours")
 
 
-def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = K, w: int = W, width: int = WIDTH) -> DataFrame:
     """doc_id, next_id, text, edited, selected and edited_selected (packed longs), near_edited, near_next of every document.
 
     edited: the last third (rounded down) of the text gives way to the first as many
@@ -100,7 +102,7 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     ring = neighbours(docs)
     # Both sides of the last join read docs with the same columns, so that Spark shuffles the texts once for both.
     heads = docs.join(ring, "key").select(
-        F.col("before").alias("key"), F.col("doc_id").alias("next_id"), F.expr("left(text, cast(before_n div 3 as int))").alias("head"), hashes(fingerprint(F.col("text"), k, w)).alias("next")
+        F.col("before").alias("key"), F.col("doc_id").alias("next_id"), F.expr("left(text, cast(before_n div 3 as int))").alias("head"), hashes(fingerprint(F.col("text"), k, w, width)).alias("next")
     )
     if not ring.where("copies > 1").isEmpty():
         heads = heads.dropDuplicates(["key"])  # repeated rows have equal heads
@@ -108,6 +110,6 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     third = "cast(length(text) div 3 as int)"
     edited = F.concat(F.expr(f"left(text, length(text) - {third})"), F.expr(f"left(head, {third})"))
     out = out.select("doc_id", "next_id", "text", "next", edited.alias("edited"))
-    out = out.withColumn("selected", fingerprint(F.col("text"), k, w)).withColumn("edited_selected", fingerprint(F.col("edited"), k, w))
+    out = out.withColumn("selected", fingerprint(F.col("text"), k, w, width)).withColumn("edited_selected", fingerprint(F.col("edited"), k, w, width))
     own = hashes(F.col("selected"))
     return out.withColumn("near_edited", likeness(own, hashes(F.col("edited_selected")))).withColumn("near_next", likeness(own, F.col("next"))).drop("next")
