@@ -16,7 +16,8 @@ so what is broadcast is bounded whatever the benchmark's size.
 
 Defined results: null and empty texts and items match nothing; an item with fewer words
 than n has no seed and matches nothing; of equal items each is reported; equal documents
-are reported once per doc_id; rows with a null doc_id are reported with a null doc_id.
+are reported once per doc_id; rows with a null doc_id are reported with a null doc_id; of
+alignments with equal scores the one that ends last is told.
 """
 
 from __future__ import annotations
@@ -211,7 +212,9 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, least: float = 0
         if block.num_rows:
             words = block.column("words").combine_chunks()
             of = np.concatenate(([0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-            passes.append(_found(docs, block.column("item_id").combine_chunks(), words.flatten().to_numpy().view(np.uint64), of, n, least, schema))
+            found = _found(docs, block.column("item_id").combine_chunks(), words.flatten().to_numpy().view(np.uint64), of, n, least, schema)
+            # Written, so that the driver holds one block at a time.
+            passes.append(stored(found, "found") if blocks > 1 else found)
     if not passes:
         return docs.sparkSession.createDataFrame([], schema)
     found = reduce(DataFrame.union, passes)
