@@ -72,6 +72,24 @@ def word_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_word_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def register_functions(spark: SparkSession) -> None:
-    """Make word_similarity callable from SQL; the others are column expressions."""
+    """Make the functions callable from SQL: temporary SQL functions, and word_similarity as a pandas UDF."""
     spark.udf.register("word_similarity", word_similarity)
+    numbers = "ARRAY<DOUBLE>"
+    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> p * q), CAST(0 AS DOUBLE), (s, v) -> s + v)"
+    word = "transform(sequence(1, length(w) + 1), i -> substring(concat('  ', w, ' '), i, 3))"
+    of = lambda x: f"array_distinct(flatten(transform(filter(split(lower({x}), {_quoted('[^\\p{L}\\p{N}]+')}), w -> w <> ''), w -> {word})))"
+    every = f"size(array_union({of('a')}, {of('b')}))"
+    bodies = (
+        ("norm_text(s STRING) RETURNS STRING", f"regexp_replace(lower(translate(coalesce(s, ''), {_quoted(_FROM)}, {_quoted(_TO)})), {_quoted(_DROP)}, '')"),
+        ("trigrams(s STRING) RETURNS ARRAY<STRING>", of("s")),
+        ("trigram_similarity(a STRING, b STRING) RETURNS DOUBLE", f"CASE WHEN {every} > 0 THEN size(array_intersect({of('a')}, {of('b')})) / {every} ELSE CAST(0 AS DOUBLE) END"),
+        (f"cosine_similarity(a {numbers}, b {numbers}) RETURNS DOUBLE", f"CASE WHEN {dot('a', 'a')} * {dot('b', 'b')} = 0 THEN CAST(0 AS DOUBLE) ELSE {dot('a', 'b')} / (sqrt({dot('a', 'a')}) * sqrt({dot('b', 'b')})) END"),
+        ("truncate_text(s STRING, most INT) RETURNS STRING", "CASE WHEN most <= 0 THEN '' WHEN length(s) > most THEN IF(most <= 3, left(s, most), concat(left(s, most - 3), '...')) ELSE coalesce(s, '') END"),
+    )
+    for head, body in bodies:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

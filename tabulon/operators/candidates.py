@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Raw categories and what they stand for, in order of precedence.
+from .iteration import stored
+from .join_graph import find_paths, joined_targets
+
+#: Raw categories and what they stand for.
 CATEGORIES = {
-    "fact": ("fact", "事实表", "fact_table", "事实"),
-    "bridge": ("bridge", "桥接表", "关联表", "bridge_table"),
-    "dimension": ("dimension", "dim", "维度表", "dim_table"),
+    "fact": ("fact", "事实表", "交易表", "明细表", "流水表", "快照表", "汇总表"),
+    "dimension": ("dim", "dimension", "维度表", "实体表", "枚举表", "查找表"),
+    "bridge": ("bridge", "桥接表", "关联表"),
 }
 
 
@@ -32,10 +35,13 @@ def table_names(tables: DataFrame, columns: DataFrame) -> DataFrame:
     return tables.select("query_id", "table_name").union(columns.where("parent_id is not null").select("query_id", "parent_id")).distinct()
 
 
-def category_map(tables: DataFrame, columns: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(query_id, table_name, table_category): from table hits; parents of column hits that lack one are looked up."""
+def category_map(tables: DataFrame, columns: DataFrame, catalogue: DataFrame, value_hits: DataFrame | None = None) -> DataFrame:
+    """(query_id, table_name, table_category): from table hits; parents of column hits and tables of value hits that lack one are looked up."""
     known = tables.groupBy("query_id", "table_name").agg(F.max("table_category").alias("table_category"))
-    lacking = columns.where("parent_id is not null").select("query_id", F.col("parent_id").alias("table_name")).distinct().join(known, ["query_id", "table_name"], "left_anti")
+    named = columns.where("parent_id is not null").select("query_id", F.col("parent_id").alias("table_name"))
+    if value_hits is not None:
+        named = named.union(value_hits.select("query_id", "table_name"))
+    lacking = named.distinct().join(known, ["query_id", "table_name"], "left_anti")
     found = lacking.join(catalogue.where("table_category <> ''").select(F.col("object_id").alias("table_name"), "table_category"), "table_name")
     return known.unionByName(found.select("query_id", "table_name", "table_category"))
 
@@ -70,41 +76,66 @@ def merged(tables: DataFrame, parent_rows: DataFrame, value_tables: DataFrame) -
 
 
 def dimension_only(candidates: DataFrame, tasks: DataFrame, gap: float = 0.05) -> DataFrame:
-    """(query_id, dimension_only, table_name): whether a question can do with one dimension table, and with which.
+    """(query_id, dimension_only, table_name): whether a question can do with its one dimension table.
 
-    candidates: query_id, group, table_name, similarity; tasks: query_id, is_aggregate.
-    In this order: an aggregate needs facts; without dimensions there is no way; without
-    facts the best dimension does; a best dimension at least `gap` over the best fact does;
-    else facts are used.
+    candidates: query_id, group, table_name, similarity; tasks: query_id, has_time.  A
+    question about a time needs facts, and so does one with no dimension or several.  One dimension does
+    without facts, or if it is more similar than the best fact by more than `gap`.
     """
     dim, fact = F.col("group") == "dimension", F.col("group") == "fact"
     s = candidates.groupBy("query_id").agg(
-        F.max(F.when(fact, F.col("similarity"))).alias("fact"), F.count_if(fact).alias("facts"), F.max(F.when(dim, F.col("similarity"))).alias("dim"),
-        F.min(F.when(dim, F.struct(-F.coalesce("similarity", F.lit(0.0)), "table_name"))).getField("table_name").alias("best"),
+        F.max(F.when(fact, F.coalesce("similarity", F.lit(0.0)))).alias("fact"), F.max(F.when(dim, F.coalesce("similarity", F.lit(0.0)))).alias("dim"),
+        F.count_if(dim).alias("dims"), F.count("similarity").alias("scored"), F.min(F.when(dim, F.col("table_name"))).alias("one"),
     )
     s = tasks.join(s, "query_id", "left")
-    lead = F.coalesce("dim", F.lit(0.0)) - F.coalesce("fact", F.lit(0.0)) >= gap
-    yes = F.when(F.col("is_aggregate"), F.lit(False)).when(F.col("best").isNull(), F.lit(False)).when(F.col("facts") == 0, F.lit(True)).otherwise(lead)
-    return s.select("query_id", yes.alias("dimension_only"), F.when(yes, F.col("best")).alias("table_name"))
+    alone = F.col("fact").isNull() | ((F.col("scored") > 0) & (F.col("dim") > F.col("fact") + gap))
+    yes = F.coalesce(~F.coalesce("has_time", F.lit(False)) & (F.col("dims") == 1) & alone, F.lit(False))
+    return s.select("query_id", yes.alias("dimension_only"), F.when(yes, F.col("one")).alias("table_name"))
 
 
-def base_table(candidates: DataFrame) -> DataFrame:
-    """(query_id, table_name): the fact of the highest similarity, else the best dimension; candidates have place for ties."""
-    rank = F.when(F.col("group") == "fact", 0).otherwise(1)
-    order = Window.partitionBy("query_id").orderBy(rank, F.desc(F.coalesce("similarity", F.lit(0.0))), "place", "table_name")
-    return candidates.where("group <> 'bridge'").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", "table_name")
+def base_table(candidates: DataFrame, reach: DataFrame) -> DataFrame:
+    """(query_id, table_name): the fact of the highest similarity, in candidate order; without facts the best dimension."""
+    facts = candidates.where("group = 'fact'")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("similarity", F.lit(0.0))), "place")
+    best = facts.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", "table_name")
+    others = candidates.join(facts.select("query_id").distinct(), "query_id", "left_anti")
+    return best.unionByName(best_dimension(others, reach))
 
 
 def best_dimension(candidates: DataFrame, reach: DataFrame) -> DataFrame:
-    """(query_id, table_name): the dimension that reaches most of the others by reach (base, target), then by similarity."""
-    d = candidates.where("group = 'dimension'").select("query_id", "table_name", "similarity")
+    """(query_id, table_name): the dimension that reaches most of the others by reach (base, target), then by similarity, then in candidate order."""
+    d = candidates.where("group = 'dimension'").select("query_id", "table_name", "similarity", "place")
     others = d.select("query_id", F.col("table_name").alias("target"))
     hits = d.select("query_id", F.col("table_name").alias("base")).join(reach.select("base", "target").distinct(), "base").join(others, ["query_id", "target"])
     counts = hits.where("base <> target").groupBy("query_id", F.col("base").alias("table_name")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("n", F.lit(0))), F.desc(F.coalesce("similarity", F.lit(0.0))), "table_name")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("n", F.lit(0))), F.desc(F.coalesce("similarity", F.lit(0.0))), "place")
     return d.join(counts, ["query_id", "table_name"], "left").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", "table_name")
 
 
+def question_plans(candidates: DataFrame, tasks: DataFrame, edges: DataFrame, gap: float = 0.05, max_hops: int = 5) -> DataFrame:
+    """(query_id, base, targets, edges): the join plan of every question that has a fact or a dimension.
+
+    candidates: query_id, group, table_name, place, similarity; tasks: query_id, has_time.
+    A question that its one dimension answers has no targets; so has one with a single
+    table.  Otherwise the base is joined to all other candidates, facts, dimensions and bridges in
+    order; edges of their paths come once for each (src_table, dst_table).  Unreachable
+    targets stay, without edges.  All questions' paths are searched together.
+    """
+    candidates = stored(candidates.select("query_id", "group", "table_name", "place", "similarity"), "candidates")
+    names = candidates.select("query_id", "table_name").distinct()
+    pairs = names.select("query_id", F.col("table_name").alias("base")).join(names.select("query_id", F.col("table_name").alias("target")), "query_id")
+    found = stored(find_paths(edges, pairs.where("base <> target").select("base", "target").distinct(), max_hops).where("hops > 0"), "found")
+    only = dimension_only(candidates, tasks, gap)
+    rest = candidates.join(only.where("dimension_only").select("query_id"), "query_id", "left_anti")
+    base = stored(base_table(rest, found).select("query_id", F.col("table_name").alias("base")), "bases")
+    rank = F.when(F.col("group") == "fact", 0).when(F.col("group") == "dimension", 1).otherwise(2)
+    firsts = rest.groupBy("query_id", F.col("table_name").alias("target")).agg(F.min(F.struct(rank.alias("rank"), "place")).alias("at"))
+    plans = joined_targets(found, firsts.join(base, "query_id").where("target <> base"))
+    alone = base.unionByName(only.where("dimension_only").select("query_id", F.col("table_name").alias("base"))).join(plans, ["query_id", "base"], "left")
+    none = lambda c: F.coalesce(c, F.expr(f"cast(array() as {plans.schema[c].dataType.simpleString()})")).alias(c)
+    return alone.select("query_id", "base", none("targets"), none("edges"))
+
+
 def counters(**parts: DataFrame) -> DataFrame:
     """(query_id, <name> ...): rows of each part for every question that has any."""
     rows = None
@@ -114,18 +145,34 @@ def counters(**parts: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(*[F.count_if(F.col("part") == n).alias(n) for n in parts])
 
 
-def context(tables: DataFrame, columns: DataFrame, value_tables: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """One row a question: base table and the ordered facts, dimensions and bridges with their cards.
+def context(tables: DataFrame, columns: DataFrame, value_hits: DataFrame, catalogue: DataFrame, tasks: DataFrame, edges: DataFrame, examples: DataFrame) -> DataFrame:
+    """One row a question, the whole retrieval as one plan.
 
-    The whole retrieval as one plan: categories, parents, similarities, merge, base, cards.
-    Cards come for facts and dimensions.
+    value_hits: query_id, table_name, ordinal, source_text, matched_text, score; tasks: query_id, has_time;
+    examples: query_id, similarity, ordinal, example (struct).  Columns: the ordered facts, dimensions and
+    bridges, cards of facts and dimensions, table_categories (map), join plan (base, targets, edges),
+    similar_sqls by similarity, value_hits (the best for each source text and table, by
+    score), and counters table_count, column_count, dim_match_count, join_plan_count.
     """
-    known = category_map(tables, columns, catalogue)
+    known = category_map(tables, columns, catalogue, value_hits)
     parent_rows = parents(columns, known)
-    places = merged(tables, parent_rows, value_tables)
-    scored = places.join(similarities(tables, parent_rows), ["query_id", "table_name"], "left")
+    places = merged(tables, parent_rows, value_hits.select("query_id", "table_name", "ordinal"))
+    scored = stored(places.join(similarities(tables, parent_rows), ["query_id", "table_name"], "left"), "scored")
     cards = catalogue.select(F.col("object_id").alias("table_name"), "text_raw")
-    full = scored.join(cards, "table_name", "left").withColumn("text_raw", F.when(F.col("group") != "bridge", F.col("text_raw")))
-    listed = lambda g: F.transform(F.array_sort(F.collect_list(F.when(F.col("group") == g, F.struct("place", "table_name", "text_raw")))), lambda x: F.struct(x["table_name"].alias("table_name"), x["text_raw"].alias("card")))
-    out = full.groupBy("query_id").agg(listed("fact").alias("facts"), listed("dimension").alias("dimensions"), listed("bridge").alias("bridges"))
-    return out.join(base_table(scored).withColumnRenamed("table_name", "base"), "query_id", "left")
+    full = scored.join(cards, "table_name", "left").join(known, ["query_id", "table_name"], "left")
+    listed = lambda g: F.transform(F.array_sort(F.collect_list(F.when(F.col("group") == g, F.struct("place", "table_name")))), lambda x: x["table_name"])
+    carded = F.collect_set(F.when((F.col("group") != "bridge") & F.col("text_raw").isNotNull(), F.struct("table_name", "text_raw")))
+    named = F.collect_set(F.when(F.col("table_category").isNotNull(), F.struct("table_name", "table_category")))
+    out = full.groupBy("query_id").agg(
+        listed("fact").alias("facts"), listed("dimension").alias("dimensions"), listed("bridge").alias("bridges"), F.map_from_entries(carded).alias("cards"),
+        F.map_from_entries(named).alias("table_categories"), F.count_distinct("table_name").alias("table_count"),
+    )
+    plan = question_plans(scored, tasks, edges).withColumn("join_plan_count", F.lit(1))
+    shown = examples.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "ordinal", "example"))), lambda x: x["example"]).alias("similar_sqls"))
+    best = value_hits.groupBy("query_id", "source_text", "table_name").agg(F.max(F.struct("score", "matched_text")).alias("hit"))
+    hit = F.struct((-F.col("hit.score")).alias("s"), "source_text", "table_name", F.col("hit.matched_text").alias("matched_text"))
+    hits = best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(hit)), lambda x: F.struct(x["source_text"].alias("source_text"), x["matched_text"].alias("matched_text"), x["table_name"].alias("table_name"), (-x["s"]).alias("score"))).alias("value_hits"))
+    n = counters(column_count=columns, dim_match_count=value_hits)
+    for part in (plan, shown, hits, n):
+        out = out.join(part, "query_id", "left")
+    return out.fillna(0, ["join_plan_count", "column_count", "dim_match_count"])

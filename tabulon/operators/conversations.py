@@ -64,7 +64,8 @@ def turn_rows(turns: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def write_turns(turns: DataFrame, path: str) -> None:
-    turn_rows(turns).write.mode("append").partitionBy("user_id").parquet(path)
+    """Appends by day, so that the number of folders does not grow with the users."""
+    turn_rows(turns).withColumn("day", F.to_date("created_at")).repartition("day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def succeeded(turns: DataFrame, log: DataFrame) -> DataFrame:
@@ -77,11 +78,13 @@ def recent_turns(turns: DataFrame, n: int = 3, most: int = 200, exclude: Column
     """(thread_id, place, question, answer): the last n good turns of each thread, oldest first.
 
     The newest n * fetch_multiplier rows are taken before failures, blanks and the excluded
-    one are dropped, so many failures can hide older successes.
+    one are dropped, so many failures can hide older successes.  Questions and answers lose
+    the white space around them.
     """
     newest = Window.partitionBy("thread_id").orderBy(F.desc("updated_at"), F.desc("query_id"))
     t = turns.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n * fetch_multiplier)
-    t = t.where(F.col("success") & (F.trim("question") != "") & (F.trim("answer") != ""))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    t = t.withColumn("question", bare("question")).withColumn("answer", bare("answer")).where(F.col("success") & (F.col("question") != "") & (F.col("answer") != ""))
     if exclude is not None:
         t = t.where(~exclude)
     t = t.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)

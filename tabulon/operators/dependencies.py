@@ -69,17 +69,31 @@ def status_counts(sub: DataFrame) -> DataFrame:
 
 
 def stop_rule(sub: DataFrame, rounds: DataFrame, max_rounds: int = 5) -> DataFrame:
-    """(query_id, action, round) in this order: all done, rounds used up, nothing ready, next round.
+    """(query_id, action, round) in this order: all done, rounds used up, some pending and none of them ready, next round.
 
     rounds: (query_id, round).
     """
     can = ready(sub).groupBy("query_id").agg(F.count("*").alias("ready"))
     out = status_counts(sub).join(rounds, "query_id").join(can, "query_id", "left")
     done = F.col("completed") + F.col("failed") == F.col("total")
-    action = F.when(done, "stop").when(F.col("round") >= max_rounds, "fail_rounds").when(F.coalesce("ready", F.lit(0)) == 0, "fail_deadlock").otherwise("continue")
+    action = F.when(done, "stop").when(F.col("round") >= max_rounds, "fail_rounds").when((F.col("pending") > 0) & (F.coalesce("ready", F.lit(0)) == 0), "fail_deadlock").otherwise("continue")
     return out.select("query_id", action.alias("action"), F.when(action == "continue", F.col("round") + 1).otherwise(F.col("round")).alias("round"))
 
 
+#: What is said of sub-queries that the stop rule ends.
+ENDED = {"fail_rounds": "超过最大轮次 {rounds}，强制终止", "fail_deadlock": "依赖环或孤立子查询，无法继续推进"}
+
+
+def stopped(sub: DataFrame, rounds: DataFrame, max_rounds: int = 5) -> DataFrame:
+    """sub with the status and error that the stop rule gives: used-up rounds fail all that is not done, a deadlock all that is pending."""
+    out = with_status(sub).join(stop_rule(sub, rounds, max_rounds).select("query_id", "action"), "query_id", "left")
+    over = (F.col("action") == "fail_rounds") & F.col("status").isin("pending", "in_progress")
+    stuck = (F.col("action") == "fail_deadlock") & (F.col("status") == "pending")
+    error = F.col("error") if "error" in sub.columns else F.lit(None).cast("string")
+    error = F.when(over, ENDED["fail_rounds"].format(rounds=max_rounds)).when(stuck, ENDED["fail_deadlock"]).otherwise(error)
+    return out.withColumn("error", error).withColumn("status", F.when(over | stuck, "failed").otherwise(F.col("status"))).drop("action")
+
+
 def shaped(plans: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
     """plans (query_id, sub_queries ARRAY<STRUCT<id, query, dependencies>>) -> the first `most`, ids prefixed; fewer than `least` is an error."""
     pre = lambda x: F.concat("query_id", F.lit("_"), x)

@@ -55,7 +55,7 @@ def paths(edges: DataFrame, pairs: DataFrame, by: str = "cost", max_hops: int |
 
 
 def find_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 5, strategy: str = "cost") -> DataFrame:
-    """Cheapest paths, with the shortest ones for pairs that those leave out."""
+    """Cheapest paths, with the shortest ones for pairs that those leave out.  The search runs when this is called, a round at a time."""
     first = paths(edges, pairs, "cost") if strategy == "cost" else paths(edges, pairs, "hops", max_hops)
     if strategy != "cost":
         return first
@@ -84,6 +84,25 @@ def plans(found: DataFrame, key: tuple[str, ...] = ("src_table", "dst_table", "o
     return edges.join(reach, "base").select("base", trimmed.alias("edges"), "targets", "total_cost", "max_hops")
 
 
+def joined_targets(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, base, targets, edges) of wanted (query_id, base, target, at): targets in order of at, edges once for each (src_table, dst_table).
+
+    found: paths of distinct pairs (base, target), whichever questions ask for them.  Targets that cannot be reached stay, without edges.
+    """
+    steps = wanted.join(found.where("hops > 0"), ["base", "target"]).select("query_id", "base", "at", F.posexplode("edges").alias("pos", "e"))
+    once = steps.groupBy("query_id", "base", "e.src_table", "e.dst_table").agg(F.min(F.struct("at", "pos", "e")).alias("first"))
+    joined = once.groupBy("query_id", "base").agg(F.transform(F.array_sort(F.collect_list("first")), lambda x: x["e"]).alias("edges"))
+    targets = wanted.groupBy("query_id", "base").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "target"))), lambda x: x["target"]).alias("targets"))
+    return targets.join(joined, ["query_id", "base"], "left")
+
+
+def base_plans(edges: DataFrame, bases: DataFrame, tables: DataFrame, max_hops: int = 5) -> DataFrame:
+    """(query_id, base, targets, edges): a plan of every base (query_id, base) with all other tables (query_id, table_name, place) of its question; bases without edges have none."""
+    wanted = bases.join(tables.select("query_id", F.col("table_name").alias("target"), F.col("place").alias("at")), "query_id").where("target <> base")
+    found = find_paths(edges, wanted.select("base", "target").distinct(), max_hops)
+    return joined_targets(found, wanted).where("edges is not null")
+
+
 def merged_edges(plan_rows: DataFrame, key: tuple[str, ...] = ("src_table", "dst_table", "on")) -> DataFrame:
     """The distinct edges of all plans, in order of base and place: (ordinal, ...)."""
     e = plan_rows.select("base", F.posexplode("edges").alias("pos", "e")).select("base", "pos", "e.*")

@@ -63,6 +63,17 @@ def dimension_values(parsed: DataFrame, role: str = "value") -> DataFrame:
     return d.select("query_id", "source_index", F.col("d.text").alias("text")).where(F.trim("text") != "")
 
 
+def value_hits(parsed: DataFrame, index: DataFrame, k: int = 5, **options) -> DataFrame:
+    """(query_id, source_index, source_text, ...): the look-up of every value dimension's trimmed text; equal texts are looked up once.
+
+    source_index is that of the question's first dimension with this text.
+    """
+    asked = dimension_values(parsed).select("query_id", "source_index", F.trim("text").alias("query_value"))
+    hits = look_up(asked.select(F.col("query_value").alias("query_id"), "query_value").distinct(), index, k, **options).drop("query_id").withColumnRenamed("query_value", "source_text")
+    firsts = asked.withColumn("source_index", F.min("source_index").over(Window.partitionBy("query_id", "query_value"))).withColumnRenamed("query_value", "source_text")
+    return firsts.join(hits, "source_text").select("query_id", "source_index", *hits.columns)
+
+
 def at_least(matches: DataFrame, min_score: float = 0.5) -> DataFrame:
     return matches.where(F.coalesce("score", F.lit(0.0)) >= min_score)
 
@@ -103,8 +114,8 @@ def effective_filters(dimensions: DataFrame, matches: DataFrame, min_score: floa
 
 def suggested_predicate() -> tuple[Column, Column]:
     """(predicate, band) of match rows: key equality if there is a key, else LIKE; bands at 0.8 and 0.5."""
-    keyed = F.concat("dim_table", F.lit("."), "key_col", F.lit("='"), "key_value", F.lit("'"))
-    like = F.concat("dim_table", F.lit("."), "dim_col", F.lit(" LIKE '%"), "matched_text", F.lit("%'"))
+    keyed = F.concat("dim_table", F.lit("."), "key_col", F.lit("='"), F.replace("key_value", F.lit("'"), F.lit("''")), F.lit("'"))
+    like = F.concat("dim_table", F.lit("."), "dim_col", F.lit(" LIKE '%"), F.replace("matched_text", F.lit("'"), F.lit("''")), F.lit("%'"))
     has_key = (F.coalesce("key_col", F.lit("")) != "") & (F.coalesce("key_value", F.lit("")) != "")
     band = F.when(F.col("score") >= 0.8, "high").when(F.col("score") >= 0.5, "medium").otherwise("low")
     return F.when(has_key, keyed).otherwise(like), band

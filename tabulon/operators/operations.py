@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Markers of errors that a retry cannot mend.
-FINAL_MARKERS = ("400", "401", "authentication", "invalid api key", "bad request", "bad_request")
+FINAL_MARKERS = (" 400", "status_code=400", "bad request", "invalid request", "invalidrequest", " 401", "status_code=401", "authentication", "unauthorized")
 
 
 def completeness(df: DataFrame, column: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clamp01, cosine_similarity
+from .iteration import stored
 
 #: Query vectors in one block: 4096 of width 1024 are 32 MB in each task.
 BLOCK = 4096
@@ -18,26 +19,41 @@ BLOCK = 4096
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float = 0.0, clamp: bool = False) -> DataFrame:
     """(query_id, object_id, similarity, rank): exact cosine top-k of corpus (object_id, embedding) for queries (query_id, embedding).
 
-    The queries go to the tasks in blocks of bounded size, one pass over the corpus each.
+    The queries go to the tasks in blocks of bounded size, one pass over the corpus each,
+    and a block's hits are written before the next one is collected, so that the driver holds one block.
     A task scores a batch by one matrix product and keeps its k best of each query, so
     k rows a query and batch are shuffled, not the product.  Similarities below the
     threshold are dropped first; clamping to 0..1 comes after.  Ties go to the lesser object_id.
     """
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "object_id")
+    best = _scored(queries, corpus, k, threshold, lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return best.withColumn("similarity", clamp01(F.col("similarity"))) if clamp else best
+
+
+def scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, object_id, similarity) of every query with every object, for audits of a few queries."""
+    return _scored(queries, corpus, None, -1.0, lambda found: found)
+
+
+def _scored(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: float, best_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     ids = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = -(-ids.count() // BLOCK)
+    blocks = max(1, -(-ids.count() // BLOCK))
     id_types = (queries.schema["query_id"].dataType.simpleString(), corpus.schema["object_id"].dataType.simpleString())
     rows = corpus.select("object_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.size("embedding") > 0)
-    best = None
-    for b in range(max(1, blocks)):
-        part = ids.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == b).toPandas()
-        found = rows.mapInPandas(_scorer(part, k, threshold), f"query_id {id_types[0]}, object_id {id_types[1]}, similarity double")
-        best = found if best is None else best.unionByName(found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "object_id")
-    out = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return out.withColumn("similarity", clamp01(F.col("similarity"))) if clamp else out
+    out = None
+    for b in range(blocks):
+        part = ids.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        found = best_of(rows.mapInPandas(_scorer(part, k, threshold), f"query_id {id_types[0]}, object_id {id_types[1]}, similarity double"))
+        found = stored(found, "hits") if blocks > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+#: Similarities that a task holds at a time.
+CELLS = 1 << 22
 
 
-def _scorer(queries: pd.DataFrame, k: int, threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _scorer(queries: pd.DataFrame, k: int | None, threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     keys = queries["query_id"].to_numpy()
     q = np.stack(queries["embedding"].to_numpy()) if len(queries) else np.zeros((0, 0))
     norms = np.linalg.norm(q, axis=1) if len(queries) else np.zeros(0)
@@ -46,21 +62,63 @@ def _scorer(queries: pd.DataFrame, k: int, threshold: float) -> Callable[[Iterat
         for frame in frames:
             if not len(frame) or not len(keys):
                 continue
-            x = np.stack(frame["embedding"].to_numpy())
-            size = np.outer(norms, np.linalg.norm(x, axis=1))
-            sim = np.divide(q @ x.T, size, out=np.zeros_like(size), where=size > 0)
-            # Rounding first keeps ties between equal vectors whatever the order of a product's sums.
-            sim = np.round(sim, 12)
-            ids = frame["object_id"].to_numpy()
-            for i in range(len(keys)):
-                at = np.lexsort((ids, -sim[i]))[:k] if len(ids) > k else np.arange(len(ids))
-                at = at[sim[i][at] >= threshold]
-                if len(at):
-                    yield pd.DataFrame({"query_id": keys[i], "object_id": ids[at], "similarity": sim[i][at]})
+            # In order of id, so that an earlier column wins a tie.
+            frame = frame.sort_values("object_id", kind="stable")
+            x, ids = np.stack(frame["embedding"].to_numpy()), frame["object_id"].to_numpy()
+            lengths, step = np.linalg.norm(x, axis=1), max(1, CELLS // len(ids))
+            for a in range(0, len(keys), step):
+                size = np.outer(norms[a : a + step], lengths)
+                sim = np.divide(q[a : a + step] @ x.T, size, out=np.zeros_like(size), where=size > 0)
+                # Rounding first keeps ties between equal vectors whatever the order of a product's sums.
+                sim = np.round(sim, 12)
+                keep = sim >= threshold
+                if k is not None and len(ids) > k:
+                    keep &= sim >= np.partition(sim, len(ids) - k, axis=1)[:, len(ids) - k :][:, :1]
+                    for i in np.flatnonzero(keep.sum(axis=1) > 4 * k):
+                        first = np.argsort(-sim[i], kind="stable")[:k]
+                        keep[i] = False
+                        keep[i, first] = sim[i, first] >= threshold
+                at, col = np.nonzero(keep)
+                yield pd.DataFrame({"query_id": keys[a + at], "object_id": ids[col], "similarity": sim[at, col]})
 
     return each
 
 
+def normalised(hits: DataFrame, object_type: str) -> DataFrame:
+    """Hits with object_type, and table_name: their own, else object_id of tables and parent_id of columns."""
+    own = lambda c: F.col(c) if c in hits.columns else F.lit(None).cast("string")
+    table = F.col("object_id") if object_type == "table" else F.col("parent_id")
+    return hits.withColumn("object_type", F.coalesce(own("object_type"), F.lit(object_type))).withColumn("table_name", F.coalesce(own("table_name"), table.cast("string")))
+
+
+def value_search(queries: DataFrame, values: DataFrame, k: int = 5, min_score: float = 0.0) -> DataFrame:
+    """(query_id, dim_table, dim_col, matched_text, score, rank) of values (object_id, table_name, col_name, col_value, embedding).
+
+    With min_score, 2k values are taken first, those below it go, and the first k of the rest stay.
+    """
+    hits = top_k(queries, values, 2 * k if min_score > 0 else k, threshold=-1.0)
+    hits = hits.where(F.col("similarity") >= min_score) if min_score > 0 else hits
+    named = values.select("object_id", F.col("table_name").alias("dim_table"), F.col("col_name").alias("dim_col"), F.col("col_value").alias("matched_text"))
+    # Those that go are the last ones, so ranks stay.
+    return hits.where(F.col("rank") <= k).join(named, "object_id").select("query_id", "dim_table", "dim_col", "matched_text", F.col("similarity").alias("score"), "rank")
+
+
+def similar_examples(queries: DataFrame, examples: DataFrame, k: int = 3, least: float = 0.6) -> DataFrame:
+    """(query_id, object_id, similarity, rank, question, sql): the best examples (object_id, embedding, document) of each question."""
+    hits = top_k(queries, examples, k, threshold=least).join(examples.select("object_id", "document"), "object_id")
+    return parsed_examples(hits).select("query_id", "object_id", "similarity", "rank", "question", "sql")
+
+
+def probe_hits(probe_rows: DataFrame, vectors: DataFrame, columns: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
+    """(query_id, source_text, object_id, similarity, rank): the best columns for each probe (query_id, text).
+
+    vectors: (text, embedding).  A text that many questions share is searched once.
+    """
+    asked = probe_rows.select("text").distinct().join(vectors, "text").select(F.col("text").alias("query_id"), "embedding")
+    hits = top_k(asked, columns, k, threshold).withColumnRenamed("query_id", "source_text")
+    return probe_rows.select("query_id", F.col("text").alias("source_text")).join(hits, "source_text").select("query_id", "source_text", "object_id", "similarity", "rank")
+
+
 def with_parent(hits: DataFrame, objects: DataFrame) -> DataFrame:
     """Column hits with table_category of their parent table; joined after the limit, so only hits are joined."""
     parents = objects.where("object_type = 'table'").select(F.col("object_id").alias("parent_id"), "table_category")
@@ -77,9 +135,9 @@ def similarity_report(corpus: DataFrame, query: DataFrame, n: int = 15) -> DataF
     return top_k(query, corpus, n, threshold=-1.0)
 
 
-def parity(a: DataFrame, b: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """(object_id, a, b, differs) of two stores' (object_id, similarity); a missing side differs."""
-    joined = a.select("object_id", F.col("similarity").alias("a")).join(b.select("object_id", F.col("similarity").alias("b")), "object_id", "full_outer")
+def parity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("object_id",), tolerance: float = 0.01) -> DataFrame:
+    """(*keys, a, b, differs) of two stores' (*keys, similarity); a missing side differs."""
+    joined = a.select(*keys, F.col("similarity").alias("a")).join(b.select(*keys, F.col("similarity").alias("b")), list(keys), "full_outer")
     return joined.withColumn("differs", F.coalesce(F.abs(F.col("a") - F.col("b")) > tolerance, F.lit(True)))
 
 

@@ -45,11 +45,11 @@ def dependency_results(results: DataFrame, n: int = 5, cell: int | None = None)
 
 
 def preview(results: DataFrame, columns: list[str], order: str, n: int = 10) -> DataFrame:
-    """(query_id, text): header, rule and the first n rows of each result, '...' if there are n or more."""
+    """(query_id, text): header, a rule of 50 dashes and the first n rows of each result, '...' if there are n or more."""
     w = Window.partitionBy("query_id")
     rows = results.withColumn("_n", F.row_number().over(w.orderBy(order))).withColumn("_all", F.count("*").over(w)).where(F.col("_n") <= n)
     cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    head = " | ".join(columns) + "\n" + "-" * len(" | ".join(columns)) + "\n"
+    head = " | ".join(columns) + "\n" + "-" * 50 + "\n"
     body = _lines(rows, cells, "_n").withColumnRenamed("text", "body")
     more = rows.groupBy("query_id").agg((F.max("_all") >= n).alias("more"))
     return body.join(more, "query_id").select("query_id", F.concat(F.lit(head), "body", F.when(F.col("more"), "\n...").otherwise("")).alias("text"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Statement types that may run, and words that may not occur.
 ALLOWED = ("SELECT", "WITH", "UNKNOWN")
-FORBIDDEN = ("DROP", "DELETE", "INSERT", "UPDATE", "TRUNCATE", "ALTER", "CREATE", "GRANT", "REVOKE", "EXECUTE", "EXEC")
+FORBIDDEN = ("DROP", "DELETE", "TRUNCATE", "ALTER", "CREATE", "INSERT", "UPDATE", "GRANT", "REVOKE", "EXEC", "EXECUTE")
 
 
 def statements(sql: Column) -> Column:
@@ -55,19 +55,27 @@ def tables_used(sql: Column) -> Column:
     return F.regexp_extract_all(sql, F.lit(r"(?i)\b(?:from|join)\s+([A-Za-z_][\w.]*)"), F.lit(1))
 
 
-def verdict(df: DataFrame, sql: str = "sql", syntax: bool = True, security: bool = True) -> DataFrame:
-    """df with errors, layer (the first that failed, else 'passed') and valid; later layers are not looked at."""
-    a = syntax_errors(F.col(sql)) if syntax else F.array().cast("array<string>")
-    b = security_errors(F.col(sql)) if security else F.array().cast("array<string>")
-    out = df.withColumn("_a", a).withColumn("_b", b)
-    layer = F.when(F.size("_a") > 0, "syntax").when(F.size("_b") > 0, "security").otherwise("passed")
-    out = out.withColumn("layer", layer).withColumn("errors", F.when(F.col("layer") == "syntax", F.col("_a")).otherwise(F.col("_b")))
-    return out.withColumn("valid", F.col("layer") == "passed").drop("_a", "_b")
+def verdict(df: DataFrame, sql: str = "sql", syntax: bool = True, security: bool = True, plan: str | None = None, plan_error: str | None = None) -> DataFrame:
+    """df with errors, warnings, layer (the first that failed, else 'all_passed') and valid; later layers are not looked at.
+
+    The semantic layer reads what EXPLAIN said: the columns plan and plan_error (see
+    explain_error).  Its warnings come with every row that reaches it.
+    """
+    none = F.array().cast("array<string>")
+    a, b = syntax_errors(F.col(sql)) if syntax else none, security_errors(F.col(sql)) if security else none
+    c = F.array_compact(F.array(F.col(plan_error))) if plan_error else none
+    out = df.withColumn("_a", a).withColumn("_b", b).withColumn("_c", c)
+    layer = F.when(F.size("_a") > 0, "syntax").when(F.size("_b") > 0, "security").when(F.size("_c") > 0, "semantic").otherwise("all_passed")
+    out = out.withColumn("layer", layer)
+    out = out.withColumn("errors", F.when(F.col("layer") == "syntax", F.col("_a")).when(F.col("layer") == "security", F.col("_b")).otherwise(F.col("_c")))
+    warned = plan_warnings(F.coalesce(plan, F.lit("")), F.col(sql)) if plan else none
+    out = out.withColumn("warnings", F.when(F.col("layer").isin("semantic", "all_passed"), warned).otherwise(none))
+    return out.withColumn("valid", F.col("layer") == "all_passed").drop("_a", "_b", "_c")
 
 
 def error_type(layer: Column, errors: Column) -> tuple[Column, Column]:
     """(type, message) of a failed verdict; null if it passed."""
-    failed = layer != "passed"
+    failed = layer != "all_passed"
     return F.when(failed, F.concat(F.lit("validation_"), layer, F.lit("_failed"))), F.when(failed, F.get(errors, F.lit(0)))
 
 
@@ -86,8 +94,8 @@ def classified(message: Column) -> tuple[Column, Column]:
     m = F.lower(message)
     has = lambda *xs: F.greatest(*[m.contains(x) for x in xs], F.lit(False))
     kind = (
-        F.when(has("relation") & has("does not exist") | has("table not found"), "table_not_found").when(has("column") & has("does not exist", "not found"), "column_not_found")
-        .when(has("out of range"), "out_of_range").when(has("connection", "timeout"), "connection").when(has("permission", "denied"), "permission").otherwise("unknown")
+        F.when(has("does not exist", "unknown"), F.when(has("table"), "table_not_found").otherwise("column_not_found")).when(has("out of range", "invalid date"), "out_of_range")
+        .when(has("connection", "timeout"), "connection_error").when(has("permission denied", "access denied"), "permission_error").otherwise("unknown_error")
     )
     return kind, kind.isin("table_not_found", "column_not_found", "out_of_range")
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import candidates as C
+from ..operators import join_graph as J
 from ..operators import rollups as R
 from ..sources import tables as T
 from ..sources.tables import table
@@ -43,9 +44,13 @@ def _parents(spark, d):
     return C.parents(columns, C.category_map(tables, columns, catalogue))
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'bridge' ELSE 'dimension' END AS grp FROM part""")
+#: Raw categories: every name, some in other letters or with blanks, and unknown ones.
+_RAW = ("Fact", "事实表", "交易表", "明细表", "流水表", "快照表", "汇总表", " DIM ", "Dimension", "维度表", "实体表", "枚举表", "查找表", "BRIDGE", "桥接表", "关联表", "unknown", "事实", "")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 19 < 7 THEN 'fact' WHEN p_partkey % 19 IN (13, 14, 15) THEN 'bridge' ELSE 'dimension' END AS grp FROM part""")
 def c_classify(spark, d):
-    raw = F.get(F.array(*[F.lit(x) for x in ("Fact", "桥接表", " DIM ", "unknown")]), F.col("p_size") % 4)
+    raw = F.get(F.array(*[F.lit(x) for x in _RAW]), (F.col("p_partkey") % 19).cast("int"))
     return table(spark, d, "part").select("p_partkey", C.classify(raw).alias("grp"))
 
 
@@ -92,26 +97,76 @@ def c_merged(spark, d):
     return _candidates(spark, d).withColumnRenamed("group", "grp")
 
 
-@query(f"""WITH {_HITS}, {_SIMS}, {_MERGED}, s AS (SELECT query_id, max(similarity) FILTER (grp = 'fact') AS f, count_if(grp = 'fact') AS nf, max(similarity) FILTER (grp = 'dimension') AS dm,
-    arg_min(table_name, (-coalesce(similarity, 0), table_name)) FILTER (grp = 'dimension') AS best FROM cand GROUP BY 1),
-    y AS (SELECT o_orderkey AS query_id, best, CASE WHEN o_custkey % 3 = 0 THEN false WHEN best IS NULL THEN false WHEN nf = 0 THEN true ELSE coalesce(dm, 0) - coalesce(f, 0) >= 0.05 END AS yes FROM orders LEFT JOIN s ON query_id = o_orderkey)
-    SELECT query_id, yes AS dimension_only, CASE WHEN yes THEN best END AS table_name FROM y""")
+_ONLY = """s AS (SELECT query_id, max(coalesce(similarity, 0)) FILTER (grp = 'fact') AS f, max(coalesce(similarity, 0)) FILTER (grp = 'dimension') AS dm, count_if(grp = 'dimension') AS nd, count(similarity) AS scored, min(table_name) FILTER (grp = 'dimension') AS one FROM cand GROUP BY 1),
+    only_dim AS (SELECT o_orderkey AS query_id, one, o_custkey % 3 <> 0 AND coalesce(nd, 0) = 1 AND (f IS NULL OR (scored > 0 AND dm > f + 0.05)) AS yes FROM orders LEFT JOIN s ON query_id = o_orderkey)"""
+
+
+def _tasks(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 3 == 0).alias("has_time"))
+
+
+@query(f"""WITH {_HITS}, {_SIMS}, {_MERGED}, {_ONLY} SELECT query_id, yes AS dimension_only, CASE WHEN yes THEN one END AS table_name FROM only_dim""")
 def c_dimension_only(spark, d):
-    tasks = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 3 == 0).alias("is_aggregate"))
-    return C.dimension_only(_candidates(spark, d), tasks)
+    return C.dimension_only(_candidates(spark, d), _tasks(spark, d))
 
 
-@query(f"""WITH {_HITS}, {_SIMS}, {_MERGED} SELECT query_id, table_name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN grp = 'fact' THEN 0 ELSE 1 END, coalesce(similarity, 0) DESC, place, table_name) AS n FROM cand WHERE grp <> 'bridge') WHERE n = 1""")
+_REACH = "reach AS (SELECT DISTINCT 't' || (l_partkey % 20) AS base, 't' || (l_suppkey % 20) AS target FROM lineitem WHERE l_quantity > 49)"
+#: Base tables of the questions in `rest` by `reach`.
+_BASE = """dm AS (SELECT * FROM rest WHERE grp = 'dimension'),
+    bd AS (SELECT a.query_id, a.table_name, any_value(a.similarity) AS similarity, any_value(a.place) AS place, count(b.table_name) AS n FROM dm a LEFT JOIN reach ON base = a.table_name AND target <> a.table_name LEFT JOIN dm b ON b.query_id = a.query_id AND b.table_name = target GROUP BY ALL),
+    best_dim AS (SELECT query_id, table_name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, coalesce(similarity, 0) DESC, place) AS r FROM bd) WHERE r = 1),
+    best_fact AS (SELECT query_id, table_name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(similarity, 0) DESC, place) AS r FROM rest WHERE grp = 'fact') WHERE r = 1),
+    base AS (SELECT * FROM best_fact UNION ALL SELECT * FROM best_dim WHERE query_id NOT IN (SELECT query_id FROM best_fact))"""
+
+
+def _reach(spark, d):
+    return table(spark, d, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("t"), F.col("l_partkey") % 20).alias("base"), F.concat(F.lit("t"), F.col("l_suppkey") % 20).alias("target"))
+
+
+@query(f"WITH {_HITS}, {_SIMS}, {_MERGED}, {_REACH}, rest AS (SELECT * FROM cand), {_BASE} SELECT query_id, table_name FROM base")
 def c_base(spark, d):
-    return C.base_table(_candidates(spark, d))
+    return C.base_table(_candidates(spark, d), _reach(spark, d))
 
 
-@query(f"""WITH {_HITS}, {_SIMS}, {_MERGED}, dm AS (SELECT * FROM cand WHERE grp = 'dimension'), reach AS (SELECT DISTINCT 't' || (l_partkey % 20) AS base, 't' || (l_suppkey % 20) AS target FROM lineitem WHERE l_quantity > 49),
-    c AS (SELECT a.query_id, a.table_name, any_value(a.similarity) AS similarity, count(b.table_name) AS n FROM dm a LEFT JOIN reach ON base = a.table_name AND target <> a.table_name LEFT JOIN dm b ON b.query_id = a.query_id AND b.table_name = target GROUP BY ALL)
-    SELECT query_id, table_name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, coalesce(similarity, 0) DESC, table_name) AS r FROM c) WHERE r = 1""")
+@query(f"WITH {_HITS}, {_SIMS}, {_MERGED}, {_REACH}, rest AS (SELECT * FROM cand), {_BASE} SELECT query_id, table_name FROM best_dim")
 def c_best_dimension(spark, d):
-    reach = table(spark, d, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("t"), F.col("l_partkey") % 20).alias("base"), F.concat(F.lit("t"), F.col("l_suppkey") % 20).alias("target"))
-    return C.best_dimension(_candidates(spark, d), reach)
+    return C.best_dimension(_candidates(spark, d), _reach(spark, d))
+
+
+#: A graph of the twenty tables: each with the three that its lines name most, and all cheapest paths of it; t3, t7 and t11 stay apart.
+_GRAPH = """named_pairs AS (SELECT 't' || (l_partkey % 20) AS src_table, 't' || (l_suppkey % 20) AS dst_table FROM lineitem),
+    trade AS (SELECT src_table, dst_table, count(*) AS n FROM named_pairs WHERE src_table <> dst_table AND src_table NOT IN ('t3', 't7', 't11') AND dst_table NOT IN ('t3', 't7', 't11') GROUP BY 1, 2),
+    edges AS (SELECT src_table, dst_table, CAST(1 + n % 3 AS DOUBLE) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY src_table ORDER BY n DESC, dst_table) AS r FROM trade) WHERE r <= 3),
+    steps AS (SELECT a, b, min(cost) AS cost FROM (SELECT src_table AS a, dst_table AS b, cost FROM edges UNION ALL SELECT dst_table, src_table, cost FROM edges) GROUP BY ALL),
+    walk AS (SELECT a AS base, a AS node, CAST(0 AS DOUBLE) AS cost, 0 AS hops, [a] AS nodes FROM (SELECT DISTINCT a FROM steps)
+        UNION ALL SELECT base, b, walk.cost + steps.cost, hops + 1, list_append(nodes, b) FROM walk JOIN steps ON walk.node = steps.a WHERE NOT list_contains(nodes, b) AND hops < 5),
+    best AS (SELECT base, node AS target, hops, nodes FROM (SELECT *, row_number() OVER (PARTITION BY base, node ORDER BY cost, hops, nodes) AS r FROM walk) WHERE r = 1 AND base <> node),
+    reach AS (SELECT base, target FROM best)"""
+_PLAN = f"""{_ONLY}, rest AS (SELECT * FROM cand WHERE query_id NOT IN (SELECT query_id FROM only_dim WHERE yes)), {_BASE},
+    wanted AS (SELECT rest.query_id, base.table_name AS base, rest.table_name AS target, min((CASE grp WHEN 'fact' THEN 0 WHEN 'dimension' THEN 1 ELSE 2 END, place)) AS w FROM rest JOIN base ON base.query_id = rest.query_id WHERE rest.table_name <> base.table_name GROUP BY ALL),
+    hop AS (SELECT query_id, w, i, nodes[i] AS a, nodes[i + 1] AS b FROM (SELECT query_id, w, nodes, unnest(range(1, len(nodes))) AS i FROM wanted JOIN best USING (base, target))),
+    kept_edges AS (SELECT a, b, src_table, dst_table FROM (SELECT a, b, src_table, dst_table, row_number() OVER (PARTITION BY a, b ORDER BY edges.cost, src_table) AS r FROM steps JOIN edges ON (src_table = a AND dst_table = b) OR (src_table = b AND dst_table = a)) WHERE r = 1),
+    once AS (SELECT query_id, src_table, dst_table, min((w, i)) AS f FROM hop JOIN kept_edges USING (a, b) GROUP BY ALL),
+    joined AS (SELECT query_id, string_agg(src_table || '-' || dst_table, ',' ORDER BY f) AS edges FROM once GROUP BY 1),
+    aimed AS (SELECT query_id, string_agg(target, ',' ORDER BY w, target) AS targets FROM wanted GROUP BY 1),
+    plan AS (SELECT b.query_id, b.base, coalesce(targets, '') AS targets, coalesce(edges, '') AS edges FROM (SELECT query_id, table_name AS base FROM base UNION ALL SELECT query_id, one FROM only_dim WHERE yes) b LEFT JOIN aimed USING (query_id) LEFT JOIN joined USING (query_id))"""
+
+
+def _graph(spark, d):
+    line = table(spark, d, "lineitem").select(F.concat(F.lit("t"), F.col("l_partkey") % 20).alias("src_table"), F.concat(F.lit("t"), F.col("l_suppkey") % 20).alias("dst_table"))
+    apart = lambda c: ~F.col(c).isin("t3", "t7", "t11")
+    trade = line.where("src_table <> dst_table").where(apart("src_table") & apart("dst_table")).groupBy("src_table", "dst_table").agg(F.count("*").alias("n"))
+    top = trade.withColumn("r", F.row_number().over(Window.partitionBy("src_table").orderBy(F.desc("n"), "dst_table"))).where("r <= 3")
+    return top.select("src_table", "dst_table", F.lit("SRC.k = DST.k").alias("on"), F.lit(None).cast("string").alias("join_type"), F.lit("N:1").alias("cardinality"), (F.lit(1.0) + F.col("n") % 3).alias("cost"))
+
+
+def _shown(edges="edges"):
+    return F.array_join(F.transform(edges, lambda e: F.concat(e["src_table"], F.lit("-"), e["dst_table"])), ",").alias("edges")
+
+
+@query(f"WITH RECURSIVE {_HITS}, {_SIMS}, {_MERGED}, {_GRAPH}, {_PLAN} SELECT * FROM plan")
+def j_question_plan(spark, d):
+    return C.question_plans(_candidates(spark, d), _tasks(spark, d), _graph(spark, d)).select("query_id", "base", F.array_join("targets", ",").alias("targets"), _shown())
 
 
 @query(f"WITH {_HITS} SELECT query_id, count_if(l_linenumber <= 4) AS tables, count_if(l_linenumber > 2) AS columns, count_if(l_linenumber = 7) AS hits FROM th GROUP BY 1")
@@ -120,13 +175,38 @@ def c_counters(spark, d):
     return C.counters(tables=tables, columns=columns, hits=values)
 
 
-@query(f"""WITH {_HITS}, {_SIMS}, {_MERGED}, b AS (SELECT query_id, table_name AS base FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN grp = 'fact' THEN 0 ELSE 1 END, coalesce(similarity, 0) DESC, place, table_name) AS n FROM cand WHERE grp <> 'bridge') WHERE n = 1)
-    SELECT cand.query_id, any_value(base) AS base, coalesce(string_agg('card of ' || table_name, ',' ORDER BY place) FILTER (grp = 'fact'), '') AS facts, coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'dimension'), '') AS dimensions,
-    coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'bridge'), '') AS bridges FROM cand LEFT JOIN b ON b.query_id = cand.query_id GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_HITS}, {_SIMS}, {_MERGED}, {_GRAPH}, {_PLAN},
+    cats3 AS (SELECT * FROM cats UNION ALL SELECT DISTINCT query_id, table_name, 'fact' FROM vh WHERE (query_id, table_name) NOT IN (SELECT query_id, table_name FROM cats) AND CAST(substr(table_name, 2) AS INT) % 2 = 0),
+    shape AS (SELECT query_id, coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'fact'), '') AS facts, coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'dimension'), '') AS dimensions,
+        coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'bridge'), '') AS bridges, coalesce(string_agg(DISTINCT 'card of ' || table_name, ',' ORDER BY 'card of ' || table_name) FILTER (grp <> 'bridge'), '') AS cards, count(DISTINCT table_name) AS table_count FROM cand GROUP BY 1),
+    named AS (SELECT c.query_id, string_agg(DISTINCT table_name || '=' || table_category, ',' ORDER BY table_name || '=' || table_category) AS categories FROM (SELECT DISTINCT query_id, table_name FROM cand) c JOIN cats3 USING (query_id, table_name) GROUP BY 1),
+    shown AS (SELECT query_id, string_agg('select ' || l_suppkey, ',' ORDER BY l_discount DESC, l_linenumber, 'select ' || l_suppkey) AS examples FROM (SELECT l_orderkey AS query_id, * FROM lineitem WHERE l_linenumber <= 3 AND l_discount >= 0.06) GROUP BY 1),
+    vbest AS (SELECT query_id, source_text, table_name, max((csim, 'v' || l_linenumber)) AS h FROM vh GROUP BY ALL), vals AS (SELECT query_id, string_agg(source_text || '>' || table_name, ',' ORDER BY h[1] DESC, source_text, table_name) AS hits FROM vbest GROUP BY 1),
+    cnt AS (SELECT query_id, count_if(l_linenumber > 2) AS column_count, count_if(l_linenumber = 7) AS dim_match_count FROM th GROUP BY 1)
+    SELECT shape.*, coalesce(categories, '') AS categories, plan.base, coalesce(plan.targets, '') AS targets, coalesce(plan.edges, '') AS edges, coalesce(examples, '') AS examples, coalesce(hits, '') AS hits, column_count, dim_match_count, CAST(CASE WHEN plan.base IS NULL THEN 0 ELSE 1 END AS BIGINT) AS plans
+    FROM shape LEFT JOIN named USING (query_id) LEFT JOIN plan USING (query_id) LEFT JOIN shown USING (query_id) LEFT JOIN vals USING (query_id) LEFT JOIN cnt USING (query_id)""")
 def c_context(spark, d):
-    out = C.context(*_parts(spark, d))
-    names = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), ",").alias(c)
-    return out.select("query_id", "base", names("facts", "card"), names("dimensions", "table_name"), names("bridges", "table_name"))
+    tables, columns, values, catalogue = _parts(spark, d)
+    values = values.select("query_id", "table_name", "ordinal", "source_text", F.concat(F.lit("v"), "l_linenumber").alias("matched_text"), F.col("csim").alias("score"))
+    examples = table(spark, d, "lineitem").where("l_linenumber <= 3 and l_discount >= 0.06").select(F.col("l_orderkey").alias("query_id"), F.col("l_discount").alias("similarity"), F.col("l_linenumber").alias("ordinal"), F.struct(F.concat(F.lit("select "), "l_suppkey").alias("sql")).alias("example"))
+    out = C.context(tables, columns, values, catalogue, _tasks(spark, d), _graph(spark, d), examples)
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return out.select(
+        "query_id", *[text(F.col(c)).alias(c) for c in ("facts", "dimensions", "bridges", "targets")], text(F.array_sort(F.map_values("cards"))).alias("cards"),
+        text(F.array_sort(F.transform(F.map_entries("table_categories"), lambda x: F.concat(x["key"], F.lit("="), x["value"])))).alias("categories"), "base", F.coalesce(_shown(), F.lit("")).alias("edges"),
+        text(F.transform("similar_sqls", lambda x: x["sql"])).alias("examples"), text(F.transform("value_hits", lambda x: F.concat(x["source_text"], F.lit(">"), x["table_name"]))).alias("hits"),
+        F.col("table_count").cast("bigint").alias("table_count"), "column_count", "dim_match_count", F.col("join_plan_count").cast("bigint").alias("plans"),
+    )
+
+
+@query(f"""WITH RECURSIVE {_HITS}, {_SIMS}, {_MERGED}, {_GRAPH}, pairs AS (SELECT a.query_id, a.table_name AS base, b.table_name AS target, b.place AS w FROM cand a JOIN cand b ON b.query_id = a.query_id AND b.grp = 'dimension' WHERE a.grp = 'fact' AND b.table_name <> a.table_name),
+    hop AS (SELECT query_id, base, w, i, nodes[i] AS a, nodes[i + 1] AS b FROM (SELECT query_id, base, w, nodes, unnest(range(1, len(nodes))) AS i FROM pairs JOIN best USING (base, target))),
+    kept_edges AS (SELECT a, b, src_table, dst_table FROM (SELECT a, b, src_table, dst_table, row_number() OVER (PARTITION BY a, b ORDER BY edges.cost, src_table) AS r FROM steps JOIN edges ON (src_table = a AND dst_table = b) OR (src_table = b AND dst_table = a)) WHERE r = 1),
+    once AS (SELECT query_id, base, src_table, dst_table, min((w, i)) AS f FROM hop JOIN kept_edges USING (a, b) GROUP BY ALL)
+    SELECT query_id, base, string_agg(src_table || '-' || dst_table, ',' ORDER BY f) AS edges FROM once GROUP BY ALL""")
+def j_base_plans(spark, d):
+    c = _candidates(spark, d)
+    return J.base_plans(_graph(spark, d), c.where("group = 'fact'").select("query_id", F.col("table_name").alias("base")), c.where("group = 'dimension'").select("query_id", "table_name", "place")).select("query_id", "base", _shown())
 
 
 def _cards(spark, d):
@@ -166,14 +246,14 @@ def p_dependency_results(spark, d):
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders)
-    SELECT o_custkey AS query_id, 'o_orderkey | o_orderstatus' || chr(10) || '--------------------------' || chr(10) || string_agg(o_orderkey || ' | ' || o_orderstatus, chr(10) ORDER BY n) || CASE WHEN max(c) >= 10 THEN chr(10) || '...' ELSE '' END AS text FROM r WHERE n <= 10 GROUP BY 1""")
+    SELECT o_custkey AS query_id, 'o_orderkey | o_orderstatus' || chr(10) || repeat('-', 50) || chr(10) || string_agg(o_orderkey || ' | ' || o_orderstatus, chr(10) ORDER BY n) || CASE WHEN max(c) >= 10 THEN chr(10) || '...' ELSE '' END AS text FROM r WHERE n <= 10 GROUP BY 1""")
 def p_preview(spark, d):
     return R.preview(table(spark, d, "orders").withColumnRenamed("o_custkey", "query_id"), ["o_orderkey", "o_orderstatus"], "o_orderkey")
 
 
-@query("""SELECT conv_id, turn, trim(left(text, 25), ' ' || chr(10) || chr(9) || chr(13)) AS answer FROM conversations""")
+@query("""SELECT conv_id, turn, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS answer FROM conversations""")
 def p_clean_response(spark, d):
-    said = F.concat(F.lit("<think>because\nof "), "role", F.lit("</think>\n```sql\n"), F.left("text", F.lit(25)), F.lit("\n```"))
+    said = F.concat(F.lit("<think>because\nof "), "role", F.lit("</think>\n```sql\n"), "text", F.lit("\n```"))
     return table(spark, d, "conversations").select("conv_id", "turn", R.clean_response(said).alias("answer"))
 
 
@@ -200,9 +280,9 @@ def p_labels(spark, d):
     return table(spark, d, "events").select("event_id", label.alias("label"), reason.alias("reason"), R.error_bullets(F.array("event_type", F.col("user_id").cast("string"))).alias("bullets"))
 
 
-@query("""SELECT conv_id AS query_id, CASE WHEN conv_id % 2 = 0 THEN 'aggregate total' ELSE 'total' END AS metric, string_agg(role || '=' || left(text, 8), ', ' ORDER BY turn) AS filters FROM conversations GROUP BY ALL""")
+@query("""SELECT conv_id AS query_id, CASE WHEN conv_id % 2 = 0 THEN 'aggregate total' ELSE 'total' END AS metric, string_agg(role || '=' || text, ', ' ORDER BY turn) AS filters FROM conversations GROUP BY ALL""")
 def p_hints(spark, d):
-    dims = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.left("text", F.lit(8)).alias("text")))), lambda x: F.struct(x["text"].alias("text"), x["role"].alias("role")))
+    dims = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["text"].alias("text"), x["role"].alias("role")))
     c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(dims.alias("dimensions"))
     metric = F.struct(F.lit("total").alias("text"), (F.col("query_id") % 2 == 0).alias("is_aggregate_candidate"))
     return R.hints(c.select("query_id", F.struct(metric.alias("metric"), "dimensions").alias("parse_result")))
@@ -212,6 +292,7 @@ def p_hints(spark, d):
 def i_upsert(spark, d):
     c = table(spark, d, "customer")
     new = c.where("c_custkey % 3 = 0").select(F.lit("NEW").alias("c_mktsegment"), "c_custkey", F.lit(1).alias("unknown"))
+    new = new.unionByName(new)  # each new key twice: one row of it stays
     return T.upsert(c.select("c_custkey", "c_mktsegment", "c_acctbal"), new, ["c_custkey"])
 
 

@@ -54,14 +54,14 @@ def j_fewest_hops(spark, d):
     return J.paths(_edges(spark, d), _pairs(spark, d), "hops", 3).select("base", "target", "cost", "hops", _nodes())
 
 
-_FROM_ZERO = """chosen AS (SELECT base, target, hops, nodes FROM best WHERE base IN ('NATION_0', 'NATION_1', 'NATION_10')),
+_FROM_ZERO = """chosen AS (SELECT base, target, hops, nodes FROM best),
     walked AS (SELECT base, target, i, nodes[i] AS a, nodes[i + 1] AS b FROM (SELECT *, unnest(range(1, len(nodes))) AS i FROM chosen)),
     directed AS (SELECT base, target, i - 1 AS pos, src_table, dst_table, edges.cost FROM walked JOIN edges ON (src_table = a AND dst_table = b) OR (src_table = b AND dst_table = a) QUALIFY row_number() OVER (PARTITION BY base, target, i ORDER BY edges.cost, src_table) = 1),
     once AS (SELECT base, src_table, dst_table, any_value(cost) AS cost FROM directed GROUP BY ALL)"""
 
 
 def _plans(spark, d):
-    return J.plans(J.find_paths(_edges(spark, d), _pairs(spark, d).where("base in ('NATION_0', 'NATION_1', 'NATION_10')")))
+    return J.plans(J.find_paths(_edges(spark, d), _pairs(spark, d)))
 
 
 @query(f"""WITH RECURSIVE {_TRADE}, {_WALK.format(hops=7, order='cost, hops')}, {_FROM_ZERO}
@@ -73,7 +73,7 @@ def j_plans(spark, d):
 
 @query(f"""WITH RECURSIVE {_TRADE}, {_WALK.format(hops=7, order='cost, hops')}, {_FROM_ZERO} SELECT base, target, CAST(pos AS INT) AS pos, src_table, dst_table, cost FROM directed""")
 def j_path_steps(spark, d):
-    found = J.find_paths(_edges(spark, d), _pairs(spark, d).where("base in ('NATION_0', 'NATION_1', 'NATION_10')"))
+    found = J.find_paths(_edges(spark, d), _pairs(spark, d))
     return J.path_steps(found).select("base", "target", "pos", "src_table", "dst_table", "cost")
 
 
@@ -159,7 +159,7 @@ def _sub(spark, d) -> DataFrame:
     t = table(spark, d, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
     sid = lambda c: F.concat(F.col("conv_id"), F.lit("_"), c)
     needs = F.array_compact(F.array(F.when(F.col("turn") > 0, sid(F.col("turn") - 1)), F.when(F.col("turn") >= 3, sid(F.col("turn") - 3)), F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 0), sid(F.col("last")))))
-    status = F.when(F.col("turn") < F.col("conv_id") % 5, "completed").when(F.col("turn") % 4 == 3, "failed").when(F.col("turn") % 2 == 0, "pending")
+    status = F.when(F.col("turn") < F.col("conv_id") % 5, "completed").when(F.col("turn") % 4 == 3, "failed").when(F.col("conv_id") % 3 == 1, "in_progress").when(F.col("turn") % 2 == 0, "pending")
     return t.select(F.col("conv_id").alias("query_id"), sid(F.col("turn")).alias("sub_query_id"), F.col("text").alias("query"), status.alias("status"), needs.alias("dependencies"), "turn")
 
 
@@ -178,7 +178,7 @@ def d_levels(spark, d):
     return D.levels(_sub(spark, d))
 
 
-_STATUS = f"""{_SUB}, st AS (SELECT *, CASE WHEN turn < conv_id % 5 THEN 'completed' WHEN turn % 4 = 3 THEN 'failed' ELSE 'pending' END AS status FROM t),
+_STATUS = f"""{_SUB}, st AS (SELECT *, CASE WHEN turn < conv_id % 5 THEN 'completed' WHEN turn % 4 = 3 THEN 'failed' WHEN conv_id % 3 = 1 THEN 'in_progress' ELSE 'pending' END AS status FROM t),
     rd AS (SELECT conv_id, turn FROM st WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM dep LEFT JOIN st s ON s.conv_id = dep.conv_id AND s.turn = dep.needs
     WHERE dep.conv_id = st.conv_id AND dep.turn = st.turn AND coalesce(s.status, '') <> 'completed'))"""
 
@@ -193,14 +193,23 @@ def d_status(spark, d):
     return D.status_counts(_sub(spark, d))
 
 
-@query(f"""WITH {_STATUS}, c AS (SELECT conv_id, bool_and(status IN ('completed', 'failed')) AS done, conv_id % 7 AS round FROM st GROUP BY ALL),
-    a AS (SELECT c.*, CASE WHEN done THEN 'stop' WHEN round >= 5 THEN 'fail_rounds' WHEN conv_id NOT IN (SELECT conv_id FROM rd) THEN 'fail_deadlock' ELSE 'continue' END AS action FROM c)
+@query(f"""WITH {_STATUS}, c AS (SELECT conv_id, bool_and(status IN ('completed', 'failed')) AS done, count_if(status = 'pending') AS pending, conv_id % 7 AS round FROM st GROUP BY ALL),
+    a AS (SELECT c.*, CASE WHEN done THEN 'stop' WHEN round >= 5 THEN 'fail_rounds' WHEN pending > 0 AND conv_id NOT IN (SELECT conv_id FROM rd) THEN 'fail_deadlock' ELSE 'continue' END AS action FROM c)
     SELECT conv_id AS query_id, action, round + CAST(action = 'continue' AS INT) AS round FROM a""")
 def d_stop_rule(spark, d):
     sub = _sub(spark, d)
     return D.stop_rule(sub, sub.select("query_id", (F.col("query_id") % 7).alias("round")).distinct())
 
 
+@query(f"""WITH {_STATUS}, c AS (SELECT conv_id, bool_and(status IN ('completed', 'failed')) AS done, count_if(status = 'pending') AS pending, conv_id % 7 AS round FROM st GROUP BY ALL),
+    a AS (SELECT c.*, CASE WHEN done THEN 'stop' WHEN round >= 5 THEN 'fail_rounds' WHEN pending > 0 AND conv_id NOT IN (SELECT conv_id FROM rd) THEN 'fail_deadlock' ELSE 'continue' END AS action FROM c),
+    f AS (SELECT conv_id, turn, status, action = 'fail_rounds' AND status IN ('pending', 'in_progress') AS late, action = 'fail_deadlock' AND status = 'pending' AS stuck FROM st JOIN a USING (conv_id))
+    SELECT conv_id AS query_id, conv_id || '_' || turn AS sub_query_id, CASE WHEN late OR stuck THEN 'failed' ELSE status END AS status, CASE WHEN late THEN '超过最大轮次 5，强制终止' WHEN stuck THEN '依赖环或孤立子查询，无法继续推进' END AS error FROM f""")
+def d_stopped(spark, d):
+    sub = _sub(spark, d)
+    return D.stopped(sub, sub.select("query_id", (F.col("query_id") % 7).alias("round")).distinct()).select("query_id", "sub_query_id", "status", "error")
+
+
 @query(f"""WITH {_SUB} SELECT c.conv_id AS query_id, c.conv_id || '_' || c.turn AS sub_query_id, coalesce(string_agg(dep.conv_id || '_' || needs || ':' || length(n.text), ',' ORDER BY dep.conv_id || '_' || needs), '') AS got
     FROM conversations c LEFT JOIN dep ON dep.conv_id = c.conv_id AND dep.turn = c.turn AND needs % 2 = 0 LEFT JOIN conversations n ON n.conv_id = dep.conv_id AND n.turn = needs GROUP BY ALL""")
 def d_results(spark, d):

@@ -26,11 +26,12 @@ def _turns(spark, d) -> DataFrame:
     )
 
 
+_STRIP = r"regexp_replace({0}, '^[\s]+|[\s]+$', '', 'g')"
 _CUT = "CASE WHEN length({0}) > 40 THEN left({0}, 37) || '...' ELSE {0} END"
 
 
-@query(f"""WITH {_TURNS}, n AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY turn DESC, query_id DESC) AS r FROM turns),
-    good AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY turn DESC) AS g FROM n WHERE r <= 6 AND success AND trim(question) <> '' AND trim(answer) <> '')
+@query(f"""WITH {_TURNS}, n AS (SELECT * REPLACE ({_STRIP.format('question')} AS question, {_STRIP.format('answer')} AS answer), row_number() OVER (PARTITION BY thread_id ORDER BY turn DESC, query_id DESC) AS r FROM turns),
+    good AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY turn DESC) AS g FROM n WHERE r <= 6 AND success AND question <> '' AND answer <> '')
     SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS place, {_CUT.format('question')} AS question, {_CUT.format('answer')} AS answer FROM good WHERE g <= 3""")
 def s_recent_turns(spark, d):
     return C.recent_turns(_turns(spark, d), 3, 40)
@@ -70,11 +71,13 @@ def s_store_keys(spark, d):
     return _ids(spark, d).select("event_id", thread.alias("thread_id"), q.alias("query_id"))
 
 
-@query(f"""WITH {_IDS} SELECT event_id, CASE WHEN {_OK} THEN thread_id ELSE CASE WHEN event_id % 5 = 0 THEN 'guest' ELSE user_id END || ':' || strftime(ts, '%Y%m%dT%H%M%S') || lpad(CAST(millisecond(ts) % 1000 AS VARCHAR), 3, '0') || 'Z' END AS thread_id,
-    CASE WHEN {_OK} THEN split_part(thread_id, ':', 1) WHEN event_id % 5 = 0 THEN 'guest' ELSE user_id END AS user_id, false AS mismatch FROM ids""")
+@query(f"""WITH {_IDS}, moved AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 11 = 0 THEN 'other' || substr(thread_id, strpos(thread_id, ':')) ELSE thread_id END AS thread_id FROM ids)
+    SELECT event_id, CASE WHEN {_OK} THEN thread_id ELSE CASE WHEN event_id % 5 = 0 THEN 'guest' ELSE user_id END || ':' || strftime(ts, '%Y%m%dT%H%M%S') || lpad(CAST(millisecond(ts) % 1000 AS VARCHAR), 3, '0') || 'Z' END AS thread_id,
+    CASE WHEN {_OK} THEN split_part(thread_id, ':', 1) WHEN event_id % 5 = 0 THEN 'guest' ELSE user_id END AS user_id, {_OK} AND split_part(thread_id, ':', 1) <> user_id AS mismatch FROM moved""")
 def s_reconciled(spark, d):
     thread, user, mismatch = C.reconciled(F.col("thread_id"), F.col("user_id"), F.col("ts"))
-    return _ids(spark, d).select("event_id", thread.alias("thread_id"), user.alias("user_id"), mismatch.alias("mismatch"))
+    other = F.concat(F.lit("other"), F.expr("substr(thread_id, instr(thread_id, ':'))"))
+    return _ids(spark, d).withColumn("thread_id", F.when(F.col("event_id") % 11 == 0, other).otherwise(F.col("thread_id"))).select("event_id", thread.alias("thread_id"), user.alias("user_id"), mismatch.alias("mismatch"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 30 THEN left(text, 27) || '...' ELSE coalesce(text, '') END AS text FROM documents")
@@ -82,10 +85,10 @@ def s_truncated(spark, d):
     return table(spark, d, "documents").select("doc_id", C.truncate_text(F.col("text"), 30).alias("text"))
 
 
-@query(f"""WITH {_TURNS} SELECT thread_id, string_agg(n || '. Q: ' || left(question, 20) || chr(10) || '   A: ' || left(answer, 20), chr(10) ORDER BY turn) AS text
-    FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS n FROM turns WHERE trim(left(question, 20)) <> '' AND trim(left(answer, 20)) <> '') GROUP BY 1""")
+@query(f"""WITH {_TURNS} SELECT thread_id, string_agg(n || '. Q: ' || question || chr(10) || '   A: ' || answer, chr(10) ORDER BY turn) AS text
+    FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS n FROM turns WHERE trim(question) <> '' AND trim(answer) <> '') GROUP BY 1""")
 def s_history_text(spark, d):
-    t = _turns(spark, d).select("thread_id", F.col("turn").alias("place"), F.left("question", F.lit(20)).alias("question"), F.left("answer", F.lit(20)).alias("answer"))
+    t = _turns(spark, d).select("thread_id", F.col("turn").alias("place"), "question", "answer")
     return C.history_text(t)
 
 
@@ -104,7 +107,7 @@ def s_succeeded_retained(spark, d):
 
 #: SQL text that the events stand for.
 _TEXT = r"""sqls AS (SELECT event_id, user_id, event_type, CASE event_id % 10 WHEN 0 THEN 'SELECT * FROM ' || event_type || ' JOIN u' || user_id || ' ON 1 = 1' WHEN 1 THEN 'with a as (select 1) select * from a' WHEN 2 THEN 'DROP TABLE ' || event_type
-    WHEN 3 THEN 'SELECT created_at, deleted_flag FROM ' || event_type WHEN 4 THEN 'SELECT 1; SELECT 2' WHEN 5 THEN 'SELECT 1 -- note' WHEN 6 THEN 'select 1 /* x */ from t; ' WHEN 7 THEN '  ' WHEN 8 THEN 'delete from ' || event_type || '; insert into x' ELSE 'SELECT ''update'' FROM s.' || event_type END AS sql FROM events)"""
+    WHEN 3 THEN 'SELECT created_at, deleted_flag FROM ' || event_type WHEN 4 THEN 'SELECT 1; SELECT 2' WHEN 5 THEN 'SELECT 1 -- note' WHEN 6 THEN 'select 1 /* x */ from t; ' WHEN 7 THEN '  ' WHEN 8 THEN 'with d as (update t set x = 1) insert into x select * from ' || event_type || ' truncate' ELSE 'SELECT ''update'' FROM s.' || event_type END AS sql FROM events)"""
 
 
 def _texts(spark, d) -> DataFrame:
@@ -112,7 +115,7 @@ def _texts(spark, d) -> DataFrame:
     sql = (
         F.when(k == 0, F.concat(F.lit("SELECT * FROM "), t, F.lit(" JOIN u"), "user_id", F.lit(" ON 1 = 1"))).when(k == 1, "with a as (select 1) select * from a").when(k == 2, F.concat(F.lit("DROP TABLE "), t))
         .when(k == 3, F.concat(F.lit("SELECT created_at, deleted_flag FROM "), t)).when(k == 4, "SELECT 1; SELECT 2").when(k == 5, "SELECT 1 -- note").when(k == 6, "select 1 /* x */ from t; ").when(k == 7, "  ")
-        .when(k == 8, F.concat(F.lit("delete from "), t, F.lit("; insert into x"))).otherwise(F.concat(F.lit("SELECT 'update' FROM s."), t))
+        .when(k == 8, F.concat(F.lit("with d as (update t set x = 1) insert into x select * from "), t, F.lit(" truncate"))).otherwise(F.concat(F.lit("SELECT 'update' FROM s."), t))
     )
     return e.select("event_id", "user_id", "event_type", "value", sql.alias("sql"))
 
@@ -120,18 +123,25 @@ def _texts(spark, d) -> DataFrame:
 _VERDICT = f"""{_TEXT}, a AS (SELECT *, len(list_filter(string_split(sql, ';'), lambda s: trim(s) <> '')) AS n FROM sqls),
     b AS (SELECT *, CASE WHEN n = 0 THEN ['no statement'] WHEN n > 1 THEN ['more than one statement'] ELSE [] END AS syn,
     list_concat(list_concat(CASE WHEN regexp_extract(upper(sql), '^\\s*(\\w+)', 1) IN ('DROP','DELETE','INSERT','UPDATE','TRUNCATE','ALTER','CREATE','GRANT','REVOKE','EXECUTE','EXEC') THEN ['statement type ' || regexp_extract(upper(sql), '^\\s*(\\w+)', 1)] ELSE [] END,
-    list_transform(list_filter(['DROP','DELETE','INSERT','UPDATE','TRUNCATE','ALTER','CREATE','GRANT','REVOKE','EXECUTE','EXEC'], lambda w: regexp_matches(upper(sql), '\\b' || w || '\\b')), lambda w: 'forbidden word ' || w)),
+    list_transform(list_filter(['DROP','DELETE','TRUNCATE','ALTER','CREATE','INSERT','UPDATE','GRANT','REVOKE','EXEC','EXECUTE'], lambda w: regexp_matches(upper(sql), '\\b' || w || '\\b')), lambda w: 'forbidden word ' || w)),
     CASE WHEN contains(sql, '--') OR contains(sql, '/*') THEN ['comment'] ELSE [] END) AS sec FROM a),
-    v AS (SELECT *, CASE WHEN len(syn) > 0 THEN 'syntax' WHEN len(sec) > 0 THEN 'security' ELSE 'passed' END AS layer, CASE WHEN len(syn) > 0 THEN syn ELSE sec END AS errors FROM b)"""
+    v AS (SELECT *, CASE WHEN len(syn) > 0 THEN 'syntax' WHEN len(sec) > 0 THEN 'security' ELSE 'all_passed' END AS layer, CASE WHEN len(syn) > 0 THEN syn ELSE sec END AS errors FROM b)"""
 
 
-@query(f"WITH {_VERDICT} SELECT event_id, layer, layer = 'passed' AS valid, array_to_string(errors, '|') AS errors FROM v")
+@query(f"WITH {_VERDICT} SELECT event_id, layer, layer = 'all_passed' AS valid, array_to_string(errors, '|') AS errors FROM v")
 def q_verdict(spark, d):
     return S.verdict(_texts(spark, d)).select("event_id", "layer", "valid", F.array_join("errors", "|").alias("errors"))
 
 
-@query(f"""WITH {_VERDICT} SELECT event_id, CASE WHEN layer <> 'passed' THEN 'validation_' || layer || '_failed' END AS error_type, CASE WHEN layer <> 'passed' THEN errors[1] END AS message,
-    CASE WHEN layer = 'passed' THEN 'valid' ELSE 'failed at ' || layer || ': ' || array_to_string(errors, '; ') END AS summary FROM v""")
+@query(f"""WITH {_VERDICT}, x AS (SELECT *, layer = 'all_passed' AND user_id % 3 = 0 AS lost FROM v)
+    SELECT event_id, CASE WHEN lost THEN 'semantic' ELSE layer END AS layer, CASE WHEN lost THEN 'no such table' ELSE array_to_string(errors, '|') END AS errors, CASE WHEN layer <> 'all_passed' THEN '' WHEN user_id % 2 = 0 THEN 'sequential scan' ELSE 'about 200000 rows' END AS warnings FROM x""")
+def q_layers(spark, d):
+    t = _texts(spark, d).withColumn("plan", F.when(F.col("user_id") % 2 == 0, "Seq Scan on t").otherwise("Index Scan (rows=200000)")).withColumn("plan_error", F.when(F.col("user_id") % 3 == 0, "no such table"))
+    return S.verdict(t, plan="plan", plan_error="plan_error").select("event_id", "layer", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query(f"""WITH {_VERDICT} SELECT event_id, CASE WHEN layer <> 'all_passed' THEN 'validation_' || layer || '_failed' END AS error_type, CASE WHEN layer <> 'all_passed' THEN errors[1] END AS message,
+    CASE WHEN layer = 'all_passed' THEN 'valid' ELSE 'failed at ' || layer || ': ' || array_to_string(errors, '; ') END AS summary FROM v""")
 def q_error_types(spark, d):
     v = S.verdict(_texts(spark, d))
     kind, message = S.error_type(F.col("layer"), F.col("errors"))
@@ -152,10 +162,10 @@ def q_plan_warnings(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", found.alias("warnings"))
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'table_not_found' WHEN 1 THEN 'column_not_found' WHEN 2 THEN 'out_of_range' WHEN 3 THEN 'connection' WHEN 4 THEN 'permission' ELSE 'unknown' END AS kind, event_id % 6 < 3 AS recoverable FROM events""")
+@query("""SELECT event_id, ['table_not_found', 'column_not_found', 'column_not_found', 'table_not_found', 'out_of_range', 'out_of_range', 'connection_error', 'connection_error', 'permission_error', 'permission_error', 'unknown_error', 'unknown_error'][event_id % 12 + 1] AS kind, event_id % 12 < 6 AS recoverable FROM events""")
 def q_classified(spark, d):
-    said = ('relation "{}" does not exist', 'column "{}" does not exist', "{} is out of range", "Connection to {} lost", "permission denied for {}", "{}!")
-    message = F.element_at(F.array(*[F.format_string(s.replace("{}", "%s"), F.col("event_type")) for s in said]), (F.col("event_id") % 6 + 1).cast("int"))
+    said = ('Table "{}" does not exist', 'relation "{}" does not exist', "Unknown column {}", "unknown table {}", "{} is OUT OF RANGE", "invalid date: {}", "Connection to {} lost", "{} timeout", "permission denied for {}", "Access denied: {}", "denied {}", "{}!")
+    message = F.element_at(F.array(*[F.format_string(s.replace("{}", "%s"), F.col("event_type")) for s in said]), (F.col("event_id") % 12 + 1).cast("int"))
     kind, mends = S.classified(message)
     return table(spark, d, "events").select("event_id", kind.alias("kind"), mends.alias("recoverable"))
 
@@ -210,11 +220,10 @@ def o_stage_durations(spark, d):
     return O.stage_durations(table(spark, d, "events").select(line.alias("value")), ["view", "click", "purchase"])
 
 
-@query("SELECT event_type AS route, count(*) AS requests, count_if(value < 80) AS successes, count_if(value >= 80) AS failures, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_s FROM events GROUP BY 1")
+@query("SELECT event_type AS route, count(*) AS requests, count_if(value < 80) AS successes, count_if(value >= 80) AS failures, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS mean_s FROM events GROUP BY 1")
 def o_metrics(spark, d):
-    out = O.request_metrics(table(spark, d, "events"), "event_type", F.col("value") < 80, F.col("value"))
-    exact = table(spark, d, "events").groupBy(F.col("event_type").alias("route")).agg((F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("mean_s"))
-    return out.drop("mean_s").join(exact, "route")
+    out = O.request_metrics(table(spark, d, "events"), "event_type", F.col("value") < 80, F.col("value").cast("decimal(18,2)"))
+    return out.withColumn("mean_s", F.round(F.col("mean_s").cast("double"), 6))
 
 
 @query("SELECT 'slow ' || event_type AS reason, count(*) AS n FROM events WHERE value >= 80 GROUP BY 1")
@@ -241,11 +250,12 @@ def o_scenarios(spark, d):
     return O.scenarios(e, "event_id")
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'Something broke' WHEN 'click' THEN 'Clicked' ELSE 'Please try again' END AS message, event_type <> 'error' AS retryable FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'Something broke' WHEN 'click' THEN 'Clicked' ELSE 'Please try again' END AS message, event_id % 11 IN (4, 10) AS retryable FROM events""")
 def o_messages(spark, d):
     known = spark.createDataFrame([("error", "Something broke"), ("click", "Clicked")], "error_type string, message string")
     e = table(spark, d, "events").withColumn("error_type", F.col("event_type"))
-    text = F.when(F.col("event_type") == "error", "HTTP 401: Unauthorized").otherwise("temporary failure")
+    said = ("HTTP 400", "status_code=400", "Bad Request", "invalid request", "4000 rows, invalid api key", "InvalidRequestError", "error 401", "status_code=401", "Authentication failed", "Unauthorized", "temporary failure")
+    text = F.get(F.array(*[F.lit(x) for x in said]), (F.col("event_id") % 11).cast("int"))
     return O.messages(e, known, "Please try again").select("event_id", "message", O.retryable(text).alias("retryable"))
 
 

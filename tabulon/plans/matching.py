@@ -107,13 +107,13 @@ def f_deduplicate(spark, d):
     return M.deduplicate(_matches(spark, d)).select("query_id", "ordinal")
 
 
-@query("""SELECT conv_id AS query_id, CAST(turn AS INT) AS source_index, substr(text, 1, 20) AS text FROM conversations WHERE role = 'user' AND trim(substr(text, 1, 20)) <> ''""")
+@query("""SELECT conv_id AS query_id, CAST(turn AS INT) AS source_index, text FROM conversations WHERE role = 'user' AND trim(text) <> ''""")
 def f_dimension_values(spark, d):
     return M.dimension_values(_parsed(spark, d))
 
 
 def _parsed(spark, d):
-    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.substring("text", 1, 20).alias("text")))).alias("turns"))
+    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     # A place for every turn number, so that a dimension's place is its turn.
     last = F.element_at("turns", -1)["turn"]
     at = lambda i: F.get(F.filter("turns", lambda t: t["turn"] == i), F.lit(0))

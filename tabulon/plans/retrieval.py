@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_similarity
 from ..operators import retrieval as R
 from ..sources.tables import table
 from .registry import query
@@ -53,19 +52,44 @@ def v_report(spark, d):
     return R.similarity_report(_corpus(spark, d), _queries(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-_FIRST = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
+@query(f"""WITH {_SIM}, a AS (SELECT query_id, object_id, s FROM pairs WHERE label % 5 <> 1), b AS (SELECT query_id, object_id, round(s, 1) + 0.0 AS s FROM pairs WHERE label % 5 <> 2)
+    SELECT query_id, object_id, round(a.s, 6) AS a, b.s AS b, coalesce(abs(a.s - b.s) > 0.01, true) AS differs FROM a FULL JOIN b USING (query_id, object_id)""")
+def v_parity(spark, d):
+    corpus, queries = _corpus(spark, d), _queries(spark, d)
+    audited = R.scores(queries, corpus).join(corpus.select("object_id", "label"), "object_id")
+    out = R.parity(audited.where("label % 5 <> 1"), audited.where("label % 5 <> 2").withColumn("similarity", F.round("similarity", 1) + F.lit(0.0)), ["query_id", "object_id"])
+    return out.withColumn("a", F.round("a", 6))
 
 
-@query(f"""WITH a AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS s FROM embeddings, {_FIRST} WHERE label % 5 <> 1),
-    b AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 1) + 0.0 AS s FROM embeddings, {_FIRST} WHERE label % 5 <> 2)
-    SELECT vec_id AS object_id, round(a.s, 6) AS a, b.s AS b, coalesce(abs(a.s - b.s) > 0.01, true) AS differs FROM a FULL JOIN b USING (vec_id)""")
-def v_parity(spark, d):
+@query(f"""WITH {_SIM}, {_ranked(5, -1.0)} SELECT query_id, object_id, rank, 'column' AS object_type, CASE WHEN label % 4 = 0 THEN 'given' ELSE 'db.label' || label END AS table_name FROM best""")
+def v_normalised(spark, d):
     corpus = _corpus(spark, d)
-    query = corpus.where("object_id = 0").select(F.col("embedding").alias("q"))
-    # One row, the probe of the audit, goes to every task.
-    scored = corpus.join(F.broadcast(query)).withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("q")))
-    out = R.parity(scored.where("label % 5 <> 1"), scored.where("label % 5 <> 2").withColumn("similarity", F.round("similarity", 1) + F.lit(0.0)))
-    return out.withColumn("a", F.round("a", 6))
+    hits = R.top_k(_queries(spark, d), corpus, 5, threshold=-1.0).join(corpus.select("object_id", "label"), "object_id")
+    hits = hits.withColumn("parent_id", F.concat(F.lit("db.label"), "label")).withColumn("table_name", F.when(F.col("label") % 4 == 0, "given"))
+    return R.normalised(hits, "column").select("query_id", "object_id", "rank", "object_type", "table_name")
+
+
+@query(f"""WITH {_SIM}, {_ranked(8, -1.0)} SELECT query_id, 't' || (label % 3) AS dim_table, 'label' AS dim_col, 'v' || object_id AS matched_text, round(s, 6) AS score, rank FROM best WHERE round(s, 12) >= 0.2 AND rank <= 4""")
+def v_value_search(spark, d):
+    values = _corpus(spark, d).select("object_id", F.concat(F.lit("t"), F.col("label") % 3).alias("table_name"), F.lit("label").alias("col_name"), F.concat(F.lit("v"), "object_id").alias("col_value"), "embedding")
+    return R.value_search(_queries(spark, d), values, 4, 0.2).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_SIM}, {_ranked(3, 0.3)} SELECT query_id, object_id, rank, CASE WHEN label % 4 = 0 THEN '' ELSE 'ask ' || label END AS question, CASE WHEN label % 4 = 0 THEN '[broken' ELSE 'select ' || object_id END AS sql FROM best""")
+def v_similar_examples(spark, d):
+    good = F.concat(F.lit('{"question": "ask '), "label", F.lit('", "sql": "select '), "object_id", F.lit('"}'))
+    examples = _corpus(spark, d).withColumn("document", F.when(F.col("label") % 4 == 0, "[broken").otherwise(good))
+    return R.similar_examples(_queries(spark, d), examples, 3, 0.3).drop("similarity")
+
+
+@query(f"""WITH {_SIM}, {_ranked(3, 0.0)}, asks AS (SELECT DISTINCT label AS asker, vec_id // 100 AS text FROM embeddings WHERE vec_id % 50 = 0)
+    SELECT asker AS query_id, 'p' || text AS source_text, object_id, rank FROM asks JOIN best ON query_id = text * 100""")
+def v_probe_hits(spark, d):
+    e = table(spark, d, "embeddings")
+    dims = F.collect_list(F.struct(F.concat(F.lit(" p"), F.floor(F.col("vec_id") / 100)).alias("text"), F.lit("column").alias("role"), F.lit("").alias("evidence")))
+    parsed = e.where("vec_id % 50 = 0").groupBy(F.col("label").alias("query_id")).agg(F.struct(dims.alias("dimensions")).alias("parse_result"))
+    vectors = e.where("vec_id % 100 = 0").select(F.concat(F.lit("p"), F.floor(F.col("vec_id") / 100)).alias("text"), "embedding")
+    return R.probe_hits(R.probes(parsed), vectors, _corpus(spark, d), 3).drop("similarity")
 
 
 @query("""SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
@@ -76,9 +100,13 @@ def v_pairwise(spark, d):
     return R.pairwise(pairs, corpus).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("SELECT vec_id AS object_id, len(embedding) AS width FROM embeddings WHERE len(embedding) <> 64 OR list_contains(embedding, NULL) OR len(list_filter(embedding, lambda x: isnan(x))) > 0")
+@query("SELECT vec_id AS object_id, CAST(CASE vec_id % 7 WHEN 1 THEN 63 WHEN 2 THEN 65 WHEN 3 THEN 65 WHEN 5 THEN -1 END AS INT) AS width FROM embeddings WHERE vec_id % 7 IN (1, 2, 3, 5)")
 def v_violations(spark, d):
-    return R.violations(_corpus(spark, d), 64).select("object_id", F.size("embedding").alias("width"))
+    # Every seventh vector is short, has a null, has a NaN or is missing; one is of another width by an element.
+    k, v = F.col("object_id") % 7, F.col("embedding")
+    extra = lambda x: F.concat(v, F.array(F.lit(x).cast("float")))
+    spoilt = F.when(k == 1, F.slice("embedding", 1, 63)).when(k == 2, extra(None)).when(k == 3, extra(float("nan"))).when(k != 5, v)
+    return R.violations(_corpus(spark, d).withColumn("embedding", spoilt), 64).select("object_id", F.coalesce(F.size("embedding"), F.lit(-1)).alias("width"))
 
 
 @query("""SELECT 'part.' || p_brand AS object_id, min(p_type) AS text_raw, CASE WHEN count(*) % 3 = 0 THEN '' ELSE p_brand END AS table_category FROM part
@@ -105,10 +133,10 @@ def v_catalogue_text(spark, d):
     return R.catalogue_text(p).groupBy("text_raw").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT DISTINCT conv_id AS query_id, trim(substr(text, 1, 12)) AS text FROM conversations WHERE role = 'user' AND trim(substr(text, 1, 12)) <> ''""")
+@query("""SELECT DISTINCT conv_id AS query_id, trim(text) AS text FROM conversations WHERE role = 'user' AND trim(text) <> ''""")
 def v_probes(spark, d):
     c = table(spark, d, "conversations").withColumn("role", F.when(F.col("role") == "user", "column").otherwise("value"))
-    dims = F.collect_list(F.struct(F.substring("text", 1, 12).alias("text"), "role", F.lit("").alias("evidence")))
+    dims = F.collect_list(F.struct("text", "role", F.lit("").alias("evidence")))
     return R.probes(c.groupBy(F.col("conv_id").alias("query_id")).agg(F.struct(dims.alias("dimensions")).alias("parse_result")))
 
 

@@ -31,8 +31,14 @@ def append(rows: DataFrame, like: DataFrame, path: str) -> None:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of new, and those of old whose key new does not have."""
-    return in_schema_order(new, old).unionByName(old.join(new.select(*key), key, "left_anti").select(*old.columns))
+    """The rows of new, one of each key (the greatest of several), and those of old whose key new does not have."""
+    rows = in_schema_order(new, old)
+    rest = [c for c in rows.columns if c not in key]
+    if rest:
+        rows = rows.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_r")).select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in rows.columns])
+    else:
+        rows = rows.distinct()
+    return rows.unionByName(old.join(new.select(*key), key, "left_anti").select(*old.columns))
 
 
 def describe(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
 from tabulon.functions import vectors as V
-from tabulon.operators import conversations, dependencies, join_graph, matching, operations, questions, retrieval, rollups, sql_audit
+from tabulon.operators import candidates, conversations, dependencies, join_graph, matching, operations, questions, retrieval, rollups, sql_audit
 from tabulon.sources import tables
 
 
@@ -125,7 +125,7 @@ def test_thread_ids(spark):
 def test_verdicts(spark):
     texts = ["SELECT 1", "with a as (select 1) select * from a", "drop table t", "SELECT created_at, deleted_flag FROM t", "SELECT 1; SELECT 2", "SELECT 1 -- x", "", "   "]
     df = sql_audit.verdict(spark.createDataFrame([(t,) for t in texts], "sql string"))
-    assert [r.layer for r in df.collect()] == ["passed", "passed", "security", "passed", "syntax", "security", "syntax", "syntax"]
+    assert [r.layer for r in df.collect()] == ["all_passed", "all_passed", "security", "all_passed", "syntax", "security", "syntax", "syntax"]
 
 
 def test_explain_and_execute(spark):
@@ -152,3 +152,97 @@ def test_upsert_and_append_columns(spark):
     new = spark.createDataFrame([(2, 1, 9), (3, 1, 9)], "p int, s int, extra int")
     got = {(r.s, r.p): r.v for r in tables.upsert(old, new, ["s", "p"]).collect()}
     assert got == {(1, 1): "a", (1, 2): None, (1, 3): None}
+
+
+def test_functions_in_sql(spark):
+    X.register_functions(spark)
+    texts = ["ＡＢｃ１２３", "京东 便利店（XX路店）", "São-Paulo's \\x", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").withColumn("o", F.lit("sao paulo"))
+    got = df.selectExpr("norm_text(s) AS n", "trigrams(s) AS g", "trigram_similarity(s, o) AS t", "truncate_text(s, 5) AS c", "word_similarity(s, o) AS w").collect()
+    want = df.select(X.norm_text(F.col("s")), X.trigrams(F.col("s")), X.trigram_similarity(F.col("s"), F.col("o")), X.truncate_text(F.col("s"), 5), X.word_similarity("s", "o")).collect()
+    assert [tuple(r)[:2] + tuple(r)[3:] for r in got] == [tuple(r)[:2] + tuple(r)[3:] for r in want]
+    assert got[2].t == pytest.approx(want[2][2])
+    assert list(spark.sql("SELECT cosine_similarity(array(1D, 0D), array(2D, 2D)), cosine_similarity(array(0D), array(1D))").first()) == pytest.approx([0.5**0.5, 0.0])
+
+
+CANDIDATES = "query_id string, `group` string, table_name string, place int, similarity double"
+
+
+def test_one_dimension_is_enough(spark):
+    rows = [
+        ("alone", "dimension", "d1", 1, 0.1), ("two", "dimension", "d1", 1, 0.9), ("two", "dimension", "d2", 2, 0.8), ("time", "dimension", "d1", 1, 0.9), ("over", "dimension", "d1", 1, 0.80), ("over", "fact", "f1", 1, 0.70),
+        ("gap", "dimension", "d1", 1, 0.75), ("gap", "fact", "f1", 1, 0.70), ("blind", "dimension", "d1", 1, None), ("blind", "fact", "f1", 1, None), ("bridge", "bridge", "b1", 1, 0.9), ("many", "dimension", "d1", 1, 0.9), ("many", "dimension", "d2", 2, 0.2), ("many", "fact", "f1", 1, 0.1),
+    ]
+    asked = spark.createDataFrame([(q, q == "time") for q in ("alone", "two", "time", "over", "gap", "blind", "bridge", "many", "none")], "query_id string, has_time boolean")
+    got = {r.query_id: r.table_name for r in candidates.dimension_only(spark.createDataFrame(rows, CANDIDATES), asked).collect()}
+    # 0.70 + 0.05 is not less than 0.75: the gap is strict.
+    assert got == {"alone": "d1", "two": None, "time": None, "over": "d1", "gap": None, "blind": None, "bridge": None, "many": None, "none": None}
+
+
+def test_question_plans(spark):
+    edges = spark.createDataFrame([("f1", "d1", "x", None, "N:1", 1.0), ("d1", "d2", "x", None, "N:1", 1.0), ("f1", "b1", "x", None, "N:1", 1.0), ("d3", "d4", "x", None, "N:1", 1.0)], EDGE)
+    rows = [
+        ("facts", "fact", "f1", 2, 0.5), ("facts", "fact", "f0", 1, 0.4), ("facts", "dimension", "d1", 1, 0.3), ("facts", "dimension", "d2", 2, 0.9), ("facts", "bridge", "b1", 1, 0.9), ("one", "dimension", "d9", 1, 0.1),
+        ("single", "fact", "f1", 1, 0.1), ("bridges", "bridge", "b1", 1, 0.9), ("dims", "dimension", "d1", 1, 0.2), ("dims", "dimension", "d2", 2, 0.2), ("dims", "dimension", "d4", 3, 0.9), ("tie", "fact", "f0", 2, 0.5), ("tie", "fact", "f1", 1, 0.5),
+    ]
+    asked = spark.createDataFrame([(q, False) for q in ("facts", "one", "single", "bridges", "dims", "tie")], "query_id string, has_time boolean")
+    got = {r.query_id: (r.base, r.targets, [(e.src_table, e.dst_table) for e in r.edges]) for r in candidates.question_plans(spark.createDataFrame(rows, CANDIDATES), asked, edges).collect()}
+    assert got == {
+        "facts": ("f1", ["f0", "d1", "d2", "b1"], [("f1", "d1"), ("d1", "d2"), ("f1", "b1")]), "one": ("d9", [], []), "single": ("f1", [], []),
+        "dims": ("d1", ["d2", "d4"], [("d1", "d2")]), "tie": ("f1", ["f0"], []),
+    }
+
+
+def test_a_running_question_is_no_deadlock(spark):
+    sub = spark.createDataFrame([("run", "a", "in_progress", []), ("run", "b", "pending", ["a"]), ("busy", "a", "in_progress", []), ("late", "a", "in_progress", [])], SUB)
+    rounds = spark.createDataFrame([("run", 1), ("busy", 1), ("late", 9)], "query_id string, round int")
+    assert {r.query_id: r.action for r in dependencies.stop_rule(sub, rounds).collect()} == {"run": "fail_deadlock", "busy": "continue", "late": "fail_rounds"}
+    got = {(r.query_id, r.sub_query_id): (r.status, r.error is not None) for r in dependencies.stopped(sub, rounds).collect()}
+    assert got == {("run", "a"): ("in_progress", False), ("run", "b"): ("failed", True), ("busy", "a"): ("in_progress", False), ("late", "a"): ("failed", True)}
+
+
+def test_value_hits(spark):
+    index = matching.value_index([("dim", spark.createDataFrame([(1, "Shenzhen"), (2, "Beijing")], "k int, v string"), "v", "k")])
+    dims = "array<struct<text:string,role:string>>"
+    parsed = spark.createDataFrame([("q", ([("x", "column"), (" shenzhen ", "value"), ("shenzhen", "value"), ("  ", "value")],)), ("r", ([("beijing", "value")],))], f"query_id string, parse_result struct<dimensions:{dims}>")
+    got = sorted((r.query_id, r.source_index, r.source_text, r.matched_text) for r in matching.value_hits(parsed, index).collect())
+    assert got == [("q", 1, "shenzhen", "Shenzhen"), ("q", 1, "shenzhen", "Shenzhen"), ("r", 0, "beijing", "Beijing")]
+
+
+def test_predicates_escape_quotes(spark):
+    predicate, _ = matching.suggested_predicate()
+    df = spark.createDataFrame([("t", "c", "k", "O'Neil", "x", 1.0), ("t", "c", "", "", "it's", 1.0)], "dim_table string, dim_col string, key_col string, key_value string, matched_text string, score double")
+    assert [r[0] for r in df.select(predicate).collect()] == ["t.k='O''Neil'", "t.c LIKE '%it''s%'"]
+
+
+def test_catalogue_and_logs(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("known_table")
+    assert [tuple(r) for r in sql_audit.table_columns(spark, "known_table").collect()] == [(1, "id", "bigint")]
+    assert sql_audit.table_columns(spark, "no_such_table").count() == 0
+    meta = operations.column_metadata({"a": spark.createDataFrame([(1, "x")], "p int, q string"), "b": spark.range(1)}).collect()
+    assert [tuple(r) for r in meta] == [("a", 1, "p", "int"), ("a", 2, "q", "string"), ("b", 1, "id", "bigint")]
+    assert one(spark, rollups.error_bullets(F.array(F.lit("x"), F.lit("y"))))[0] == "- x\n- y"
+    (tmp_path / "log.txt").write_text("one\ntwo\n")
+    assert [r.value for r in tables.text_log(spark, str(tmp_path / "log.txt")).collect()] == ["one", "two"]
+    tables.write_report(spark.range(2), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 2 and tables.grid(spark.range(50)).count() == 20
+    like = spark.createDataFrame([(1, "a")], "k int, v string")
+    like.write.parquet(str(tmp_path / "t"))
+    tables.append(spark.createDataFrame([("b", 2)], "v string, k int"), like, str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_turns_are_written_by_day(spark, tmp_path):
+    turns = spark.sql("SELECT * FROM VALUES ('u:1', 'q1', 'hi', 'ho', TIMESTAMP'2024-01-01 01:00:00'), ('u:1', 'q2', 'hi', 'ho', TIMESTAMP'2024-01-02 01:00:00') t(thread_id, query_id, question, answer, created_at)").withColumn("updated_at", F.col("created_at"))
+    conversations.write_turns(turns, str(tmp_path / "turns"))
+    assert sorted(p.name for p in (tmp_path / "turns").glob("day=*")) == ["day=2024-01-01", "day=2024-01-02"]
+
+
+def test_many_queries_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "object_id int, embedding array<float>")
+    asked = corpus.withColumnRenamed("object_id", "query_id")
+    key = lambda df: sorted((r.query_id, r.rank, r.object_id) for r in df.collect())
+    whole = key(retrieval.top_k(asked, corpus, 4))
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    assert key(retrieval.top_k(asked, corpus, 4)) == whole and len(whole) == 240
