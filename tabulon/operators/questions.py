@@ -79,10 +79,22 @@ def dependent(step: DataFrame, earlier: DataFrame, key: Sequence[str]) -> DataFr
     return step.join(earlier.select(*key).distinct(), list(key), "left_semi")
 
 
+def _pieces(s: Column, size: int) -> Column:
+    """All substrings of `size` characters; none of shorter texts."""
+    last = F.length(s) - size + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(s, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
 def matching(df: DataFrame, filters: DataFrame, column: str) -> DataFrame:
-    """Rows whose column equals a filter's value (score 0.8 and over) or contains it (below)."""
-    exact = filters.where("score >= 0.8").select(F.col("value").alias(column)).distinct()
-    like = filters.where("score < 0.8").select(F.col("value").alias("_part")).distinct()
-    equal = df.join(exact, column, "left_semi")
-    rest = df.join(exact, column, "left_anti")
-    return equal.unionByName(rest.join(like, rest[column].contains(F.col("_part")), "left_semi"))
+    """Rows whose column equals a filter's value (score 0.8 and over) or contains it (below).
+
+    Contained values are found by their first three characters among those of the column's
+    distinct values, and then verified, so that no product of values and filters arises.
+    """
+    exact = filters.where("score >= 0.8").select(F.col("value").alias(column))
+    parts = filters.where("score < 0.8").select(F.col("value").alias("_part")).distinct().withColumn("_g", F.left("_part", F.lit(3)))
+    value = F.col(column)
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(value, n) for n in (1, 2, 3)]))
+    values = df.select(column).where(value.isNotNull()).distinct().withColumn("_g", F.explode(grams))
+    held = values.join(parts, "_g").where(value.contains(F.col("_part"))).select(column)
+    return df.join(exact.union(held).distinct(), column, "left_semi")

@@ -246,3 +246,12 @@ def test_many_queries_in_blocks(spark, monkeypatch):
     whole = key(retrieval.top_k(asked, corpus, 4))
     monkeypatch.setattr(retrieval, "BLOCK", 16)
     assert key(retrieval.top_k(asked, corpus, 4)) == whole and len(whole) == 240
+
+
+def test_matching_by_parts(spark):
+    values = ["abcd", "xabcx", "ab", "b", "", None, "zz", "été"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for parts in (["abc"], ["b"], ["ab", "é"], [""], ["nope"], [None]):
+        f = spark.createDataFrame([(p, 0.5) for p in parts] + [("zz", 0.9)], "value string, score double")
+        want = sorted(v for v in values if v is not None and (v == "zz" or any(p is not None and p in v for p in parts)))
+        assert sorted(r.v for r in questions.matching(df, f, "v").collect()) == want
