@@ -102,7 +102,10 @@ def _packed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _counted(packed: DataFrame, width: int) -> DataFrame:
-    """In each bucket: (key, at, digest) of the windows met twice there, or, in hot ones, of every window."""
+    """In each bucket: (key, at, last), runs of windows met twice there.
+
+    A hot bucket also gives (key, at, last, digest) of every window met once, and (digest) alone for one met twice.
+    """
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         table, text = [], []
@@ -117,14 +120,27 @@ def _counted(packed: DataFrame, width: int) -> DataFrame:
         n = len(table)
         same = [i > 0 and table[i][0] == table[i - 1][0] for i in range(n)] + [False]
         keys, hot = pdf["key"].to_numpy(), pdf["hot"].to_numpy()
-        out = []
+        out, met = [], []
         for i, (window, row, at) in enumerate(table):
             twice = same[i] or same[i + 1]
-            if twice or hot[row]:
-                out.append((keys[row], at, twice, hashlib.blake2b(window, digest_size=16).digest() if hot[row] else None))
-        return pd.DataFrame(out, columns=["key", "at", "twice", "digest"])
-
-    return packed.groupBy("bucket").applyInPandas(each, "key binary, at int, twice boolean, digest binary")
+            if twice:
+                met.append((row, at))
+            if hot[row] and not same[i]:
+                digest = hashlib.blake2b(window, digest_size=16).digest()
+                out.append((None, None, None, digest) if twice else (keys[row], at, at, digest))
+        met.sort()
+        for i, (row, at) in enumerate(met):
+            if i and met[i - 1] == (row, at - 1):
+                last = at
+            else:
+                if i:
+                    out.append((keys[met[i - 1][0]], first, last, None))
+                first = last = at
+        if met:
+            out.append((keys[met[-1][0]], first, last, None))
+        return pd.DataFrame({"key": [x[0] for x in out], "at": pd.array([x[1] for x in out], dtype="Int32"), "last": pd.array([x[2] for x in out], dtype="Int32"), "digest": [x[3] for x in out]})
+
+    return packed.groupBy("bucket").applyInPandas(each, "key binary, at int, last int, digest binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -134,7 +150,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, width: int = 35, gram: int = 8) -> DataFrame:
-    """(key, at): the first words of the repeated windows, ascending, for the keyed docs that have any."""
+    """(key, at): runs (first, last) of the first words of repeated windows, ascending, for the keyed docs that have any."""
     spark = docs.sparkSession
     rows = docs.select("key", "text")
     runs = stored(super_kmers(rows, width, gram), "runs")
@@ -152,8 +168,8 @@ def repeated_windows(docs: DataFrame, width: int = 35, gram: int = 8) -> DataFra
     packed = _packed(rows.join(per_doc, "key"), width)
     met = stored(_counted(packed, width), "met")
     across = met.where("digest is not null").groupBy("digest").agg(F.count("*").alias("c")).where("c > 1")
-    found = met.where("twice").select("key", "at").union(met.where("digest is not null and not twice").join(across, "digest", "left_semi").select("key", "at"))
-    return found.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    found = met.where("digest is null").union(met.where("key is not null and digest is not null").join(across, "digest", "left_semi").select(*met.columns))
+    return found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("first"), "last"))).alias("at"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8) -> DataFrame:
@@ -169,9 +185,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8) -> DataFrame
                 n.append(len(words))
                 if at.is_valid:
                     edge = np.zeros(len(words) + 1, dtype=np.int32)
-                    first = at.values.to_numpy()
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + width, -1)
+                    np.add.at(edge, at.values.field("first").to_numpy(), 1)
+                    np.add.at(edge, at.values.field("last").to_numpy() + width, -1)
                     covered = np.cumsum(edge[:-1]) > 0
                     removed.append(int(covered.sum()))
                     words = [words[i] for i in np.flatnonzero(~covered)]
