@@ -92,3 +92,38 @@ def test_run(stages, spark):
     done = corpus_pipeline.run(spark, FOLDER)
     want = stages["token_output"][1]
     assert done.columns == want.columns and done.count() == want.count()
+
+
+def small_folder(path, spark, rows, labels):
+    from test_text_operators import frame
+
+    frame(spark, rows).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_run_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    plain = [f"w{i} x{i} y{i} z{i} a{i} b{i} c{i} d{i}" for i in range(30)]
+    rows = [*enumerate(plain), (40, None), (41, ""), (None, "no id at all here now"), (50, plain[3]), (60, "and one two three four five six seven eight nine ten too"), (70, "twice is one document"), (70, "twice is one document"), (80, "ab" * 100_000)]
+    folder = small_folder(tmp_path / "in", spark, rows, [])
+    docs = common.documents(spark, folder)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.stored(stage(spark, docs, folder), name)
+        assert out.columns == docs.columns
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if name == "quality":
+            assert len(ids) == len(rows)
+        if name == "near_copies":
+            assert 3 in ids and 50 not in ids and ids.count(70) == 2 and None in ids and {40, 41} <= set(ids)
+        if name == "benchmark_leaks":
+            assert 60 not in ids and len(ids) == len(rows) - 2
+        docs = out
+    done = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    counts = Counter(r.doc_id for r in docs.collect())
+    assert {s.doc_id for r in done for s in r.docs} == set(counts) and max(counts.values()) <= 4
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    folder = small_folder(tmp_path / "in", spark, [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
