@@ -1,7 +1,15 @@
 """The corpus pipeline: quality, near copies, benchmark leaks, mixture, token shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
-Parquet and read again as the next stage's docs.
+Parquet and read again as the next stage's docs.  All stages but the last return the
+columns they were given, whatever their names.
+
+Defined results: null and empty texts have the quality score of a text without words, are
+no near copies of anything, hold no benchmark item, are taken floor(q) times by the mixture of their
+source, and give an end token alone.  Rows without a doc_id stay in every filter.  Rows
+that repeat each other, doc_id and all, are one document: they stay or go together, and the mixture draws
+them together.  Of a group of near copies the least doc_id stays.  An empty table gives
+empty results and no shards; without labels every document stays; without a benchmark none leaks.
 """
 
 from __future__ import annotations
