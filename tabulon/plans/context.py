@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import candidates as C
 from ..operators import join_graph as J
 from ..operators import rollups as R
+from ..operators.iteration import stored
 from ..sources import tables as T
 from ..sources.tables import table
 from .registry import query
@@ -92,6 +93,11 @@ def _candidates(spark, d):
     return C.merged(tables, par, values).join(C.similarities(tables, par), ["query_id", "table_name"], "left")
 
 
+def _written(spark, d):
+    """The candidates, written once for operators that read them several times."""
+    return stored(_candidates(spark, d), "candidates")
+
+
 @query(f"WITH {_HITS}, {_SIMS}, {_MERGED} SELECT query_id, grp, table_name, place, similarity FROM cand")
 def c_merged(spark, d):
     return _candidates(spark, d).withColumnRenamed("group", "grp")
@@ -107,7 +113,7 @@ def _tasks(spark, d):
 
 @query(f"""WITH {_HITS}, {_SIMS}, {_MERGED}, {_ONLY} SELECT query_id, yes AS dimension_only, CASE WHEN yes THEN one END AS table_name FROM only_dim""")
 def c_dimension_only(spark, d):
-    return C.dimension_only(_candidates(spark, d), _tasks(spark, d))
+    return C.dimension_only(_written(spark, d), _tasks(spark, d))
 
 
 _REACH = "reach AS (SELECT DISTINCT 't' || (l_partkey % 20) AS base, 't' || (l_suppkey % 20) AS target FROM lineitem WHERE l_quantity > 49)"
@@ -125,12 +131,12 @@ def _reach(spark, d):
 
 @query(f"WITH {_HITS}, {_SIMS}, {_MERGED}, {_REACH}, rest AS (SELECT * FROM cand), {_BASE} SELECT query_id, table_name FROM base")
 def c_base(spark, d):
-    return C.base_table(_candidates(spark, d), _reach(spark, d))
+    return C.base_table(_written(spark, d), _reach(spark, d))
 
 
 @query(f"WITH {_HITS}, {_SIMS}, {_MERGED}, {_REACH}, rest AS (SELECT * FROM cand), {_BASE} SELECT query_id, table_name FROM best_dim")
 def c_best_dimension(spark, d):
-    return C.best_dimension(_candidates(spark, d), _reach(spark, d))
+    return C.best_dimension(_written(spark, d), _reach(spark, d))
 
 
 #: A graph of the twenty tables: each with the three that its lines name most, and all cheapest paths of it; t3, t7 and t11 stay apart.
@@ -205,7 +211,7 @@ def c_context(spark, d):
     once AS (SELECT query_id, base, src_table, dst_table, min((w, i)) AS f FROM hop JOIN kept_edges USING (a, b) GROUP BY ALL)
     SELECT query_id, base, string_agg(src_table || '-' || dst_table, ',' ORDER BY f) AS edges FROM once GROUP BY ALL""")
 def j_base_plans(spark, d):
-    c = _candidates(spark, d)
+    c = _written(spark, d)
     return J.base_plans(_graph(spark, d), c.where("group = 'fact'").select("query_id", F.col("table_name").alias("base")), c.where("group = 'dimension'").select("query_id", "table_name", "place")).select("query_id", "base", _shown())
 
 
