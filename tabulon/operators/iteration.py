@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_made: list[str] = []
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -21,7 +22,17 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="spark-"))
         root = _local[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the scratch tables made so far; results that still read them must be written before."""
+    for path in _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.clear()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Statement types that may run, and words that may not occur.
@@ -134,22 +134,26 @@ def explain_error(spark: SparkSession, sql: str) -> str | None:
     return " ".join(lines)[:500] if failed else None
 
 
-def execute(spark: SparkSession, sql: str, timeout: float = 30.0) -> dict:
-    """Runs one statement under a tag and returns its log row: success, columns, row_count, execution_time_ms, error.
+def execute(spark: SparkSession, sql: str, timeout: float = 30.0, most: int = 0, pool: str | None = None) -> dict:
+    """Runs one statement under a tag and returns its log row: success, columns, row_count, rows, began_ms, execution_time_ms, error.
 
-    The result stays in Spark; only its count comes back.  After `timeout` seconds the tag's jobs are cancelled.
+    The result stays in Spark; its count and at most `most` rows, as JSON, come back.  After `timeout`
+    seconds the tag's jobs are cancelled.  `pool` is the scheduler pool of the jobs.
     """
     from threading import Timer
 
     tag = f"sql-{time.monotonic_ns()}"
     began = time.time()
-    row = {"sql": sql, "success": False, "columns": [], "row_count": 0, "error": None}
+    row = {"sql": sql, "success": False, "columns": [], "row_count": 0, "rows": [], "error": None, "began_ms": began * 1000}
     timer = Timer(timeout, lambda: spark.sparkContext.cancelJobsWithTag(tag))
     timer.start()
     spark.sparkContext.addJobTag(tag)
+    if pool:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
     try:
         df = spark.sql(sql)
-        row |= {"columns": df.columns, "row_count": df.count(), "success": True}
+        row |= {"columns": df.columns, "row_count": df.count(), "rows": [r[0] for r in df.limit(most).select(F.to_json(F.struct("*"))).collect()] if most else []}
+        row["success"] = True
     except Exception as e:  # every failure becomes a log row
         row["error"] = str(e).splitlines()[0]
     finally:
@@ -158,9 +162,22 @@ def execute(spark: SparkSession, sql: str, timeout: float = 30.0) -> dict:
     return row | {"execution_time_ms": (time.time() - began) * 1000}
 
 
-def execute_all(spark: SparkSession, pending: list[str], done: set[str] = frozenset(), workers: int = 3) -> DataFrame:
+def pending(statements: DataFrame, log: DataFrame) -> DataFrame:
+    """The statements (sql, ...) that the log (sql, ...) does not have yet."""
+    return statements.join(log.select("sql").distinct(), "sql", "left_anti")
+
+
+def execute_all(spark: SparkSession, statements: list[str], done: set[str] = frozenset(), workers: int = 3, **options) -> DataFrame:
     """Log rows of the statements that are not done yet; a few independent jobs run side by side."""
-    todo = [s for s in pending if s not in done]
-    with ThreadPoolExecutor(workers) as pool:
-        rows = list(pool.map(lambda s: execute(spark, s), todo))
-    return spark.createDataFrame(rows, "sql string, success boolean, columns array<string>, row_count bigint, error string, execution_time_ms double")
+    todo = [s for s in statements if s not in done]
+    with ThreadPoolExecutor(workers) as runners:
+        rows = list(runners.map(lambda s: execute(spark, s, **options), todo))
+    return spark.createDataFrame(rows, "sql string, success boolean, columns array<string>, row_count bigint, rows array<string>, error string, began_ms double, execution_time_ms double")
+
+
+def parallelism(log: DataFrame) -> DataFrame:
+    """(most): how many statements of a log (began_ms, execution_time_ms) ran at the same time at most."""
+    edges = F.array(F.struct(F.col("began_ms").alias("at"), F.lit(1).alias("step")), F.struct((F.col("began_ms") + F.col("execution_time_ms")).alias("at"), F.lit(-1).alias("step")))
+    steps = log.select(F.explode(edges).alias("e")).select("e.*")
+    running = F.sum("step").over(Window.orderBy("at", "step"))
+    return steps.select(running.alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import text as X
 from tabulon.functions import vectors as V
-from tabulon.operators import candidates, conversations, dependencies, join_graph, matching, operations, questions, retrieval, rollups, sql_audit
+from tabulon.operators import candidates, conversations, dependencies, iteration, join_graph, matching, operations, questions, retrieval, rollups, sql_audit
 from tabulon.sources import tables
 
 
@@ -255,3 +255,23 @@ def test_matching_by_parts(spark):
         f = spark.createDataFrame([(p, 0.5) for p in parts] + [("zz", 0.9)], "value string, score double")
         want = sorted(v for v in values if v is not None and (v == "zz" or any(p is not None and p in v for p in parts)))
         assert sorted(r.v for r in questions.matching(df, f, "v").collect()) == want
+
+
+def test_runs_of_many_statements(spark):
+    log = sql_audit.execute_all(spark, ["SELECT id FROM range(5)", "SELECT 1 AS x", "SELECT broken"], {"SELECT 1 AS x"}, most=2).cache()
+    got = {r.sql: (r.success, r.row_count, r.rows) for r in log.collect()}
+    assert got == {"SELECT id FROM range(5)": (True, 5, ['{"id":0}', '{"id":1}']), "SELECT broken": (False, 0, [])}
+    asked = spark.createDataFrame([("SELECT broken",), ("SELECT 2",)], "sql string")
+    assert [r.sql for r in sql_audit.pending(asked, log).collect()] == ["SELECT 2"]
+    times = spark.createDataFrame([(0.0, 10.0), (5.0, 10.0), (10.0, 1.0), (30.0, 1.0)], "began_ms double, execution_time_ms double")
+    assert sql_audit.parallelism(times).first().most == 2 and sql_audit.parallelism(times.limit(0)).first().most == 0
+
+
+def test_scratch_tables_are_cleared(spark):
+    import os
+
+    df = iteration.stored(spark.range(3), "cleared")
+    path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(path)
+    iteration.clear(spark)
+    assert not os.path.exists(path)
