@@ -9,7 +9,7 @@ is plain SQL over the statistics.
 Defined results: null, empty and blank texts have all statistics 0 and the score that
 these give; without labels of both classes every score is the labels' mean (0.5 without
 any); a null doc_id is never held out and has no label; labels other than 0 and 1 are
-ignored; equal texts have equal scores.  Only doc_id and text are read of the documents.
+ignored, and of several labels of a document the least counts; equal texts have equal scores.  Only doc_id and text are read of the documents.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def _paths(node, path: Rule = ()) -> set[Rule]:
 
 def fit(statistics: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 16, depth: int = 3, lasso: float = 0.001, seed: int = 7) -> RuleModel:
     """A rule ensemble for labels.quality; at most `sample` labelled rows, drawn by a seeded hash, are used."""
-    y = labels.where("quality in (0, 1)").select(F.col("doc_id"), F.col("quality").cast("double").alias("label"))
+    y = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
     rows = statistics.where(~held_out()).join(y, "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(sample)
     rows = stored(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.coalesce(1)), "labelled")
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()

@@ -293,6 +293,8 @@ def test_secrets(spark):
     assert (literal, literal + 14, 0) in [tuple(x) for x in got[7].spans]
     assert len(got[8].spans) == 1 and not got[9].spans and not got[10].spans
     assert secrets.find_secrets(empty(spark)).count() == 0
+    twice = secrets.find_secrets(frame(spark, [rows[7], rows[7], (None, texts[8])])).collect()
+    assert len(twice) == 3 and twice[0] == twice[1] and len(twice[2].spans) == 1
 
 
 def test_secrets_of_every_form():
@@ -635,6 +637,8 @@ def test_quality_rules_and_statistics(spark):
     labels = spark.createDataFrame([(i, int(len(t or "") > 300), 0) for i, t in rows] * 2, "doc_id bigint, quality int, toxic int")
     model = quality.fit(quality.text_statistics(frame(spark, rows)), labels)
     assert model.rules
+    once = quality.fit(quality.text_statistics(frame(spark, rows)), labels.distinct())
+    assert once == model  # repeated labels count once
     scored = {r.doc_id: r.score for r in quality.text_statistics(frame(spark, rows)).withColumn("score", model.score()).collect()}
     for i, _ in rows:
         total = model.bias + sum(w for rule, w in model.rules if all((stats[i][f] > at) == above for f, above, at in rule))
