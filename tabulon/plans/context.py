@@ -33,7 +33,7 @@ def _hits(spark, d) -> DataFrame:
 
 
 def _parts(spark, d):
-    h = _hits(spark, d)
+    h = stored(_hits(spark, d), "hits")  # every operator reads its branches several times
     tables, columns = h.where("l_linenumber <= 4"), h.where("l_linenumber > 2").drop("similarity").withColumnRenamed("csim", "similarity")
     catalogue = table(spark, d, "lineitem").select(F.concat(F.lit("t"), F.col("l_partkey") % 20).alias("object_id")).distinct()
     catalogue = catalogue.withColumn("table_category", F.when(F.substring("object_id", 2, 9).cast("int") % 2 == 0, "fact").otherwise("")).withColumn("text_raw", F.concat(F.lit("card of "), "object_id"))
