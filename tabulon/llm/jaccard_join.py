@@ -176,17 +176,18 @@ def _indexed(batch_of, kind: str):
             keep = [batch.column(i) for i in range(len(names) - 1)]
             shared = batch.column(len(names) - 1)
             rest = [batch.column(i) for i in range(len(names), batch.num_columns)]
-            found = []
+            found, held = [], 0
             for i in range(batch.num_rows):
                 pairs = shared[i].values
                 if pairs is None:
                     found.append(np.zeros(0, dtype=np.int64))
                 else:
                     found.append(_entries(pairs.field("h").to_numpy(zero_copy_only=False), pairs.field("c").to_numpy(zero_copy_only=False), *batch_of([x[i].as_py() for x in rest])))
-                if sum(map(len, found[-200:])) > 1 << 20 or i == batch.num_rows - 1:
+                held += len(found[-1])
+                if held > 1 << 20 or i == batch.num_rows - 1:
                     at = pa.array(np.repeat(np.arange(i + 1 - len(found), i + 1), [len(x) for x in found]))
                     yield pa.RecordBatch.from_arrays([*[x.take(at) for x in keep], pa.array(np.concatenate(found))], names)
-                    found = []
+                    found, held = [], 0
 
     return each
 
