@@ -118,27 +118,25 @@ def _counted(packed: DataFrame, width: int) -> DataFrame:
                 table.append((p[lo : int(ends[i + width - 1]) - 1], row, first + i))
         table.sort(key=lambda x: x[0])
         n = len(table)
-        same = [i > 0 and table[i][0] == table[i - 1][0] for i in range(n)] + [False]
-        keys, hot = pdf["key"].to_numpy(), pdf["hot"].to_numpy()
-        out, met = [], []
-        for i, (window, row, at) in enumerate(table):
-            twice = same[i] or same[i + 1]
-            if twice:
-                met.append((row, at))
-            if hot[row] and not same[i]:
-                digest = hashlib.blake2b(window, digest_size=16).digest()
-                out.append((None, None, None, digest) if twice else (keys[row], at, at, digest))
-        met.sort()
-        for i, (row, at) in enumerate(met):
-            if i and met[i - 1] == (row, at - 1):
-                last = at
-            else:
-                if i:
-                    out.append((keys[met[i - 1][0]], first, last, None))
-                first = last = at
-        if met:
-            out.append((keys[met[-1][0]], first, last, None))
-        return pd.DataFrame({"key": [x[0] for x in out], "at": pd.array([x[1] for x in out], dtype="Int32"), "last": pd.array([x[2] for x in out], dtype="Int32"), "digest": [x[3] for x in out]})
+        row, at = (np.fromiter((x[i] for x in table), dtype=np.int64, count=n) for i in (1, 2))
+        same = np.zeros(n + 1, dtype=bool)
+        same[1:n] = [x[0] == y[0] for x, y in zip(table[1:], table, strict=False)]
+        twice, keys, hot = same[:-1] | same[1:], pdf["key"].to_numpy(), pdf["hot"].to_numpy(dtype=bool)
+        order = np.lexsort((at[twice], row[twice]))
+        r, a = row[twice][order], at[twice][order]
+        new = np.ones(len(r), dtype=bool)
+        new[1:] = (r[1:] != r[:-1]) | (a[1:] != a[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(r)) - 1
+        runs = pd.DataFrame({"key": keys[r[first]], "at": pd.array(a[first], dtype="Int32"), "last": pd.array(a[last] if len(r) else a, dtype="Int32"), "digest": None})
+        once = np.flatnonzero(hot[row] & ~same[:-1])
+        if not len(once):
+            return runs
+        alone = ~twice[once]
+        digests = [hashlib.blake2b(table[i][0], digest_size=16).digest() for i in once]
+        place = pd.array(np.where(alone, at[once], 0), dtype="Int32")
+        place[~alone] = pd.NA
+        return pd.concat([runs, pd.DataFrame({"key": np.where(alone, keys[row[once]], None), "at": place, "last": place, "digest": digests})])
 
     return packed.groupBy("bucket").applyInPandas(each, "key binary, at int, last int, digest binary")
 
