@@ -88,6 +88,12 @@ def j_complexity(spark, d):
     return J.complexity(_plans(spark, d))
 
 
+@query(f"""WITH RECURSIVE {_TRADE}, {_WALK.format(hops=7, order='cost, hops')}, {_FROM_ZERO}, placed AS (SELECT base, src_table, dst_table, any_value(cost) AS cost, min((target, pos)) AS first FROM directed GROUP BY base, src_table, dst_table)
+    SELECT base, 'base ' || base || ', cost ' || CAST(sum(cost) AS INT) || chr(10) || string_agg('INNER JOIN ' || src_table || ' -> ' || dst_table || ' ON SRC.k = DST.k', chr(10) ORDER BY first) AS text FROM placed GROUP BY base ORDER BY base LIMIT 3""")
+def j_plan_text(spark, d):
+    return J.plan_text(_plans(spark, d))
+
+
 @query(f"""WITH {_TRADE} SELECT id, neighbour FROM (SELECT src_table AS id, dst_table AS neighbour FROM edges UNION SELECT dst_table, src_table FROM edges)""")
 def j_neighbours(spark, d):
     return J.neighbours(_edges(spark, d), table(spark, d, "nation").select(F.col("n_name").alias("id")))
