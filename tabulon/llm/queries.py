@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, jaccard_join, line_dedup, mixing, pii, quality, secrets, substring_dedup, token_shards, winnowing
+from . import common, decontamination, jaccard_join, line_dedup, mixing, pii, quality, ranked_search, rendezvous, secrets, substring_dedup, token_shards, whitening, winnowing
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", components=4)
+    each = out.select("*", F.posexplode("whitened").alias("at", "value"))
+    return each.select(
+        "row.vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").try_cast("bigint").alias("deviation"), F.col("value").alias("whitened"),
+        F.get("explained", F.col("at")).alias("explained"), "identity_error",
+    )
+
+
+def op13_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rendezvous.shard_rows(common.documents(spark, sf_dir), 40, keep=["doc_id"])
+    return out.select("row.doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -78,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Terms of the ranked search: runs of ASCII letters and digits and of what is not ASCII.
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 SQL = {
     "op2_ngram_jaccard": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
@@ -112,4 +133,25 @@ SQL = {
         done AS (SELECT doc_id, count(*) AS n, count_if(g) AS r, string_agg(x, chr(10) ORDER BY i) FILTER (NOT g) AS kept FROM m GROUP BY doc_id)
         SELECT l.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM l LEFT JOIN done ON done.doc_id = l.doc_id""",
+    "op11_reversed_search": f"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+        f AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM t WHERE len(ts) > 0),
+        tot AS (SELECT count(*) AS total, sum(len(ts)) AS terms FROM t WHERE len(ts) > 0),
+        q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        h AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM f SEMI JOIN q ON q.term = f.term GROUP BY r, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM h GROUP BY term), tot),
+        s AS (SELECT q.item_id, h.r, any_value(h.doc_id) AS doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * total) // terms)))) AS BIGINT) AS score
+              FROM q JOIN h ON h.term = q.term JOIN w ON w.term = q.term, tot GROUP BY q.item_id, h.r)
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+    "op13_rendezvous": """
+        WITH poly AS (SELECT list(CAST(list_reduce(range(0, 8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS BIGINT) ORDER BY i) AS crcs FROM range(0, 256) x(i)),
+        raw AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        b AS (SELECT r, doc_id, length(x) // 2 + 16 AS size, list_transform(regexp_extract_all(x, '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bs FROM raw),
+        k AS (SELECT r, doc_id, size, xor(list_reduce(bs, lambda c, v: xor(c >> 8, crcs[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS crc, coalesce('k' || doc_id, 'n') AS key FROM b, poly),
+        d AS (SELECT r, i, CAST('0x' || substr(md5(key || ':' || i), 1, 13) AS BIGINT) AS draw FROM k, range(0, 41) x(i)),
+        p AS (SELECT r, arg_max(i, draw) FILTER (i < 40) AS shard, arg_max(i, draw) AS grown FROM d GROUP BY r)
+        SELECT doc_id, size, crc AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, CAST(grown AS INT) AS grown_shard,
+            row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(key), 1, 13) AS BIGINT), key, crc, size) - 1 AS slot
+        FROM k JOIN p USING (r)""",
 }
