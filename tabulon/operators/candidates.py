@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .iteration import stored
 from .join_graph import find_paths, joined_targets
+from .matching import deduplicate
+from .retrieval import parsed_examples, search_all
 
 #: Raw categories and what they stand for.
 CATEGORIES = {
@@ -35,15 +37,26 @@ def table_names(tables: DataFrame, columns: DataFrame) -> DataFrame:
     return tables.select("query_id", "table_name").union(columns.where("parent_id is not null").select("query_id", "parent_id")).distinct()
 
 
-def category_map(tables: DataFrame, columns: DataFrame, catalogue: DataFrame, value_hits: DataFrame | None = None) -> DataFrame:
-    """(query_id, table_name, table_category): from table hits; parents of column hits and tables of value hits that lack one are looked up."""
+def category_map(tables: DataFrame, columns: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(query_id, table_name, table_category): from table hits; parents that a dimension's text led to and that lack one are looked up.
+
+    Parents that only the question itself led to keep none, and so count as dimensions.
+    """
     known = tables.groupBy("query_id", "table_name").agg(F.max("table_category").alias("table_category"))
-    named = columns.where("parent_id is not null").select("query_id", F.col("parent_id").alias("table_name"))
-    if value_hits is not None:
-        named = named.union(value_hits.select("query_id", "table_name"))
+    named = columns.where("parent_id is not null and source_text is not null").select("query_id", F.col("parent_id").alias("table_name"))
     lacking = named.distinct().join(known, ["query_id", "table_name"], "left_anti")
-    found = lacking.join(catalogue.where("table_category <> ''").select(F.col("object_id").alias("table_name"), "table_category"), "table_name")
-    return known.unionByName(found.select("query_id", "table_name", "table_category"))
+    return known.unionByName(_looked_up(lacking, catalogue))
+
+
+def _looked_up(names: DataFrame, catalogue: DataFrame) -> DataFrame:
+    named = catalogue.where("table_category <> ''").select(F.col("object_id").alias("table_name"), "table_category")
+    return names.join(named, "table_name").select("query_id", "table_name", "table_category")
+
+
+def shown_categories(names: DataFrame, known: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(query_id, table_name, table_category) of the candidates (query_id, table_name): the known one, else the catalogue's; blank ones are none."""
+    own = known.where("table_category <> ''")
+    return names.distinct().join(own, ["query_id", "table_name"]).select(own.columns).unionByName(_looked_up(names.distinct().join(own, ["query_id", "table_name"], "left_anti"), catalogue))
 
 
 def parents(columns: DataFrame, categories: DataFrame) -> DataFrame:
@@ -148,18 +161,19 @@ def counters(**parts: DataFrame) -> DataFrame:
 def context(tables: DataFrame, columns: DataFrame, value_hits: DataFrame, catalogue: DataFrame, tasks: DataFrame, edges: DataFrame, examples: DataFrame) -> DataFrame:
     """One row a question, the whole retrieval as one plan.
 
-    value_hits: query_id, table_name, ordinal, source_text, matched_text, score; tasks: query_id, has_time;
-    examples: query_id, similarity, ordinal, example (struct).  Columns: the ordered facts, dimensions and
-    bridges, cards of facts and dimensions, table_categories (map), join plan (base, targets, edges),
-    similar_sqls by similarity, value_hits (the best for each source text and table, by
-    score), and counters table_count, column_count, dim_match_count, join_plan_count.
+    value_hits: query_id, table_name, ordinal, source_index, source_text, matched_text, dim_table, dim_col, key_col, key_value, score;
+    tasks: query_id, has_time; examples: query_id, similarity, ordinal, example (struct).  Columns: the ordered facts,
+    dimensions and bridges, cards of facts and dimensions, table_categories (map), join plan (base, targets, edges),
+    similar_sqls by similarity, value_hits (one for each value of a column, the best, by score), and
+    counters table_count, column_count, dim_match_count, join_plan_count.
     """
-    known = category_map(tables, columns, catalogue, value_hits)
-    parent_rows = parents(columns, known)
+    known = stored(category_map(tables, columns, catalogue), "categories")
+    parent_rows = stored(parents(columns, known), "parents")
     places = merged(tables, parent_rows, value_hits.select("query_id", "table_name", "ordinal"))
     scored = stored(places.join(similarities(tables, parent_rows), ["query_id", "table_name"], "left"), "scored")
     cards = catalogue.select(F.col("object_id").alias("table_name"), "text_raw")
-    full = scored.join(cards, "table_name", "left").join(known, ["query_id", "table_name"], "left")
+    categories = shown_categories(scored.select("query_id", "table_name"), known, catalogue)
+    full = scored.join(cards, "table_name", "left").join(categories, ["query_id", "table_name"], "left")
     listed = lambda g: F.transform(F.array_sort(F.collect_list(F.when(F.col("group") == g, F.struct("place", "table_name")))), lambda x: x["table_name"])
     carded = F.collect_set(F.when((F.col("group") != "bridge") & F.col("text_raw").isNotNull(), F.struct("table_name", "text_raw")))
     named = F.collect_set(F.when(F.col("table_category").isNotNull(), F.struct("table_name", "table_category")))
@@ -169,10 +183,69 @@ def context(tables: DataFrame, columns: DataFrame, value_hits: DataFrame, catalo
     )
     plan = question_plans(scored, tasks, edges).withColumn("join_plan_count", F.lit(1))
     shown = examples.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "ordinal", "example"))), lambda x: x["example"]).alias("similar_sqls"))
-    best = value_hits.groupBy("query_id", "source_text", "table_name").agg(F.max(F.struct("score", "matched_text")).alias("hit"))
-    hit = F.struct((-F.col("hit.score")).alias("s"), "source_text", "table_name", F.col("hit.matched_text").alias("matched_text"))
-    hits = best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(hit)), lambda x: F.struct(x["source_text"].alias("source_text"), x["matched_text"].alias("matched_text"), x["table_name"].alias("table_name"), (-x["s"]).alias("score"))).alias("value_hits"))
     n = counters(column_count=columns, dim_match_count=value_hits)
-    for part in (plan, shown, hits, n):
+    for part in (plan, shown, listed_hits(value_hits), n):
         out = out.join(part, "query_id", "left")
     return out.fillna(0, ["join_plan_count", "column_count", "dim_match_count"])
+
+
+#: What a value hit tells of itself in the context.
+_HIT = ("source_index", "source_text", "matched_text", "dim_table", "dim_col", "key_col", "key_value", "score")
+
+
+def listed_hits(value_hits: DataFrame) -> DataFrame:
+    """(query_id, value_hits): hits without duplicates by score; of equal scores the value that was met first."""
+    same = Window.partitionBy("query_id", "dim_table", "dim_col", F.coalesce(F.nullif("key_value", F.lit("")), F.col("matched_text")))
+    once = deduplicate(value_hits.withColumn("_first", F.min("ordinal").over(same)))
+    order = F.struct((-F.coalesce("score", F.lit(0.0))).alias("s"), "_first", F.struct(*_HIT).alias("hit"))
+    return once.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["hit"]).alias("value_hits"))
+
+
+def retrieve(
+    questions: DataFrame, texts: DataFrame, store: DataFrame, edges: DataFrame, tables: int = 10, columns: int = 10, values: int = 5, examples: int = 3,
+    threshold: float = 0.45, least_example: float = 0.6, min_score: float = 0.0, schema: str = "public",
+) -> DataFrame:
+    """context() of every question, from its vector and its parse result.
+
+    questions: query_id, embedding, parse_result (struct of dimensions, an array of (text, role), and time);
+    texts: (text, embedding) of the dimensions' trimmed texts; store: object_id, object_type ('table', 'column', 'value' or
+    'sql'), embedding, and by type parent_id, table_category, text_raw, dim_table, dim_col, key_col,
+    key_value, matched_text, document.
+
+    Five searches are one pass over the store: tables, columns and examples by the
+    question's vector, columns by the text of each column dimension, values by that of each value
+    dimension.  A text that many questions share is searched once.  With min_score twice as many values
+    are taken first and those below it go.  Value tables without a schema get `schema`.
+    A question without any hit has empty lists and counters of 0.
+    """
+    questions = stored(questions.select("query_id", "embedding", "parse_result"), "questions")
+    by_vector = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("object_type"), F.lit(k).alias("k"), F.lit(float(least)).alias("threshold")) for kind, t, k, least in (("table", "table", tables, threshold), ("column", "column", columns, threshold), ("example", "sql", examples, least_example))]))
+    asked = questions.select("query_id", "embedding", by_vector.alias("s")).select("query_id", "s.*", F.lit(0).alias("place"), F.lit(None).cast("string").alias("source_text"), F.concat_ws(":", "s.kind", "query_id").alias("search_id"), "embedding")
+    said = questions.select("query_id", F.posexplode("parse_result.dimensions").alias("place", "d")).select("query_id", "place", F.col("d.role").alias("role"), F.trim("d.text").alias("source_text")).where("source_text <> ''")
+    # Every text of a column dimension is searched once for a question, each value dimension counts.
+    probes = said.where("role = 'column'").groupBy("query_id", "source_text").agg(F.min("place").alias("place")).select("query_id", "place", "source_text", F.lit("probe").alias("kind"), F.lit("column").alias("object_type"), F.lit(columns).alias("k"), F.lit(float(threshold)).alias("threshold"))
+    wanted = said.where("role = 'value'").select("query_id", "place", "source_text", F.lit("value").alias("kind"), F.lit("value").alias("object_type"), F.lit(2 * values if min_score > 0 else values).alias("k"), F.lit(-1.0).alias("threshold"))
+    by_text = probes.unionByName(wanted).join(texts.select(F.col("text").alias("source_text"), "embedding"), "source_text").withColumn("search_id", F.concat_ws(":", "kind", "source_text"))
+    asked = stored(asked.unionByName(by_text), "searches")
+
+    searches = asked.dropDuplicates(["search_id"]).select("search_id", "object_type", "embedding", "k", "threshold")
+    hits = search_all(searches, store).join(store.drop("embedding"), ["object_type", "object_id"])
+    found = stored(asked.drop("embedding", "object_type", "k", "threshold").join(hits, "search_id"), "found")
+
+    of = lambda *kinds: found.where(F.col("kind").isin(*kinds))
+    ordinal = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("kind") == "probe", "place", "rank"))
+    table_hits = of("table").select("query_id", F.col("object_id").alias("table_name"), "similarity", F.coalesce("table_category", F.lit("")).alias("table_category"), F.col("rank").alias("ordinal"))
+    column_hits = of("column", "probe").select("query_id", "object_id", "parent_id", "source_text", "similarity", ordinal.alias("ordinal"))
+    taken = of("value").where((F.col("similarity") >= min_score) | F.lit(min_score <= 0)).where(F.col("rank") <= values)
+    qualified = F.when(F.instr("dim_table", ".") == 0, F.concat(F.lit(schema + "."), "dim_table")).otherwise(F.col("dim_table"))
+    first = F.min("place").over(Window.partitionBy("query_id", "source_text"))
+    value_hits = taken.select(
+        "query_id", qualified.alias("table_name"), ordinal.alias("ordinal"), first.alias("source_index"), "source_text", "matched_text", "dim_table", "dim_col", "key_col", "key_value",
+        F.col("similarity").alias("score"),
+    )
+    shown = parsed_examples(of("example").select("query_id", "similarity", F.col("rank").alias("ordinal"), "document"))
+    shown = shown.select("query_id", "similarity", "ordinal", F.struct("question", "sql", "similarity").alias("example"))
+    tasks = questions.select("query_id", F.col("parse_result.time").isNotNull().alias("has_time"))
+    out = questions.select("query_id").join(context(table_hits, column_hits, value_hits, store.where("object_type = 'table'"), tasks, edges, shown), "query_id", "left")
+    empty = lambda c, kind: F.coalesce(c, F.expr(f"cast({'map' if kind.startswith('map') else 'array'}() as {kind})"))
+    return out.select(*[empty(c, t).alias(c) if t.startswith(("array", "map")) else F.coalesce(c, F.lit(0)).alias(c) if c.endswith("_count") else F.col(c) for c, t in out.dtypes])

@@ -35,13 +35,13 @@ def clear(spark: SparkSession) -> None:
     _made.clear()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared scratch folder and read back: the lineage ends there, and its shuffle files go."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written to the shared scratch folder, in folders by the given columns, and read back: the lineage ends there, and its shuffle files go."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,74 +12,117 @@ from pyspark.sql import functions as F
 from ..functions.vectors import clamp01, cosine_similarity
 from .iteration import stored
 
-#: Query vectors in one block: 4096 of width 1024 are 32 MB in each task.
+#: Query vectors in one block, of width 1024: 32 MB in each task.  Of narrower ones a block holds more.
 BLOCK = 4096
+#: Similarities that a task holds at a time, and hits that it gathers before it keeps the best.
+CELLS = 1 << 22
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float = 0.0, clamp: bool = False) -> DataFrame:
     """(query_id, object_id, similarity, rank): exact cosine top-k of corpus (object_id, embedding) for queries (query_id, embedding).
 
-    The queries go to the tasks in blocks of bounded size, one pass over the corpus each,
-    and a block's hits are written before the next one is collected, so that the driver holds one block.
-    A task scores a batch by one matrix product and keeps its k best of each query, so
-    k rows a query and batch are shuffled, not the product.  Similarities below the
-    threshold are dropped first; clamping to 0..1 comes after.  Ties go to the lesser object_id.
+    Similarities below the threshold are dropped first; clamping to 0..1 comes after.  Ties go to the lesser object_id.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "object_id")
-    best = _scored(queries, corpus, k, threshold, lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    asked = queries.select("query_id", F.lit("").alias("object_type"), "embedding", F.lit(k).alias("k"), F.lit(float(threshold)).alias("threshold"))
+    best = _ranked(asked, corpus.withColumn("object_type", F.lit(""))).drop("object_type")
     return best.withColumn("similarity", clamp01(F.col("similarity"))) if clamp else best
 
 
+def search_all(searches: DataFrame, store: DataFrame) -> DataFrame:
+    """(search_id, object_type, object_id, similarity, rank): many searches of several kinds in one pass over the store.
+
+    searches: search_id, object_type, embedding, k, threshold; store: object_type, object_id, embedding.
+    Each search ranks the objects of its own type by cosine similarity and takes its own k best that reach its own threshold.
+    """
+    return _ranked(searches.withColumnRenamed("search_id", "query_id"), store).withColumnRenamed("query_id", "search_id")
+
+
 def scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, object_id, similarity) of every query with every object, for audits of a few queries."""
-    return _scored(queries, corpus, None, -1.0, lambda found: found)
+    asked = queries.select("query_id", F.lit("").alias("object_type"), "embedding", F.lit(None).cast("int").alias("k"), F.lit(-1.0).alias("threshold"))
+    return _scored(asked, corpus.withColumn("object_type", F.lit("")), lambda found: found).select("query_id", "object_id", "similarity")
+
+
+def _ranked(asked: DataFrame, store: DataFrame) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "object_id")
+    best = _scored(asked, store, lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")))
+    return best.select("query_id", "object_type", "object_id", "similarity", "rank")
 
 
-def _scored(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: float, best_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    ids = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = max(1, -(-ids.count() // BLOCK))
-    id_types = (queries.schema["query_id"].dataType.simpleString(), corpus.schema["object_id"].dataType.simpleString())
-    rows = corpus.select("object_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.size("embedding") > 0)
+def _scored(asked: DataFrame, store: DataFrame, best_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Hits (query_id, object_type, k, object_id, similarity) of asked (query_id, object_type, embedding, k, threshold).
+
+    The queries are written once, in blocks of bounded size.  Each block goes to the tasks
+    for one pass over the store, and its hits are written before the next is collected, so
+    that the driver holds one block.  A task scores a batch by one matrix product for each
+    type and leaves its k best of each query, so k rows a query and task are shuffled.
+    """
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    asked = asked.select("query_id", "object_type", vector, "k", "threshold").where(F.size("embedding") > 0)
+    rows = store.select("object_type", "object_id", vector).where(F.size("embedding") > 0)
+    n, width = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n // max(1, BLOCK * 1024 // (width or 1024))))
+    if blocks > 1:
+        asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "asked", "block")
+    types = {c: t.schema[c].dataType.simpleString() for t, c in ((asked, "query_id"), (store, "object_id"))}
+    schema = f"query_id {types['query_id']}, object_type string, k int, object_id {types['object_id']}, similarity double"
     out = None
     for b in range(blocks):
-        part = ids.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        found = best_of(rows.mapInPandas(_scorer(part, k, threshold), f"query_id {id_types[0]}, object_id {id_types[1]}, similarity double"))
+        part = (asked.where(F.col("block") == b).drop("block") if blocks > 1 else asked).toPandas()
+        found = best_of(rows.mapInPandas(_scorer(part), schema))
         found = stored(found, "hits") if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
     return out
 
 
-#: Similarities that a task holds at a time.
-CELLS = 1 << 22
-
-
-def _scorer(queries: pd.DataFrame, k: int | None, threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    keys = queries["query_id"].to_numpy()
-    q = np.stack(queries["embedding"].to_numpy()) if len(queries) else np.zeros((0, 0))
-    norms = np.linalg.norm(q, axis=1) if len(queries) else np.zeros(0)
+def _best(found: pd.DataFrame) -> pd.DataFrame:
+    """The k best hits of each query, ties to the lesser object_id."""
+    found = found.sort_values(["query_id", "similarity", "object_id"], ascending=[True, False, True], kind="stable")
+    return found[(found.groupby("query_id").cumcount() < found["k"]).to_numpy()]
+
+
+def _scorer(queries: pd.DataFrame) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    kinds = {}
+    for kind, part in queries.groupby("object_type"):
+        q, most = np.stack(part["embedding"].to_numpy()), part["k"].max()
+        kinds[kind] = (part["query_id"].to_numpy(), q, np.linalg.norm(q, axis=1), part["k"].to_numpy(), None if pd.isna(most) else int(most), part["threshold"].to_numpy()[:, None])
+
+    def hits(kind: str, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        keys, q, norms, k, most, threshold = kinds[kind]
+        # In order of id, so that an earlier column wins a tie.
+        frame = frame.sort_values("object_id", kind="stable")
+        x, ids = np.stack(frame["embedding"].to_numpy()), frame["object_id"].to_numpy()
+        lengths, step = np.linalg.norm(x, axis=1), max(1, CELLS // len(ids))
+        for a in range(0, len(keys), step):
+            size = np.outer(norms[a : a + step], lengths)
+            sim = np.divide(q[a : a + step] @ x.T, size, out=np.zeros_like(size), where=size > 0)
+            # Rounding first keeps ties between equal vectors whatever the order of a product's sums.
+            sim = np.round(sim, 12)
+            keep = sim >= threshold[a : a + step]
+            if most is not None and len(ids) > most:
+                keep &= sim >= np.partition(sim, len(ids) - most, axis=1)[:, len(ids) - most :][:, :1]
+                for i in np.flatnonzero(keep.sum(axis=1) > 4 * most):
+                    first = np.argsort(-sim[i], kind="stable")[:most]
+                    keep[i] = False
+                    keep[i, first] = sim[i, first] >= threshold[a + i]
+            at, col = np.nonzero(keep)
+            yield pd.DataFrame({"query_id": keys[a + at], "object_type": kind, "k": k[a + at], "object_id": ids[col], "similarity": sim[at, col]})
 
     def each(frames):
+        held, size = [], 0
         for frame in frames:
-            if not len(frame) or not len(keys):
-                continue
-            # In order of id, so that an earlier column wins a tie.
-            frame = frame.sort_values("object_id", kind="stable")
-            x, ids = np.stack(frame["embedding"].to_numpy()), frame["object_id"].to_numpy()
-            lengths, step = np.linalg.norm(x, axis=1), max(1, CELLS // len(ids))
-            for a in range(0, len(keys), step):
-                size = np.outer(norms[a : a + step], lengths)
-                sim = np.divide(q[a : a + step] @ x.T, size, out=np.zeros_like(size), where=size > 0)
-                # Rounding first keeps ties between equal vectors whatever the order of a product's sums.
-                sim = np.round(sim, 12)
-                keep = sim >= threshold
-                if k is not None and len(ids) > k:
-                    keep &= sim >= np.partition(sim, len(ids) - k, axis=1)[:, len(ids) - k :][:, :1]
-                    for i in np.flatnonzero(keep.sum(axis=1) > 4 * k):
-                        first = np.argsort(-sim[i], kind="stable")[:k]
-                        keep[i] = False
-                        keep[i, first] = sim[i, first] >= threshold
-                at, col = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": keys[a + at], "object_id": ids[col], "similarity": sim[at, col]})
+            for kind, part in frame.groupby("object_type"):
+                for found in hits(kind, part) if kind in kinds else ():
+                    if kinds[kind][4] is None:
+                        yield found
+                        continue
+                    held.append(found)
+                    size += len(found)
+                    if size > CELLS:
+                        held = [_best(pd.concat(held))]
+                        size = len(held[0])
+        if held:
+            yield _best(pd.concat(held))
 
     return each
 

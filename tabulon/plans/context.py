@@ -40,8 +40,8 @@ def _parts(spark, d):
     return tables, columns, h.where("l_linenumber = 7"), catalogue
 
 
-def _parents(spark, d):
-    tables, columns, _, catalogue = _parts(spark, d)
+def _parents(parts) -> DataFrame:
+    tables, columns, _, catalogue = parts
     return C.parents(columns, C.category_map(tables, columns, catalogue))
 
 
@@ -69,7 +69,7 @@ def c_categories(spark, d):
 
 @query(f"WITH {_HITS} SELECT query_id, table_name, similarity, ordinal, texts, grp FROM par2")
 def c_parents(spark, d):
-    return _parents(spark, d).withColumn("texts", F.array_join("texts", ",")).withColumnRenamed("group", "grp")
+    return _parents(_parts(spark, d)).withColumn("texts", F.array_join("texts", ",")).withColumnRenamed("group", "grp")
 
 
 _SIMS = """own AS (SELECT query_id, table_name, max(similarity) AS own FROM th2 GROUP BY ALL), sims AS (SELECT query_id, table_name, coalesce(own, par2.similarity) AS similarity FROM own FULL JOIN par2 USING (query_id, table_name))"""
@@ -77,7 +77,8 @@ _SIMS = """own AS (SELECT query_id, table_name, max(similarity) AS own FROM th2
 
 @query(f"WITH {_HITS}, {_SIMS} SELECT * FROM sims")
 def c_similarities(spark, d):
-    return C.similarities(_parts(spark, d)[0], _parents(spark, d))
+    parts = _parts(spark, d)
+    return C.similarities(parts[0], _parents(parts))
 
 
 _MERGED = """ev AS (SELECT query_id, CASE lower(table_category) WHEN 'fact' THEN 'fact' WHEN '关联表' THEN 'bridge' ELSE 'dimension' END AS grp, table_name, ordinal, CASE WHEN lower(table_category) IN ('fact', '关联表') THEN 0 ELSE 2 END AS source FROM th2
@@ -88,8 +89,8 @@ _MERGED = """ev AS (SELECT query_id, CASE lower(table_category) WHEN 'fact' THEN
 
 
 def _candidates(spark, d):
-    tables, _, values, _ = _parts(spark, d)
-    par = _parents(spark, d)
+    tables, _, values, _ = parts = _parts(spark, d)
+    par = stored(_parents(parts), "parents")
     return C.merged(tables, par, values).join(C.similarities(tables, par), ["query_id", "table_name"], "left")
 
 
@@ -139,15 +140,17 @@ def c_best_dimension(spark, d):
     return C.best_dimension(_written(spark, d), _reach(spark, d))
 
 
-#: A graph of the twenty tables: each with the three that its lines name most, and all cheapest paths of it; t3, t7 and t11 stay apart.
-_GRAPH = """named_pairs AS (SELECT 't' || (l_partkey % 20) AS src_table, 't' || (l_suppkey % 20) AS dst_table FROM lineitem),
-    trade AS (SELECT src_table, dst_table, count(*) AS n FROM named_pairs WHERE src_table <> dst_table AND src_table NOT IN ('t3', 't7', 't11') AND dst_table NOT IN ('t3', 't7', 't11') GROUP BY 1, 2),
-    edges AS (SELECT src_table, dst_table, CAST(1 + n % 3 AS DOUBLE) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY src_table ORDER BY n DESC, dst_table) AS r FROM trade) WHERE r <= 3),
-    steps AS (SELECT a, b, min(cost) AS cost FROM (SELECT src_table AS a, dst_table AS b, cost FROM edges UNION ALL SELECT dst_table, src_table, cost FROM edges) GROUP BY ALL),
+#: Cheapest paths between all pairs of tables of `edges`; of up to five edges, which is enough in the graph of twenty tables.
+_PATHS = """steps AS (SELECT a, b, min(cost) AS cost FROM (SELECT src_table AS a, dst_table AS b, cost FROM edges UNION ALL SELECT dst_table, src_table, cost FROM edges) GROUP BY ALL),
     walk AS (SELECT a AS base, a AS node, CAST(0 AS DOUBLE) AS cost, 0 AS hops, [a] AS nodes FROM (SELECT DISTINCT a FROM steps)
         UNION ALL SELECT base, b, walk.cost + steps.cost, hops + 1, list_append(nodes, b) FROM walk JOIN steps ON walk.node = steps.a WHERE NOT list_contains(nodes, b) AND hops < 5),
     best AS (SELECT base, node AS target, hops, nodes FROM (SELECT *, row_number() OVER (PARTITION BY base, node ORDER BY cost, hops, nodes) AS r FROM walk) WHERE r = 1 AND base <> node),
     reach AS (SELECT base, target FROM best)"""
+#: A graph of the twenty tables: each with the three that its lines name most, and all cheapest paths of it; t3, t7 and t11 stay apart.
+_GRAPH = f"""named_pairs AS (SELECT 't' || (l_partkey % 20) AS src_table, 't' || (l_suppkey % 20) AS dst_table FROM lineitem),
+    trade AS (SELECT src_table, dst_table, count(*) AS n FROM named_pairs WHERE src_table <> dst_table AND src_table NOT IN ('t3', 't7', 't11') AND dst_table NOT IN ('t3', 't7', 't11') GROUP BY 1, 2),
+    edges AS (SELECT src_table, dst_table, CAST(1 + n % 3 AS DOUBLE) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY src_table ORDER BY n DESC, dst_table) AS r FROM trade) WHERE r <= 3),
+    {_PATHS}"""
 _PLAN = f"""{_ONLY}, rest AS (SELECT * FROM cand WHERE query_id NOT IN (SELECT query_id FROM only_dim WHERE yes)), {_BASE},
     wanted AS (SELECT rest.query_id, base.table_name AS base, rest.table_name AS target, min((CASE grp WHEN 'fact' THEN 0 WHEN 'dimension' THEN 1 ELSE 2 END, place)) AS w FROM rest JOIN base ON base.query_id = rest.query_id WHERE rest.table_name <> base.table_name GROUP BY ALL),
     hop AS (SELECT query_id, w, i, nodes[i] AS a, nodes[i + 1] AS b FROM (SELECT query_id, w, nodes, unnest(range(1, len(nodes))) AS i FROM wanted JOIN best USING (base, target))),
@@ -182,29 +185,100 @@ def c_counters(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_HITS}, {_SIMS}, {_MERGED}, {_GRAPH}, {_PLAN},
-    cats3 AS (SELECT * FROM cats UNION ALL SELECT DISTINCT query_id, table_name, 'fact' FROM vh WHERE (query_id, table_name) NOT IN (SELECT query_id, table_name FROM cats) AND CAST(substr(table_name, 2) AS INT) % 2 = 0),
     shape AS (SELECT query_id, coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'fact'), '') AS facts, coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'dimension'), '') AS dimensions,
         coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'bridge'), '') AS bridges, coalesce(string_agg(DISTINCT 'card of ' || table_name, ',' ORDER BY 'card of ' || table_name) FILTER (grp <> 'bridge'), '') AS cards, count(DISTINCT table_name) AS table_count FROM cand GROUP BY 1),
-    named AS (SELECT c.query_id, string_agg(DISTINCT table_name || '=' || table_category, ',' ORDER BY table_name || '=' || table_category) AS categories FROM (SELECT DISTINCT query_id, table_name FROM cand) c JOIN cats3 USING (query_id, table_name) GROUP BY 1),
+    own_cat AS (SELECT DISTINCT query_id, table_name, coalesce(nullif(known.table_category, ''), CASE WHEN CAST(substr(table_name, 2) AS INT) % 2 = 0 THEN 'fact' END) AS category FROM cand LEFT JOIN known USING (query_id, table_name)),
+    named AS (SELECT query_id, string_agg(table_name || '=' || category, ',' ORDER BY table_name || '=' || category) AS categories FROM own_cat WHERE category IS NOT NULL GROUP BY 1),
     shown AS (SELECT query_id, string_agg('select ' || l_suppkey, ',' ORDER BY l_discount DESC, l_linenumber, 'select ' || l_suppkey) AS examples FROM (SELECT l_orderkey AS query_id, * FROM lineitem WHERE l_linenumber <= 3 AND l_discount >= 0.06) GROUP BY 1),
-    vbest AS (SELECT query_id, source_text, table_name, max((csim, 'v' || l_linenumber)) AS h FROM vh GROUP BY ALL), vals AS (SELECT query_id, string_agg(source_text || '>' || table_name, ',' ORDER BY h[1] DESC, source_text, table_name) AS hits FROM vbest GROUP BY 1),
+    vkey AS (SELECT *, CASE WHEN csim > 0.3 THEN parent_id ELSE '' END AS key, CASE WHEN csim > 0.3 THEN parent_id ELSE 'v' || (ordinal % 2) END AS same FROM vh),
+    vone AS (SELECT *, min(ordinal) OVER (PARTITION BY query_id, table_name, same) AS met, row_number() OVER (PARTITION BY query_id, table_name, same ORDER BY csim DESC, ordinal) AS r FROM vkey),
+    vals AS (SELECT query_id, string_agg(source_text || '>' || table_name || '>' || key, ',' ORDER BY csim DESC, met) AS hits FROM vone WHERE r = 1 GROUP BY 1),
     cnt AS (SELECT query_id, count_if(l_linenumber > 2) AS column_count, count_if(l_linenumber = 7) AS dim_match_count FROM th GROUP BY 1)
     SELECT shape.*, coalesce(categories, '') AS categories, plan.base, coalesce(plan.targets, '') AS targets, coalesce(plan.edges, '') AS edges, coalesce(examples, '') AS examples, coalesce(hits, '') AS hits, column_count, dim_match_count, CAST(CASE WHEN plan.base IS NULL THEN 0 ELSE 1 END AS BIGINT) AS plans
     FROM shape LEFT JOIN named USING (query_id) LEFT JOIN plan USING (query_id) LEFT JOIN shown USING (query_id) LEFT JOIN vals USING (query_id) LEFT JOIN cnt USING (query_id)""")
 def c_context(spark, d):
     tables, columns, values, catalogue = _parts(spark, d)
-    values = values.select("query_id", "table_name", "ordinal", "source_text", F.concat(F.lit("v"), "l_linenumber").alias("matched_text"), F.col("csim").alias("score"))
+    values = values.select(
+        "query_id", "table_name", "ordinal", F.lit(0).alias("source_index"), "source_text", F.concat(F.lit("v"), F.col("ordinal") % 2).alias("matched_text"), F.col("table_name").alias("dim_table"), F.lit("c").alias("dim_col"),
+        F.lit("k").alias("key_col"), F.when(F.col("csim") > 0.3, F.col("parent_id")).otherwise("").alias("key_value"), F.col("csim").alias("score"),
+    )
     examples = table(spark, d, "lineitem").where("l_linenumber <= 3 and l_discount >= 0.06").select(F.col("l_orderkey").alias("query_id"), F.col("l_discount").alias("similarity"), F.col("l_linenumber").alias("ordinal"), F.struct(F.concat(F.lit("select "), "l_suppkey").alias("sql")).alias("example"))
     out = C.context(tables, columns, values, catalogue, _tasks(spark, d), _graph(spark, d), examples)
     text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
     return out.select(
         "query_id", *[text(F.col(c)).alias(c) for c in ("facts", "dimensions", "bridges", "targets")], text(F.array_sort(F.map_values("cards"))).alias("cards"),
         text(F.array_sort(F.transform(F.map_entries("table_categories"), lambda x: F.concat(x["key"], F.lit("="), x["value"])))).alias("categories"), "base", F.coalesce(_shown(), F.lit("")).alias("edges"),
-        text(F.transform("similar_sqls", lambda x: x["sql"])).alias("examples"), text(F.transform("value_hits", lambda x: F.concat(x["source_text"], F.lit(">"), x["table_name"]))).alias("hits"),
+        text(F.transform("similar_sqls", lambda x: x["sql"])).alias("examples"), text(F.transform("value_hits", lambda x: F.concat(x["source_text"], F.lit(">"), x["dim_table"], F.lit(">"), x["key_value"]))).alias("hits"),
         F.col("table_count").cast("bigint").alias("table_count"), "column_count", "dim_match_count", F.col("join_plan_count").cast("bigint").alias("plans"),
     )
 
 
+#: The store of c_retrieve: a quarter of the vectors each are tables, columns, values and examples; every 50th vector asks.
+_STORE = """e AS (SELECT vec_id, label, vec_id // 4 AS j, CAST(embedding AS DOUBLE[]) AS v, 'o' || (4 * (vec_id // 8)) AS parent FROM embeddings),
+    store AS (SELECT *, ['table', 'column', 'value', 'sql'][vec_id % 4 + 1] AS typ, ['public.o', 'c', 'v', 's'][vec_id % 4 + 1] || vec_id AS object_id, ['FACT', 'dim', '关联表', ''][label % 4 + 1] AS category,
+        CASE WHEN label % 3 = 0 THEN '' ELSE 'k' || label END AS key, 'value ' || (vec_id // 12) AS matched, CASE WHEN label = 0 THEN 'plain ' || vec_id ELSE 'ask ' || vec_id || '=select ' || vec_id END AS example FROM e),
+    dims AS (SELECT query_id, d.place AS place, d.role AS role, d.t AS source_text FROM (SELECT vec_id AS query_id, unnest([{'place': 1, 'role': 'column', 't': 'x' || (vec_id + 1)}, {'place': 2, 'role': 'value', 't': 'x' || (vec_id + 2)},
+        {'place': 3, 'role': 'value', 't': 'x' || (vec_id % 100 + 7)}, {'place': 5, 'role': 'value', 't': 'x' || (vec_id + 2)}, {'place': 6, 'role': 'column', 't': 'x' || (vec_id % 100 + 3)}]) AS d FROM e WHERE vec_id % 50 = 0)),
+    said AS (SELECT dims.*, v FROM dims JOIN e ON source_text = 'x' || vec_id),
+    asks AS (SELECT vec_id AS query_id, k.kind, k.typ, k.k AS k, k.least, 0 AS place, NULL AS source_text, v FROM e, (VALUES ('table', 'table', 4, 0.15), ('column', 'column', 4, 0.15), ('example', 'sql', 2, 0.2)) k(kind, typ, k, least) WHERE vec_id % 50 = 0
+        UNION ALL SELECT query_id, 'probe', 'column', 4, 0.15, place, source_text, v FROM said WHERE role = 'column' UNION ALL SELECT query_id, 'value', 'value', 6, -1.0, place, source_text, v FROM said WHERE role = 'value'),
+    scored AS (SELECT query_id, kind, asks.typ, k, least, place, source_text, object_id, label, j, parent, category, key, matched, example, round(list_dot_product(asks.v, store.v) / (sqrt(list_dot_product(asks.v, asks.v)) * sqrt(list_dot_product(store.v, store.v))), 12) AS s
+        FROM asks JOIN store ON store.typ = asks.typ),
+    found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind, place ORDER BY s DESC, object_id) AS rank FROM scored WHERE s >= least) WHERE rank <= k),
+    th2 AS (SELECT query_id, object_id AS table_name, s AS similarity, category AS table_category, rank AS ordinal FROM found WHERE kind = 'table'),
+    ch AS (SELECT query_id, 'public.' || parent AS parent_id, source_text, s AS csim, row_number() OVER (PARTITION BY query_id ORDER BY kind = 'probe', place, rank) AS ordinal FROM found WHERE kind IN ('column', 'probe')),
+    vh AS (SELECT query_id, 'public.' || parent AS table_name, parent AS dim_table, source_text, key, matched, s AS csim, min(place) OVER (PARTITION BY query_id, source_text) AS source_index, row_number() OVER (PARTITION BY query_id ORDER BY place, rank) AS ordinal FROM found WHERE kind = 'value' AND s >= 0.1 AND rank <= 3),
+    catalogue AS (SELECT object_id AS table_name, category FROM store WHERE typ = 'table' AND category <> ''),
+    known AS (SELECT query_id, table_name, table_category FROM th2),
+    cats AS (SELECT * FROM known UNION ALL SELECT DISTINCT ch.query_id, parent_id, category FROM ch JOIN catalogue ON catalogue.table_name = parent_id WHERE source_text IS NOT NULL AND (ch.query_id, parent_id) NOT IN (SELECT query_id, table_name FROM known)),
+    par2 AS (SELECT p.*, CASE lower(coalesce(cats.table_category, '')) WHEN 'fact' THEN 'fact' WHEN '关联表' THEN 'bridge' ELSE 'dimension' END AS grp FROM
+        (SELECT query_id, parent_id AS table_name, max(csim) AS similarity, min(ordinal) AS ordinal FROM ch GROUP BY ALL) p LEFT JOIN cats USING (query_id, table_name))"""
+_ROADS = f"""edges AS (SELECT 'public.o' || (4 * a) AS src_table, 'public.o' || (4 * b) AS dst_table, CAST(1 + a % 3 AS DOUBLE) AS cost FROM (SELECT DISTINCT j AS a, j // 3 AS b FROM e WHERE j > 0)), {_PATHS.replace("AND hops < 5", "")}"""
+
+
+@query(f"""WITH RECURSIVE {_STORE}, {_SIMS}, {_MERGED}, {_ROADS}, {_PLAN.replace(_ONLY, _ONLY.replace("o_orderkey", "vec_id").replace("o_custkey % 3 <> 0", "vec_id % 100 = 0").replace("FROM orders", "FROM (SELECT vec_id FROM e WHERE vec_id % 50 = 0)"))},
+    shape AS (SELECT query_id, coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'fact'), '') AS facts, coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'dimension'), '') AS dimensions,
+        coalesce(string_agg(table_name, ',' ORDER BY place) FILTER (grp = 'bridge'), '') AS bridges, coalesce(string_agg(DISTINCT 'card of ' || table_name, ',' ORDER BY 'card of ' || table_name) FILTER (grp <> 'bridge'), '') AS cards, count(DISTINCT table_name) AS table_count FROM cand GROUP BY 1),
+    own_cat AS (SELECT DISTINCT query_id, table_name, coalesce(nullif(known.table_category, ''), catalogue.category) AS category FROM cand LEFT JOIN known USING (query_id, table_name) LEFT JOIN catalogue USING (table_name)),
+    named AS (SELECT query_id, string_agg(table_name || '=' || category, ',' ORDER BY table_name || '=' || category) AS categories FROM own_cat WHERE category IS NOT NULL GROUP BY 1),
+    shown AS (SELECT query_id, string_agg(example, ',' ORDER BY rank) AS examples FROM found WHERE kind = 'example' GROUP BY 1),
+    vone AS (SELECT *, min(ordinal) OVER (PARTITION BY query_id, dim_table, coalesce(nullif(key, ''), matched)) AS met, row_number() OVER (PARTITION BY query_id, dim_table, coalesce(nullif(key, ''), matched) ORDER BY csim DESC, ordinal) AS r FROM vh),
+    vals AS (SELECT query_id, string_agg(source_index || ':' || source_text || '>' || matched || '>' || dim_table || '>' || key, ',' ORDER BY csim DESC, met) AS hits FROM vone WHERE r = 1 GROUP BY 1),
+    n1 AS (SELECT query_id, count(*) AS column_count FROM ch GROUP BY 1), n2 AS (SELECT query_id, count(*) AS dim_match_count FROM vh GROUP BY 1)
+    SELECT vec_id AS query_id, coalesce(facts, '') AS facts, coalesce(dimensions, '') AS dimensions, coalesce(bridges, '') AS bridges, coalesce(cards, '') AS cards, coalesce(categories, '') AS categories, plan.base, coalesce(plan.targets, '') AS targets, coalesce(plan.edges, '') AS edges,
+        coalesce(examples, '') AS examples, coalesce(hits, '') AS hits, coalesce(table_count, 0) AS table_count, coalesce(column_count, 0) AS column_count, coalesce(dim_match_count, 0) AS dim_match_count, CAST(CASE WHEN plan.base IS NULL THEN 0 ELSE 1 END AS BIGINT) AS plans
+    FROM (SELECT vec_id FROM e WHERE vec_id % 50 = 0) q LEFT JOIN shape ON shape.query_id = vec_id LEFT JOIN named ON named.query_id = vec_id LEFT JOIN plan ON plan.query_id = vec_id LEFT JOIN shown ON shown.query_id = vec_id
+    LEFT JOIN vals ON vals.query_id = vec_id LEFT JOIN n1 ON n1.query_id = vec_id LEFT JOIN n2 ON n2.query_id = vec_id""")
+def c_retrieve(spark, d):
+    e = table(spark, d, "embeddings")
+    kind, label, parent = (F.col("vec_id") % 4).cast("int"), F.col("label"), F.concat(F.lit("o"), 4 * F.expr("vec_id div 8"))
+    pick = lambda *xs: F.get(F.array(*map(F.lit, xs)), kind)
+    document = F.when(label == 0, F.concat(F.lit("plain "), "vec_id")).otherwise(F.concat(F.lit('{"question": "ask '), "vec_id", F.lit('", "sql": "select '), "vec_id", F.lit('"}')))
+    store = e.select(
+        F.concat(pick("public.o", "c", "v", "s"), "vec_id").alias("object_id"), pick("table", "column", "value", "sql").alias("object_type"), "embedding", F.concat(F.lit("public."), parent).alias("parent_id"),
+        F.get(F.array(*map(F.lit, ("FACT", "dim", "关联表", ""))), label % 4).alias("table_category"), F.concat(F.lit("card of public.o"), "vec_id").alias("text_raw"), parent.alias("dim_table"), F.lit("name").alias("dim_col"),
+        F.lit("id").alias("key_col"), F.when(label % 3 == 0, "").otherwise(F.concat(F.lit("k"), "label")).alias("key_value"), F.concat(F.lit("value "), F.expr("vec_id div 12")).alias("matched_text"), document.alias("document"),
+    )
+    dim = lambda role, *text: F.struct(F.concat(*text).alias("text"), F.lit(role).alias("role"))
+    x, v = F.lit("x"), F.col("vec_id")
+    dims = F.array(dim("column", F.lit(" ")), dim("column", x, v + 1, F.lit(" ")), dim("value", x, v + 2), dim("value", F.lit(" "), x, v % 100 + 7), dim("column", x, v + 1), dim("value", x, v + 2), dim("column", x, v % 100 + 3))
+    asked = e.where("vec_id % 50 = 0").select(v.alias("query_id"), "embedding", F.struct(dims.alias("dimensions"), F.when(v % 100 != 0, "2024").alias("time")).alias("parse_result"))
+    j = F.expr("vec_id div 4")
+    roads = e.select(j.alias("a")).distinct().where("a > 0").select(
+        F.concat(F.lit("public.o"), 4 * F.col("a")).alias("src_table"), F.concat(F.lit("public.o"), 4 * F.expr("a div 3")).alias("dst_table"), F.lit("SRC.k = DST.k").alias("on"), F.lit(None).cast("string").alias("join_type"),
+        F.lit("N:1").alias("cardinality"), (F.lit(1.0) + F.col("a") % 3).alias("cost"),
+    )
+    out = C.retrieve(asked, e.select(F.concat(x, v).alias("text"), "embedding"), store, roads, tables=4, columns=4, values=3, examples=2, threshold=0.15, least_example=0.2, min_score=0.1)
+    text = lambda c: F.array_join(c, ",")
+    hit = lambda h: F.concat(h["source_index"], F.lit(":"), h["source_text"], F.lit(">"), h["matched_text"], F.lit(">"), h["dim_table"], F.lit(">"), h["key_value"])
+    shown = F.transform("similar_sqls", lambda s: F.when(s["question"] == "", s["sql"]).otherwise(F.concat(s["question"], F.lit("="), s["sql"])))
+    return out.select(
+        "query_id", *[text(F.col(c)).alias(c) for c in ("facts", "dimensions", "bridges", "targets")], text(F.array_sort(F.map_values("cards"))).alias("cards"),
+        text(F.array_sort(F.transform(F.map_entries("table_categories"), lambda c: F.concat(c["key"], F.lit("="), c["value"])))).alias("categories"), "base", _shown(), text(shown).alias("examples"),
+        text(F.transform("value_hits", hit)).alias("hits"), F.col("table_count").cast("bigint").alias("table_count"), "column_count", "dim_match_count", F.col("join_plan_count").cast("bigint").alias("plans"),
+    )
+
+
 @query(f"""WITH RECURSIVE {_HITS}, {_SIMS}, {_MERGED}, {_GRAPH}, pairs AS (SELECT a.query_id, a.table_name AS base, b.table_name AS target, b.place AS w FROM cand a JOIN cand b ON b.query_id = a.query_id AND b.grp = 'dimension' WHERE a.grp = 'fact' AND b.table_name <> a.table_name),
     hop AS (SELECT query_id, base, w, i, nodes[i] AS a, nodes[i + 1] AS b FROM (SELECT query_id, base, w, nodes, unnest(range(1, len(nodes))) AS i FROM pairs JOIN best USING (base, target))),
     kept_edges AS (SELECT a, b, src_table, dst_table FROM (SELECT a, b, src_table, dst_table, row_number() OVER (PARTITION BY a, b ORDER BY edges.cost, src_table) AS r FROM steps JOIN edges ON (src_table = a AND dst_table = b) OR (src_table = b AND dst_table = a)) WHERE r = 1),
