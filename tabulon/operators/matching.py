@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_text, trigrams, word_similarity
+from ..functions.text import norm_text, trigram_similarity, trigrams, word_similarity
+from .iteration import stored
 
 
 def value_index(tables: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -22,17 +23,57 @@ def value_index(tables: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
     return out.dropDuplicates()
 
 
+#: Sizes at which a new band of set sizes begins, each about a quarter above the last.
+_BANDS = [1]
+while _BANDS[-1] < 1 << 30:
+    _BANDS.append(max(_BANDS[-1] + 1, _BANDS[-1] * 5 // 4))
+
+
+def _least_shared(n: Column, m: Column, least: float) -> Column:
+    """The fewest shared elements of sets of n and m whose similarity exceeds `least`."""
+    return F.floor((n + m) * F.lit(least / (1 + least)) - F.lit(1e-6)).cast("int") + 1
+
+
+def _ordered_sets(texts: DataFrame, name: str, counts: DataFrame) -> DataFrame:
+    """(name, n, sorted): each text's number of trigrams, and these from the rarest to the most frequent."""
+    sets = texts.select(name).distinct().withColumn("g", trigrams(F.col(name))).select(name, F.size("g").alias("n"), F.explode("g").alias("g"))
+    found = sets.join(counts, "g", "left").groupBy(name, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g"))).alias("sorted"))
+    return found.select(name, "n", F.transform("sorted", lambda x: x["g"]).alias("sorted"))
+
+
+def candidate_pairs(queries: DataFrame, texts: DataFrame, least: float = 0.3) -> DataFrame:
+    """(q, v): distinct texts that can exceed `least`, by a prefix join of their trigrams.
+
+    Trigrams stand in order of their frequency among texts, the rarest first.  Sets of n and m elements that
+    share c of them have to share one among the first n - c + 1 and m - c + 1.  Texts are indexed under
+    a band of their size and a query asks each band that may hold a partner with the prefix that this band
+    needs, so the most frequent trigrams of a text meet nothing.  A pair is left out
+    if what stands from the shared trigram on, on either side, is too little.
+    """
+    flat = texts.select("v").distinct().select(F.explode(trigrams(F.col("v"))).alias("g"))
+    counts = stored(flat.groupBy("g").agg(F.count("*").alias("c")), "trigrams")
+    q, v = _ordered_sets(queries, "q", counts), _ordered_sets(texts, "v", counts)
+    bands = F.array(*map(F.lit, _BANDS))
+    band = F.size(F.filter(bands, lambda b: b <= F.col("n")))
+    first = lambda n, m: F.slice("sorted", F.lit(1), F.greatest(F.lit(0), F.least(n, n - _least_shared(n, m, least) + 1)))
+    # The least partner of n elements has over least * n.
+    smallest = F.floor(F.col("n") * F.lit(least) - F.lit(1e-6)).cast("int") + 1
+    v = v.select("v", F.col("n").alias("nv"), band.alias("band"), F.posexplode(first(F.col("n"), smallest)).alias("pv", "g"))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(len(_BANDS) - 2)), lambda i: F.struct((i + 1).alias("band"), F.get(bands, i).alias("lo"), (F.get(bands, i + 1) - 1).alias("hi")))
+    asked = F.filter(ends, lambda b: (b["hi"] >= smallest) & (b["lo"] * F.lit(least - 1e-6) < F.col("n")))
+    q = q.select("q", "n", "sorted", F.explode(asked).alias("b")).withColumn("nq", F.col("n"))
+    q = q.select("q", "nq", F.col("b.band").alias("band"), F.posexplode(first(F.col("n"), F.greatest(F.col("b.lo"), smallest))).alias("pq", "g"))
+    rest = F.least(F.col("nq") - F.col("pq"), F.col("nv") - F.col("pv"))
+    return q.join(v, ["g", "band"]).where(rest >= _least_shared(F.col("nq"), F.col("nv"), least)).select("q", "v").distinct()
+
+
 def similar_texts(queries: DataFrame, texts: DataFrame, least: float = 0.3) -> DataFrame:
     """(q, v, similarity) of distinct texts q and v whose trigram similarity exceeds `least`.
 
-    Trigrams are exploded and joined, shared ones counted; no pair without a shared one arises.
-    Distinct texts go in, so a value that many rows repeat is compared once.
+    Distinct texts go in, so a value that many rows repeat is compared once; candidate_pairs leaves few to compare.
     """
-    q = queries.select("q").distinct().withColumn("g", trigrams(F.col("q"))).withColumn("nq", F.size("g")).select("q", "nq", F.explode("g").alias("g"))
-    v = texts.select("v").distinct().withColumn("g", trigrams(F.col("v"))).withColumn("nv", F.size("g")).select("v", "nv", F.explode("g").alias("g"))
-    shared = q.join(v, "g").groupBy("q", "nq", "v", "nv").agg(F.count("*").alias("c"))
-    sim = F.col("c") / (F.col("nq") + F.col("nv") - F.col("c"))
-    return shared.select("q", "v", sim.alias("similarity")).where(F.col("similarity") > least)
+    pairs = candidate_pairs(queries, texts, least)
+    return pairs.withColumn("similarity", trigram_similarity(F.col("q"), F.col("v"))).where(F.col("similarity") > least)
 
 
 def look_up(queries: DataFrame, index: DataFrame, k: int = 5, least: float = 0.3, method: str = "word", min_score: float = 0.0) -> DataFrame:

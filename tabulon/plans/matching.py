@@ -60,9 +60,20 @@ def f_similarity_topk(spark, d):
     return M.look_up(_terms(spark, d), _index(spark, d), 5, method="similarity").withColumn("score", F.round("score", 9))
 
 
-@query()
+#: Word similarity of the candidates: over all extents i to j of the asked text's trigrams, in order and with repeats.
+_WORDED = f"""q AS (SELECT query_id, query_value, {_NORM.format('query_value')} AS q, {_TRI.format('q')} AS g, list_transform(range(1, length(q) + 2), lambda i: substr('  ' || q || ' ', i, 3)) AS y FROM asks),
+    v AS (SELECT *, {_TRI.format('value_norm')} AS h FROM dims),
+    cand AS (SELECT q, value_norm, any_value(y) AS y, any_value(h) AS h FROM q, v WHERE len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) > 0.3 GROUP BY ALL),
+    ext AS (SELECT q, value_norm, len(h) AS n, i, unnest(range(i, len(y) + 1)) AS j, y, h FROM (SELECT *, unnest(range(1, len(y) + 1)) AS i FROM cand)),
+    step AS (SELECT q, value_norm, n, i, j, list_contains(h, y[j]) AND NOT list_contains(y[i:j - 1], y[j]) AS held, NOT list_contains(y[i:j - 1], y[j]) AS fresh FROM ext),
+    run AS (SELECT q, value_norm, n, count_if(held) OVER w AS shared, count_if(fresh) OVER w AS every FROM step WINDOW w AS (PARTITION BY q, value_norm, i ORDER BY j)),
+    score AS (SELECT q, value_norm, max(shared / (n + every - shared)) AS score FROM run GROUP BY ALL),
+    hits AS (SELECT query_id, query_value, value_text AS matched_text, dim_table, dim_col, key_col, key_value, score FROM q JOIN score USING (q) JOIN dims USING (value_norm)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, dim_table, dim_col, matched_text, key_value) AS rank FROM hits)"""
+
+
+@query(f"WITH {_INDEX}, {_TERMS}, {_WORDED} SELECT query_id, query_value, matched_text, dim_table, dim_col, key_col, key_value, round(score, 9) AS score, rank FROM ranked WHERE rank <= 5")
 def f_word_topk(spark, d):
-    """Word similarity has no SQL form; the tests hold it against brute force."""
     return M.look_up(_terms(spark, d), _index(spark, d), 5).withColumn("score", F.round("score", 9))
 
 
