@@ -6,9 +6,10 @@ column.  The scatter matrix is A' A, multiplied block row by block row and summe
 from a local eigh of the d x d matrix, and a product with the whitening matrix (unit
 eigenvectors over the roots of their eigenvalues) projects the rows.
 
-Blocks have n / BLOCKS rows, but 256 at least and at most BLOCK_CELLS cells, so one block fits a task.  The
-driver holds the d x d matrix and MLlib's list of block numbers: BLOCKS up to 137 GB of
-vectors of width 64, beyond that one for each BLOCK_CELLS cells.
+Blocks have n / BLOCKS rows, but 256 at least and at most BLOCK_CELLS cells, so one block fits a task; they are
+packed by a groupBy, since MLlib's own conversion of indexed rows boxes every entry.  The
+driver holds the d x d matrix and MLlib's list of block numbers: BLOCKS up to 17 GB of
+vectors, beyond that one pair of numbers for each BLOCK_CELLS cells.
 
 Defined results: rows whose vector is null or holds a null or non-finite entry have no
 result, nor have empty vectors and those of another width than the most frequent one (of several
@@ -21,18 +22,15 @@ deviation is decimal(38, 0), null beyond 38 digits.  Columns are carried in a st
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg import Vectors, VectorUDT
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import Matrices
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stored
 
 BLOCKS = 4096
-BLOCK_CELLS = 1 << 23
+BLOCK_CELLS = 1 << 20
 #: Eigenvalues up to this part of the trace are 0.
 NOTHING = 1e-12
 
@@ -62,8 +60,17 @@ def blocks(rows: DataFrame, mean: list[float], n: int) -> BlockMatrix:
     """The centred x of rows (index, x) as a matrix of n rows in one column of blocks."""
     d = len(mean)
     high = max(1, min(max(256, -(-n // BLOCKS)), BLOCK_CELLS // d))
-    vectors = rows.select("index", array_to_vector(_centred(mean)).alias("vector"))
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), n, d).toBlockMatrix(high, d)
+    placed = rows.select(F.floor(F.col("index") / high).cast("int").alias("block"), (F.col("index") % high).cast("int").alias("place"), _centred(mean).alias("v"))
+    packed = placed.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("rows"))
+    dense = packed.rdd.map(lambda r: ((r["block"], 0), Matrices.dense(len(r["rows"]), d, np.array(r["rows"]).ravel(order="F"))))
+    return BlockMatrix(dense, high, d, n, d)
+
+
+def coordinates(a: BlockMatrix) -> DataFrame:
+    """(index, whitened): the rows of a matrix of one column of blocks."""
+    high = a.rowsPerBlock
+    rows = a.blocks.flatMap(lambda b: [(b[0][0] * high + i, row.tolist()) for i, row in enumerate(b[1].toArray())])
+    return SparkSession.active().createDataFrame(rows, "index bigint, whitened array<double>")
 
 
 def scatter(a: BlockMatrix) -> np.ndarray:
@@ -73,11 +80,11 @@ def scatter(a: BlockMatrix) -> np.ndarray:
     return BlockMatrix(java, a.colsPerBlock, a.colsPerBlock).toLocalMatrix().toArray()
 
 
-def projected(spark: SparkSession, a: BlockMatrix, whitening: np.ndarray) -> BlockMatrix:
+def projected(a: BlockMatrix, whitening: np.ndarray) -> BlockMatrix:
     """a times the whitening matrix, a single block that goes to every block of a."""
     d, k = whitening.shape
-    rows = spark.createDataFrame([(i, Vectors.dense(row)) for i, row in enumerate(whitening)], StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])).coalesce(1)
-    return a.multiply(IndexedRowMatrix(rows, d, k).toBlockMatrix(d, k))
+    one = SparkSession.active().sparkContext.parallelize([((0, 0), Matrices.dense(d, k, whitening.ravel(order="F")))], 1)
+    return a.multiply(BlockMatrix(one, d, k, d, k))
 
 
 def whiten(vectors: DataFrame, vector: str = "embedding", components: int | None = None) -> DataFrame:
@@ -88,7 +95,6 @@ def whiten(vectors: DataFrame, vector: str = "embedding", components: int | None
     entry by which the covariance of the fit list's whitened vectors differs from the identity.
     """
     schema = "n bigint, deviation decimal(38,0), whitened array<double>, explained array<double>, identity_error double"
-    spark = vectors.sparkSession
     found = stored(usable(vectors, vector), "usable")
     widths = found.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if widths is None:
@@ -112,11 +118,10 @@ def whiten(vectors: DataFrame, vector: str = "embedding", components: int | None
     if not k:
         return _nothing(found, schema)
     whitening = basis[:, :k] / np.sqrt(values[:k])
-    error = float(np.abs(scatter(projected(spark, a, whitening)) / n - np.eye(k)).max())
+    error = float(np.abs(scatter(projected(a, whitening)) / n - np.eye(k)).max())
 
     rows = indexed(found, "rows")
-    shown = projected(spark, blocks(rows, mean, rows.count()), whitening).toIndexedRowMatrix().rows
-    shown = spark.createDataFrame(shown.map(lambda r: (r.index, r.vector.toArray().tolist())), "index bigint, whitened array<double>")
+    shown = coordinates(projected(blocks(rows, mean, rows.count()), whitening))
     exact = lambda v: v.cast("decimal(38,0)")
     centre = F.array(*[F.lit(str(s)).cast("decimal(38,0)") for s in sums])
     apart = F.zip_with("x", centre, lambda x, s: F.try_subtract(F.try_multiply(exact(x), F.lit(n).cast("decimal(38,0)")), s))
