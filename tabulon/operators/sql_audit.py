@@ -15,9 +15,38 @@ ALLOWED = ("SELECT", "WITH", "UNKNOWN")
 FORBIDDEN = ("DROP", "DELETE", "TRUNCATE", "ALTER", "CREATE", "INSERT", "UPDATE", "GRANT", "REVOKE", "EXEC", "EXECUTE")
 
 
+#: Token runs of SQL text: literals, comments (those to the end of a line with it), names with their parts, marks; all else is skipped.
+_LITERAL = r"'(?:[^'\\]++|\\'|\\|'')*'"
+_LINE = r"(?:--|# )[^\r\n]*(?:\r\n|\r|\n|$)"
+_BLOCK = r"/\*[\s\S]*?\*/"
+_PART = r'(?:"(?:[^"]|"")+"|`[^`]+`|[\p{L}_][\p{L}\p{N}_$]*)'
+_SHAPE = F.lit(rf"{_LITERAL}|{_LINE}|{_BLOCK}|\"[^\"]*\"|`[^`]*`|[();]|\s++|[^\s'\"`();#/-]++|.")
+_NAMES = F.lit(rf"{_LITERAL}|{_LINE}|{_BLOCK}|[0-9][\w.]*|{_PART}(?:\s*\.\s*{_PART})*|[(),;]")
+#: Words that end a list of tables, and those that stand between FROM or JOIN and a table.
+_ENDS = ("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "FETCH", "UNION", "EXCEPT", "INTERSECT", "WINDOW", "QUALIFY", "RETURNING", "SET", "VALUES", "SELECT")
+_BETWEEN = ("LATERAL", "ONLY")
+
+
 def statements(sql: Column) -> Column:
-    """Number of non-blank statements parted by semicolons."""
-    return F.size(F.filter(F.split(F.coalesce(sql, F.lit("")), ";"), lambda s: F.trim(s) != ""))
+    """Number of statements: what semicolons end, and what follows the last one.
+
+    Semicolons in literals, quoted names, comments and parentheses end nothing.  Blanks after the last
+    semicolon are no statement, nor is a comment to the end of the same line.
+    """
+
+    def step(acc: Column, t: Column) -> Column:
+        ends = (t == ";") & (acc["depth"] <= 0)
+        blank, line = F.trim(F.translate(t, "\n\r\t\f", "    ")) == "", t.rlike(r"^(--|# )")
+        fresh = F.when(ends, True).otherwise(acc["fresh"] & ~t.rlike(r"^\s*[\r\n]"))
+        counts = ~blank & ~(line & acc["fresh"])
+        return F.struct(
+            (acc["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("depth"), (acc["n"] + ends.cast("int")).alias("n"),
+            F.when(ends, False).otherwise(acc["open"] | counts).alias("open"), fresh.alias("fresh"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("open"), F.lit(False).alias("fresh"))
+    tokens = F.regexp_extract_all(F.coalesce(sql, F.lit("")), _SHAPE, F.lit(0))
+    return F.aggregate(tokens, start, step, lambda acc: acc["n"] + acc["open"].cast("int"))
 
 
 def syntax_errors(sql: Column) -> Column:
@@ -51,8 +80,45 @@ def spark_plan_warnings(plan: Column) -> Column:
 
 
 def tables_used(sql: Column) -> Column:
-    """Names after FROM and JOIN."""
-    return F.regexp_extract_all(sql, F.lit(r"(?i)\b(?:from|join)\s+([A-Za-z_][\w.]*)"), F.lit(1))
+    """Names after FROM and JOIN, those of lists too, in order; quoted names keep their quotes.
+
+    Literals and comments hold none.  FROM counts at the top and in parentheses that begin a query or
+    a join, not among a function's arguments (extract(year FROM t)) nor in IS DISTINCT FROM.  Functions
+    in the place of a table are none.
+    """
+    open_, shut, comma = (lambda t, mark=mark: t == mark for mark in "(),")
+
+    def step(acc: Column, t: Column) -> Column:
+        up, skip = F.upper(t), t.rlike(r"^(--|# |/\*)")
+        levels = acc["levels"]
+        # What the innermost parentheses hold: a query, a list of tables, arguments, or nothing yet.
+        level = F.element_at(levels, -1)
+        begins = F.when(level == "new", F.when(up.isin("SELECT", "WITH", "FROM"), "query").otherwise("args")).otherwise(level)
+        names = acc["names"]
+        # A name that parentheses follow is a function.
+        called = open_(t) & acc["named"]
+        names = F.when(called, F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0)))).otherwise(names)
+        source = (begins != "args") & (up.isin("FROM", "JOIN") & (acc["before"] != "DISTINCT"))
+        more = comma(t) & F.element_at(acc["lists"], -1)
+        word = t.rlike(r'^["`\p{L}_]')
+        is_table = acc["expect"] & word & ~up.isin(*_BETWEEN, *_ENDS, "FROM", "JOIN")
+        expect = source | more | (acc["expect"] & up.isin(*_BETWEEN))
+        pushed = F.array_append(F.slice(levels, 1, F.size(levels) - 1), begins)
+        set_level = F.when(open_(t), F.array_append(pushed, F.when(acc["expect"], "tables").otherwise("new"))).when(shut(t) & (F.size(levels) > 1), F.slice(levels, 1, F.size(levels) - 1)).otherwise(pushed)
+        listed = F.when(source, True).when(up.isin(*_ENDS), False).otherwise(F.element_at(acc["lists"], -1))
+        same = F.array_append(F.slice(acc["lists"], 1, F.size(acc["lists"]) - 1), listed)
+        lists = F.when(open_(t), F.array_append(same, acc["expect"])).when(shut(t) & (F.size(levels) > 1), F.slice(acc["lists"], 1, F.size(acc["lists"]) - 1)).otherwise(same)
+        # A table's place stays open across parentheses that hold tables.
+        expect = expect | (open_(t) & acc["expect"])
+        new = F.struct(
+            set_level.alias("levels"), lists.alias("lists"), expect.alias("expect"), is_table.alias("named"), up.alias("before"),
+            F.when(is_table, F.array_append(names, F.regexp_replace(t, r"\s*\.\s*", "."))).otherwise(names).alias("names"),
+        )
+        return F.when(skip, acc).otherwise(new)
+
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array(F.lit("query")).alias("levels"), F.array(F.lit(False)).alias("lists"), F.lit(False).alias("expect"), F.lit(False).alias("named"), F.lit("").alias("before"), none.alias("names"))
+    return F.aggregate(F.regexp_extract_all(F.coalesce(sql, F.lit("")), _NAMES, F.lit(0)), start, step, lambda acc: acc["names"])
 
 
 def verdict(df: DataFrame, sql: str = "sql", syntax: bool = True, security: bool = True, plan: str | None = None, plan_error: str | None = None) -> DataFrame:

@@ -148,11 +148,26 @@ def q_error_types(spark, d):
     return v.select("event_id", kind.alias("error_type"), message.alias("message"), S.summary(F.col("valid"), F.col("layer"), F.col("errors")).alias("summary"))
 
 
-@query(f"WITH {_TEXT} SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(sql, '(?i)\\b(?:from|join)\\s+([A-Za-z_][\\w.]*)', 1)) AS name FROM sqls) GROUP BY 1")
+@query(f"""WITH {_TEXT} SELECT name, count(*) AS n FROM (SELECT unnest(CASE event_id % 10 WHEN 0 THEN [event_type, 'u' || user_id] WHEN 1 THEN ['a'] WHEN 6 THEN ['t'] WHEN 9 THEN ['s.' || event_type] WHEN 3 THEN [event_type] WHEN 8 THEN [event_type] ELSE [] END) AS name FROM sqls) GROUP BY 1""")
 def q_tables_used(spark, d):
     return _texts(spark, d).select(F.explode(S.tables_used(F.col("sql"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
+#: Statements with literals, comments and nested queries: text (% stands for the event's type), number of statements, tables.
+_SHAPES = (
+    ("SELECT ';' AS x", 1, ""), ("SELECT 'it''s; from a' FROM %;", 1, "%"), ("SELECT 1 FROM %; SELECT 2 FROM u", 2, "%,u"), ("SELECT 1; -- done; from b", 1, ""), ("SELECT 1 FROM % /* ; from c */ JOIN s.t ON true", 1, "%,s.t"),
+    ('SELECT "a;b" FROM "my %"', 1, '"my %"'), ("SELECT extract(year FROM ts) FROM %", 1, "%"), ("SELECT * FROM a, % AS x, (SELECT 1 FROM c WHERE d IN (SELECT e FROM f)) g, h WHERE i = 'from z'", 1, "a,%,c,f,h"),
+    ("WITH d AS (SELECT * FROM %) SELECT trim(both ' ' from x) FROM d ORDER BY a, b", 1, "%,d"), ("SELECT a IS DISTINCT FROM b FROM %", 1, "%"), ("SELECT 1 FROM generate_series(1, 2) g JOIN (% JOIN b ON 1 = 1) ON true", 1, "%,b"),
+    ("SELECT (1; 2); ;", 2, ""), ("", 0, ""),
+)
+
+
+@query(f"""SELECT event_id, CAST({list(x[1] for x in _SHAPES)}[event_id % {len(_SHAPES)} + 1] AS INT) AS statements, replace({list(x[2] for x in _SHAPES)}[event_id % {len(_SHAPES)} + 1], '%', event_type) AS tables FROM events""")
+def q_shapes(spark, d):
+    text = F.replace(F.get(F.array(*[F.lit(x[0]) for x in _SHAPES]), (F.col("event_id") % len(_SHAPES)).cast("int")), F.lit("%"), F.col("event_type"))
+    return table(spark, d, "events").select("event_id", S.statements(text).alias("statements"), F.array_join(S.tables_used(text), ",").alias("tables"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'A' THEN 'sequential scan;' ELSE '' END || CASE WHEN l_linestatus = 'F' AND l_linenumber % 2 = 1 THEN 'nested loop;' ELSE '' END ||
     CASE WHEN l_partkey * 100 > 100000 THEN 'about ' || l_partkey * 100 || ' rows;' ELSE '' END AS warnings FROM lineitem""")
 def q_plan_warnings(spark, d):
