@@ -538,6 +538,31 @@ def test_mixing_of_repeated_rows_and_large_ones(spark):
     assert {r.doc_id: r.copies for r in mixing.mix_plan(docs.repartition(5)).collect()} == {r.doc_id: r.copies for r in plan}
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_mixing_meets_its_targets(spark, folder):
+    """Of every source, to half a percent: documents that fit are found, however large they are."""
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    taken, target = Counter(), {}
+    for r in mixing.mix_plan(docs).collect():
+        taken[r.source] += r.size * r.copies
+        target[r.source] = r.target
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 0.005 * target[s]
+
+
+def test_mixing_of_many_sources(spark):
+    """More sources than one range holds; each source's target is that of the plain water-filling."""
+    rnd = random.Random(6)
+    rows = [(i, "w " * rnd.randrange(1, 40), f"host{i % 700}.org") for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = mixing.mix_plan(docs).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    want = water_fill(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(sizes))}, 1.5 * sum(sizes.values()), 2)
+    assert len(plan) == len(rows) and all(r.target == pytest.approx(want[r.source]) for r in plan)
+
+
 def test_mixing_edges(spark):
     assert mixing.mix_plan(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
     blank = mixing.mix_plan(frame(spark, [(1, None), (2, " "), (2, " ")])).collect()
