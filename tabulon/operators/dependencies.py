@@ -19,21 +19,48 @@ def graph(sub: DataFrame) -> DataFrame:
 def levels(sub: DataFrame) -> DataFrame:
     """(query_id, sub_query_id, level): the round in which a sub-query can run, null if it never can.
 
-    Every round peels the nodes whose dependencies are all peeled; what is left holds or
-    awaits a cycle, or waits for an id that does not exist.
+    A sub-query with one dependency runs in the round after it, so chains of such ones are
+    skipped by doubling their steps: a chain of n takes log n rounds.  What is left are those with none
+    or several dependencies.  Of these each round resolves all whose dependencies are resolved and writes
+    only the others.  What is never resolved holds or awaits a cycle, or waits for an id that does not exist.
     """
-    edges = stored(graph(sub).distinct(), "edges")
-    state = stored(sub.select("query_id", "sub_query_id").distinct().withColumn("level", F.lit(None).cast("int")), "levels")
-    n, left = 0, state.count()
-    while left:
-        done = state.where("level is not null").select("query_id", F.col("sub_query_id").alias("source"))
-        waiting = edges.join(done, ["query_id", "source"], "left_anti").select("query_id", F.col("target").alias("sub_query_id"), F.lit(True).alias("waits")).distinct()
-        level = F.coalesce("level", F.when(F.col("waits").isNull(), F.lit(n)))
-        state = stored(state.join(waiting, ["query_id", "sub_query_id"], "left").select("query_id", "sub_query_id", level.alias("level")), "levels")
-        before, left, n = left, state.where("level is null").count(), n + 1
-        if left == before:
-            break
-    return state
+    nodes = sub.select("query_id", "sub_query_id").distinct()
+    edges = graph(sub).distinct()
+    edges = stored(edges.join(edges.groupBy("query_id", "target").agg(F.count("*").cast("int").alias("n")), ["query_id", "target"]), "edges")
+    chained = _chains(edges.where("n = 1").select("query_id", F.col("target").alias("sub_query_id"), F.col("source").alias("root"), F.lit(1).alias("steps")))
+
+    free = nodes.join(edges.select("query_id", F.col("target").alias("sub_query_id")).distinct(), ["query_id", "sub_query_id"], "left_anti").withColumn("level", F.lit(0))
+    root = chained.withColumnRenamed("sub_query_id", "source")
+    # Sub-queries with several dependencies wait for the roots of these.
+    waits = edges.where("n > 1").join(root, ["query_id", "source"], "left")
+    waits = waits.select("query_id", F.col("target").alias("sub_query_id"), F.coalesce("root", F.when(F.col("steps").isNull(), F.col("source"))).alias("root"), F.coalesce("steps", F.lit(0)).alias("steps"), F.lit(None).cast("int").alias("at"))
+    waits, new = stored(waits, "waits"), stored(free, "levels")
+    done = new
+    while not new.isEmpty():
+        filled = waits.join(new.select("query_id", F.col("sub_query_id").alias("root"), F.col("level").alias("found")), ["query_id", "root"], "left")
+        filled = stored(filled.select("query_id", "sub_query_id", "root", "steps", F.coalesce("at", F.col("found") + F.col("steps") + 1).alias("at")), "waits")
+        new = filled.groupBy("query_id", "sub_query_id").agg(F.max("at").alias("level"), F.bool_and(F.col("at").isNotNull()).alias("whole")).where("whole").drop("whole")
+        new = stored(new, "levels")
+        waits = filled.join(new.select("query_id", "sub_query_id"), ["query_id", "sub_query_id"], "left_anti")
+        done = done.unionByName(new)
+    after = chained.join(done.withColumnRenamed("sub_query_id", "root"), ["query_id", "root"]).select("query_id", "sub_query_id", (F.col("level") + F.col("steps")).alias("level"))
+    return nodes.join(done.unionByName(after), ["query_id", "sub_query_id"], "left")
+
+
+def _chains(steps: DataFrame) -> DataFrame:
+    """(query_id, sub_query_id, root, steps): where each chain of steps ends and after how many; a null root for those that lead into a cycle."""
+    jumps, most, reach = stored(steps, "chains"), 0, 1
+    while True:
+        on = jumps.select("query_id", F.col("sub_query_id").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
+        on = jumps.join(on, ["query_id", "root"], "left").withColumn("goes_on", F.col("more").isNotNull())
+        doubled = stored(on.select("query_id", "sub_query_id", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), "goes_on"), "chains")
+        if doubled.where("goes_on").isEmpty():
+            return jumps
+        most = most or jumps.groupBy("query_id").count().agg(F.max("count")).first()[0]
+        if reach > most:
+            # More steps than sub-queries: what still goes on is in a cycle or leads into one.
+            return doubled.select("query_id", "sub_query_id", F.when(~F.col("goes_on"), F.col("root")).alias("root"), "steps")
+        jumps, reach = doubled.drop("goes_on"), 2 * reach
 
 
 def cyclic(sub: DataFrame) -> DataFrame:

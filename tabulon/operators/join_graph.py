@@ -28,39 +28,78 @@ def paths(edges: DataFrame, pairs: DataFrame, by: str = "cost", max_hops: int |
     """(base, target, cost, hops, nodes, edges): the best path of each pair (base, target) that is connected.
 
     by 'cost' gives the cheapest and ignores max_hops unless it is given, by 'hops' the
-    shortest; ties go by cost, hops, then the node sequence.  All bases relax together, one
-    join and one aggregate a round, until nothing improves.
+    shortest; ties go by cost, hops, then the node sequence.  Costs are not negative.  All bases relax together, one
+    join and one aggregate a round, until nothing improves; a round's rows are numbers alone.  Then each
+    node gets its predecessor, and the wanted paths are unrolled together by doubled steps, log(hops) rounds.
     """
     steps = both_ways(edges).where("a <> b")
     # Of parallel edges the cheapest is walked.
     steps = steps.groupBy("a", "b").agg(F.min(F.struct(F.col("edge.cost").alias("c"), F.col("edge.on").alias("o"), F.col("edge").alias("edge"))).getField("edge").alias("edge"))
-    steps = stored(steps, "steps")
-    kind = steps.schema["edge"].dataType.simpleString()
-    none = F.expr(f"cast(array() as array<{kind}>)")
-    start = F.struct(F.lit(0.0).alias("key"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("base").alias("nodes"), F.lit(True).alias("fresh"), none.alias("edges"))
-    best = stored(pairs.select("base").distinct().select("base", F.col("base").alias("node"), start.alias("p")), "paths")
-    while not best.where("p.fresh").isEmpty():
-        walked = best.where("p.fresh").join(steps, F.col("node") == F.col("a")).where(~F.array_contains("p.nodes", F.col("b")))
-        if max_hops is not None:
-            walked = walked.where(F.col("p.hops") < max_hops)
-        cost, hops = F.col("p.cost") + F.col("edge.cost"), F.col("p.hops") + 1
+    steps = stored(steps.select("a", "b", F.col("edge.cost").alias("step"), "edge"), "steps")
+    best = _distances(steps, pairs.select("base").distinct(), by, max_hops)
+    wanted = pairs.distinct().join(best.withColumnRenamed("node", "target"), ["base", "target"])
+    wanted = stored(wanted, "wanted")
+    back = _predecessors(best, steps)
+
+    rows = wanted.select("base", "target", F.col("target").alias("node"), F.col("hops").alias("pos"))
+    jumps = [back]
+    for _ in range(1, (wanted.agg(F.max("hops")).first()[0] or 0).bit_length()):
+        on = jumps[-1].select("base", F.col("node").alias("prev"), F.col("prev").alias("further"))
+        jumps.append(stored(jumps[-1].join(on, ["base", "prev"]).select("base", "node", F.col("further").alias("prev")), "jumps"))
+    for k, jump in reversed([*enumerate(jumps)]):
+        # From every row a step of 2^k back: each place of a path arises once, by the binary digits of its distance from the end.
+        more = rows.where(F.col("pos") >= 1 << k).join(jump, ["base", "node"]).select("base", "target", F.col("prev").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
+        rows = rows.unionByName(more)
+    walked = rows.join(back, ["base", "node"], "left").join(steps.select(F.col("a").alias("prev"), F.col("b").alias("node"), "edge"), ["prev", "node"], "left")
+    packed = walked.groupBy("base", "target").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "edge"))).alias("p"))
+    lists = packed.select("base", "target", F.transform("p", lambda x: x["node"]).alias("nodes"), F.transform(F.filter("p", lambda x: x["pos"] > 0), lambda x: x["edge"]).alias("edges"))
+    return pairs.join(wanted, ["base", "target"]).join(lists, ["base", "target"]).select("base", "target", "cost", "hops", "nodes", "edges")
+
+
+def _distances(steps: DataFrame, bases: DataFrame, by: str, max_hops: int | None) -> DataFrame:
+    """(base, node, cost, hops) of every node that a base reaches."""
+    start = F.struct(F.lit(0.0).alias("key"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(0).alias("round"))
+    best, n = stored(bases.select("base", F.col("base").alias("node"), start.alias("p")), "paths"), 0
+    while not (fresh := best.where(F.col("p.round") == n)).isEmpty():
+        n += 1
+        if n % 64 == 0 and n > steps.select("a").distinct().count():
+            raise ValueError("a cycle of edges has a negative cost")
+        walked = fresh if max_hops is None else fresh.where(F.col("p.hops") < max_hops)
+        walked = walked.join(steps, F.col("node") == F.col("a"))
+        cost, hops = F.col("p.cost") + F.col("step"), F.col("p.hops") + 1
         key = cost if by == "cost" else hops.cast("double")
-        more = F.struct(key.alias("key"), cost.alias("cost"), hops.alias("hops"), F.array_append("p.nodes", F.col("b")).alias("nodes"), F.lit(True).alias("fresh"), F.array_append("p.edges", F.col("edge")).alias("edges"))
-        found = walked.select("base", F.col("b").alias("node"), more.alias("p"))
-        # Key, cost, hops, then nodes: the struct's order; of the same path the row that is not fresh is the least.
-        old = best.withColumn("p", F.col("p").withField("fresh", F.lit(False)))
-        best = stored(old.unionByName(found).groupBy("base", "node").agg(F.min("p").alias("p")), "paths")
-    out = pairs.join(best, (pairs["base"] == best["base"]) & (pairs["target"] == best["node"])).drop(best["base"])
-    return out.select("base", "target", F.col("p.cost").alias("cost"), F.col("p.hops").alias("hops"), F.col("p.nodes").alias("nodes"), F.col("p.edges").alias("edges"))
+        found = walked.select("base", F.col("b").alias("node"), F.struct(key.alias("key"), cost.alias("cost"), hops.alias("hops"), F.lit(n).alias("round")).alias("p"))
+        # Key, cost, hops, then the round: what is as good as before is not fresh.
+        best = stored(best.unionByName(found).groupBy("base", "node").agg(F.min("p").alias("p")), "paths")
+    return best.select("base", "node", F.col("p.cost").alias("cost"), F.col("p.hops").alias("hops"))
+
+
+def _predecessors(best: DataFrame, steps: DataFrame) -> DataFrame:
+    """(base, node, prev): the node before each node on its best path; of equal ones that of the least node sequence.
+
+    Sequences of equal length are compared by their ranks, one length after the other, up to the last
+    length at which a node has several predecessors.
+    """
+    ends = best.select("base", F.col("node").alias("b"), F.col("cost").alias("end_cost"), F.col("hops").alias("end_hops"))
+    met = best.join(steps, F.col("node") == F.col("a")).join(ends, ["base", "b"])
+    tight = met.where((F.col("cost") + F.col("step") == F.col("end_cost")) & (F.col("hops") + 1 == F.col("end_hops")))
+    tight = stored(tight.select("base", F.col("b").alias("node"), F.col("a").alias("prev"), F.col("end_hops").alias("hops")), "tight")
+    last = tight.groupBy("base", "node").agg(F.max("hops").alias("hops"), F.count("*").alias("n")).where("n > 1").agg(F.max("hops")).first()[0] or 0
+    out = tight.where(F.col("hops") > last).select("base", "node", "prev")
+    ranks = None
+    for length in range(1, last + 1):
+        level = tight.where(F.col("hops") == length)
+        level = level.withColumn("rank", F.lit(0)) if ranks is None else level.join(ranks.select("base", F.col("node").alias("prev"), "rank"), ["base", "prev"])
+        first = level.groupBy("base", "node").agg(F.min(F.struct("rank", "prev")).alias("first"))
+        rank = F.row_number().over(Window.partitionBy("base").orderBy("first.rank", "node"))
+        ranks = stored(first.select("base", "node", F.col("first.prev").alias("prev"), rank.alias("rank")), "ranks")
+        out = out.unionByName(ranks.select("base", "node", "prev"))
+    return stored(out, "back") if last else out
 
 
 def find_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 5, strategy: str = "cost") -> DataFrame:
-    """Cheapest paths, with the shortest ones for pairs that those leave out.  The search runs when this is called, a round at a time."""
-    first = paths(edges, pairs, "cost") if strategy == "cost" else paths(edges, pairs, "hops", max_hops)
-    if strategy != "cost":
-        return first
-    left = pairs.join(first.select("base", "target"), ["base", "target"], "left_anti")
-    return first.unionByName(paths(edges, left, "hops", max_hops))
+    """Cheapest paths, or the shortest ones of at most max_hops edges.  The search runs when this is called, a round at a time."""
+    return paths(edges, pairs, "cost") if strategy == "cost" else paths(edges, pairs, "hops", max_hops)
 
 
 def path_steps(found: DataFrame) -> DataFrame:
@@ -128,7 +167,7 @@ def plan_errors():
 def plan_text(plan_rows: DataFrame, most: int = 3) -> DataFrame:
     """(base, text) of the first plans by base."""
     line = lambda e: F.concat_ws(" ", e["join_type"], e["src_table"], F.lit("->"), e["dst_table"], F.lit("ON"), e["on"])
-    head = F.concat(F.lit("base "), "base", F.lit(", cost "), F.col("total_cost").cast("int"))
+    head = F.concat(F.lit("base "), "base", F.lit(", cost "), F.regexp_replace(F.col("total_cost").cast("string"), r"\.0$", ""))
     return plan_rows.orderBy("base").limit(most).select("base", F.concat_ws("\n", head, F.array_join(F.transform("edges", line), "\n")).alias("text"))
 
 
