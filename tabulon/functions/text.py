@@ -104,8 +104,8 @@ def register_functions(spark: SparkSession) -> None:
     every = f"size(array_union({of('a')}, {of('b')}))"
     mark = "named_struct('held', int(array_contains(t.x, g)), 'last', IF(array_contains(slice(t.y, 1, j), g), j - int(array_position(reverse(slice(t.y, 1, j)), g)), -1))"
     new = "int(e.last < i)"
-    both, every = f"(acc.both + {new} * e.held)", f"(acc.every + {new})"
-    grown = f"named_struct('both', {both}, 'every', {every}, 'best', greatest(acc.best, {both} / (size(t.x) + {every} - {both})))"
+    shared, seen = f"(acc.both + {new} * e.held)", f"(acc.every + {new})"
+    grown = f"named_struct('both', {shared}, 'every', {seen}, 'best', greatest(acc.best, {shared} / (size(t.x) + {seen} - {shared})))"
     extent = f"aggregate(slice(m, i + 1, size(m)), named_struct('both', 0, 'every', 0, 'best', CAST(0 AS DOUBLE)), (acc, e) -> {grown}, acc -> acc.best)"
     starts = f"array_max(transform(filter(sequence(0, size(m) - 1), i -> get(m, i).held = 1), i -> {extent}))"
     best = f"IF(size(t.y) > 0, get(transform(array(transform(t.y, (g, j) -> {mark})), m -> {starts}), 0), NULL)"

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import clamp01, cosine_similarity
 from .iteration import stored
 
-#: Query vectors in one block, of width 1024: 32 MB in each task.  Of narrower ones a block holds more.
-BLOCK = 4096
+#: Entries of the query vectors in one block: 32 MB in each task.
+BLOCK = 1 << 22
 #: Similarities that a task holds at a time, and hits that it gathers before it keeps the best.
 CELLS = 1 << 22
 
@@ -61,7 +61,7 @@ def _scored(asked: DataFrame, store: DataFrame, best_of: Callable[[DataFrame], D
     asked = asked.select("query_id", "object_type", vector, "k", "threshold").where(F.size("embedding") > 0)
     rows = store.select("object_type", "object_id", vector).where(F.size("embedding") > 0)
     n, width = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-n // max(1, BLOCK * 1024 // (width or 1024))))
+    blocks = max(1, -(-n // max(1, BLOCK // (width or 1))))
     if blocks > 1:
         asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "asked", "block")
     types = {c: t.schema[c].dataType.simpleString() for t, c in ((asked, "query_id"), (store, "object_id"))}

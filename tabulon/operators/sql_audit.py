@@ -20,8 +20,8 @@ _LITERAL = r"'(?:[^'\\]++|\\'|\\|'')*'"
 _LINE = r"(?:--|# )[^\r\n]*(?:\r\n|\r|\n|$)"
 _BLOCK = r"/\*[\s\S]*?\*/"
 _PART = r'(?:"(?:[^"]|"")+"|`[^`]+`|[\p{L}_][\p{L}\p{N}_$]*)'
-_SHAPE = F.lit(rf"{_LITERAL}|{_LINE}|{_BLOCK}|\"[^\"]*\"|`[^`]*`|[();]|\s++|[^\s'\"`();#/-]++|.")
-_NAMES = F.lit(rf"{_LITERAL}|{_LINE}|{_BLOCK}|[0-9][\w.]*|{_PART}(?:\s*\.\s*{_PART})*|[(),;]")
+_SHAPE = rf"{_LITERAL}|{_LINE}|{_BLOCK}|\"[^\"]*\"|`[^`]*`|[();]|\s++|[^\s'\"`();#/-]++|."
+_NAMES = rf"{_LITERAL}|{_LINE}|{_BLOCK}|[0-9][\w.]*|{_PART}(?:\s*\.\s*{_PART})*|[(),;]"
 #: Words that end a list of tables, and those that stand between FROM or JOIN and a table.
 _ENDS = ("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "FETCH", "UNION", "EXCEPT", "INTERSECT", "WINDOW", "QUALIFY", "RETURNING", "SET", "VALUES", "SELECT")
 _BETWEEN = ("LATERAL", "ONLY")
@@ -45,7 +45,7 @@ def statements(sql: Column) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("open"), F.lit(False).alias("fresh"))
-    tokens = F.regexp_extract_all(F.coalesce(sql, F.lit("")), _SHAPE, F.lit(0))
+    tokens = F.regexp_extract_all(F.coalesce(sql, F.lit("")), F.lit(_SHAPE), F.lit(0))
     return F.aggregate(tokens, start, step, lambda acc: acc["n"] + acc["open"].cast("int"))
 
 
@@ -118,7 +118,7 @@ def tables_used(sql: Column) -> Column:
 
     none = F.array().cast("array<string>")
     start = F.struct(F.array(F.lit("query")).alias("levels"), F.array(F.lit(False)).alias("lists"), F.lit(False).alias("expect"), F.lit(False).alias("named"), F.lit("").alias("before"), none.alias("names"))
-    return F.aggregate(F.regexp_extract_all(F.coalesce(sql, F.lit("")), _NAMES, F.lit(0)), start, step, lambda acc: acc["names"])
+    return F.aggregate(F.regexp_extract_all(F.coalesce(sql, F.lit("")), F.lit(_NAMES), F.lit(0)), start, step, lambda acc: acc["names"])
 
 
 def verdict(df: DataFrame, sql: str = "sql", syntax: bool = True, security: bool = True, plan: str | None = None, plan_error: str | None = None) -> DataFrame:

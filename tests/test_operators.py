@@ -1,5 +1,9 @@
 """Golden cases of single operators: ties, nulls, cycles, formats, formulas."""
 
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,11 +52,53 @@ def test_top_k_threshold_before_clamp(spark):
     assert retrieval.top_k(query.limit(0), corpus, 2).count() == 0
 
 
+def _grams(text):
+    return [p[i : i + 3] for w in re.findall(r"[^\W_]+", text.lower()) for p in [f"  {w} "] for i in range(len(p) - 2)]
+
+
+def brute_word_similarity(a, b):
+    """Best |A & E| / |A | E| over contiguous extents E of b's trigrams."""
+    x, y = set(_grams(a or "")), _grams(b or "")
+    extents = [set(y[i:j]) for i in range(len(y)) for j in range(i + 1, len(y) + 1)]
+    return max((len(x & e) / len(x | e) for e in extents), default=0.0)
+
+
+def test_word_similarity_is_brute_force(spark):
+    rnd = random.Random(2)
+    names = [r.p_name for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_name").distinct().collect()]
+    odd = [None, "", "--", "aaa", "aaaaaaaa a", "two words", "words two words", "São Paulo é", "京东 便利店", "x_y", "a b a b a b"]
+    pairs = [(rnd.choice(names), rnd.choice(names) + rnd.choice(["", " small", "s"])) for _ in range(300)] + [(a, b) for a in odd for b in odd]
+    spark.createDataFrame(pairs, "a string, b string").createOrReplaceTempView("word_pairs")
+    X.register_functions(spark)
+    got = spark.table("word_pairs").select("a", "b", X.word_similarity("a", "b").alias("w"), F.expr("word_similarity(a, b)").alias("s")).collect()
+    assert all(r.w == r.s == pytest.approx(brute_word_similarity(r.a, r.b)) for r in got)
+
+
+def test_prefix_join_loses_nothing_and_meets_little(spark):
+    """Against all pairs; texts that share only frequent trigrams are no candidates."""
+    rnd = random.Random(5)
+    parts = ["".join(rnd.choices("abcdefghij", k=rnd.choice([3, 5, 8]))) for _ in range(120)]
+    texts = ["market " + " ".join(rnd.choices(parts, k=rnd.choice([1, 2, 3]))) for _ in range(400)] + ["", "a", "ab", "market"]
+    asked = [t[: rnd.randrange(1, len(t) + 1)] + rnd.choice(["", "x"]) for t in texts[:60]] + ["market", "a", ""]
+    q, v = spark.createDataFrame([(t,) for t in asked], "q string"), spark.createDataFrame([(t,) for t in texts + texts[:50]], "v string")
+    for least in (0.3, 0.6):
+        want = {}
+        for a in set(asked):
+            for b in set(texts):
+                x, y = set(_grams(a)), set(_grams(b))
+                if x | y and len(x & y) / len(x | y) > least:
+                    want[a, b] = len(x & y) / len(x | y)
+        got = {(r.q, r.v): r.similarity for r in matching.similar_texts(q, v, least).collect()}
+        assert got == pytest.approx(want)
+        shared = sum(bool(set(_grams(a)) & set(_grams(b))) for a in set(asked) for b in set(texts))
+        assert matching.candidate_pairs(q, v, least).count() <= (len(want) + shared // (4 if least == 0.3 else 20))
+
+
 def test_look_up_word_similarity(spark):
     index = matching.value_index([("dim", spark.createDataFrame([(1, "Shenzhen City"), (2, "Shenzen"), (3, "Beijing"), (4, None)], "k int, v string"), "v", "k")])
     asks = spark.createDataFrame([("q", "shenzhen")], "query_id string, query_value string")
     got = matching.look_up(asks, index, 5).orderBy("rank").collect()
-    brute = sorted((round(X._word_similarity(v, "shenzhen"), 9) for v in ("shenzhencity", "shenzen")), reverse=True)
+    brute = sorted((round(brute_word_similarity(v, "shenzhen"), 9) for v in ("shenzhencity", "shenzen")), reverse=True)
     assert [round(r.score, 9) for r in got] == brute and index.count() == 3
 
 
@@ -248,6 +294,129 @@ def test_many_queries_in_blocks(spark, monkeypatch):
     assert key(retrieval.top_k(asked, corpus, 4)) == whole and len(whole) == 240
 
 
+def test_searches_of_many_kinds(spark, monkeypatch):
+    """Each search ranks its own type and takes its own k and threshold, in whatever blocks."""
+    rnd = random.Random(1)
+    store = [(f"o{i}", rnd.choice("abc"), [rnd.gauss(0, 1) for _ in range(4)]) for i in range(200)] + [("none", "a", None), ("zero", "a", [0.0] * 4)]
+    searches = [(i, rnd.choice("abcd"), [rnd.gauss(0, 1) for _ in range(4)], rnd.choice([1, 3, 500]), rnd.choice([-1.0, 0.5])) for i in range(40)] + [(99, "a", None, 3, 0.0)]
+
+    def cosine(x, y):
+        size = math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(a * a for a in y))
+        return sum(a * b for a, b in zip(x, y)) / size if size else 0.0
+
+    want = {}
+    for i, kind, x, k, least in searches:
+        found = sorted((-round(cosine(x, y), 12), o) for o, t, y in store if t == kind and x and y and round(cosine(x, y), 12) >= least)
+        want |= {(i, r): o for r, (_, o) in enumerate(found[:k], 1)}
+    s = spark.createDataFrame(store, "object_id string, object_type string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(searches, "search_id int, object_type string, embedding array<double>, k int, threshold double")
+    for block, cells in ((1 << 22, 1 << 22), (40, 64)):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        assert {(r.search_id, r["rank"]): r.object_id for r in retrieval.search_all(q, s).collect()} == want
+
+
+def test_retrieval_of_questions_without_anything(spark):
+    """No hit at all, no dimension, a null parse result: empty lists and counters of 0."""
+    kind = "query_id int, embedding array<double>, parse_result struct<dimensions:array<struct<text:string,role:string>>,time:string>"
+    questions = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [0.0, 1.0], ([], None)), (3, [1.0, 0.0], ([("x", "value"), ("gone", "column")], None))], kind)
+    store = "object_id string, object_type string, embedding array<double>, parent_id string, table_category string, text_raw string, dim_table string, dim_col string, key_col string, key_value string, matched_text string, document string"
+    rows = [("s.t", "table", [1.0, 0.1], None, "fact", "card", None, None, None, None, None, None), ("v1", "value", [1.0, 0.0], None, None, None, "d", "c", None, None, "one", None), ("v2", "value", [0.9, 0.1], None, None, None, "d", "e", None, None, "one", None)]
+    texts = spark.createDataFrame([("x", [1.0, 0.0])], "text string, embedding array<double>")
+    edges = spark.createDataFrame([("s.t", "public.d", "SRC.a = DST.b", None, "N:1", 1.0)], EDGE)
+    got = {r.query_id: r for r in candidates.retrieve(questions, texts, spark.createDataFrame(rows, store), edges).collect()}
+    assert (got[2].facts, got[2].value_hits, got[2].table_categories, got[2].base, got[2].table_count, got[2].join_plan_count) == ([], [], {}, None, 0, 0)
+    assert (got[1].facts, got[1].dimensions, got[1].base, got[1].targets, got[1].cards) == (["s.t"], [], "s.t", [], {"s.t": "card"})
+    # Two columns of one table that one text hits are two hits; the table is one candidate.
+    assert [(h.dim_col, h.matched_text, h.source_index) for h in got[3].value_hits] == [("c", "one", 0), ("e", "one", 0)]
+    assert (got[3].dimensions, got[3].targets, [e.on for e in got[3].edges], got[3].dim_match_count) == (["public.d"], ["public.d"], ["SRC.a = DST.b"], 2)
+    none = candidates.retrieve(questions, texts, spark.createDataFrame([], store), edges).collect()
+    assert len(none) == 3 and all(r.facts == [] and r.base is None for r in none)
+
+
+def test_value_hits_are_one_for_each_value(spark):
+    """By key, else by text, within a column; the best, and the order in which values were met."""
+    rows = [(1, 1, "d", "c", "k1", "a", 0.5), (1, 2, "d", "c", "k1", "b", 0.9), (1, 3, "d", "c", "", "a", 0.9), (1, 4, "d", "x", "k1", "a", 0.5), (1, 5, "e", "c", "k1", "a", None), (2, 1, "d", "c", None, "a", 0.1)]
+    hits = spark.createDataFrame(rows, "query_id int, ordinal int, dim_table string, dim_col string, key_value string, matched_text string, score double")
+    hits = hits.withColumn("source_index", F.lit(0)).withColumn("source_text", F.lit("t")).withColumn("key_col", F.lit("k")).withColumn("table_name", F.col("dim_table"))
+    got = {r.query_id: [(h.dim_table, h.dim_col, h.key_value, h.matched_text) for h in r.value_hits] for r in candidates.listed_hits(hits).collect()}
+    assert got == {1: [("d", "c", "k1", "b"), ("d", "c", "", "a"), ("d", "x", "k1", "a"), ("e", "c", "k1", "a")], 2: [("d", "c", None, "a")]}
+
+
+def test_paths_are_brute_force(spark):
+    """Random graphs with ties: every pair's least (cost, hops, nodes), and the fewest hops."""
+    rnd = random.Random(9)
+    nodes = [f"n{i}" for i in range(9)]
+    edges = {(a, b): float(rnd.choice([1, 1, 2])) for a in nodes for b in nodes if a < b and rnd.random() < 0.35}
+    step = {**edges, **{(b, a): c for (a, b), c in edges.items()}}
+    found = {}
+
+    def walk(path, cost):
+        for by, key in (("cost", (cost, len(path), path)), ("hops", (len(path), cost, path))):
+            at = (by, path[0], path[-1])
+            found[at] = min(found.get(at, key), key)
+        for (a, b), c in step.items():
+            if a == path[-1] and b not in path:
+                walk([*path, b], cost + c)
+
+    for n in nodes:
+        walk([n], 0.0)
+    e = spark.createDataFrame([(a, b, "x", None, "N:1", c) for (a, b), c in edges.items()], EDGE)
+    pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes], "base string, target string")
+    for by in ("cost", "hops"):
+        got = {(by, r.base, r.target): r for r in join_graph.paths(e, pairs, by).collect()}
+        assert {k: r.nodes for k, r in got.items()} == {k: v[2] for k, v in found.items() if k[0] == by}
+        for r in got.values():
+            assert r.hops == len(r.edges) == len(r.nodes) - 1 and r.cost == sum(x.cost for x in r.edges)
+            assert all({x.src_table, x.dst_table} == {a, b} for x, a, b in zip(r.edges, r.nodes, r.nodes[1:]))
+
+
+def test_long_paths_take_few_rounds_to_unroll(spark, monkeypatch):
+    n, made = 40, []
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", "x", None, "N:1", 1.0) for i in range(n)], EDGE)
+    stored = join_graph.stored
+    monkeypatch.setattr(join_graph, "stored", lambda df, name, *by: made.append(name) or stored(df, name, *by))
+    found = join_graph.paths(edges, spark.createDataFrame([("n000", f"n{n:03}")], "base string, target string")).first()
+    assert found.nodes == [f"n{i:03}" for i in range(n + 1)] and found.cost == n
+    assert made.count("jumps") == 5 and made.count("ranks") == 0
+
+
+def test_levels(spark, monkeypatch):
+    """Random graphs with cycles and unknown ids by peeling; a chain of 500 takes 10 written rounds."""
+    rnd, rows, want = random.Random(3), [], {}
+    for q in range(40):
+        n, deps, level = rnd.randrange(1, 14), {}, {}
+        for i in range(n):
+            pool = [f"s{j}" for j in range(i)] if rnd.random() < 0.85 else [f"s{j}" for j in range(n)] + ["nope"]
+            deps[f"s{i}"] = rnd.sample(pool, min(len(pool), rnd.choice([0, 1, 1, 1, 2, 3])))
+        while new := {k: max((level[d] for d in ds), default=-1) + 1 for k, ds in deps.items() if k not in level and all(d in level for d in ds)}:
+            level |= new
+        want |= {(q, k): level.get(k) for k in deps}
+        rows += [(q, k, v) for k, v in deps.items()]
+    kind = "query_id int, sub_query_id string, dependencies array<string>"
+    assert {(r.query_id, r.sub_query_id): r.level for r in dependencies.levels(spark.createDataFrame(rows, kind)).collect()} == want
+    made, stored = [], dependencies.stored
+    monkeypatch.setattr(dependencies, "stored", lambda df, name, *by: made.append(name) or stored(df, name, *by))
+    chain = spark.createDataFrame([(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(500)], kind)
+    assert {r.sub_query_id: r.level for r in dependencies.levels(chain).collect()} == {f"c{i}": i for i in range(500)}
+    assert made.count("chains") <= 11 and made.count("waits") <= 2
+
+
+SHAPES = [
+    ("SELECT ';' AS x", 1, ""), ("SELECT 1;;", 2, ""), ("SELECT 1; -- done", 1, ""), ("SELECT 1;\n-- done", 2, ""), ("SELECT 1; /* x */", 2, ""), ("SELECT 1;\n  ", 1, ""), ("  ", 0, ""), (None, 0, ""),
+    ("SELECT 'it''s; from a' FROM t;", 1, "t"), ("SELECT 'a\\'; b' FROM t", 1, "t"), ("SELECT 'open ; FROM x", 2, "x"), ('SELECT "a;b" FROM "my t"', 1, '"my t"'), ("SELECT `from` FROM `db`.`t x`", 1, "`db`.`t x`"),
+    ("SELECT extract(year FROM ts) FROM t", 1, "t"), ("SELECT 'from a' FROM t -- from b\n JOIN u ON true", 1, "t,u"), ("SELECT a IS DISTINCT FROM b FROM t", 1, "t"), ("SELECT (1; 2) FROM t", 1, "t"), ("DELETE FROM t", 1, "t"),
+    ("SELECT * FROM a, b AS x, (SELECT 1 FROM c WHERE d IN (SELECT e FROM f)) g, h WHERE i = 'from z'", 1, "a,b,c,f,h"), ("SELECT * FROM (a JOIN b ON 1 = 1) LEFT JOIN s . c USING (k)", 1, "a,b,s.c"),
+    ("SELECT * FROM generate_series(1, 2) g JOIN LATERAL (SELECT 1 FROM q) z ON true", 1, "q"), ("SELECT count(*), max(x) FROM a JOIN b ON f(a.x, b.y) = 1, c GROUP BY d, e", 1, "a,b,c"), ("select x from t1 union select y from t2, t3 limit 3", 1, "t1,t2,t3"),
+]
+
+
+def test_statement_shapes(spark):
+    df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(SHAPES)], "i int, sql string")
+    got = df.select("i", sql_audit.statements(F.col("sql")).alias("n"), F.array_join(sql_audit.tables_used(F.col("sql")), ",").alias("tables")).collect()
+    assert {r.i: (r.n, r.tables) for r in got} == {i: x[1:] for i, x in enumerate(SHAPES)}
+
+
 def test_matching_by_parts(spark):
     values = ["abcd", "xabcx", "ab", "b", "", None, "zz", "été"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
