@@ -6,10 +6,13 @@ A thread id is user:YYYYMMDDTHHmmssSSSZ.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_text
+from ..sources import keyed
 
 #: Formats of user ids, thread ids and store keys.
 USER = r"^[A-Za-z0-9_-]{1,64}$"
@@ -64,8 +67,33 @@ def turn_rows(turns: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def write_turns(turns: DataFrame, path: str) -> None:
-    """Appends by day, so that the number of folders does not grow with the users."""
-    turn_rows(turns).withColumn("day", F.to_date("created_at")).repartition("day").write.mode("append").partitionBy("day").parquet(path)
+    """Upserts turns by (thread_id, query_id) into a table partitioned by day, so that the number of folders does not grow with the users.
+
+    Across runs one row of each key stays, that of the latest update; it keeps the time at which
+    the key was first stored, and so its day.  Only the days of the written turns are rewritten.
+    """
+    new, old = turn_rows(turns), keyed.read(turns.sparkSession, path)
+    if old is not None:
+        known = old.select("thread_id", "query_id", F.struct(F.col("created_at").alias("at")).alias("_first"))
+        new = new.join(known, ["thread_id", "query_id"], "left").withColumn("created_at", F.when(F.col("_first").isNotNull(), F.col("_first.at")).otherwise(F.col("created_at"))).drop("_first")
+    keyed.upsert(path, new.withColumn("day", F.to_date("created_at")), ["thread_id", "query_id"], "day", ["updated_at"])
+
+
+def stored_turns(spark: SparkSession, path: str) -> DataFrame:
+    """The turns of a table that write_turns made."""
+    return keyed.read(spark, path)
+
+
+def retain(spark: SparkSession, path: str, now: datetime, days: int = 90) -> dict:
+    """Removes turns created over `days` days ago from a table of write_turns.
+
+    Days that are wholly past leave the table's list and are not read; the day in which
+    the cut lies is rewritten alone.  Turns without a time stay.
+    """
+    cut = now - timedelta(days=days)
+    stored_days = keyed.state(spark, path)["versions"]
+    past = [d for d in stored_days if d[:1].isdigit() and d < cut.date().isoformat()]
+    return keyed.drop(spark, path, past, [cut.date().isoformat()], F.col("created_at") >= F.lit(cut.isoformat(sep=" ")).cast("timestamp"))
 
 
 def succeeded(turns: DataFrame, log: DataFrame) -> DataFrame:

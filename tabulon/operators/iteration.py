@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
-_made: list[str] = []
+_made: dict[str, list[str]] = {}
+_inside: dict[str, tuple[int, str]] = {}
+_lock = threading.Lock()
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -23,25 +28,39 @@ def scratch(spark: SparkSession, name: str) -> str:
             _local.append(tempfile.mkdtemp(prefix="spark-"))
         root = _local[0]
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.setdefault(spark._jsparkSession.sessionUUID(), []).append(path)
     return path
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes the scratch tables made so far; results that still read them must be written before."""
-    for path in _made:
+    """Deletes the scratch tables that this session has made so far; results that still read them must be written before."""
+    for path in _made.pop(spark._jsparkSession.sessionUUID(), []):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _made.clear()
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the statement that made them.  The setting is the session's: the first of several threads sets it, the last one restores it."""
+    session = spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, before = _inside.get(session, (0, spark.conf.get(_CLEAN)))
+        _inside[session] = (n + 1, before)
+        spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _inside.pop(session)
+            if n > 1:
+                _inside[session] = (n - 1, before)
+            else:
+                spark.conf.set(_CLEAN, before)
 
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """df written to the shared scratch folder, in folders by the given columns, and read back: the lineage ends there, and its shuffle files go."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _cleaning(spark):
         df.write.partitionBy(*by).parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -213,7 +213,13 @@ def parsed_examples(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_d", doc).withColumn("question", F.when(valid, F.coalesce("_d.question", F.lit(""))).otherwise("")).withColumn("sql", F.when(valid, F.coalesce("_d.sql", F.lit(""))).otherwise(F.col("document"))).drop("_d")
 
 
+def write_store(objects: DataFrame, path: str) -> None:
+    """Writes objects in folders by tenant (db_name), so that a tenant's search reads its own alone."""
+    objects.write.partitionBy("db_name").parquet(path)
+
+
 def tenant(objects: DataFrame, db_name: str | None) -> DataFrame:
+    """The objects of a tenant, of all without one; of a store written by write_store only its folder is read."""
     return objects.where(F.col("db_name") == db_name) if db_name else objects
 
 
@@ -240,3 +246,16 @@ def encode_texts(df: DataFrame, encode: Callable[[list[str]], list[list[float]]]
 
     kind = df.schema["id"].dataType.simpleString()
     return df.select("id", "text").where(F.trim("text") != "").mapInPandas(each, f"id {kind}, embedding array<float>")
+
+
+def text_pairs(pairs: DataFrame, encode: Callable[[list[str]], list[list[float]]], batch_size: int = 20) -> DataFrame:
+    """pairs (left_text, right_text, ...) with similarity, the cosine of the texts' vectors.
+
+    Each distinct text is encoded once, however many pairs hold it, and its vector joined back.
+    A pair with a null or blank text has none.
+    """
+    texts = pairs.select(F.explode(F.array("left_text", "right_text")).alias("text")).distinct()
+    vectors = stored(encode_texts(texts.withColumn("id", F.col("text")), encode, batch_size), "vectors")
+    sides = [vectors.select(F.col("id").alias(f"{side}_text"), F.col("embedding").alias(f"_{side}")) for side in ("left", "right")]
+    out = pairs.join(sides[0], "left_text", "left").join(sides[1], "right_text", "left")
+    return out.withColumn("similarity", cosine_similarity(F.col("_left"), F.col("_right"))).select(*pairs.columns, "similarity")

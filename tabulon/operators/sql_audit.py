@@ -75,8 +75,29 @@ def plan_warnings(plan: Column, sql: Column, rows: int = 100_000) -> Column:
     ))
 
 
-def spark_plan_warnings(plan: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(plan.contains(x), F.lit(x)) for x in ("CartesianProduct", "BroadcastNestedLoopJoin")]))
+def plan_text(spark: SparkSession, sql: str) -> str:
+    """The optimised plan of a statement with its estimates, and the physical one, without running it."""
+    return "".join(r[0] for mode in ("COST", "FORMATTED") for r in spark.sql(f"EXPLAIN {mode} {sql}").collect())
+
+
+def plan_estimate(plan: Column) -> tuple[Column, Column]:
+    """(rows, bytes) that the optimiser expects at the top of a plan_text; null where it does not say."""
+    size = F.regexp_extract(plan, r"Statistics\(sizeInBytes=([0-9.]+) ([KMGTPE]?i?B)", 1).try_cast("double")
+    unit = F.regexp_extract(plan, r"Statistics\(sizeInBytes=[0-9.]+ ([KMGTPE]?)i?B", 1)
+    rows = F.regexp_extract(plan, r"Statistics\([^)]*rowCount=([0-9.E+]+)", 1).try_cast("double")
+    return rows, size * F.pow(F.lit(1024.0), F.instr(F.lit("KMGTPE"), unit) * (unit != "").cast("int"))
+
+
+def spark_plan_warnings(plan: Column, rows: int = 100_000) -> Column:
+    """Of a plan_text: joins over all pairs, scans that no partition filter narrows, and an estimate of over `rows` rows."""
+    pairs = F.when(plan.rlike("CartesianProduct|BroadcastNestedLoopJoin"), F.lit("loop over pairs"))
+    # A scan's block ends with a blank line; its location is in brackets.
+    scans = F.regexp_extract_all(plan, F.lit(r"(?s)\n\(\d+\) Scan [^\n]+\n((?:[^\n]+\n)+)"), F.lit(1))
+    whole = F.filter(scans, lambda x: ~x.rlike("PartitionFilters: \\[[^\\]]"))
+    named = F.transform(whole, lambda x: F.concat(F.lit("scan of "), F.regexp_extract(x, r"Location: \w+ ?\[([^\],]*)", 1)))
+    estimate, _ = plan_estimate(plan)
+    many = F.when(estimate > rows, F.concat(F.lit("about "), estimate.cast("bigint"), F.lit(" rows")))
+    return F.array_compact(F.concat(F.array(pairs), F.array_distinct(named), F.array(many)))
 
 
 def tables_used(sql: Column) -> Column:
@@ -197,7 +218,7 @@ def explain_error(spark: SparkSession, sql: str) -> str | None:
     # EXPLAIN prints an analysis error in place of a plan.
     lines = [line for line in text.splitlines() if line.strip() and not line.startswith("==")]
     failed = text.startswith("Error occurred") or (lines and re.match(r"[\w.]*Exception|\[[A-Z_]+", lines[0]))
-    return " ".join(lines)[:500] if failed else None
+    return " ".join(lines) if failed else None
 
 
 def execute(spark: SparkSession, sql: str, timeout: float = 30.0, most: int = 0, pool: str | None = None) -> dict:
@@ -214,8 +235,8 @@ def execute(spark: SparkSession, sql: str, timeout: float = 30.0, most: int = 0,
     timer = Timer(timeout, lambda: spark.sparkContext.cancelJobsWithTag(tag))
     timer.start()
     spark.sparkContext.addJobTag(tag)
-    if pool:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+    before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool or before)
     try:
         df = spark.sql(sql)
         row |= {"columns": df.columns, "row_count": df.count(), "rows": [r[0] for r in df.limit(most).select(F.to_json(F.struct("*"))).collect()] if most else []}
@@ -224,6 +245,8 @@ def execute(spark: SparkSession, sql: str, timeout: float = 30.0, most: int = 0,
         row["error"] = str(e).splitlines()[0]
     finally:
         spark.sparkContext.removeJobTag(tag)
+        # Workers are used again: the next statement's pool is its own.
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)
         timer.cancel()
     return row | {"execution_time_ms": (time.time() - began) * 1000}
 
@@ -241,6 +264,33 @@ def execute_all(spark: SparkSession, statements: list[str], done: set[str] = fro
     return spark.createDataFrame(rows, "sql string, success boolean, columns array<string>, row_count bigint, rows array<string>, error string, began_ms double, execution_time_ms double")
 
 
+_LOG = "sql string, success boolean, columns array<string>, row_count bigint, rows array<string>, error string, began_ms double, execution_time_ms double, run string"
+
+
+def logged(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a log that `resume` writes; none if it is not there yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(_LOG).parquet(path) if there else spark.createDataFrame([], _LOG)
+
+
+def resume(spark: SparkSession, statements: list[str], path: str, workers: int = 3, again: bool = False, **options) -> int:
+    """Executes the statements that the log at `path` does not have, and adds their rows to it; how many they were.
+
+    Rows are written a group of `workers` statements at a time, so a run that dies loses one group at
+    most and the next one goes on behind it.  With `again`, statements that failed are tried once more.
+    Pools share executors only under spark.scheduler.mode FAIR, which is set when Spark starts.
+    """
+    done = logged(spark, path).where("success" if again else "true")
+    asked = spark.createDataFrame([(i, s) for i, s in enumerate(dict.fromkeys(statements))], "place int, sql string")
+    todo = [r.sql for r in pending(asked, done).orderBy("place").collect()]
+    run = f"{time.time():017.6f}"
+    for a in range(0, len(todo), workers):
+        rows = execute_all(spark, todo[a : a + workers], workers=workers, **options)
+        rows.withColumn("run", F.lit(run)).coalesce(1).write.mode("append").parquet(path)
+    return len(todo)
+
+
 def parallelism(log: DataFrame) -> DataFrame:
     """(most): how many statements of a log (began_ms, execution_time_ms) ran at the same time at most."""
     edges = F.array(F.struct(F.col("began_ms").alias("at"), F.lit(1).alias("step")), F.struct((F.col("began_ms") + F.col("execution_time_ms")).alias("at"), F.lit(-1).alias("step")))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ..operators import candidates as C
 from ..operators import join_graph as J
 from ..operators import rollups as R
-from ..operators.iteration import stored
+from ..operators.iteration import scratch, stored
+from ..sources import keyed as K
 from ..sources import tables as T
 from ..sources.tables import table
 from .registry import query
@@ -376,6 +377,16 @@ def i_upsert(spark, d):
     return T.upsert(c.select("c_custkey", "c_mktsegment", "c_acctbal"), new, ["c_custkey"])
 
 
+@query("""SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS c_acctbal FROM customer""")
+def i_keyed(spark, d):
+    """Three runs into a keyed table: all customers, every third of nations below 10, then that of the others; only their buckets are rewritten."""
+    folder, c = scratch(spark, "customers"), table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal").withColumn("bucket", K.bucket(["c_nationkey"], 8))
+    new = c.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("NEW")).withColumn("c_acctbal", F.lit(None).cast("double"))
+    for rows in (c, new.where("c_nationkey < 10"), new.where("c_nationkey >= 10").unionByName(new.where("c_nationkey >= 10"))):
+        K.upsert(folder, rows, ["c_custkey", "c_nationkey"], "bucket")
+    return K.read(spark, folder).drop("bucket")
+
+
 @query("""SELECT * FROM (VALUES (1, 'o_orderkey', 'bigint'), (2, 'o_custkey', 'bigint'), (3, 'o_orderstatus', 'string'), (4, 'o_totalprice', 'double'), (5, 'o_orderdate', 'timestamp'), (6, 'o_orderpriority', 'string')) t(ordinal, column_name, data_type), (SELECT count(*) AS row_count FROM orders)""")
 def i_describe(spark, d):
     o = table(spark, d, "orders")

@@ -1,11 +1,14 @@
 """Queries of conversations, SQL audits and operational tables."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import conversations as C
 from ..operators import operations as O
 from ..operators import sql_audit as S
+from ..operators.iteration import scratch, stored
 from ..sources.tables import table
 from .registry import query
 
@@ -98,6 +101,34 @@ def s_turn_rows(spark, d):
     return C.turn_rows(e).select("thread_id", "query_id", "event_id")
 
 
+def _event_turns(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("thread_id"), F.col("event_type").alias("query_id"), "event_id", F.col("props").alias("question"), F.lit("a").alias("answer"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+
+
+@query("""WITH one AS (SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events WHERE event_id % 3 <> 0 GROUP BY ALL), two AS (SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events WHERE event_id % 3 <> 1 GROUP BY ALL)
+    SELECT user_id AS thread_id, event_type AS query_id, CASE WHEN one.ts IS NULL OR two.ts >= one.ts THEN two.event_id ELSE one.event_id END AS event_id, coalesce(one.ts, two.ts) AS created_at, greatest(one.ts, two.ts) AS updated_at,
+        strftime(coalesce(one.ts, two.ts), '%Y-%m-%d') AS day FROM one FULL JOIN two USING (user_id, event_type)""")
+def s_upserted_turns(spark, d):
+    """Two runs whose keys overlap, into one table."""
+    folder, turns = scratch(spark, "turns"), _event_turns(spark, d)
+    for part in ("event_id % 3 <> 0", "event_id % 3 <> 1"):
+        C.write_turns(turns.where(part), folder)
+    return C.stored_turns(spark, folder).select("thread_id", "query_id", "event_id", "created_at", "updated_at", F.col("day").cast("string").alias("day"))
+
+
+@query("""WITH t AS (SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events GROUP BY ALL)
+    SELECT user_id AS thread_id, event_type AS query_id, event_id FROM t WHERE ts >= (SELECT date_trunc('day', quantile_disc(ts, 0.5)) + INTERVAL 10 HOUR FROM t)""")
+def s_retention(spark, d):
+    """Days before the middle one go, and the morning of that day."""
+    folder = scratch(spark, "turns")
+    C.write_turns(_event_turns(spark, d), folder)
+    turns = C.stored_turns(spark, folder)
+    n = turns.count()
+    middle = turns.groupBy("created_at").count().withColumn("run", F.sum("count").over(Window.orderBy("created_at"))).where(F.col("run") >= F.ceil(F.lit(n * 0.5))).agg(F.date_trunc("day", F.min("created_at")).alias("at")).select(F.date_format("at", "yyyy-MM-dd")).first()[0]
+    C.retain(spark, folder, datetime.fromisoformat(middle) + timedelta(days=90, hours=10), 90)
+    return C.stored_turns(spark, folder).select("thread_id", "query_id", "event_id")
+
+
 @query("SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90) AND ts >= TIMESTAMP '2024-01-20' GROUP BY 1")
 def s_succeeded_retained(spark, d):
     e = table(spark, d, "events").withColumn("query_id", F.col("user_id")).withColumn("created_at", F.col("ts"))
@@ -212,6 +243,35 @@ def q_execution_log(spark, d):
     return S.execute_all(spark, [f"SELECT * FROM {n}" for n in names])
 
 
+def _views(spark, d, *names):
+    for n in names:
+        table(spark, d, n).createOrReplaceTempView(n)
+
+
+@query("""SELECT 'SELECT * FROM lineitem' AS sql, true AS success, count(*) AS row_count, 1 AS runs FROM lineitem UNION ALL SELECT 'SELECT * FROM orders WHERE o_custkey % 2 = 0', true, count(*), 1 FROM orders WHERE o_custkey % 2 = 0
+    UNION ALL SELECT 'SELECT no_column FROM orders', false, 0, 1 UNION ALL SELECT 'SELECT DISTINCT c_nationkey FROM customer', true, count(DISTINCT c_nationkey), 2 FROM customer""")
+def q_resumed(spark, d):
+    """Two runs into one log: the second executes only the statement that the first did not have."""
+    _views(spark, d, "lineitem", "orders", "customer")
+    asked, log = ["SELECT * FROM lineitem", "SELECT * FROM orders WHERE o_custkey % 2 = 0", "SELECT no_column FROM orders"], scratch(spark, "log")
+    S.resume(spark, asked, log, pool="audit")
+    S.resume(spark, [*asked, "SELECT DISTINCT c_nationkey FROM customer"], log)
+    return S.logged(spark, log).select("sql", "success", "row_count", F.dense_rank().over(Window.orderBy("run")).alias("runs"))
+
+
+@query("""SELECT 'SELECT * FROM orders WHERE o_orderkey % 7 = 5' AS sql, 'scan of orders' AS warnings, count(*) AS row_count FROM orders WHERE o_orderkey % 7 = 5 UNION ALL SELECT 'SELECT DISTINCT l_partkey FROM lineitem', 'scan of lineitem', count(DISTINCT l_partkey) FROM lineitem
+    UNION ALL SELECT 'SELECT 1 FROM customer c JOIN supplier s ON c.c_acctbal < s.s_acctbal', 'loop over pairs;scan of customer;scan of supplier', NULL""")
+def q_spark_plans(spark, d):
+    """Statements with what their optimised plans warn of; those that would loop over pairs are not run."""
+    _views(spark, d, "lineitem", "orders", "customer", "supplier")
+    asked = ["SELECT * FROM orders WHERE o_orderkey % 7 = 5", "SELECT DISTINCT l_partkey FROM lineitem", "SELECT 1 FROM customer c JOIN supplier s ON c.c_acctbal < s.s_acctbal"]
+    warned = S.spark_plan_warnings(F.col("plan"), rows=1 << 62)
+    plans = stored(spark.createDataFrame([(q, S.plan_text(spark, q)) for q in asked], "sql string, plan string").withColumn("warnings", warned), "plans")
+    run = S.execute_all(spark, [r.sql for r in plans.where(~F.array_contains("warnings", "loop over pairs")).select("sql").collect()])
+    short = F.transform("warnings", lambda w: F.regexp_replace(w, r"scan of \S*/(\w+)\.parquet", "scan of $1"))
+    return plans.join(run.select("sql", "row_count"), "sql", "left").select("sql", F.array_join(F.array_sort(short), ";").alias("warnings"), "row_count")
+
+
 @query("SELECT count(*) AS total, count(x) AS present, count(*) - count(x) AS missing, count_if(x = '') AS blank FROM (SELECT CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 9 = 1 THEN '' ELSE event_type END AS x FROM events)")
 def o_completeness(spark, d):
     k = F.col("event_id") % 9

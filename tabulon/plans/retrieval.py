@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.iteration import scratch
 from ..sources.tables import table
 from .registry import query
 
@@ -153,3 +154,22 @@ def v_encode(spark, d):
 @query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
 def v_tenant(spark, d):
     return R.tenant(table(spark, d, "events").withColumn("db_name", F.col("event_type")), "click").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SIM}, mine AS (SELECT * FROM pairs WHERE label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, object_id) AS rank FROM mine)
+    SELECT query_id, object_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5""")
+def v_tenant_search(spark, d):
+    """Labels are tenants; one tenant's objects are searched in a store that lies by tenant."""
+    path = scratch(spark, "store")
+    R.write_store(_corpus(spark, d).withColumn("db_name", F.concat(F.lit("db"), "label")), path)
+    return R.top_k(_queries(spark, d), R.tenant(spark.read.parquet(path), "db3"), 5, threshold=-1.0).withColumn("similarity", F.round("similarity", 6))
+
+
+_VOWELS = "list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: CAST(length({0}) - length(replace(lower({0}), c, '')) AS DOUBLE))"
+
+
+@query(f"""WITH v AS (SELECT p_partkey, {_VOWELS.format('p_name')} AS a, {_VOWELS.format('p_type')} AS b FROM part)
+    SELECT p_partkey, round(CASE WHEN list_dot_product(a, a) * list_dot_product(b, b) = 0 THEN 0 ELSE list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) END, 9) AS similarity FROM v""")
+def v_text_pairs(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("left_text"), F.col("p_type").alias("right_text"))
+    return R.text_pairs(p, _letters).select("p_partkey", F.round("similarity", 9).alias("similarity"))
