@@ -45,13 +45,16 @@ def statements(sql: Column) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("open"), F.lit(False).alias("fresh"))
-    tokens = F.regexp_extract_all(F.coalesce(sql, F.lit("")), F.lit(_SHAPE), F.lit(0))
-    return F.aggregate(tokens, start, step, lambda acc: acc["n"] + acc["open"].cast("int"))
+    text = F.coalesce(sql, F.lit(""))
+    folded = F.aggregate(F.regexp_extract_all(text, F.lit(_SHAPE), F.lit(0)), start, step, lambda acc: acc["n"] + acc["open"].cast("int"))
+    # Without a semicolon there is nothing to fold.
+    return F.when(text.contains(";"), folded).otherwise(text.rlike(r"\S").cast("int"))
 
 
 def syntax_errors(sql: Column) -> Column:
-    n = statements(sql)
-    return F.array_compact(F.array(F.when(n == 0, F.lit("no statement")), F.when(n > 1, F.lit("more than one statement"))))
+    said = lambda n: F.array_compact(F.array(F.when(n == 0, F.lit("no statement")), F.when(n > 1, F.lit("more than one statement"))))
+    # A transform of one element, so that the number is computed once.
+    return F.get(F.transform(F.array(statements(sql)), said), F.lit(0))
 
 
 def security_errors(sql: Column) -> Column:
