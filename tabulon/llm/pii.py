@@ -8,7 +8,8 @@ rounds.  A pattern is of the kind of most of its accepted instances; its trust i
 score of its instances, 0 unless `seeds` accepted ones are of its kind.  Base instances are
 accepted; an accepted one scores 1 for patterns of its kind and 0 for others, an unseen one
 `damping` times the trust of its best pattern, and it is accepted, as of that pattern's kind, once that trust
-reaches `confidence`.  So accepted instances give new patterns in the next round.
+reaches `confidence`.  So accepted instances give new patterns in the next round.  Rounds end when no
+instance is newly accepted and no score moves by over SETTLED; `rounds` of them without that are an error.
 Candidates that are accepted become spans.
 
 All expressions are DataFrame functions, and their work is in proportion to a text's length.  The text is
@@ -203,7 +204,11 @@ def _free(seen: DataFrame) -> DataFrame:
     return out.where((F.col("no") >= 0) | clear).drop("reach", "next")
 
 
-def discovered(rows: DataFrame, rounds: int = 10, seeds: int = 3, confidence: float = 0.75, damping: float = 0.7) -> DataFrame:
+#: The scores are settled when no instance is newly accepted and none moves by more than this.
+SETTLED = 1e-3
+
+
+def discovered(rows: DataFrame, rounds: int = 200, seeds: int = 3, confidence: float = 0.75, damping: float = 0.7) -> DataFrame:
     """(row, more): spans (no, start, end) of the accepted candidates, from scanned rows."""
     seen = stored(_free(rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")), "seen")
     words = {"l": (F.col("left"), r"(\S+)$"), "r": (F.col("right"), r"^(\S+)")}
@@ -215,7 +220,6 @@ def discovered(rows: DataFrame, rounds: int = 10, seeds: int = 3, confidence: fl
     graph = stored(edges.join(wide, "p"), "graph")
     # kind: of base instances at first, of accepted ones later; null where an instance is not accepted.
     scores = stored(graph.groupBy("value").agg(F.max("no").alias("no")).select("value", F.when(F.col("no") >= 0, F.col("no")).alias("kind"), F.when(F.col("no") >= 0, 1.0).otherwise(0.0).alias("score")), "scores")
-    before = None
     for _ in range(rounds):
         votes = graph.select("p", "value").join(scores, "value").groupBy("p", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
         known = F.col("kind").isNotNull()
@@ -226,11 +230,14 @@ def discovered(rows: DataFrame, rounds: int = 10, seeds: int = 3, confidence: fl
         best = graph.select("p", "value").join(trust, "p").groupBy("value").agg(F.max("t").alias("t"))
         new = F.when(F.col("kind").isNotNull(), F.struct("kind", "score")).when(F.col("t.trust") >= confidence, F.struct(F.col("t.of").alias("kind"), F.lit(1.0).alias("score")))
         new = new.otherwise(F.struct(F.lit(None).cast("int").alias("kind"), F.coalesce(damping * F.col("t.trust"), F.lit(0.0)).alias("score")))
-        scores = stored(scores.join(best, "value", "left").select("value", new.alias("s")).select("value", "s.kind", "s.score"), "scores")
-        now = scores.agg(F.count("kind"), F.round(F.sum("score"), 2)).first()
-        if now == before:
+        moved = ~F.col("s.kind").eqNullSafe(F.col("kind")) | (F.abs(F.col("s.score") - F.col("score")) > SETTLED)
+        new = scores.join(best, "value", "left").select("value", "kind", "score", new.alias("s")).select("value", "s.kind", "s.score", moved.alias("moved"))
+        scores = stored(new, "scores")
+        if scores.where("moved").isEmpty():
             break
-        before = now
+        scores = scores.drop("moved")
+    else:
+        raise RuntimeError(f"the scores of patterns and instances still move after {rounds} rounds")
     fresh = scores.where("kind is not null").select("value", "kind")
     return seen.where("no < 0").join(fresh, "value").groupBy("row").agg(F.collect_list(F.struct(F.col("kind").alias("no"), "start", "end")).alias("more"))
 
@@ -240,7 +247,7 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["no"]), x["start"], x["end"])), ",")
 
 
-def find_pii(docs: DataFrame, rounds: int = 10, seeds: int = 3, confidence: float = 0.75, damping: float = 0.7) -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int = 200, seeds: int = 3, confidence: float = 0.75, damping: float = 0.7) -> DataFrame:
     """doc_id, base and spans (arrays of (no, start, end), no: place in KINDS), and their digests as strings."""
     rows = stored(scanned(docs), "pii")
     out = rows.join(discovered(rows, rounds, seeds, confidence, damping), "row", "left")

@@ -240,6 +240,24 @@ def test_pii_two_generations(spark):
     assert got[60] == "phone:13:26" and got[61] == ""
 
 
+def test_pii_fifteen_generations(spark):
+    """Each generation stands beside the last in one context and beside the next in another; none is the last that counts."""
+    words = lambda g: [f"{w}{chr(97 + g)}" for w in ("left", "near", "right", "far")]
+    said = lambda g, x: " ".join([*words(g)[:2], x, *words(g)[2:]])
+    rows = [(i, said(0, f"+1 555 000 10{i}2")) for i in range(5)]
+    value = lambda g, i: f"0{g + 10}-{i}1234{i}"
+    rows += [(100 + 20 * g + 2 * i + k, said(g + k, value(g, i))) for g in range(15) for i in range(5) for k in range(2)]
+    got = {r.doc_id: r.spans_digest for r in pii.find_pii(frame(spark, rows), confidence=0.5).collect()}
+    texts = dict(rows)
+    for g in range(15):
+        for i in range(5):
+            for k in range(2):
+                at = texts[100 + 20 * g + 2 * i + k].index(value(g, i))
+                assert got[100 + 20 * g + 2 * i + k] == f"phone:{at}:{at + len(value(g, i))}", (g, i)
+    with pytest.raises(RuntimeError, match="still move"):
+        pii.find_pii(frame(spark, rows), confidence=0.5, rounds=5)
+
+
 def test_pii_beside_base_spans_and_in_long_texts(spark):
     seeds = [(i, f"call desk number +1 555 000 10{i}2 at noon") for i in range(6)]
     n = 20_000
