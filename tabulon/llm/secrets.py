@@ -4,8 +4,11 @@ The lexer reads a text once from left to right.  It passes over comments, keeps
 whole (single, double, back-quoted and triple ones) and takes pairs of a name and a value from:
 names, quoted keys and subscripts before an assignment sign (=, :, :=, =>), also with a type
 in between; elements `<name>value</name>`; calls whose first two arguments are
-strings; `name: N` beside `value: V`; and YAML block scalars.  A value is a literal, several that are joined (+,
-. or next to each other), or a bare run, which may be the name of a constant.  Constants
+strings, or a string and a named argument; `name: N` beside `value: V`; and YAML block scalars; names and
+values of a tuple go by their places.  A value is a literal, several that are joined (+,
+. or next to each other), or a bare run, which may be the name of a constant; of alternatives (or, ||, ??, a condition's
+two values) each counts.  Calls, subscripts and paths of plain words are expressions and no literals; of
+a formatted string what stands between its braces is none.  Constants
 are resolved over all of a document's pairs, so that `password = a` leads to
 the literal of a, wherever `a = "..."` stands.  A literal's score is the
 sensitivity of the target's name times the quality of the literal (length, entropy, no
@@ -50,6 +53,20 @@ _STRINGS = {
 _PREFIX = re.compile(r"(?i)(?:[rbfu]{1,2})?(?=[\"'`])")
 _BARE = re.compile(r"""(?:(?i:bearer|basic)[ \t]+)?([^\s,;"'`()\[\]{}<>=]+(?:={1,2}(?![^\s,;"'`()\[\]{}<>]))?)""")
 _PLUS = re.compile(r"\s*\+\s*|[ \t]*\.\.?[ \t]*(?=[\"'])")
+#: What parts alternatives: `a or "b"`, and a condition's two values.
+_OR = re.compile(r"[ \t]*(?:\bor\b|\|\||\?\?)[ \t]*")
+_ASK, _ELSE = re.compile(r"[ \t]*\?[ \t]*(?![.?:])"), re.compile(r"[ \t]*:[ \t]*")
+_SUBSCRIPT = re.compile(r"(?:\[[^\[\]\n]*+\])+")
+#: A path of plain words, as in settings.db.password, is no literal.
+_PATH = re.compile(r"[A-Za-z_]+(?:(?:\.|->|::)[A-Za-z_]+)+$")
+_FILLED = re.compile(r"\{[^{}\n]*+\}")
+#: Names before a type without a colon, as in Go's `var name string =`.
+_DECLARED = re.compile(r"(?:^|\s)(?:var|const|let|static|final)[ \t]+([A-Za-z_]\w*+)[ \t]+[\w.\[\]*]++[ \t]*$")
+#: Names that are assigned together, but for the last one.
+_TUPLE = re.compile(r"(?:^|[\n;])[ \t]*+((?:[A-Za-z_][\w.]*+[ \t]*+,[ \t]*+)++)[A-Za-z_][\w.]*+[ \t]*$")
+#: So far back names of a tuple are looked for.
+_BACK = 200
+_COMMA = re.compile(r"[ \t]*,[ \t]*")
 _BESIDE = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?=[\"'])")
 _BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*(?:#[^\n]*)?\n")
 _ARMOUR = re.compile(r"-----[^\n]*-----$")
@@ -97,6 +114,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 Value = tuple[str, int, int, bool]
 
 
+def _apart(at: int) -> Value:
+    """Stands between pieces of a value that are not joined."""
+    return "", at, at, True
+
+
 class _Lexer:
     """The name-value pairs of one text."""
 
@@ -120,14 +142,20 @@ class _Lexer:
             self.dead[quote] = end if end >= 0 else len(self.text)
         return found
 
-    def literal(self, at: int) -> tuple[Value, int] | None:
-        """The string at `at`, past a prefix, and where it ends."""
-        at = m.end() if (m := _PREFIX.match(self.text, at)) else at
+    def literal(self, at: int) -> tuple[list[Value], int] | None:
+        """The pieces of the string at `at`, past a prefix, and where it ends: one, or those between what a formatted string fills in."""
+        prefix, at = (m[0], m.end()) if (m := _PREFIX.match(self.text, at)) else ("", at)
         if at >= len(self.text) or self.text[at] not in "\"'`":
             return None
         quote = self.text[at] * 3 if self.text.startswith(self.text[at] * 3, at) and self.text[at] != "`" else self.text[at]
         m = self.string(at, quote)
-        return ((m[1], m.start(1), m.end(1), False), m.end()) if m else None
+        if not m:
+            return None
+        pieces, first = [], m.start(1)
+        for hole in _FILLED.finditer(self.text, m.start(1), m.end(1)) if "f" in prefix.lower() or quote == "`" else ():
+            pieces += [(self.text[first : hole.start()], first, hole.start(), False), _apart(hole.start())]
+            first = hole.end()
+        return [*pieces, (self.text[first : m.end(1)], first, m.end(1), False)], m.end()
 
     def value(self, at: int) -> tuple[list[Value], int]:
         """The pieces of the value at `at`, and where it ends."""
@@ -138,21 +166,60 @@ class _Lexer:
                 at += 1
         while True:
             if found := self.literal(at):
-                pieces.append(found[0])
+                pieces += found[0]
                 at = found[1]
             elif m := _BARE.match(self.text, at):
                 whole = m[1].rstrip(".:") or m[1]
                 if pieces and not whole[0].isalpha() and whole[0] != "_":
                     return pieces, at
-                pieces.append((whole, m.start(1), m.start(1) + len(whole), True))
                 at = m.start(1) + len(whole)
+                if self.text.startswith("(", at):
+                    # A call: its arguments are read on their own.
+                    return pieces, at
+                subscript = _SUBSCRIPT.match(self.text, at)
+                # What is looked up is no literal, nor is a condition.
+                if subscript or _PATH.match(whole):
+                    pieces.append(_apart(at))
+                    at = subscript.end() if subscript else at
+                else:
+                    pieces.append((whole, m.start(1), at, True))
+                if ask := _ASK.match(self.text, at):
+                    first, end = self.one(ask.end())
+                    if first and (other := _ELSE.match(self.text, end)):
+                        last, end = self.one(other.end())
+                        return [*pieces[:-1], *first, _apart(end), *last], end
             else:
                 return pieces, at
+            if other := _OR.match(self.text, at):
+                pieces.append(_apart(at))
+                at = other.end()
+                continue
             joiner = _PLUS.match(self.text, at) or (not pieces[-1][3] and _BESIDE.match(self.text, at)) or None
             if not joiner:
                 return pieces, at
             at = joiner.end()
 
+    def placed(self, start: int, name: str, at: int) -> tuple[list[tuple[str, list[Value]]], int] | None:
+        """Names and values by their places, of `a, b = x, y` whose sign is at `start`; nothing if there are not as many."""
+        m = _TUPLE.search(self.text[max(0, start - _BACK) : start])
+        if not m:
+            return None
+        out = []
+        for other in (*re.findall(r"[A-Za-z_][\w.]*", m[1]), name):
+            pieces, at = self.value(at)
+            out.append((other, pieces))
+            if not (comma := _COMMA.match(self.text, at)):
+                break
+            at = comma.end()
+        return (out, at) if len(out) == m[1].count(",") + 1 and all(p for _, p in out) else None
+
+    def one(self, at: int) -> tuple[list[Value], int]:
+        """The literal or bare run at `at`, and where it ends."""
+        if found := self.literal(at):
+            return found
+        m = _BARE.match(self.text, at)
+        return ([(m[1], m.start(1), m.end(1), True)], m.end(1)) if m else ([], at)
+
     def scalar(self, name_at: int, at: int) -> tuple[list[Value], int]:
         """A YAML block scalar whose lines start at `at`: those indented deeper than the line of the name."""
         line = self.text.rfind("\n", 0, name_at) + 1
@@ -220,11 +287,16 @@ class _Lexer:
                     self.add(m[5], [(inner, first, first + len(inner), False)])
                 key, call = None, 0
             elif kind == "sign":
-                call = 0
+                # A named argument after a first string, as in getenv("NAME", default="...").
+                asked, call = (argument if call == 3 else ""), 0
                 quoted = key and not text[key[1] : start].strip(" \t]")
-                name = key[0] if quoted else (n[1] if (n := _NAME.search(gap)) else None)
+                name = key[0] if quoted else (n[1] if (n := _DECLARED.search(gap) or _NAME.search(gap)) else None)
                 key = None
-                if name:
+                if name and not quoted and "=" in m["sign"] and text.startswith(",", before - 1) and (several := self.placed(start, name, at)):
+                    for other, pieces in several[0]:
+                        self.add(other, pieces)
+                    at = max(at, several[1])
+                elif name:
                     if m["sign"] == ":" and (typed := _TYPE.match(text, at)):
                         at = typed.end()
                     if m["sign"] == ":" and (block := _BLOCK.match(text, at)):
@@ -239,6 +311,8 @@ class _Lexer:
                             continue
                         at = max(at, end)
                     self.add(name, pieces)
+                    if asked:
+                        self.add(asked, pieces)
             elif kind == "mark":
                 if m[0] == "(":
                     call = 1

@@ -268,6 +268,37 @@ def test_pii_beside_base_spans_and_in_long_texts(spark):
     assert got[103].spans_digest == "ip:25:33,phone:12:24"
 
 
+SECRET = "Zx81kfLm29qPv"
+
+
+@pytest.mark.parametrize("text", [
+    f'pwd = os.environ.get("DB_PWD", "{SECRET}")', f'pwd = os.environ["X"] or "{SECRET}"', f'getenv("DB_PWD", default="{SECRET}")', f'var dbPwd string = "{SECRET}"', f'user, pwd = "bobbob", "{SECRET}"',
+    f'pwd = debug ? other : "{SECRET}"', f'pwd = a || "{SECRET}"', f'pwd = x ? "{SECRET}" : y', f'f(x,\n  a, pwd="{SECRET}")', f'login(user, pwd="{SECRET}")', f'a = "{SECRET}"\npwd = cfg["a"] or a',
+])
+def test_secret_forms_of_expressions(text):
+    at = text.index(SECRET)
+    assert secrets.lexed_spans(text) == [(at, at + len(SECRET), 0)]
+
+
+@pytest.mark.parametrize("text", [
+    'pwd = os.environ.get("DB_PWD")', 'pwd = os.environ["DB_PWD_NAME"]', "pwd = config.database.password", "pwd = getPassword(user_name_here)", 'pwd = f"{userNameHere}{passWordHere}"', "secret_pwd = self.settings.db_password",
+    "password: Optional[str] = None", 'pwd = vault.read("secret/data/Db1")["data"]["password"]', "auth = HttpBasicAuthentication(userName)", "const pwd = process.env.DB_PASSWORD", 'pwd = kwargs["PassWord123"]',
+    'passphrase = await prompt("Enter passphrase")', "pwd = user.password || config.password", 'let auth = req.headers["Authorization9"]', "db_pwd = cfg->passwords->primary", f'user, pwd = "{SECRET}", load(pwd)',
+])
+def test_expressions_are_no_secrets(text):
+    assert secrets.lexed_spans(text) == []
+
+
+def test_lexing_of_expressions_is_linear():
+    for piece in ("pwd = a, ", "a,b,", 'pwd = x["', "pwd = a.b.c or ", 'pwd = f"{a}{b}', "pwd = (a ? b : "):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            secrets.lexed_spans(piece * n + "pwd = x")
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 0.5, piece
+
+
 def test_pii_and_secret_queries(spark, tmp_path):
     from tabulon.llm import queries
 
