@@ -211,7 +211,9 @@ class _Lexer:
             if not (comma := _COMMA.match(self.text, at)):
                 break
             at = comma.end()
-        return (out, at) if len(out) == m[1].count(",") + 1 and all(p for _, p in out) else None
+        # The last value may be a call.
+        whole = all(p for _, p in out[:-1]) and (out[-1][1] or self.text.startswith("(", at))
+        return (out, at) if len(out) == m[1].count(",") + 1 and whole else None
 
     def one(self, at: int) -> tuple[list[Value], int]:
         """The literal or bare run at `at`, and where it ends."""
