@@ -18,7 +18,9 @@ Sets of distinct word shingles link when |A & B| / |A | B| >= threshold.  The st
 5. Entries of up to FREQUENT nodes that still hold several components are joined with themselves.
    In larger ones every node is written as its difference from the hub.  Two nodes of
    which one is not linked with the hub can only link if they share many of their
-   differences: the same index, now of differences, finds those that may.
+   differences: the same index, now of differences, finds those that may.  Differences that
+   the same nodes have count as one of their number's weight, so combinations are of different
+   passages, and entries that stay large get a hub of their own and are indexed again.
 6. Every pair is verified on whole shingle sets; components follow from the links.
 
 Defined results: null, empty and blank texts have n_shingles 0 and only themselves as
@@ -29,8 +31,10 @@ Repeated rows stay repeated.  Only doc_id and text are read, so other columns ne
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -44,6 +48,12 @@ from .common import PLACE, components, mix, slices, stored
 COUNTED = 5
 #: Counts over this make a shingle frequent.
 FREQUENT = 64
+#: A hub's nodes that have under 2**WHOLE classes of shingles each form combinations of all of a frequency class.
+WHOLE = 4
+#: Differences from a hub that are within nh / BANDS of each other are indexed with one bound.
+BANDS = 16
+#: A large entry of differences with under 1/SHRINK of its group's nodes gets a hub of its own, a larger one is joined with itself.
+SHRINK = 4
 
 
 def _shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -129,16 +139,20 @@ def _order(count: int) -> int:
     return k
 
 
-def _combined(h: list[int], c: list[int], need: int, level: int) -> list[int]:
-    """Entries of frequent shingles in order of frequency that count as `need`: see step 3 of the module's text."""
+def _combined(h: list[int], c: list[int], v: list[int], need: int, level: int) -> list[int]:
+    """Entries of frequent shingles in order of frequency that count as `need`: see step 3 of the module's text.
+
+    A shingle of weight v stands for v shingles; of those of a part the k - 1 heaviest do not count.
+    """
     out = []
     orders = [_order(x) for x in c]
     for less in range(max(orders, default=0)):
-        cover, held = 0, {}
-        for x, order in zip(h, orders, strict=True):
+        cover, held, spare = 0, {}, {}
+        for x, order, weight in zip(h, orders, v, strict=True):
             k = max(1, order - less)
-            parts = max(1, round(0.75 * 2**level / (k + 2)))
-            mates = held.setdefault((order, (x >> 8) % parts), [])
+            parts = 1 if level <= WHOLE else max(1, round(0.75 * 2**level / (k + 2)))
+            part = order, (x >> 8) % parts
+            mates, heavy = held.setdefault(part, []), spare.setdefault(part, [])
             if k == 1:
                 out.append(x)
             for group in combinations(mates, k - 1) if k > 1 else ():
@@ -147,23 +161,26 @@ def _combined(h: list[int], c: list[int], need: int, level: int) -> list[int]:
                     entry = (entry * int(PLACE[1]) + (y & (2**64 - 1))) * int(PLACE[2]) % 2**64
                     entry ^= entry >> 29
                 out.append(entry)
-            cover += len(mates) >= k - 1
+            heapq.heappush(heavy, weight)
+            cover += heapq.heappop(heavy) if len(heavy) > k - 1 else 0
             mates.append(x)
             if cover >= need:
                 return out
     return out
 
 
-def _entries(h: np.ndarray, c: np.ndarray, need: int, levels: set[int]) -> np.ndarray:
-    """Distinct index entries of shared shingles h with counts c, of which a linked partner has all but need - 1."""
+def _entries(h: np.ndarray, c: np.ndarray, v: np.ndarray, need: int, levels: set[int]) -> np.ndarray:
+    """Distinct index entries of shared shingles h with counts c and weights v, of which a linked partner lacks less than need."""
     if need <= 0:
         return np.zeros(0, dtype=np.int64)
     order = np.lexsort((h, c))
-    h, c = h[order], c[order]
+    h, c, v = h[order], c[order], v[order]
     rare = int(np.searchsorted(c, FREQUENT, side="right"))
-    if rare >= need:
-        return h[:need]
-    found = {x % 2**64 for level in levels for x in _combined(h[rare:].tolist(), c[rare:].tolist(), need - rare, level)}
+    cover = np.cumsum(v[:rare])
+    if rare and cover[-1] >= need:
+        return h[: int(np.searchsorted(cover, need)) + 1]
+    left = need - (int(cover[-1]) if rare else 0)
+    found = {x % 2**64 for level in levels for x in _combined(h[rare:].tolist(), c[rare:].tolist(), v[rare:].tolist(), left, level)}
     return np.concatenate((h[:rare], np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64)))
 
 
@@ -182,7 +199,9 @@ def _indexed(batch_of, kind: str):
                 if pairs is None:
                     found.append(np.zeros(0, dtype=np.int64))
                 else:
-                    found.append(_entries(pairs.field("h").to_numpy(zero_copy_only=False), pairs.field("c").to_numpy(zero_copy_only=False), *batch_of([x[i].as_py() for x in rest])))
+                    h, c = (pairs.field(x).to_numpy(zero_copy_only=False) for x in "hc")
+                    v = pairs.field("v").to_numpy(zero_copy_only=False) if pairs.type.num_fields > 2 else np.ones(len(h), dtype=np.int64)
+                    found.append(_entries(h, c, v, *batch_of([x[i].as_py() for x in rest])))
                 held += len(found[-1])
                 if held > 1 << 20 or i == batch.num_rows - 1:
                     at = pa.array(np.repeat(np.arange(i + 1 - len(found), i + 1), [len(x) for x in found]))
@@ -204,13 +223,31 @@ def index_entries(nodes: DataFrame, threshold: Fraction) -> DataFrame:
     return nodes.select("node", "n", "p", "shared", F.col("n").alias("n_"), F.col("p").alias("p_")).mapInArrow(_indexed(need, kind), kind)
 
 
-def counted(rows: DataFrame, keys: list[str], toks: str, within: list[str], name: str) -> DataFrame:
-    """rows with shared: the (c, h) of their tokens that occur in c > 1 rows with the same `within`, null without any."""
-    flat = rows.select(*keys, F.explode(toks).alias("h"))
-    # Written, so that either side of the join has a shuffle of its own and a hot token's partition can be split.
-    often = stored(flat.groupBy(*within, "h").agg(F.count("*").cast("int").alias("c")).where("c > 1"), f"{name}-often")
-    shared = flat.join(often, [*within, "h"]).groupBy(*keys).agg(F.collect_list(F.struct("c", "h")).alias("shared"))
-    return rows.join(shared, keys, "left")
+def counted(sets: DataFrame) -> DataFrame:
+    """sets (node, n, toks) with shared: the (c, h) of their shingles that occur in c > 1 nodes, null without any."""
+    flat = sets.select("node", F.explode("toks").alias("h"))
+    # Written, so that either side of the join has a shuffle of its own and a hot shingle's partition can be split.
+    often = stored(flat.groupBy("h").agg(F.count("*").cast("int").alias("c")).where("c > 1"), "whole-often")
+    shared = flat.join(often, "h").groupBy("node").agg(F.collect_list(F.struct("c", "h")).alias("shared"))
+    return sets.join(shared, "node", "left")
+
+
+def _marks() -> list[F.Column]:
+    """128 bits of the set of nodes of a group."""
+    return [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"mark{i}") for i in range(2)]
+
+
+def classed(rows: DataFrame) -> DataFrame:
+    """rows (gid, node, .., d) with shared: (c, h, v) of the classes of d's shingles.
+
+    The shingles that the same c > 1 nodes of a group have in d are one class: h is the least of them, v their number.
+    A section that many letters have is one class, however long it is.
+    """
+    flat = rows.select("gid", "node", F.explode("d").alias("h"))
+    often = flat.groupBy("gid", "h").agg(F.count("*").cast("int").alias("c"), *_marks()).where("c > 1")
+    heads = stored(often.groupBy("gid", "c", "mark0", "mark1").agg(F.min("h").alias("h"), F.count("*").cast("int").alias("v")).select("gid", "h", "c", "v"), "classes")
+    shared = flat.join(heads, ["gid", "h"]).groupBy("gid", "node").agg(F.collect_list(F.struct("c", "h", "v")).alias("shared"))
+    return rows.join(shared, ["gid", "node"], "left")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -248,41 +285,58 @@ def open_nodes(rows: DataFrame, docs: DataFrame, k: int, t: Fraction) -> tuple[D
     # Whole sets of the open nodes, from one document of each.
     sets = shingle_sets(docs, k, _bitmap(left)).select("node", "n", "toks").join(left.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = stored(sets, "whole")
-    nodes = counted(sets, ["node"], "toks", [], "whole").select("node", "n", (F.col("n") - F.coalesce(F.size("shared"), F.lit(0))).alias("p"), "shared")
+    nodes = counted(sets).select("node", "n", (F.col("n") - F.coalesce(F.size("shared"), F.lit(0))).alias("p"), "shared")
     return nodes.where(F.col("p") <= lacking), sets
 
 
-def differences(large: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b): pairs that may link among the nodes held against one hub; large: (hub, nh, node, comp).
+def differences(large: DataFrame, sets: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(a, b), pairs that may link among nodes held against a hub, and (gid, hub, node, n, comp), the entries still large.
 
-    With d(x) the shingles in which x and its hub differ, x and y link only if
-    2 (1 + t) |d(x) & d(y)| >= e(x) + e(y), e(x) = (1 + t) |d(x)| - (1 - t) |x|.  x is linked with
+    large: (gid, hub, node, comp), a hub for each gid.  With d(x) the shingles in which x and its hub differ, x and y
+    link if and only if 2 (1 + t) |d(x) & d(y)| >= e(x) + e(y), e(x) = (1 + t) |d(x)| - (1 - t) |x|.  x is linked with
     the hub where e(x) <= (1 - t) |hub|; two such nodes are in one component, so one of a
-    pair has a greater e, the bound is positive, and that of x follows from the least e
-    that a partner may have.
+    pair has a greater e and the bound is positive.  A pair meets in the band of its lesser e, where the least e of
+    the band's own nodes gives the bound.  An entry with over FREQUENT nodes,
+    but under 1/SHRINK of its group's, is a group with a hub of its own.
     """
     num, den = t.numerator, t.denominator
     both, apart = den + num, den - num
-    of = lambda name: sets.select(F.col("node").alias(name), F.col("toks").alias(f"{name}_toks"))
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("n").cast("bigint").alias(f"{name}_n"), F.col("toks").alias(f"{name}_toks"))
     rows = large.join(of("hub"), "hub").join(of("node"), "node")
     d = F.concat(F.array_except("node_toks", "hub_toks"), F.array_except("hub_toks", "node_toks"))
-    rows = stored(rows.select("hub", "nh", "node", "comp", F.size("node_toks").alias("n"), d.alias("d")), "differences")
-    rows = counted(rows, ["hub", "node"], "d", ["hub"], "differences")
-    rows = rows.withColumn("w", F.coalesce(F.size("shared"), F.lit(0))).withColumn("e", both * F.size("d").cast("bigint") - apart * F.col("n"))
-    rows = stored(rows.select("hub", "node", "comp", "w", "e", (apart * F.col("nh")).cast("bigint").alias("edge"), "shared"), "differences")
-    near = (F.col("e") <= F.col("edge")) & (2 * both * F.col("w") - F.col("e") > F.col("edge"))
-    hubs = stored(rows.groupBy("hub").agg(F.min(F.when(near, F.col("e"))).alias("nearest"), F.max("w").alias("widest")), "hubs")
-    partner = F.when(F.col("e") > F.col("edge"), F.coalesce("nearest", F.col("edge") + 1)).otherwise(F.col("edge") + 1)
-    least = F.greatest(F.lit(1), F.ceil((F.col("e") + partner) / (2 * both)))
-    rows = rows.join(hubs, "hub").withColumn("need", (F.col("w") - least + 1).cast("int")).where("need > 0")
-    kind = "hub binary, node binary, comp binary, w int, e bigint, edge bigint, entry bigint"
-    found = rows.select("hub", "node", "comp", "w", "e", "edge", "shared", "need", "widest").mapInArrow(_indexed(lambda r: (r[0], {r[1].bit_length()}), kind), kind)
-    found = stored(found, "differences")
-    x, y = found.alias("x"), found.alias("y")
+    rows = stored(rows.select("gid", "node", "comp", F.col("node_n").alias("n"), F.col("hub_n").alias("nh"), d.alias("d")), "differences")
+    rows = classed(rows).withColumn("w", F.coalesce(F.aggregate("shared", F.lit(0), lambda s, x: s + x["v"]), F.lit(0)))
+    rows = rows.withColumn("e", both * F.size("d").cast("bigint") - apart * F.col("n")).withColumn("edge", apart * F.col("nh"))
+    ratio = F.col("e") / (den * F.col("nh"))
+    rows = rows.withColumn("band", F.floor(BANDS * F.when(ratio <= 4, ratio).otherwise(4 + F.log(ratio / 4)))).withColumn("far", F.col("e") > F.col("edge"))
+    rows = stored(rows.select("gid", "node", "n", "comp", "w", "e", "edge", "band", "far", F.coalesce(F.size("shared"), F.lit(0)).alias("classes"), "shared"), "differences")
+
+    # A group has few bands: even and, for texts far longer than the hub, logarithmic.
+    bands = rows.groupBy("gid", "band").agg(F.min("e").alias("low"), F.max("w").alias("most"), F.max("classes").alias("widest"))
+    bands = bands.groupBy("gid").agg(F.collect_list(F.struct("band", "low", "most")).alias("bands"), F.max("widest").alias("widest"))
+    least = F.greatest(F.lit(1), F.ceil((F.col("e") + F.greatest("at.low", F.when(F.col("far"), F.col("at.low")).otherwise(F.col("edge") + 1))) / (2 * both)))
+    own = F.col("at.band") == F.col("band")
+    met = rows.join(stored(bands, "bands"), "gid").withColumn("at", F.explode("bands")).where(own | (F.col("far") & (F.col("at.band") < F.col("band"))))
+    met = met.withColumn("least", least).where("least <= w and least <= at.most or band = at.band and least <= w")
+    met = met.select("gid", "node", "n", "comp", "w", "e", "edge", F.col("at.band").alias("band"), "shared", (F.col("w") - F.col("least") + 1).cast("int").alias("need"), "widest")
+    kind = "gid binary, node binary, n bigint, comp binary, w int, e bigint, edge bigint, band bigint, entry bigint"
+    found = stored(met.mapInArrow(_indexed(lambda r: (r[0], {r[1].bit_length()}), kind), kind), "differences")
+
+    key = ["gid", "band", "entry"]
+    sizes = rows.groupBy("gid").agg(F.count("*").alias("parent"))
+    several = found.groupBy(*key).agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node"), "node")).getField("node").alias("next"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.col("e") > F.col("edge")).alias("far"), *_marks())
+    several = several.where("lo <> hi and far").groupBy("gid", "m", "mark0", "mark1", "next").agg(F.min(F.struct("band", "entry")).alias("one"))
+    several = stored(several.join(sizes, "gid").select("gid", "one.*", "m", "next", F.expr(f"m > {FREQUENT} and {SHRINK} * m < parent").alias("deeper")), "several")
+    x = found.join(several.where("not deeper").select(*key), key, "left_semi").alias("x")
+    y = found.alias("y")
     # The bound once more for this pair, with what either shares with any other node.
     close = 2 * both * F.least("x.w", "y.w") >= F.col("x.e") + F.col("y.e")
-    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.entry") == F.col("y.entry")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (F.greatest("x.e", "y.e") > F.col("x.edge")) & close)
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in key])
+    pairs = x.join(y, same & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (F.greatest("x.e", "y.e") > F.col("x.edge")) & close)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    name = F.unhex(F.md5(F.concat("gid", F.encode(F.concat_ws(",", "band", "entry"), "utf-8"))))
+    again = found.join(several.where("deeper").select(*key, "next"), key).select(name.alias("gid"), F.col("next").alias("hub"), "node", "n", "comp")
+    return pairs, stored(again, "again")
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, threshold: float | str = "0.8") -> tuple[DataFrame, DataFrame]:
@@ -294,8 +348,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: float | str = "0.8")
     rows = rows.select("doc_id", "node", "n")
 
     # Entries with the same nodes become one.
-    mark = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"mark{i}") for i in range(2)]
-    heads = entries.groupBy("entry").agg(F.min(F.struct("p", "node", "n")).alias("hub"), F.count("*").alias("m"), *mark).where("m > 1")
+    heads = entries.groupBy("entry").agg(F.min(F.struct("p", "node", "n")).alias("hub"), F.count("*").alias("m"), *_marks()).where("m > 1")
     heads = stored(heads.groupBy("m", "mark0", "mark1").agg(F.min(F.struct("entry", "hub")).alias("one")).select("one.*", "m"), "heads")
     groups = stored(entries.join(heads, "entry"), "groups")
     found = None
@@ -308,11 +361,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: float | str = "0.8")
             stars = found.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")) if found else links.limit(0)
             found = stored(components(links.union(stars)), "components")
 
-    def mixed(groups: DataFrame) -> DataFrame:
+    def mixed(groups: DataFrame, key: str = "entry") -> DataFrame:
         """The groups that still hold several components, with the component of each node."""
         labelled = groups.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = stored(labelled.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("entry"), "mixed")
-        return stored(labelled.join(several, "entry", "left_semi"), "mixed")
+        several = stored(labelled.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(key), "mixed")
+        return stored(labelled.join(several, key, "left_semi"), "mixed")
 
     def spokes(groups: DataFrame, hub: str) -> DataFrame:
         to = [F.col(f"{hub}.{c}").alias(f"hub_{c}") for c in ("node", "n", "p")]
@@ -328,8 +381,15 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: float | str = "0.8")
         other = large.join(own, "entry").where("comp <> first").groupBy("entry").agg(F.min(F.struct("p", "node", "n", "comp")).alias("next"))
         linked(spokes(large.join(stored(other, "hubs"), "entry").where("comp <> next.comp"), "next"))
         left = mixed(left.drop("comp"))
-        large = left.where(F.col("m") > FREQUENT).select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("nh"), "node", "comp").where("node <> hub").distinct()
-        linked(differences(large, sets, t))
+        large = left.where(F.col("m") > FREQUENT).select(F.col("hub.node").alias("gid"), F.col("hub.node").alias("hub"), "node", "comp").where("node <> hub").distinct()
+        while not large.isEmpty():
+            pairs, again = differences(large, sets, t)
+            linked(pairs)
+            if again.isEmpty():
+                break
+            again = again.where("node <> hub")
+            linked(again.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+            large = mixed(again.drop("comp"), "gid")
     small = left.where(F.col("m") <= FREQUENT)
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x.", "y.", t))
