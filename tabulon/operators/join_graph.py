@@ -29,15 +29,17 @@ def paths(edges: DataFrame, pairs: DataFrame, by: str = "cost", max_hops: int |
 
     by 'cost' gives the cheapest and ignores max_hops unless it is given, by 'hops' the
     shortest; ties go by cost, hops, then the node sequence.  Costs are not negative.  All bases relax together, one
-    join and one aggregate a round, until nothing improves; a round's rows are numbers alone.  Then each
+    join and one aggregate a round, until nothing improves; a round's rows are numbers alone.  Dead ends that
+    hold neither the base nor one of its targets are not entered.  Then each
     node gets its predecessor, and the wanted paths are unrolled together by doubled steps, log(hops) rounds.
     """
     steps = both_ways(edges).where("a <> b")
     # Of parallel edges the cheapest is walked.
     steps = steps.groupBy("a", "b").agg(F.min(F.struct(F.col("edge.cost").alias("c"), F.col("edge.on").alias("o"), F.col("edge").alias("edge"))).getField("edge").alias("edge"))
     steps = stored(steps.select("a", "b", F.col("edge.cost").alias("step"), "edge"), "steps")
-    best = _distances(steps, pairs.select("base").distinct(), by, max_hops)
-    wanted = pairs.distinct().join(best.withColumnRenamed("node", "target"), ["base", "target"])
+    pairs = stored(pairs.select("base", "target").distinct(), "pairs")
+    best = _distances(steps, pairs.select("base").distinct(), by, max_hops, *_dead_ends(steps, pairs))
+    wanted = pairs.join(best.withColumnRenamed("node", "target"), ["base", "target"])
     wanted = stored(wanted, "wanted")
     back = _predecessors(best, steps)
 
@@ -56,16 +58,75 @@ def paths(edges: DataFrame, pairs: DataFrame, by: str = "cost", max_hops: int |
     return pairs.join(wanted, ["base", "target"]).join(lists, ["base", "target"]).select("base", "target", "cost", "hops", "nodes", "edges")
 
 
-def _distances(steps: DataFrame, bases: DataFrame, by: str, max_hops: int | None) -> DataFrame:
-    """(base, node, cost, hops) of every node that a base reaches."""
+#: Rounds in which dead ends are cut off, each the ends that the last one left, and the least tables of a graph where that is tried.
+CUTS, LARGE = 32, 256
+
+
+def _dead_ends(steps: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
+    """(node) in a dead end, and (base, node) of those on the way from a base or one of its targets to where the dead ends begin.
+
+    A node with one neighbour is a dead end, and so is one that has one neighbour left when those are cut off.
+    A path enters a dead end only if it starts or ends there, so a base's search needs none but those of its own and of
+    its targets.  What is not cut off after CUTS rounds stays open to all, as in graphs without dead ends.
+    """
+    left, cut, before = steps.select("a", "b"), None, steps.select("a").distinct().count()
+    if before < LARGE:
+        return None, None
+    for k in range(CUTS):
+        ends = left.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
+        # Of two that have only each other, the lesser stays.
+        mutual = ends.select(F.col("a").alias("b"), F.col("b").alias("a"), F.lit(True).alias("mutual"))
+        ends = ends.join(mutual, ["a", "b"], "left").where("mutual is null or a > b")
+        ends = stored(ends.select(F.col("a").alias("node"), F.col("b").alias("up"), F.lit(k).alias("cut")), "ends")
+        n = ends.count()
+        if n == 0 and cut is None:
+            return None, None
+        cut = ends if cut is None else cut.unionByName(ends)
+        if n * 64 < before:
+            break
+        before, gone = before - n, ends.select("node")
+        left = stored(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "left")
+    # Each node's way out, by doubled steps.
+    ways = stored(cut.select("node", F.array("up").alias("way")), "ways")
+    for _ in range(k.bit_length()):
+        further = ways.select(F.col("node").alias("last"), F.col("way").alias("further"))
+        joined = ways.withColumn("last", F.element_at("way", -1)).join(further, "last", "left")
+        ways = stored(joined.select("node", F.when(F.col("further").isNull(), F.col("way")).otherwise(F.concat("way", "further")).alias("way")), "ways")
+    ends = pairs.select("base", F.col("target").alias("node")).unionByName(pairs.select("base", F.col("base").alias("node"))).distinct()
+    own = ends.join(ways, "node").select("base", F.explode(F.concat(F.array("node"), "way")).alias("node")).distinct()
+    return ways.select("node"), stored(own, "own")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(table_name, component): the tables of the graph; those that edges connect have the same component, the least of their names."""
+    links = stored(both_ways(edges).select("a", "b").distinct(), "links")
+    labels = stored(links.groupBy(F.col("a").alias("table_name")).agg(F.least("table_name", F.min("b")).alias("component")), "components")
+    while True:
+        near = links.join(labels.withColumnRenamed("table_name", "b"), "b").groupBy(F.col("a").alias("table_name")).agg(F.min("component").alias("near"))
+        least = labels.join(near, "table_name").select("table_name", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        # The label of the label: long chains are halved.
+        on = least.select(F.col("table_name").alias("component"), F.col("component").alias("further"))
+        labels = stored(least.join(on, "component").select("table_name", F.least("component", "further").alias("component"), "was"), "components")
+        if labels.where("component <> was").isEmpty():
+            return labels.select("table_name", "component")
+        labels = labels.select("table_name", "component")
+
+
+def _distances(steps: DataFrame, bases: DataFrame, by: str, max_hops: int | None, ends: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
+    """(base, node, cost, hops) of every node that a base reaches; of the nodes in `ends` only those that `own` (base, node) gives it."""
     start = F.struct(F.lit(0.0).alias("key"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(0).alias("round"))
+    open_steps = steps
+    if ends is not None:
+        open_steps = stored(steps.select("a", "b", "step").join(ends.select(F.col("node").alias("b"), F.lit(True).alias("dead")), "b", "left").select("a", "b", "step", F.coalesce("dead", F.lit(False)).alias("dead")), "open")
     best, n = stored(bases.select("base", F.col("base").alias("node"), start.alias("p")), "paths"), 0
     while not (fresh := best.where(F.col("p.round") == n)).isEmpty():
         n += 1
         if n % 64 == 0 and n > steps.select("a").distinct().count():
             raise ValueError("a cycle of edges has a negative cost")
         walked = fresh if max_hops is None else fresh.where(F.col("p.hops") < max_hops)
-        walked = walked.join(steps, F.col("node") == F.col("a"))
+        walked = walked.join(open_steps, F.col("node") == F.col("a"))
+        if own is not None:
+            walked = walked.join(own.select("base", F.col("node").alias("b"), F.lit(True).alias("mine")), ["base", "b"], "left").where("not dead or mine")
         cost, hops = F.col("p.cost") + F.col("step"), F.col("p.hops") + 1
         key = cost if by == "cost" else hops.cast("double")
         found = walked.select("base", F.col("b").alias("node"), F.struct(key.alias("key"), cost.alias("cost"), hops.alias("hops"), F.lit(n).alias("round")).alias("p"))
@@ -128,11 +189,11 @@ def joined_targets(found: DataFrame, wanted: DataFrame) -> DataFrame:
 
     found: paths of distinct pairs (base, target), whichever questions ask for them.  Targets that cannot be reached stay, without edges.
     """
-    steps = wanted.join(found.where("hops > 0"), ["base", "target"]).select("query_id", "base", "at", F.posexplode("edges").alias("pos", "e"))
-    once = steps.groupBy("query_id", "base", "e.src_table", "e.dst_table").agg(F.min(F.struct("at", "pos", "e")).alias("first"))
-    joined = once.groupBy("query_id", "base").agg(F.transform(F.array_sort(F.collect_list("first")), lambda x: x["e"]).alias("edges"))
-    targets = wanted.groupBy("query_id", "base").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "target"))), lambda x: x["target"]).alias("targets"))
-    return targets.join(joined, ["query_id", "base"], "left")
+    each = wanted.select("query_id", "base", "target", "at").join(found.where("hops > 0").select("base", "target", "edges"), ["base", "target"], "left")
+    packed = each.groupBy("query_id", "base").agg(F.array_sort(F.collect_list(F.struct("at", "target", "edges"))).alias("p"))
+    # array_distinct keeps the first of each; paths of one search walk one edge between two tables.
+    joined = F.array_distinct(F.flatten(F.filter(F.transform("p", lambda x: x["edges"]), lambda e: e.isNotNull())))
+    return packed.select("query_id", "base", F.transform("p", lambda x: x["target"]).alias("targets"), F.when(F.size(joined) > 0, joined).alias("edges"))
 
 
 def base_plans(edges: DataFrame, bases: DataFrame, tables: DataFrame, max_hops: int = 5) -> DataFrame:
