@@ -6,16 +6,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clamp01, cosine_similarity
 from .iteration import stored
 
-#: Entries of the query vectors in one block: 32 MB in each task.
-BLOCK = 1 << 22
-#: Similarities that a task holds at a time, and hits that it gathers before it keeps the best.
-CELLS = 1 << 22
+#: Entries of the query vectors in one block: 8 MB in each task.
+BLOCK = 1 << 20
+#: Similarities that a task holds at a time, and hits (or twice the best of all queries, if more) that it gathers before it keeps the best.
+CELLS = 1 << 19
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float = 0.0, clamp: bool = False) -> DataFrame:
@@ -37,10 +38,13 @@ def search_all(searches: DataFrame, store: DataFrame) -> DataFrame:
     return _ranked(searches.withColumnRenamed("search_id", "query_id"), store).withColumnRenamed("query_id", "search_id")
 
 
-def scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, object_id, similarity) of every query with every object, for audits of a few queries."""
+def scores(queries: DataFrame, corpus: DataFrame, *keep: str) -> DataFrame:
+    """(query_id, object_id, similarity, *keep) of every query with every object, for audits of a few queries.
+
+    keep: columns of the corpus that go with every pair, so that nothing is joined to all pairs afterwards.
+    """
     asked = queries.select("query_id", F.lit("").alias("object_type"), "embedding", F.lit(None).cast("int").alias("k"), F.lit(-1.0).alias("threshold"))
-    return _scored(asked, corpus.withColumn("object_type", F.lit("")), lambda found: found).select("query_id", "object_id", "similarity")
+    return _scored(asked, corpus.withColumn("object_type", F.lit("")), lambda found: found, keep).select("query_id", "object_id", "similarity", *keep)
 
 
 def _ranked(asked: DataFrame, store: DataFrame) -> DataFrame:
@@ -49,8 +53,8 @@ def _ranked(asked: DataFrame, store: DataFrame) -> DataFrame:
     return best.select("query_id", "object_type", "object_id", "similarity", "rank")
 
 
-def _scored(asked: DataFrame, store: DataFrame, best_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Hits (query_id, object_type, k, object_id, similarity) of asked (query_id, object_type, embedding, k, threshold).
+def _scored(asked: DataFrame, store: DataFrame, best_of: Callable[[DataFrame], DataFrame], keep: Sequence[str] = ()) -> DataFrame:
+    """Hits (query_id, object_type, k, object_id, similarity, *keep) of asked (query_id, object_type, embedding, k, threshold).
 
     The queries are written once, in blocks of bounded size.  Each block goes to the tasks
     for one pass over the store, and its hits are written before the next is collected, so
@@ -59,17 +63,17 @@ def _scored(asked: DataFrame, store: DataFrame, best_of: Callable[[DataFrame], D
     """
     vector = F.col("embedding").cast("array<double>").alias("embedding")
     asked = asked.select("query_id", "object_type", vector, "k", "threshold").where(F.size("embedding") > 0)
-    rows = store.select("object_type", "object_id", vector).where(F.size("embedding") > 0)
+    rows = store.select("object_type", "object_id", vector, *keep).where(F.size("embedding") > 0)
     n, width = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
     blocks = max(1, -(-n // max(1, BLOCK // (width or 1))))
     if blocks > 1:
         asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "asked", "block")
-    types = {c: t.schema[c].dataType.simpleString() for t, c in ((asked, "query_id"), (store, "object_id"))}
-    schema = f"query_id {types['query_id']}, object_type string, k int, object_id {types['object_id']}, similarity double"
+    types = {c: t.schema[c].dataType.simpleString() for t, c in ((asked, "query_id"), (store, "object_id"), *((store, c) for c in keep))}
+    schema = f"query_id {types['query_id']}, object_type string, k int, object_id {types['object_id']}, similarity double" + "".join(f", `{c}` {types[c]}" for c in keep)
     out = None
     for b in range(blocks):
-        part = (asked.where(F.col("block") == b).drop("block") if blocks > 1 else asked).toPandas()
-        found = best_of(rows.mapInPandas(_scorer(part), schema))
+        part = (asked.where(F.col("block") == b).drop("block") if blocks > 1 else asked).toArrow()
+        found = best_of(rows.mapInPandas(_scorer(part, keep), schema))
         found = stored(found, "hits") if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
     return out
@@ -77,52 +81,75 @@ def _scored(asked: DataFrame, store: DataFrame, best_of: Callable[[DataFrame], D
 
 def _best(found: pd.DataFrame) -> pd.DataFrame:
     """The k best hits of each query, ties to the lesser object_id."""
-    found = found.sort_values(["query_id", "similarity", "object_id"], ascending=[True, False, True], kind="stable")
-    return found[(found.groupby("query_id").cumcount() < found["k"]).to_numpy()]
-
-
-def _scorer(queries: pd.DataFrame) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    kinds = {}
-    for kind, part in queries.groupby("object_type"):
-        q, most = np.stack(part["embedding"].to_numpy()), part["k"].max()
-        kinds[kind] = (part["query_id"].to_numpy(), q, np.linalg.norm(q, axis=1), part["k"].to_numpy(), None if pd.isna(most) else int(most), part["threshold"].to_numpy()[:, None])
-
-    def hits(kind: str, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        keys, q, norms, k, most, threshold = kinds[kind]
-        # In order of id, so that an earlier column wins a tie.
-        frame = frame.sort_values("object_id", kind="stable")
-        x, ids = np.stack(frame["embedding"].to_numpy()), frame["object_id"].to_numpy()
-        lengths, step = np.linalg.norm(x, axis=1), max(1, CELLS // len(ids))
-        for a in range(0, len(keys), step):
+    found = found.sort_values(["q", "similarity", "object_id"], ascending=[True, False, True], kind="stable")
+    return found[(found.groupby("q").cumcount() < found["k"]).to_numpy()]
+
+
+def _scorer(queries: pa.Table, keep: Sequence[str] = ()) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    kinds, types = {}, queries["object_type"].to_pandas().to_numpy()
+    for kind in sorted(set(types)):
+        part = queries.filter(pa.array(types == kind)).combine_chunks()
+        vectors = part["embedding"].combine_chunks()
+        if len(set(vectors.value_lengths().to_pylist())) > 1:
+            raise ValueError("query vectors differ in width")
+        q, k = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1), part["k"].to_pandas()
+        most = k.max()
+        kinds[kind] = (part["query_id"].to_pandas().to_numpy(), q, np.linalg.norm(q, axis=1), None if pd.isna(most) else k.to_numpy(), part["threshold"].to_numpy())
+
+    def hits(kind: str, frame: pd.DataFrame, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row of frame, similarity) of pairs that reach the least of their query."""
+        _, q, norms, k, _ = kinds[kind]
+        most = None if k is None else int(k.max())
+        x = np.stack(frame["embedding"].to_numpy())
+        lengths, step = np.linalg.norm(x, axis=1), max(1, CELLS // len(x))
+        for a in range(0, len(q), step):
             size = np.outer(norms[a : a + step], lengths)
             sim = np.divide(q[a : a + step] @ x.T, size, out=np.zeros_like(size), where=size > 0)
             # Rounding first keeps ties between equal vectors whatever the order of a product's sums.
-            sim = np.round(sim, 12)
-            keep = sim >= threshold[a : a + step]
-            if most is not None and len(ids) > most:
-                keep &= sim >= np.partition(sim, len(ids) - most, axis=1)[:, len(ids) - most :][:, :1]
-                for i in np.flatnonzero(keep.sum(axis=1) > 4 * most):
+            sim = np.round(sim, 12, out=sim)
+            kept = sim >= least[a : a + step, None]
+            if most is not None and len(x) > most:
+                for i in np.flatnonzero(kept.sum(axis=1) > 4 * most):
+                    # In order of id, so that an earlier column wins a tie.
                     first = np.argsort(-sim[i], kind="stable")[:most]
-                    keep[i] = False
-                    keep[i, first] = sim[i, first] >= threshold[a + i]
-            at, col = np.nonzero(keep)
-            yield pd.DataFrame({"query_id": keys[a + at], "object_type": kind, "k": k[a + at], "object_id": ids[col], "similarity": sim[at, col]})
+                    kept[i] = False
+                    kept[i, first] = sim[i, first] >= least[a + i]
+            at, col = np.nonzero(kept)
+            yield a + at, col, sim[at, col]
 
     def each(frames):
-        held, size = [], 0
+        # Of each type the hits held, their number, and the similarity that a further hit of a query has to reach.
+        held = {kind: ([], 0, threshold) for kind, (*_, threshold) in kinds.items()}
+
+        def reduced(kind: str) -> tuple[list[pd.DataFrame], int, np.ndarray]:
+            found, least = _best(pd.concat(held[kind][0])), held[kind][2].copy()
+            ends = found.groupby("q").agg(n=("k", "size"), k=("k", "first"), s=("similarity", "last"))
+            ends = ends[ends["n"] >= ends["k"]]
+            least[ends.index.to_numpy()] = np.maximum(least[ends.index.to_numpy()], ends["s"].to_numpy())
+            return [found], len(found), least
+
         for frame in frames:
             for kind, part in frame.groupby("object_type"):
-                for found in hits(kind, part) if kind in kinds else ():
-                    if kinds[kind][4] is None:
-                        yield found
+                if kind not in kinds:
+                    continue
+                part = part.sort_values("object_id", kind="stable")
+                keys, _, _, k, _ = kinds[kind]
+                ids = part["object_id"].to_numpy()
+                for q, col, sim in hits(kind, part, held[kind][2]):
+                    if k is None:
+                        yield pd.DataFrame({"query_id": keys[q], "object_type": kind, "k": pd.array([None], "Int32").take(np.zeros(len(q), int)), "object_id": ids[col], "similarity": sim, **{c: part[c].to_numpy()[col] for c in keep}})
                         continue
-                    held.append(found)
-                    size += len(found)
-                    if size > CELLS:
-                        held = [_best(pd.concat(held))]
-                        size = len(held[0])
-        if held:
-            yield _best(pd.concat(held))
+                    found, n, least = held[kind]
+                    found.append(pd.DataFrame({"q": q, "k": k[q], "object_id": ids[col], "similarity": sim}))
+                    held[kind] = (found, n + len(q), least)
+                    if n + len(q) > max(CELLS, 2 * int(k.sum())):
+                        held[kind] = reduced(kind)
+                if k is not None and held[kind][0]:
+                    held[kind] = reduced(kind) if len(held[kind][0]) > 1 else held[kind]
+        for kind, (found, _, _) in held.items():
+            if found:
+                best = _best(pd.concat(found))
+                yield pd.DataFrame({"query_id": kinds[kind][0][best["q"].to_numpy()], "object_type": kind, "k": best["k"].to_numpy(), "object_id": best["object_id"].to_numpy(), "similarity": best["similarity"].to_numpy()})
 
     return each
 
@@ -181,7 +208,17 @@ def similarity_report(corpus: DataFrame, query: DataFrame, n: int = 15) -> DataF
 def parity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("object_id",), tolerance: float = 0.01) -> DataFrame:
     """(*keys, a, b, differs) of two stores' (*keys, similarity); a missing side differs."""
     joined = a.select(*keys, F.col("similarity").alias("a")).join(b.select(*keys, F.col("similarity").alias("b")), list(keys), "full_outer")
-    return joined.withColumn("differs", F.coalesce(F.abs(F.col("a") - F.col("b")) > tolerance, F.lit(True)))
+    return joined.withColumn("differs", _differs(tolerance))
+
+
+def parity_of(scored: DataFrame, a: Column, b: Column, keys: Sequence[str] = ("object_id",), tolerance: float = 0.01) -> DataFrame:
+    """parity() of two similarities that stand in one row, without a join; null is a missing side, and a row without both goes."""
+    both = scored.select(*keys, a.alias("a"), b.alias("b"))
+    return both.where("a is not null or b is not null").withColumn("differs", _differs(tolerance))
+
+
+def _differs(tolerance: float) -> Column:
+    return F.coalesce(F.abs(F.col("a") - F.col("b")) > tolerance, F.lit(True))
 
 
 def pairwise(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -31,3 +31,29 @@ def test_paths_enter_no_dead_ends_in_vain(spark, monkeypatch):
             got[large] = [tuple(r[:5]) for r in join_graph.paths(edges, pairs).orderBy("base", "target").collect()], max(sizes)
     assert got[1][0] == got[1 << 30][0] and [r[:2] for r in got[1][0]] == [("a", "b"), ("t41", "t3"), ("t50", "t59"), ("t7", "t7")]
     assert got[1][1] < 40 < 150 < got[1 << 30][1]
+
+
+def test_parity_shuffles_no_pairs(spark, capsys):
+    from tabulon.plans import QUERIES
+
+    QUERIES["v_parity"](spark, "/root/testdata/sf0.001").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "MapInPandas" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_hits_of_later_batches_are_held_only_if_better(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from tabulon.operators import retrieval
+
+    sizes, best, rng = [], retrieval._best, np.random.default_rng(5)
+    monkeypatch.setattr(retrieval, "_best", lambda found: (sizes.append(len(found)), best(found))[1])
+    x, q = rng.normal(size=(4000, 8)), rng.normal(size=(50, 8))
+    table = pa.table({"query_id": range(50), "object_type": [""] * 50, "embedding": pa.array(q.tolist(), pa.list_(pa.float64())), "k": pa.array([3] * 50, pa.int32()), "threshold": [-1.0] * 50})
+    frames = (pd.DataFrame({"object_type": "", "object_id": range(a, a + 200), "embedding": list(x[a : a + 200])}) for a in range(0, 4000, 200))
+    got = pd.concat(retrieval._scorer(table)(frames))
+    sim = np.round((q @ x.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)), 12)
+    assert sorted(zip(got["query_id"], got["object_id"])) == [(i, j) for i in range(50) for j in sorted(np.argsort(-sim[i], kind="stable")[:3])]
+    assert max(sizes) <= 2 * 150
