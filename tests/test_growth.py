@@ -57,3 +57,23 @@ def test_hits_of_later_batches_are_held_only_if_better(monkeypatch):
     sim = np.round((q @ x.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)), 12)
     assert sorted(zip(got["query_id"], got["object_id"])) == [(i, j) for i in range(50) for j in sorted(np.argsort(-sim[i], kind="stable")[:3])]
     assert max(sizes) <= 2 * 150
+
+
+def test_look_up_of_repeated_texts(spark, monkeypatch):
+    """Rows that repeat a text and queries that ask the same do not multiply before the best are taken."""
+    import tabulon.operators.matching as matching
+
+    parts = [(i, ["red bolt", "red bolts", "new anvil"][i % 3]) for i in range(900)]
+    index = matching.value_index([("part", spark.createDataFrame(parts, "k int, v string"), "v", "k")])
+    asks = spark.createDataFrame([(i, ["red bolt", "new anvill"][i % 2]) for i in range(100)], "query_id int, query_value string")
+    sizes = counted(monkeypatch, matching, "rows"), counted(monkeypatch, matching, "ranked")
+    got = {}
+    for r in matching.look_up(asks, index, 4, method="similarity", min_score=0.4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.matched_text, int(r.key_value)))
+    # Equal scores go by the text of the key.
+    firsts = lambda j: [int(x) for x in sorted(str(i) for i in range(j, 900, 3))[:4]]
+    # The index holds norms without blanks, so neither bolt equals what is asked.
+    assert got.keys() == {i for i in range(100) if (i % 2 == 0 and got.get(0)) or (i % 2 == 1 and got.get(1))} and got
+    for i, rows in got.items():
+        assert sorted(rows) == [(n, ["red bolt", "new anvil"][i % 2], key) for n, key in enumerate(firsts([0, 2][i % 2]), 1)]
+    assert sizes[0] == [3 * 8] and sizes[1][0] <= 2 * 4
