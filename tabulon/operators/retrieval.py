@@ -273,16 +273,34 @@ def catalogue_text(columns: DataFrame) -> DataFrame:
 
 
 def encode_texts(df: DataFrame, encode: Callable[[list[str]], list[list[float]]], batch_size: int = 20) -> DataFrame:
-    """df (id, text) -> (id, embedding) by the caller's encoder, batch_size texts a call; blank texts are left out."""
+    """df (id, text) -> (id, embedding) by the caller's encoder, batch_size texts a call; blank texts are left out.
 
-    def each(frames):
-        for frame in frames:
-            for i in range(0, len(frame), batch_size):
-                part = frame.iloc[i : i + batch_size]
-                yield pd.DataFrame({"id": part["id"], "embedding": encode(part["text"].tolist())})
+    Each call's vectors are packed as it returns, and those of many calls go to Spark together: an
+    input batch's, or BLOCK entries and one call more.  Texts are encoded by the tasks that read them,
+    so callers repartition a table of few row groups first.
+    """
+    vectors = pa.list_(pa.float32())
+
+    def packed(texts: list[str]) -> pa.Array:
+        found = pa.array(list(encode(texts)), vectors)
+        if len(found) != len(texts):
+            raise ValueError(f"the encoder gave {len(found)} vectors for {len(texts)} texts")
+        return found
+
+    def each(batches):
+        for batch in batches:
+            ids, texts = batch.column("id"), batch.column("text").to_pylist()
+            start, held, entries = 0, [], 0
+            for i in range(0, len(texts), batch_size):
+                held.append(packed(texts[i : i + batch_size]))
+                entries += len(held[-1].values)
+                end = min(i + batch_size, len(texts))
+                if entries >= BLOCK or end == len(texts):
+                    yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.concat_arrays(held)], ["id", "embedding"])
+                    start, held, entries = end, [], 0
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "text").where(F.trim("text") != "").mapInPandas(each, f"id {kind}, embedding array<float>")
+    return df.select("id", "text").where(F.trim("text") != "").mapInArrow(each, f"id {kind}, embedding array<float>")
 
 
 def text_pairs(pairs: DataFrame, encode: Callable[[list[str]], list[list[float]]], batch_size: int = 20) -> DataFrame:

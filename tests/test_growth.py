@@ -96,3 +96,56 @@ def test_candidates_are_dealt_once(spark, capsys):
     capsys.readouterr()
     C.scored(tables, columns, values, stored(catalogue, "catalogue")).explain()
     assert capsys.readouterr().out.count("hashpartitioning(query_id") == 1
+
+
+def test_encoded_texts_return_in_large_batches(spark, monkeypatch):
+    from tabulon.operators import retrieval
+
+    def encode(texts):
+        return [[float(len(t)), float(len(texts)), 0.5, -1.0, 2.0] for t in texts]
+
+    def run():
+        out = retrieval.encode_texts(rows, encode)
+        found, plan = out.collect(), out._jdf.queryExecution().executedPlan()
+        while not plan.metrics().contains("pythonDataReceived"):
+            plan = plan.children().apply(0)
+        return found, plan.metrics().apply("pythonDataReceived").value()
+
+    ids = [None, *range((1 << 60) + 1, (1 << 60) + 1000)]
+    rows = spark.createDataFrame([(i, " " if n % 100 == 7 else "x" * (n % 30 + 1)) for n, i in enumerate(ids)], "id bigint, text string").coalesce(1)
+    want = [(i, n % 30 + 1) for n, i in enumerate(ids) if n % 100 != 7]
+    found, size = run()
+    # Ids take 8 bytes, offsets 4 and vectors 20; a null costs bits.
+    assert size < 40 * len(found)
+    monkeypatch.setattr(retrieval, "BLOCK", 500)
+    blocks, more = run()
+    assert blocks == found and more > size
+    assert [(r.id, r.embedding[0]) for r in found] == want
+    assert [r.embedding[1] for r in found] == [20.0] * 980 + [10.0] * 10 and {tuple(r.embedding[2:]) for r in found} == {(0.5, -1.0, 2.0)}
+
+
+def test_an_encoder_that_miscounts_is_an_error():
+    import pyarrow as pa
+    import pytest
+
+    from tabulon.operators import retrieval
+
+    # One call is short by a vector and the next has one too many: together they would fit.
+    calls = iter([[[1.0]], [[1.0], [2.0], [3.0]]])
+
+    class Texts:
+        schema = {"id": type("f", (), {"dataType": type("t", (), {"simpleString": lambda self: "int"})()})}
+        select = where = lambda self, *_: self
+        mapInArrow = lambda self, each, _: each
+
+    each = retrieval.encode_texts(Texts(), lambda _: next(calls), 2)
+    with pytest.raises(ValueError, match="1 vectors for 2 texts"):
+        list(each([pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "text": ["a", "b", "c", "d"]})]))
+
+
+def test_texts_of_a_single_row_group_are_dealt_out(spark, capsys):
+    from tabulon.plans import QUERIES
+
+    QUERIES["v_encode"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.index("MapInArrow") < plan.index("Exchange hashpartitioning(id")
