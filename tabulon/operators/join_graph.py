@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iteration import stored
+from .iteration import side, stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -32,51 +32,57 @@ def paths(edges: DataFrame, pairs: DataFrame, by: str = "cost", max_hops: int |
     join and one aggregate a round, until nothing improves; a round's rows are numbers alone.  Dead ends that
     hold neither the base nor one of its targets are not entered.  Then each
     node gets its predecessor, and the wanted paths are unrolled together by doubled steps, log(hops) rounds.
+    Where tables times bases are many, nothing is broadcast.
     """
     steps = both_ways(edges).where("a <> b")
     # Of parallel edges the cheapest is walked.
     steps = steps.groupBy("a", "b").agg(F.min(F.struct(F.col("edge.cost").alias("c"), F.col("edge.on").alias("o"), F.col("edge").alias("edge"))).getField("edge").alias("edge"))
     steps = stored(steps.select("a", "b", F.col("edge.cost").alias("step"), "edge"), "steps")
     pairs = stored(pairs.select("base", "target").distinct(), "pairs")
-    best = _distances(steps, pairs.select("base").distinct(), by, max_hops, *_dead_ends(steps, pairs))
-    wanted = pairs.join(best.withColumnRenamed("node", "target"), ["base", "target"])
+    tables = steps.select("a").distinct().count()
+    reach = tables * pairs.select("base").distinct().count()
+    best = _distances(steps, pairs.select("base").distinct(), by, max_hops, reach, *_dead_ends(steps, pairs, tables, reach))
+    wanted = pairs.join(side(best.withColumnRenamed("node", "target"), reach), ["base", "target"])
     wanted = stored(wanted, "wanted")
-    back = _predecessors(best, steps)
+    back = _predecessors(best, steps, reach)
 
     rows = wanted.select("base", "target", F.col("target").alias("node"), F.col("hops").alias("pos"))
     jumps = [back]
     for _ in range(1, (wanted.agg(F.max("hops")).first()[0] or 0).bit_length()):
         on = jumps[-1].select("base", F.col("node").alias("prev"), F.col("prev").alias("further"))
-        jumps.append(stored(jumps[-1].join(on, ["base", "prev"]).select("base", "node", F.col("further").alias("prev")), "jumps"))
+        jumps.append(stored(jumps[-1].join(side(on, reach), ["base", "prev"]).select("base", "node", F.col("further").alias("prev")), "jumps"))
     for k, jump in reversed([*enumerate(jumps)]):
         # From every row a step of 2^k back: each place of a path arises once, by the binary digits of its distance from the end.
-        more = rows.where(F.col("pos") >= 1 << k).join(jump, ["base", "node"]).select("base", "target", F.col("prev").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
-        rows = rows.unionByName(more)
-    walked = rows.join(back, ["base", "node"], "left").join(steps.select(F.col("a").alias("prev"), F.col("b").alias("node"), "edge"), ["prev", "node"], "left")
+        more = rows.where(F.col("pos") >= 1 << k).join(side(jump, reach), ["base", "node"]).select("base", "target", F.col("prev").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
+        # Each step reads the rows twice, so a plan of all steps would double with each.
+        rows = stored(rows.unionByName(more), "rows")
+    edge = steps.select(F.col("a").alias("prev"), F.col("b").alias("node"), "edge")
+    walked = rows.join(side(back, reach), ["base", "node"], "left").join(side(edge, reach), ["prev", "node"], "left")
     packed = walked.groupBy("base", "target").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "edge"))).alias("p"))
     lists = packed.select("base", "target", F.transform("p", lambda x: x["node"]).alias("nodes"), F.transform(F.filter("p", lambda x: x["pos"] > 0), lambda x: x["edge"]).alias("edges"))
-    return pairs.join(wanted, ["base", "target"]).join(lists, ["base", "target"]).select("base", "target", "cost", "hops", "nodes", "edges")
+    return pairs.join(side(wanted, reach), ["base", "target"]).join(side(lists, reach), ["base", "target"]).select("base", "target", "cost", "hops", "nodes", "edges")
 
 
 #: Rounds in which dead ends are cut off, each the ends that the last one left, and the least tables of a graph where that is tried.
 CUTS, LARGE = 32, 256
 
 
-def _dead_ends(steps: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
+def _dead_ends(steps: DataFrame, pairs: DataFrame, before: int, reach: int) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
     """(node) in a dead end, and (base, node) of those on the way from a base or one of its targets to where the dead ends begin.
 
     A node with one neighbour is a dead end, and so is one that has one neighbour left when those are cut off.
     A path enters a dead end only if it starts or ends there, so a base's search needs none but those of its own and of
     its targets.  What is not cut off after CUTS rounds stays open to all, as in graphs without dead ends.
+    before: the tables of the graph; reach: them times the bases.
     """
-    left, cut, before = steps.select("a", "b"), None, steps.select("a").distinct().count()
+    left, cut = steps.select("a", "b"), None
     if before < LARGE:
         return None, None
     for k in range(CUTS):
         ends = left.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
         # Of two that have only each other, the lesser stays.
         mutual = ends.select(F.col("a").alias("b"), F.col("b").alias("a"), F.lit(True).alias("mutual"))
-        ends = ends.join(mutual, ["a", "b"], "left").where("mutual is null or a > b")
+        ends = ends.join(side(mutual, reach), ["a", "b"], "left").where("mutual is null or a > b")
         ends = stored(ends.select(F.col("a").alias("node"), F.col("b").alias("up"), F.lit(k).alias("cut")), "ends")
         n = ends.count()
         if n == 0 and cut is None:
@@ -84,49 +90,50 @@ def _dead_ends(steps: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame
         cut = ends if cut is None else cut.unionByName(ends)
         if n * 64 < before:
             break
-        before, gone = before - n, ends.select("node")
+        before, gone = before - n, side(ends.select("node"), n)
         left = stored(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "left")
     # Each node's way out, by doubled steps.
     ways = stored(cut.select("node", F.array("up").alias("way")), "ways")
     for _ in range(k.bit_length()):
         further = ways.select(F.col("node").alias("last"), F.col("way").alias("further"))
-        joined = ways.withColumn("last", F.element_at("way", -1)).join(further, "last", "left")
+        joined = ways.withColumn("last", F.element_at("way", -1)).join(side(further, reach), "last", "left")
         ways = stored(joined.select("node", F.when(F.col("further").isNull(), F.col("way")).otherwise(F.concat("way", "further")).alias("way")), "ways")
     ends = pairs.select("base", F.col("target").alias("node")).unionByName(pairs.select("base", F.col("base").alias("node"))).distinct()
-    own = ends.join(ways, "node").select("base", F.explode(F.concat(F.array("node"), "way")).alias("node")).distinct()
+    own = ends.join(side(ways, reach), "node").select("base", F.explode(F.concat(F.array("node"), "way")).alias("node")).distinct()
     return ways.select("node"), stored(own, "own")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(table_name, component): the tables of the graph; those that edges connect have the same component, the least of their names."""
     links = stored(both_ways(edges).select("a", "b").distinct(), "links")
+    n = links.count()
     labels = stored(links.groupBy(F.col("a").alias("table_name")).agg(F.least("table_name", F.min("b")).alias("component")), "components")
     while True:
-        near = links.join(labels.withColumnRenamed("table_name", "b"), "b").groupBy(F.col("a").alias("table_name")).agg(F.min("component").alias("near"))
-        least = labels.join(near, "table_name").select("table_name", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        near = links.join(side(labels.withColumnRenamed("table_name", "b"), n), "b").groupBy(F.col("a").alias("table_name")).agg(F.min("component").alias("near"))
+        least = labels.join(side(near, n), "table_name").select("table_name", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         # The label of the label: long chains are halved.
         on = least.select(F.col("table_name").alias("component"), F.col("component").alias("further"))
-        labels = stored(least.join(on, "component").select("table_name", F.least("component", "further").alias("component"), "was"), "components")
+        labels = stored(least.join(side(on, n), "component").select("table_name", F.least("component", "further").alias("component"), "was"), "components")
         if labels.where("component <> was").isEmpty():
             return labels.select("table_name", "component")
         labels = labels.select("table_name", "component")
 
 
-def _distances(steps: DataFrame, bases: DataFrame, by: str, max_hops: int | None, ends: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
-    """(base, node, cost, hops) of every node that a base reaches; of the nodes in `ends` only those that `own` (base, node) gives it."""
+def _distances(steps: DataFrame, bases: DataFrame, by: str, max_hops: int | None, reach: int, ends: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
+    """(base, node, cost, hops) of every node that a base reaches; of the nodes in `ends` only those that `own` (base, node) gives it.  reach: the tables of the graph times the bases."""
     start = F.struct(F.lit(0.0).alias("key"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(0).alias("round"))
     open_steps = steps
     if ends is not None:
-        open_steps = stored(steps.select("a", "b", "step").join(ends.select(F.col("node").alias("b"), F.lit(True).alias("dead")), "b", "left").select("a", "b", "step", F.coalesce("dead", F.lit(False)).alias("dead")), "open")
+        open_steps = stored(steps.select("a", "b", "step").join(side(ends.select(F.col("node").alias("b"), F.lit(True).alias("dead")), reach), "b", "left").select("a", "b", "step", F.coalesce("dead", F.lit(False)).alias("dead")), "open")
     best, n = stored(bases.select("base", F.col("base").alias("node"), start.alias("p")), "paths"), 0
     while not (fresh := best.where(F.col("p.round") == n)).isEmpty():
         n += 1
         if n % 64 == 0 and n > steps.select("a").distinct().count():
             raise ValueError("a cycle of edges has a negative cost")
         walked = fresh if max_hops is None else fresh.where(F.col("p.hops") < max_hops)
-        walked = walked.join(open_steps, F.col("node") == F.col("a"))
+        walked = walked.join(side(open_steps, reach), F.col("node") == F.col("a"))
         if own is not None:
-            walked = walked.join(own.select("base", F.col("node").alias("b"), F.lit(True).alias("mine")), ["base", "b"], "left").where("not dead or mine")
+            walked = walked.join(side(own.select("base", F.col("node").alias("b"), F.lit(True).alias("mine")), reach), ["base", "b"], "left").where("not dead or mine")
         cost, hops = F.col("p.cost") + F.col("step"), F.col("p.hops") + 1
         key = cost if by == "cost" else hops.cast("double")
         found = walked.select("base", F.col("b").alias("node"), F.struct(key.alias("key"), cost.alias("cost"), hops.alias("hops"), F.lit(n).alias("round")).alias("p"))
@@ -135,14 +142,14 @@ def _distances(steps: DataFrame, bases: DataFrame, by: str, max_hops: int | None
     return best.select("base", "node", F.col("p.cost").alias("cost"), F.col("p.hops").alias("hops"))
 
 
-def _predecessors(best: DataFrame, steps: DataFrame) -> DataFrame:
+def _predecessors(best: DataFrame, steps: DataFrame, reach: int) -> DataFrame:
     """(base, node, prev): the node before each node on its best path; of equal ones that of the least node sequence.
 
     Sequences of equal length are compared by their ranks, one length after the other, up to the last
     length at which a node has several predecessors.
     """
     ends = best.select("base", F.col("node").alias("b"), F.col("cost").alias("end_cost"), F.col("hops").alias("end_hops"))
-    met = best.join(steps, F.col("node") == F.col("a")).join(ends, ["base", "b"])
+    met = best.join(side(steps, reach), F.col("node") == F.col("a")).join(side(ends, reach), ["base", "b"])
     tight = met.where((F.col("cost") + F.col("step") == F.col("end_cost")) & (F.col("hops") + 1 == F.col("end_hops")))
     tight = stored(tight.select("base", F.col("b").alias("node"), F.col("a").alias("prev"), F.col("end_hops").alias("hops")), "tight")
     last = tight.groupBy("base", "node").agg(F.max("hops").alias("hops"), F.count("*").alias("n")).where("n > 1").agg(F.max("hops")).first()[0] or 0
@@ -150,7 +157,7 @@ def _predecessors(best: DataFrame, steps: DataFrame) -> DataFrame:
     ranks = None
     for length in range(1, last + 1):
         level = tight.where(F.col("hops") == length)
-        level = level.withColumn("rank", F.lit(0)) if ranks is None else level.join(ranks.select("base", F.col("node").alias("prev"), "rank"), ["base", "prev"])
+        level = level.withColumn("rank", F.lit(0)) if ranks is None else level.join(side(ranks.select("base", F.col("node").alias("prev"), "rank"), reach), ["base", "prev"])
         first = level.groupBy("base", "node").agg(F.min(F.struct("rank", "prev")).alias("first"))
         rank = F.row_number().over(Window.partitionBy("base").orderBy("first.rank", "node"))
         ranks = stored(first.select("base", "node", F.col("first.prev").alias("prev"), rank.alias("rank")), "ranks")

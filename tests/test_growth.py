@@ -149,3 +149,37 @@ def test_texts_of_a_single_row_group_are_dealt_out(spark, capsys):
     QUERIES["v_encode"](spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
     assert plan.index("MapInArrow") < plan.index("Exchange hashpartitioning(id")
+
+
+def test_graph_steps_of_many_tables_send_nothing_through_the_driver(spark, capsys, monkeypatch):
+    from tabulon.operators import candidates as C
+    from tabulon.operators import iteration
+
+    plans, write = [], iteration.stored
+
+    def stored(df, called, *by):
+        df.explain()
+        plans.append((called, capsys.readouterr().out))
+        return write(df, called, *by)
+
+    edges = spark.createDataFrame([(f"t{i:03}", f"t{i // 3:03}", "SRC.k = DST.k", None, "N:1", float(1 + i % 3)) for i in range(1, 60)], EDGES)
+    rows = [(q, "dimension", f"t{(7 * q + 29 * p) % 62:03}", p, 0.5 + (q * p) % 5 / 10) for q in range(4) for p in range(1, 5)]
+    candidates = spark.createDataFrame(rows, "query_id int, `group` string, table_name string, place int, similarity double")
+    tasks = spark.createDataFrame([(q, True) for q in range(4)], "query_id int, has_time boolean")
+    got = {}
+    for most in (1 << 30, 0):
+        monkeypatch.setattr(iteration, "SENT", most)
+        monkeypatch.setattr(C, "SENT", most)
+        monkeypatch.setattr(join_graph, "LARGE", 1)
+        with monkeypatch.context() as m:
+            m.setattr(join_graph, "stored", stored)
+            m.setattr(C, "stored", stored)
+            out = C.question_plans(candidates, tasks, edges)
+        out = out.select("query_id", "base", "targets", "edges")
+        got[most] = sorted(map(str, out.collect()))
+    assert got[0] == got[1 << 30] and len(got[0]) == 4
+    of_graph = [x for x in plans[len(plans) // 2 :] if x[0] != "bases"]
+    assert {"paths", "own", "jumps", "rows", "tight", "found"} <= {x[0] for x in of_graph}
+    assert not [x[0] for x in of_graph if "Broadcast" in x[1]]
+    # The steps back along the paths do not double what is read.
+    assert max(x[1].count("FileScan") for x in of_graph if x[0] in ("rows", "found")) <= 12
