@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import iteration
 from .iteration import side, stored
 
 
@@ -191,23 +192,34 @@ def plans(found: DataFrame, key: tuple[str, ...] = ("src_table", "dst_table", "o
     return edges.join(reach, "base").select("base", trimmed.alias("edges"), "targets", "total_cost", "max_hops")
 
 
-def joined_targets(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, base, targets, edges) of wanted (query_id, base, target, at): targets in order of at, edges once for each (src_table, dst_table).
+def joined_targets(edges: DataFrame, asked: DataFrame, max_hops: int = 5) -> DataFrame:
+    """asked (query_id, base, others, ...), one row each, with targets and edges: the targets in order, edges of their paths once for each (src_table, dst_table).
 
-    found: paths of distinct pairs (base, target), whichever questions ask for them.  Targets that cannot be reached stay, without edges.
+    others: array of (at, target) in order, null like an empty one.  A path is searched once, whichever questions ask for it.
+    Targets that cannot be reached stay, without edges; edges is null if there are none.  Paths of up to SENT edges
+    go to the rows that ask, which are not shuffled; more are met by a row for each target.
     """
-    each = wanted.select("query_id", "base", "target", "at").join(found.where("hops > 0").select("base", "target", "edges"), ["base", "target"], "left")
-    packed = each.groupBy("query_id", "base").agg(F.array_sort(F.collect_list(F.struct("at", "target", "edges"))).alias("p"))
+    wanted = asked.select("query_id", "base", F.explode("others").alias("x")).select("query_id", "base", "x.at", "x.target")
+    found = find_paths(edges, wanted.select("base", "target").distinct(), max_hops).where("hops > 0")
+    found = stored(found.select("base", "target", "edges"), "found")
+    if (found.agg(F.sum(F.size("edges"))).first()[0] or 0) <= iteration.SENT:
+        ways = found.groupBy("base").agg(F.map_from_entries(F.collect_list(F.struct("target", "edges"))).alias("_ways"))
+        met = asked.join(F.broadcast(ways), "base", "left").withColumn("_met", F.transform("others", lambda x: F.try_element_at("_ways", x["target"]))).drop("_ways")
+    else:
+        each = wanted.join(found.hint("merge"), ["base", "target"], "left")
+        packed = each.groupBy("query_id", "base").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "target", "edges"))), lambda x: x["edges"]).alias("_met"))
+        met = asked.join(packed, ["query_id", "base"], "left")
     # array_distinct keeps the first of each; paths of one search walk one edge between two tables.
-    joined = F.array_distinct(F.flatten(F.filter(F.transform("p", lambda x: x["edges"]), lambda e: e.isNotNull())))
-    return packed.select("query_id", "base", F.transform("p", lambda x: x["target"]).alias("targets"), F.when(F.size(joined) > 0, joined).alias("edges"))
+    joined = F.array_distinct(F.flatten(F.filter("_met", lambda e: e.isNotNull())))
+    return met.select(*asked.columns, F.transform("others", lambda x: x["target"]).alias("targets"), F.when(F.size(joined) > 0, joined).alias("edges"))
 
 
 def base_plans(edges: DataFrame, bases: DataFrame, tables: DataFrame, max_hops: int = 5) -> DataFrame:
     """(query_id, base, targets, edges): a plan of every base (query_id, base) with all other tables (query_id, table_name, place) of its question; bases without edges have none."""
-    wanted = bases.join(tables.select("query_id", F.col("table_name").alias("target"), F.col("place").alias("at")), "query_id").where("target <> base")
-    found = find_paths(edges, wanted.select("base", "target").distinct(), max_hops)
-    return joined_targets(found, wanted).where("edges is not null")
+    every = tables.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("at"), F.col("table_name").alias("target")))).alias("every"))
+    others = F.filter("every", lambda x: x["target"] != F.col("base"))
+    asked = stored(bases.join(every, "query_id").select("query_id", "base", others.alias("others")), "asked")
+    return joined_targets(edges, asked, max_hops).where("edges is not null").select("query_id", "base", "targets", "edges")
 
 
 def merged_edges(plan_rows: DataFrame, key: tuple[str, ...] = ("src_table", "dst_table", "on")) -> DataFrame:

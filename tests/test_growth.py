@@ -162,14 +162,13 @@ def test_graph_steps_of_many_tables_send_nothing_through_the_driver(spark, capsy
         plans.append((called, capsys.readouterr().out))
         return write(df, called, *by)
 
-    edges = spark.createDataFrame([(f"t{i:03}", f"t{i // 3:03}", "SRC.k = DST.k", None, "N:1", float(1 + i % 3)) for i in range(1, 60)], EDGES)
-    rows = [(q, "dimension", f"t{(7 * q + 29 * p) % 62:03}", p, 0.5 + (q * p) % 5 / 10) for q in range(4) for p in range(1, 5)]
+    edges = spark.createDataFrame([(f"t{i:03}", f"t{i // 3:03}", "SRC.k = DST.k", None, "N:1", float(1 + i % 3)) for i in range(1, 27)], EDGES)
+    rows = [(q, "dimension", f"t{(7 * q + 11 * p) % 29:03}", p, 0.5 + (q * p) % 5 / 10) for q in range(4) for p in range(1, 5)]
     candidates = spark.createDataFrame(rows, "query_id int, `group` string, table_name string, place int, similarity double")
     tasks = spark.createDataFrame([(q, True) for q in range(4)], "query_id int, has_time boolean")
     got = {}
     for most in (1 << 30, 0):
         monkeypatch.setattr(iteration, "SENT", most)
-        monkeypatch.setattr(C, "SENT", most)
         monkeypatch.setattr(join_graph, "LARGE", 1)
         with monkeypatch.context() as m:
             m.setattr(join_graph, "stored", stored)
@@ -183,3 +182,34 @@ def test_graph_steps_of_many_tables_send_nothing_through_the_driver(spark, capsy
     assert not [x[0] for x in of_graph if "Broadcast" in x[1]]
     # The steps back along the paths do not double what is read.
     assert max(x[1].count("FileScan") for x in of_graph if x[0] in ("rows", "found")) <= 12
+
+
+def test_context_deals_each_part_of_a_question_once(spark, capsys, monkeypatch):
+    from tabulon.operators import candidates as C
+    from tabulon.operators import iteration
+
+    plans, write = {}, iteration.stored
+
+    def stored(df, called, *by):
+        df.explain()
+        plans[called] = capsys.readouterr().out
+        return write(df, called, *by)
+
+    monkeypatch.setattr(C, "stored", stored)
+    monkeypatch.setattr(join_graph, "stored", stored)
+    hits = [(q, f"t{(q + p) % 5}", f"t{(q + 2 * p) % 5}", "s", 0.5 + p / 10, "fact" if (q + p) % 5 == 1 else "", p) for q in range(6) for p in range(4)]
+    tables = write(spark.createDataFrame(hits, "query_id int, table_name string, parent_id string, source_text string, similarity double, table_category string, ordinal int"), "hits")
+    values = tables.where("ordinal = 3").selectExpr("query_id", "table_name", "ordinal", "0 source_index", "'s' source_text", "'m' matched_text", "table_name dim_table", "'c' dim_col", "'k' key_col", "'' key_value", "similarity score")
+    catalogue = write(spark.createDataFrame([(f"t{i}", "", f"card {i}") for i in range(4)], "object_id string, table_category string, text_raw string"), "catalogue")
+    tasks = spark.createDataFrame([(q, q % 2 == 0) for q in range(6)], "query_id int, has_time boolean")
+    examples = tables.where("ordinal < 2").selectExpr("query_id", "similarity", "ordinal", "struct(table_name sql) example")
+    edges = write(spark.createDataFrame([(f"t{i}", f"t{i - 1}", "SRC.k = DST.k", None, "N:1", 1.0) for i in range(1, 4)], EDGES), "edges")
+    out = C.context(tables, tables.drop("table_name", "table_category"), values, catalogue, tasks, edges, examples)
+    out.explain()
+    # Candidates, tasks, examples, value hits and counters; then the written rows stay where they are.
+    assert plans["gathered"].count("hashpartitioning(query_id") == 5
+    assert "hashpartitioning(query_id" not in capsys.readouterr().out
+    row = out.where("query_id = 0").first()
+    assert (row.facts, row.dimensions, row.base, row.targets) == (["t1"], ["t3", "t0", "t2", "t4"], "t1", ["t3", "t0", "t2", "t4"])
+    assert [(e.src_table, e.dst_table) for e in row.edges] == [("t2", "t1"), ("t3", "t2"), ("t1", "t0")]
+    assert (row.column_count, row.dim_match_count, row.join_plan_count, row.table_count, len(row.similar_sqls), set(row.cards)) == (4, 1, 1, 5, 2, {"t0", "t1", "t2", "t3"})
